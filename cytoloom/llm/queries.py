@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from . import quality_rules
 from .quality_rules import op8_adaptive_rules
+from .secrets import op1_secret_scan
 from .winnowing import op9_winnowing
 
-QUERIES = {"op8_adaptive_rules": op8_adaptive_rules, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op8_adaptive_rules": op8_adaptive_rules, "op9_winnowing": op9_winnowing}
 SQL: dict[str, str] = {"op8_adaptive_rules": quality_rules.SQL}
