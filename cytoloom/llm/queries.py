@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .language_id import op10_language
+from .quality_mil import op5_attention_mil
 from .quality_rules import op8_adaptive_rules
 from .secrets import op1_secret_scan
+from .toxicity import op7_boosted_trees
 from .winnowing import op9_winnowing
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op8_adaptive_rules": op8_adaptive_rules, "op9_winnowing": op9_winnowing}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_attention_mil": op5_attention_mil, "op7_boosted_trees": op7_boosted_trees, "op8_adaptive_rules": op8_adaptive_rules, "op9_winnowing": op9_winnowing, "op10_language": op10_language}
 SQL: dict[str, str] = {"op8_adaptive_rules": quality_rules.SQL}
