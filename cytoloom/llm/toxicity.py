@@ -45,7 +45,7 @@ _DROP = np.zeros(256, bool)
 _DROP[list(b".,*_-'\"()[]{}#%&|<>?;:+=~^`/\\")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
-FEATURES = 16
+FEATURES = 18
 
 
 def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
 def learned_keys(texts: pa.Array) -> list[np.ndarray]:
@@ -113,7 +113,15 @@ def learned_keys(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(np.concatenate([s[a : a + c] for s in sets])) for a, c in zip(w.first.tolist(), w.count.tolist())]
 
 
-def features(texts: pa.Array, learned: np.ndarray) -> np.ndarray:
+def _weights(values: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    keys, weight = table
+    if not len(keys):
+        return np.zeros(len(values))
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, weight[at], 0.0)
+
+
+def features(texts: pa.Array, learned: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     w = Words(texts, fold=False)
     raw = w.bytes
     low = Words(texts)
@@ -123,9 +131,12 @@ def features(texts: pa.Array, learned: np.ndarray) -> np.ndarray:
     plain = plain_hashes(low)
     hit = _in(plain, _lexicon(INSULTS, plain_hashes))
     hidden = _in(folded_hashes(low), _lexicon(INSULTS, folded_hashes)) & ~hit
-    own = _in(plain, learned)
+    weight = _weights(plain, learned)
     for k in PREFIXES:
-        own |= _in(beginnings(low, k), learned)
+        weight = np.maximum(weight, _weights(beginnings(low, k), learned))
+    own = weight > 0
+    sum_, top = np.bincount(of, weight, n_texts), np.zeros(n_texts)
+    np.maximum.at(top, of, weight)
     you = _in(plain, _lexicon(SECOND_PERSON, plain_hashes))
     toxic = hit | hidden | own
     place = np.flatnonzero(toxic)
@@ -146,7 +157,7 @@ def features(texts: pa.Array, learned: np.ndarray) -> np.ndarray:
     out = np.empty((n_texts, FEATURES))
     for i, x in enumerate(
         (
-            np.log1p(count(hit)), 100 * count(hit) / n, np.log1p(count(hidden)), 100 * count(hidden) / n, np.log1p(count(own)), 100 * count(own) / n,
+            np.log1p(count(hit)), 100 * count(hit) / n, np.log1p(count(hidden)), 100 * count(hidden) / n, np.log1p(sum_), 100 * sum_ / n, top, 100 * count(own) / n,
             np.log1p(count(toxic)), 100 * count(toxic) / n, np.log1p(count(near)), 100 * count(you) / n, edge((raw >= 65) & (raw <= 90)) / size,
             count((shouted[low.end] - shouted[low.start]) > 2) / n, edge(raw == 33) / size, edge(_DROP[raw]) / size, count(mixed) / n, np.log1p(low.count),
         )
@@ -157,28 +168,30 @@ def features(texts: pa.Array, learned: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    learned: np.ndarray
+    learned: tuple[np.ndarray, np.ndarray]
     trees: object = None
     isotonic: object = None
     constant: float = 0.0
 
 
-def learn_lexicon(keys: list[np.ndarray], y: np.ndarray, least: int = 3, ratio: float = 8.0) -> np.ndarray:
-    """Words and beginnings found in at least `least` toxic texts, in a share `ratio` times that of other texts."""
+def learn_lexicon(keys: list[np.ndarray], y: np.ndarray, least: int = 3, ratio: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Words and beginnings found in at least `least` toxic texts, in a share `ratio` times that of other texts; their log ratios."""
     pos = [k for k, t in zip(keys, y) if t]
     neg = [k for k, t in zip(keys, y) if not t]
-    if not pos:
-        return np.zeros(0, np.uint64)
+    if not pos or not neg:
+        return np.zeros(0, np.uint64), np.zeros(0)
     u, c = np.unique(np.concatenate(pos), return_counts=True)
-    v, d = np.unique(np.concatenate(neg), return_counts=True) if neg else (u[:0], c[:0])
+    v, d = np.unique(np.concatenate(neg), return_counts=True)
     other = np.zeros(len(u))
     if len(v):
         at = np.minimum(np.searchsorted(v, u), len(v) - 1)
         other = np.where(v[at] == u, d[at], 0)
-    return u[(c >= least) & (u > 0) & (c / len(pos) >= ratio * (other + 0.5) / (len(neg) + 1))]
+    log_ratio = np.log((c / len(pos)) / ((other + 0.5) / len(neg)))
+    chosen = (c >= least) & (u > 0) & (log_ratio >= np.log(ratio))
+    return u[chosen], log_ratio[chosen]
 
 
-def with_features(docs: DataFrame, learned: np.ndarray) -> DataFrame:
+def with_features(docs: DataFrame, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs' columns but text, and features array<double>."""
     sent = docs.sparkSession.sparkContext.broadcast(learned)
     rest = [c for c in docs.columns if c != "text"]
@@ -204,12 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, trees: int =
 
     counted = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counted) < 2:
-        return Model(np.zeros(0, np.uint64), constant=float(max(counted, default=0)))
-    part = sample.filter("fold < 400").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(keys, "label int, keys binary").toPandas()
+        return Model((np.zeros(0, np.uint64), np.zeros(0)), constant=float(max(counted, default=0)))
+    part = sample.filter("fold < 450").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(keys, "label int, keys binary").toPandas()
     model = Model(learn_lexicon([np.frombuffer(k, np.uint64) for k in part["keys"]], part.label.to_numpy()))
     slim = sample.select("fold", F.col("label").cast("double").alias("label"), "text")
     ready = staging.write(with_features(slim, model.learned).coalesce(2), "features").withColumn("features", array_to_vector("features"))
-    learn = ready.filter("fold >= 400 AND fold < 800") if ready.filter("fold >= 400 AND fold < 800").select("label").distinct().count() == 2 else ready
+    learn = ready.filter("fold >= 450 AND fold < 800") if ready.filter("fold >= 450 AND fold < 800").select("label").distinct().count() == 2 else ready
     model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=32, cacheNodeIds=False).fit(learn)
     judged = model.trees.transform(ready.filter("fold >= 800")).select("label", vector_to_array("probability")[1].alias("p"))
     if judged.isEmpty():
