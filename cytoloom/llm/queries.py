@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import quality_rules
 from .language_id import op10_language
 from .lattice_lm import op6_lattice_likelihood
+from .mixing import op3_soft_mixing
 from .ngram_join import op4_signature_trees
+from .packing import op2_best_fit_packing
 from .quality_mil import op5_attention_mil
 from .quality_rules import op8_adaptive_rules
 from .secrets import op1_secret_scan
 from .toxicity import op7_boosted_trees
 from .winnowing import op9_winnowing
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_signature_trees": op4_signature_trees, "op5_attention_mil": op5_attention_mil, "op6_lattice_likelihood": op6_lattice_likelihood, "op7_boosted_trees": op7_boosted_trees, "op8_adaptive_rules": op8_adaptive_rules, "op9_winnowing": op9_winnowing, "op10_language": op10_language}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_best_fit_packing": op2_best_fit_packing, "op3_soft_mixing": op3_soft_mixing, "op4_signature_trees": op4_signature_trees, "op5_attention_mil": op5_attention_mil, "op6_lattice_likelihood": op6_lattice_likelihood, "op7_boosted_trees": op7_boosted_trees, "op8_adaptive_rules": op8_adaptive_rules, "op9_winnowing": op9_winnowing, "op10_language": op10_language}
 SQL: dict[str, str] = {"op8_adaptive_rules": quality_rules.SQL}
