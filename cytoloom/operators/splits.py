@@ -150,7 +150,7 @@ def cap_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 def composition(cells: DataFrame, splits: DataFrame, value: str) -> DataFrame:
     both = cells.join(splits, "cell_id")
-    counts = both.groupBy("cell_line").pivot("split", list(SPLITS)).agg(F.count("*"))
+    counts = both.groupBy("cell_line").pivot("split", list(SPLITS)).agg(F.count("cell_id"))
     return counts.na.fill(0).join(both.groupBy("cell_line").agg(F.avg(value).alias("mean_value")), "cell_line")
 
 
