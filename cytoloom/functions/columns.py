@@ -62,3 +62,9 @@ def normal_cdf(z: Column) -> Column:
 
 def sanitize_id(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"[^0-9A-Za-z._-]+", "_"), r"^_+|_+$", "")
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation; null where a side is constant, which corr() takes for a division by zero."""
+    spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b)))
+    return F.covar_pop(a, b) / F.when(spread > 1e-12, spread)

@@ -69,7 +69,8 @@ def ensemble(train: DataFrame, cols: list[str], y: str, age: str, members: int)
         fitted.append((m, logistic(drawn, cols, y, "__w"), ridge(drawn.filter(F.col(age).isNotNull()), cols, age, out="mu_age")))
 
     def predict(df: DataFrame) -> DataFrame:
-        parts = [r(p(df)).select(F.lit(m).alias("member"), "cell_id", "probs", "mu_age") for m, p, r in fitted]
+        bare = df.drop("mu_age", "probs")
+        parts = [r(p(bare)).select(F.lit(m).alias("member"), "cell_id", "probs", "mu_age") for m, p, r in fitted]
         out = parts[0]
         for x in parts[1:]:
             out = out.unionByName(x)

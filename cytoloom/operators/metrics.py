@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import safe_corr
+
 
 def _curve(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     at = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
@@ -91,7 +93,7 @@ def regression(df: DataFrame, by: list[str], pred: str, true: str, mask: Column)
     sst = F.var_pop(t) * n
     flat = (F.coalesce(F.var_pop(t), F.lit(0.0)) < 1e-12) | (F.coalesce(F.var_pop(p), F.lit(0.0)) < 1e-12)
     return df.groupBy(*by).agg(
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(~flat, F.corr(p, t)).alias("pearson"),
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(~flat, safe_corr(p, t)).alias("pearson"),
         F.when(sst > 1e-12, 1 - F.sum(e * e) / F.nullif(sst, F.lit(0.0))).alias("r2"), n.alias("n"),
     )
 
@@ -116,7 +118,7 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks for ties; null for fewer than three rows or a constant."""
     ranked = df.select(*by, a, b).withColumns({"ra": average_rank(df, by, a), "rb": average_rank(df, by, b)})
     flat = (F.var_pop("ra") < 1e-12) | (F.var_pop("rb") < 1e-12) | (F.count("*") < 3)
-    return ranked.groupBy(*by).agg(F.when(~flat, F.corr("ra", "rb")).alias("spearman"))
+    return ranked.groupBy(*by).agg(F.when(~flat, safe_corr(F.col("ra"), F.col("rb"))).alias("spearman"))
 
 
 def top_share(df: DataFrame, by: list[str], item: str, value: str, share: float = 0.1) -> DataFrame:

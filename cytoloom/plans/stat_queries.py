@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_corr
 from ..operators import metrics as M, statistics as S, timecourse as T
 from . import domain as D
 from .domain import CTES
@@ -162,4 +163,4 @@ def variance_share(spark, sf_dir):
 
 @query("external_agreement", D.sql("SELECT fold, round(corr(mu_age, y_age), 6) AS pearson, round(avg(mu_age - y_age), 6) + 0.0 AS bias, count(*) AS n FROM preds GROUP BY 1"))
 def external_agreement(spark, sf_dir):
-    return rounded(D.preds(spark, sf_dir).groupBy("fold").agg(F.corr("mu_age", "y_age").alias("pearson"), F.avg(F.col("mu_age") - F.col("y_age")).alias("bias"), F.count("*").alias("n")))
+    return rounded(D.preds(spark, sf_dir).groupBy("fold").agg(safe_corr(F.col("mu_age"), F.col("y_age")).alias("pearson"), F.avg(F.col("mu_age") - F.col("y_age")).alias("bias"), F.count("*").alias("n")))
