@@ -60,6 +60,7 @@ def ensemble(train: DataFrame, cols: list[str], y: str, age: str, members: int)
     """Members fitted on rows weighted by Poisson(1) draws from a hash; gives member, cell_id, probs, mu_age of each."""
     from ..functions.columns import unit_hash
 
+    train = train.drop("mu_age", "probs")  # names of what is predicted
     fitted = []
     for m in range(members):
         u = unit_hash(f"member-{m}", F.col("cell_id"))

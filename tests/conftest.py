@@ -44,7 +44,7 @@ def rows_of(df) -> list:
         if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NA or v is pd.NaT:
             return "null"
         if isinstance(v, float):
-            return repr(v + 0.0)
+            return repr(float(v) + 0.0)
         if hasattr(v, "__len__") and not isinstance(v, str):
             return str([show(x) for x in v])
         return str(v)
