@@ -143,3 +143,13 @@ def bakeoff(df: DataFrame, fold: str, p: str, y: str, bins: int = 10) -> DataFra
     e = ece_binary(all_, ["family", "held_out", "role"], "q", "y", bins)
     wide = e.groupBy("family", "held_out").pivot("role", ["out", "in"]).agg(F.first("ece"))
     return wide.select("family", "held_out", F.col("out").alias("ece_out"), F.col("in").alias("ece_in"), (F.col("out") - F.col("in")).alias("optimism"))
+
+
+def external(df: DataFrame, predict: Callable, schema: str) -> DataFrame:
+    """Rows scored by a model from outside Spark: predict takes a pandas DataFrame of a batch and gives one of `schema`. For models that no expression can state."""
+
+    def run(batches):
+        for pdf in batches:
+            yield predict(pdf)
+
+    return df.mapInPandas(run, schema)

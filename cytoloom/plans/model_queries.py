@@ -130,3 +130,100 @@ def ingest_with_ledger(spark, sf_dir):
     return spark.read.parquet(out).groupBy(F.col("chunk_id").cast("int").alias("chunk_id")).agg(F.count("*").alias("n"))
 
 
+
+
+def _battery(df):
+    """fold, metric, value of the whole battery of one set of predictions: p0..p2, y, mu_age, sigma_age, y_age, age_mask, in_dist."""
+    by, P = ["fold"], ["p0", "p1", "p2"]
+    safe = df.withColumn("safe", (F.col("y") == 0).cast("int")).withColumn("pr", F.round("p0", 9))
+    e = F.abs(F.col("mu_age") - F.col("y_age"))
+    masked = F.col("age_mask")
+    simple = df.groupBy(*by).agg(
+        M.brier(P, "y").alias("brier"), M.nll(P, "y").alias("nll"), F.avg((~F.col("in_dist")).cast("double")).alias("ood_rate"),
+        F.avg(F.when(masked, (e <= 1.6448536269514722 * F.col("sigma_age")).cast("double"))).alias("coverage"), F.avg(F.when(masked, 2 * 1.6448536269514722 * F.col("sigma_age"))).alias("width"),
+    )
+    reg = M.regression(df, by, "mu_age", "y_age", masked).drop("n")
+    parts = [simple, reg, M.ece_top1(df, by, P, "y"), M.ece_binary(safe, by, "p0", "safe").withColumnRenamed("ece", "ece_safe"), M.auroc(safe, by, "pr", "safe"), M.prauc(safe, by, "pr", "safe"), M.spearman(df.filter(masked), by, "mu_age", "y_age")]
+    return M.union_all(*(M.long_form(p, by, [c for c in p.columns if c != "fold"]) for p in parts))
+
+
+@query("measure_fold", D.sql("""SELECT fold, metric, round(value, 6) + 0.0 AS value FROM (
+  SELECT fold, unnest(['brier', 'nll', 'ood_rate', 'coverage', 'width']) AS metric, unnest([avg(power(p0 - (y = 0)::INT, 2) + power(p1 - (y = 1)::INT, 2) + power(p2 - (y = 2)::INT, 2)), avg(-ln(greatest([p0, p1, p2][y + 1], 1e-12))), avg((NOT in_dist)::INT), avg((abs(mu_age - y_age) <= 1.6448536269514722 * sigma_age)::INT) FILTER (age_mask), avg(2 * 1.6448536269514722 * sigma_age) FILTER (age_mask)]) AS value FROM probs GROUP BY fold
+  UNION ALL SELECT fold, unnest(['mae', 'rmse', 'pearson', 'r2']), unnest([avg(abs(e)), sqrt(avg(e * e)), corr(mu_age, y_age), 1 - sum(e * e) / (var_pop(y_age) * count(*))]) FROM (SELECT *, mu_age - y_age AS e FROM preds WHERE age_mask) GROUP BY fold
+  UNION ALL SELECT fold, 'ece', sum(g) / max(t) FROM (SELECT fold, bin, abs(sum(hit - conf)) AS g, sum(count(*)) OVER (PARTITION BY fold) AS t FROM (SELECT fold, greatest(p0, p1, p2) AS conf, (list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1 = y)::INT AS hit, (ceil(greatest(p0, p1, p2) * 15) - 1)::INT AS bin FROM probs) GROUP BY fold, bin) GROUP BY fold
+  UNION ALL SELECT fold, 'ece_safe', sum(g) / max(t) FROM (SELECT fold, b, abs(sum((y = 0)::INT - p0)) AS g, sum(count(*)) OVER (PARTITION BY fold) AS t FROM (SELECT fold, y, p0, least(floor(p0 * 10), 9) AS b FROM probs) GROUP BY fold, b) GROUP BY fold
+  UNION ALL SELECT fold, 'auroc', sum(pos * (below + neg / 2)) / (max(P) * (max(N) - max(P))) FROM (SELECT fold, pos, n - pos AS neg, coalesce(sum(n - pos) OVER (PARTITION BY fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER (PARTITION BY fold) AS P, sum(n) OVER (PARTITION BY fold) AS N FROM safe) GROUP BY fold
+  UNION ALL SELECT fold, 'prauc', sum(pos * tp / flagged) / max(P) FROM (SELECT fold, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS flagged, sum(pos) OVER (PARTITION BY fold) AS P FROM safe WINDOW w AS (PARTITION BY fold ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) GROUP BY fold
+  UNION ALL SELECT fold, 'spearman', corr(ra, rb) FROM (SELECT fold, rank() OVER (PARTITION BY fold ORDER BY mu_age) + (count(*) OVER (PARTITION BY fold, mu_age) - 1) / 2 AS ra, rank() OVER (PARTITION BY fold ORDER BY y_age) + (count(*) OVER (PARTITION BY fold, y_age) - 1) / 2 AS rb FROM preds WHERE age_mask) GROUP BY fold)""",
+  safe="SELECT fold, round(p0, 9) AS s, sum((y = 0)::INT)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM probs GROUP BY 1, 2"))
+def measure_fold(spark, sf_dir):
+    return rounded(_battery(D.probs(spark, sf_dir)))
+
+
+@query("fit_clock")
+def fit_clock(spark, sf_dir):
+    from ..operators import clock as K, expression as E
+
+    lines = D.cells(spark, sf_dir).select("cell_id", F.col("cell_line").alias("sample"))
+    sums = D.expr(spark, sf_dir).join(lines, "cell_id").groupBy("sample", "gene").agg(F.sum("value").alias("value"))
+    norm = E.normalize_cp10k(sums.withColumnRenamed("sample", "cell_id")).withColumnRenamed("cell_id", "sample")
+    ages = lines.select("sample").distinct().withColumn("age", (20 + F.col("sample") * 2).cast("double"))
+    weights, intercept, m = K.fit_clock(norm, ages)
+    return rounded(weights.withColumns({"intercept": F.lit(intercept), "cv_mae": F.lit(m["cv_mae"]), "alpha": F.lit(m["alpha"])}), 4)
+
+
+@query("extreme_contrast", D.sql("SELECT region::INT AS region, round(o - y, 6) AS contrast, round(1.6448536269514722 * 6.0 * sqrt(1 / n_young::DOUBLE + 1 / n_old::DOUBLE), 6) AS bar, (hi - lo)::DOUBLE AS true_gap, n_young, n_old, CASE WHEN o - y >= 1.6448536269514722 * 6.0 * sqrt(1 / n_young::DOUBLE + 1 / n_old::DOUBLE) THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT region, lo, hi, count(*) FILTER (chrono = lo) AS n_young, count(*) FILTER (chrono = hi) AS n_old, avg(predicted) FILTER (chrono = hi) AS o, avg(predicted) FILTER (chrono = lo) AS y FROM (SELECT *, min(chrono) OVER (PARTITION BY region) AS lo, max(chrono) OVER (PARTITION BY region) AS hi FROM (SELECT fold % 5 AS region, fold, (20 + fold // 10 * 20)::DOUBLE AS chrono, 20 + fold // 10 * 20 + avg(mu_age) / 10 AS predicted FROM preds GROUP BY fold)) GROUP BY ALL)"))
+def extreme_contrast(spark, sf_dir):
+    from ..operators.clock import extreme_contrast as contrast
+
+    donors = D.preds(spark, sf_dir).groupBy("fold").agg(F.avg("mu_age").alias("m"))
+    chrono = 20 + F.floor(F.col("fold") / 10) * 20
+    rows = donors.select((F.col("fold") % 5).alias("region"), chrono.cast("double").alias("chrono"), (chrono + F.col("m") / 10).alias("predicted"))
+    return rounded(contrast(rows, 6.0, ["region"]).drop("power", "pearson"))
+
+
+@query("input_sweep", D.sql("SELECT cell_id, point::DOUBLE AS point, round(0.1 * dose_um - 0.5 * ln(point), 6) + 0.0 AS score, round(-0.5 * (ln(point) - ln(24)), 6) + 0.0 AS change FROM cells, (SELECT unnest([24.0, 96.0]) AS point)"))
+def input_sweep(spark, sf_dir):
+    from ..operators.clock import sweep
+
+    return rounded(sweep(D.cells(spark, sf_dir), "time_h", [24.0, 96.0], 0.1 * F.col("dose_um") - 0.5 * F.ln("time_h")))
+
+
+@query("forward_model")
+def forward_model(spark, sf_dir):
+    """State against state with elapsed time, each donor group left out in turn."""
+    from ..operators import timecourse as T
+
+    pts = T.timepoints(D.course(spark, sf_dir).withColumnRenamed("day", "t"), 3, 2)
+    pairs = T.forward_pairs(pts).withColumn("dt2", F.col("dt") * F.col("dt")).withColumn("grp", F.col("donor") % 3).withColumn("cell_id", F.xxhash64("donor", "t_i", "t_j"))
+    parts = []
+    for g in range(3):  # fits, not rows
+        train, test = pairs.filter(F.col("grp") != g), pairs.filter(F.col("grp") == g)
+        for arm, cols in (("state", ["v_i"]), ("state_and_time", ["v_i", "dt", "dt2"])):
+            out = B.ridge(train, cols, "v_j")(test)
+            parts.append(M.regression(out, ["grp"], "prediction", "v_j", F.lit(True)).withColumn("arm", F.lit(arm)))
+    return rounded(M.union_all(*parts), 4)
+
+
+@query("edistance_after_pca")
+def edistance_after_pca(spark, sf_dir):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    low = PCA(k=8, inputCol="x", outputCol="z").fit(v).transform(v).select("vec_id", "label", vector_to_array("z").alias("v"))
+    return rounded(M.energy_to_control(low, "label", "v", F.col("label") == 0), 4)
+
+
+@query("leave_one_line_out")
+def leave_one_line_out(spark, sf_dir):
+    """The chain of fit, predict and measure with each region left out; a fold that fails is a row with its error."""
+    df = D.preds(spark, sf_dir).withColumn("region", F.col("fold") % 5)
+    parts = []
+    for g in range(5):
+        try:
+            out = B.ridge(df.filter((F.col("region") != g) & F.col("age_mask")), ["z0", "z1", "z2", "sigma_age"], "y_age")(df.filter(F.col("region") == g))
+            parts.append(M.regression(out, ["region"], "prediction", "y_age", F.col("age_mask")).select("region", "mae", "n", F.lit(None).cast("string").alias("error")))
+        except Exception as e:  # recorded, not fatal: the other folds stand
+            parts.append(spark.createDataFrame([(g, None, 0, str(e)[:500])], "region long, mae double, n long, error string"))
+    return rounded(M.union_all(*parts), 4)

@@ -230,3 +230,27 @@ def test_ledger(spark):
     led = ledger_rows(spark, [1], "done").unionByName(ledger_rows(spark, [2], "failed", error="x" * 900))
     assert max(len(r["error"] or "") for r in led.collect()) == 500
     assert [r["chunk_id"] for r in pending(spark.createDataFrame([("1",), ("2",), ("3",)], "chunk_id string"), led).orderBy("chunk_id").collect()] == ["2", "3"]
+
+
+def test_clock_matches_closed_form(spark):
+    from cytoloom.operators import clock as K
+
+    rng = np.random.default_rng(0)
+    x = rng.poisson(2.0, (30, 12)).astype(float)
+    y = 40 + 3 * x[:, 0] - 2 * x[:, 1] + rng.normal(0, 1, 30)
+    expr = spark.createDataFrame([(i, f"g{g:02d}", float(x[i, g])) for i in range(30) for g in range(12) if x[i, g]], "sample int, gene string, value double")
+    ages = spark.createDataFrame([(i, float(y[i])) for i in range(30)], "sample int, age double")
+    w, b, m = K.fit_clock(expr, ages)
+    xc, yc = x - x.mean(0), y - y.mean()
+    want = np.linalg.solve(xc.T @ xc + m["alpha"] * np.eye(12), xc.T @ yc)
+    got = {r["gene"]: r["weight"] for r in w.collect()}
+    assert np.allclose([got[f"g{g:02d}"] for g in range(12)], want, atol=1e-8)
+    assert abs(b - (y.mean() - x.mean(0) @ want)) < 1e-6 and m["cv_pearson"] > 0.5
+    with pytest.raises(ValueError):
+        K.fit_clock(expr, ages.filter("sample < 3"))
+
+
+def test_external_model(spark):
+    df = spark.range(5).withColumn("x", F.col("id") * 2.0)
+    out = B.external(df, lambda p: p.assign(y=p.x + 1)[["id", "y"]], "id long, y double")
+    assert {r["id"]: r["y"] for r in out.collect()} == {i: 2.0 * i + 1 for i in range(5)}
