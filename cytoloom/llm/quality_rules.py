@@ -23,9 +23,9 @@ WINDOW = 5
 #: metric: (numerator, denominator, least spread per thousand, sides that are fenced)
 METRICS = {
     "symbols": ("n_symbols", "n_words", 50, "high"),
-    "word_length": ("word_chars", "n_words", 250, "both"),
-    "dup_lines": ("n_dup_lines", "n_lines", 50, "high"),
-    "repeats": ("n_repeat_words", "n_words", 20, "high"),
+    "word_length": ("word_chars", "n_words", 350, "both"),
+    "dup_lines": ("n_dup_lines", "n_lines", 90, "high"),
+    "repeats": ("n_repeat_words", "n_words", 30, "high"),
     "capitals": ("n_upper", "word_chars", 30, "high"),
 }
 
