@@ -14,6 +14,9 @@ candidate fails, its bucket is searched again, without the pairs that failed and
 searches for all passing pairs between parts that are not joined, so the components are exact. Buckets with the same smallest
 member are searched as one, so that near copies meet once and not in each of their shingles. A bucket of more than `cell` members is cut into cells, and pairs of cells are searched apart.
 
+A forest has too few pairs to count links. As linked sets are in one component, the whole sets of a component are then compared
+all with all, within sizes that can link, in blocks of at most `BLOCK` sets a side; each task counts a set's links or lists the pairs.
+
 Nulls: a null text is an empty one; a text without words has an empty set, is linked with nothing and is its own component.
 A null doc_id takes part in no link and gets a null component unless an equal set has an id. Rows that share a doc_id are one
 document: what one of them links to, all do. Very long texts are taken whole. Repeated rows each give a row, extra columns are
@@ -361,12 +364,8 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def link_components(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 4096, rounds: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id (the smallest doc_id with an equal set), n_links.
-
-    n_links counts the verified pairs of the class's representative; those found to be in one part without a comparison are not among them.
-    """
-    staging = Staging(docs.sparkSession, "ngram-join")
+def _joined_parts(docs: DataFrame, k: int, percent: int, cell: int, rounds: int, staging: Staging) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, set_key of all rows; the classes; node, component of the representatives that have a link)."""
     full = staging.write(signatures(docs, k, percent), "signatures")
     of_class = full.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key")
     classes = staging.write(of_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits")), "classes")
@@ -400,12 +399,101 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, cell: int =
         parts = components(judged.filter("linked").select("a", "b"), staging)
         active = _failing(new, judged)
         tried = staging.write(tried.unionByName(new), "tried")
-    links = judged.filter("linked")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = classes.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    return signed, classes, parts
+
+
+BLOCK, WEIGHT = 512, 1 << 19  # sets and shingles of a side, about
+
+
+def linked_in(members: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(id, ids linked to it) with each linked pair once, among members (id, side, set); two sides are compared across. An id may have several sets."""
+    sides = sorted({m[1] for m in members})
+    one = [m for m in members if m[1] == sides[0]]
+    two = sorted((m for m in members if m[1] == sides[-1]), key=lambda m: len(m[2]))
+    ids, size = np.array([m[0] for m in two]), np.array([len(m[2]) for m in two])
+    first = np.concatenate(([0], np.cumsum(size)))
+    keys, at = np.unique(np.concatenate([m[2] for m in two]), return_inverse=True)
+    found: dict[int, list[np.ndarray]] = {}
+    for i, _, x in one:
+        low, high = np.searchsorted(size, need(len(x), percent)), np.searchsorted(size, 100 * len(x) // percent, "right")
+        if low == high:
+            continue
+        on = np.zeros(len(keys), np.int32)
+        place = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        on[place[keys[place] == x]] = 1
+        both = np.add.reduceat(on[at[first[low] : first[high]]], first[low:high] - first[low])
+        near = ids[low:high][(both > 0) & (100 * both >= percent * (len(x) + size[low:high] - both))]
+        found.setdefault(i, []).append(near[near > i] if len(sides) == 1 else near)
+    for i, near in found.items():
+        if len(each := np.unique(np.concatenate(near))):
+            yield i, each
+
+
+def links_of(docs: DataFrame, classes: DataFrame, parts: DataFrame, k: int, percent: int, listed: bool, staging: Staging) -> DataFrame:
+    """All linked pairs of representatives: a, b if listed, else rep, n_links. Every pair is in one block of its component."""
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighed = parts.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
+    sized = staging.write(weighed.join(weighed.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")), "component"), "sized")
+    larger = sized.filter("nodes > 2")
+    sets = whole_sets(docs, larger.select(F.col("rep").alias("id")), k).toDF("rep", "shingles_of")
+    cells = F.greatest(F.ceil(F.col("nodes") / BLOCK), F.ceil(F.col("shingles") / WEIGHT)).cast("int")
+    cut = larger.withColumn("own", F.pmod(F.xxhash64("rep"), cells).cast("int")).join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+    dealt = cut.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "shingles_of")
+    together = dealt.repartition(shuffles, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(members) < 2 or (key[1] != key[2] and len({m[1] for m in members}) < 2):
+                return
+            count: dict[int, int] = {}
+            for i, near in linked_in(members, percent):
+                if listed:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, i)), pa.array(np.maximum(near, i))], names=["x", "y"])
+                else:
+                    for x in near.tolist():
+                        count[x] = count.get(x, 0) + 1
+                    count[i] = count.get(i, 0) + len(near)
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["x", "y"])
+
+        for b in batches:
+            for *new, rep, own, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if new != key:
+                    yield from close()
+                    key, members = new, []
+                members.append((rep, own, np.frombuffer(raw, np.uint64)))
+        yield from close()
+
+    out = together.mapInArrow(run, "x long, y long")
+    two = sized.filter("nodes = 2")  # a link made the component, and there is no other
+    if listed:
+        return out.toDF("a", "b").unionByName(two.filter("rep <> component").select(F.col("component").alias("a"), F.col("rep").alias("b")))
+    return out.toDF("rep", "n").unionByName(two.select("rep", F.lit(1).cast("long").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
+def link_components(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 4096, rounds: int = 4, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id (the smallest doc_id with an equal set), n_links.
+
+    n_links counts the other representatives that the class's representative links to; without `links` the column is left out.
+    """
+    staging = Staging(docs.sparkSession, "ngram-join")
+    signed, classes, parts = _joined_parts(docs, k, percent, cell, rounds, staging)
+    named = classes.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    if links:
+        named = named.join(staging.write(links_of(docs, classes, parts, k, percent, False, staging), "links"), "rep", "left")
     out = signed.join(named, "set_key", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), *counted)
+
+
+def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 4096, rounds: int = 4) -> DataFrame:
+    """a, b (a < b) of all linked pairs of class representatives."""
+    staging = Staging(docs.sparkSession, "ngram-join")
+    _, classes, parts = _joined_parts(docs, k, percent, cell, rounds, staging)
+    return links_of(docs, classes, parts, k, percent, True, staging)
 
 
 def _failing(tried: DataFrame, judged: DataFrame) -> DataFrame:
@@ -428,7 +516,7 @@ def _passing(pairs: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one with the smallest id (of wholly repeated rows, one). Texts without words are each kept. Columns stay."""
-    linked = link_components(docs, k, percent)
+    linked = link_components(docs, k, percent, links=False)
     gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))

@@ -93,6 +93,37 @@ def test_join_matches_brute_force(spark, cell):
         assert got == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_all_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        text = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for _ in range((2, 4, 8, 12, 3, 1)[g]):
+            copy = list(text)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice("xyz")
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(500 + i, " ".join([f"q{j}" for j in range(40)] + ["end"] * (i > 0) + [f"e{i}"] * (i > 1))) for i in range(4)]  # four texts that all link
+    rows += [(1, rows[0][1] + " more"), (700, rows[3][1])]  # an id with two texts; an equal set
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets.setdefault(i, []).append(frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)))
+    reps = {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            reps.setdefault(s, i)
+    want = {(min(a, b), max(a, b)) for (s, a), (t, b) in itertools.combinations(reps.items(), 2) if a != b and 100 * len(s & t) >= 85 * len(s | t)}
+    assert {(a, b) for a in range(500, 504) for b in range(a + 1, 504)} <= want
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.linked_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    degree = collections.Counter(x for pair in want for x in pair)
+    assert all(r["n_links"] == degree[r["class_id"]] for r in ngram_join.link_components(df).collect())
+
+
 def test_bound_is_safe():
     rng = np.random.default_rng(4)
     for _ in range(300):
