@@ -98,7 +98,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(got[got.place < 0].n.sum())
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Follow-the-regularised-leader, proximal, with per-coordinate rates; (weights, bias) of the softmax regression."""
     z, n = np.zeros((PLACES + 1, k)), np.zeros((PLACES + 1, k))
 
@@ -106,6 +106,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int,
         zz = z[at]
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
+    weight = np.ones(len(rows)) if weight is None else weight
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(rows)).tolist():
@@ -115,7 +116,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int,
             p = np.exp(logit - logit.max())
             p /= p.sum()
             p[labels[i]] -= 1
-            g = x[:, None] * p[None, :]
+            g = weight[i] * x[:, None] * p[None, :]
             gg = g * g
             old = n[at]
             z[at] += g - (np.sqrt(old + gg) - np.sqrt(old)) / alpha * w
@@ -124,7 +125,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int,
     return w[:-1], w[-1]
 
 
-def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+def temperature(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The temperature with the least negative log-likelihood: a search over a grid of logarithms, refined once.
 
     Targets are smoothed by one pseudo-row, so that a sample without errors does not drive the temperature to 0.
@@ -139,7 +140,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     def loss(t: float) -> float:
         x = logits / t
         x = x - x.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(x).sum(1)) - (target * x).sum(1)))
+        return float(np.average(np.log(np.exp(x).sum(1)) - (target * x).sum(1), weights=weight))
 
     best = min(np.exp(np.linspace(-4, 3, 71)), key=loss)
     return float(min(best * np.exp(np.linspace(-0.1, 0.1, 21)), key=loss))
@@ -155,13 +156,13 @@ def fit(train: DataFrame, max_train: int = 3000, alpha: float = 0.5, beta: float
         for b in small_batches(batches):
             got = list(grams(b.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("label"), b.column("fold"), pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in got], pa.binary())],
-                names=["doc_id", "label", "fold", "at", "n"],
+                [b.column("doc_id"), b.column("label"), b.column("fold"), b.column("weight"), pa.array([a.astype(np.int32).tobytes() for a, _ in got], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in got], pa.binary())],
+                names=["doc_id", "label", "fold", "weight", "at", "n"],
             )
 
     texts = sample_texts(known, labelled_sample(known, max_train))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    sample = texts.select("doc_id", "label", "fold", "text").mapInArrow(run, f"doc_id {kind}, label string, fold int, at binary, n binary").toPandas().sort_values("doc_id")
+    sample = texts.select("doc_id", "label", "fold", "weight", "text").mapInArrow(run, f"doc_id {kind}, label string, fold int, weight double, at binary, n binary").toPandas().sort_values("doc_id")
     langs = sorted(sample.label.unique())
     if not langs:
         return None
@@ -172,15 +173,15 @@ def fit(train: DataFrame, max_train: int = 3000, alpha: float = 0.5, beta: float
         norm = np.sqrt(np.sum(x * x)) or 1.0
         rows.append((np.append(at, PLACES), np.append(x / norm, 1.0)))
         y.append(langs.index(label))
-    y, held = np.array(y), sample.fold.to_numpy() < 200
+    y, held, weight = np.array(y), sample.fold.to_numpy() < 200, sample.weight.to_numpy()
     if held.all() or not held.any():
         held = np.zeros(len(y), bool)
     learn = np.flatnonzero(~held)
-    weights, bias = ftrl([rows[i] for i in learn], y[learn], len(langs), alpha, beta, l1, l2, epochs)
+    weights, bias = ftrl([rows[i] for i in learn], y[learn], len(langs), alpha, beta, l1, l2, epochs, weight[learn])
     model = Model(langs, weights * idf[:, None], idf, bias)
     back = np.flatnonzero(held)
     logits = np.array([rows[i][1][:-1] @ weights[rows[i][0][:-1]] + bias for i in back]).reshape(len(back), len(langs))
-    model.temperature = temperature(logits, y[back])
+    model.temperature = temperature(logits, y[back], weight[back])
     return model
 
 

@@ -3,7 +3,7 @@
 A text is a bag of passages of 50 words. Each passage is encoded: shares of kinds of bytes, word shape, repetition
 inside the passage, inside the text and of whole lines, then a dense layer. Gated attention, learned from document labels alone,
 weighs the passages; the weighted sum of their encodings is scored. The network (a few thousand weights) is trained on
-at most `max_train` labelled texts, whole, spread evenly over the labels.
+at most `max_train` labelled texts, whole, spread evenly over the labels and weighed back to the labels' shares.
 
 Nulls: a null text is an empty one, which is a single passage of zeros; a null label or doc_id is not learned from. Very
 long texts are bags of many passages, encoded in bounded slices of a batch; ties do not matter; repeated rows each give a row. With no
@@ -107,8 +107,9 @@ class Network:
         return 1 / (1 + np.exp(-(z @ p["c"] + p["b"]))), (h, t, g, w, z, bag)
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, rate: float = 0.01, decay: float = 1e-4) -> Network:
-    """Adam on the cross-entropy of the document labels; seeded."""
+def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 40, rate: float = 0.01, decay: float = 1e-4, weight: np.ndarray | None = None) -> Network:
+    """Adam on the weighted cross-entropy of the document labels; seeded."""
+    weight = np.ones(len(bags)) if weight is None else weight
     r = np.random.default_rng(0)
     rows = np.concatenate(bags)
     mean, scale = rows.mean(0), rows.std(0)
@@ -126,7 +127,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 1
             first = np.concatenate(([0], np.cumsum([len(bags[i]) for i in pick])))
             prob, (h, t, g, w, z, bag) = net.forward(x, first)
             p = net.parts
-            d = (prob - y[pick]) / len(pick)
+            d = (prob - y[pick]) * weight[pick] / len(pick)
             dz = d[:, None] * p["c"]
             dw = np.einsum("ij,ij->i", h, dz[bag])
             de = w * (dw - np.add.reduceat(w * dw, first[:-1])[bag])
@@ -152,15 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> Network |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             x, first = passages(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("weight"), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "label", "weight", "x"])
 
     texts = sample_texts(docs, labelled_sample(labels, max_train))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    sample = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label int, x binary").toPandas().sort_values("doc_id")
+    sample = texts.select("doc_id", F.col("label").cast("int").alias("label"), "weight", "text").mapInArrow(run, f"doc_id {kind}, label int, weight double, x binary").toPandas().sort_values("doc_id")
     y = sample.label.to_numpy().astype(float)
-    if len(np.unique(y)) < 2:
+    if len(np.unique(y)) < 2:  # weights of one label are equal
         return float(y.mean()) if len(y) else 0.5
-    return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in sample.x], y)
+    return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in sample.x], y, weight=sample.weight.to_numpy())
 
 
 def score(docs: DataFrame, net: Network | float, threshold: float = 0.7) -> DataFrame:

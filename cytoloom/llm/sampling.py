@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def labelled_sample(labels: DataFrame, n: int) -> DataFrame:
-    """At most n rows of (doc_id, label), spread evenly over the labels: the lowest hashes of doc_id of each.
+    """At most n rows of (doc_id, label, fold, weight), spread evenly over the labels: the lowest hashes of doc_id of each.
 
+    weight is a label's rows over its sampled rows, scaled to a mean of 1: weighted, the sample has the labels' own shares at any size.
     Ids are ranked without their texts. Null ids and labels are left out; an id that has several rows is taken once.
     """
     known = labels.select("doc_id", "label").filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -16,9 +17,13 @@ def labelled_sample(labels: DataFrame, n: int) -> DataFrame:
     sizes = known.groupBy("label").agg(F.count("*").alias("rows"))
     near = hashed.join(sizes, "label").filter(F.col("u") <= F.lit(4.0 * n * (1 << 30)) / F.col("rows"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("u", "h", "doc_id")))
-    return ranked.filter(F.col("rank") <= n).orderBy("rank", "label").limit(n).select("doc_id", "label", F.pmod(F.xxhash64("h"), F.lit(1000)).cast("int").alias("fold"))
+    taken = ranked.filter(F.col("rank") <= n).orderBy("rank", "label").limit(n)
+    weights = taken.groupBy("label").agg((F.first("rows") / F.count("*")).alias("each"), F.count("*").alias("taken"), F.first("rows").alias("all"))
+    mean = weights.agg((F.sum("all") / F.sum("taken")).alias("mean"))
+    weighed = taken.join(F.broadcast(weights.crossJoin(F.broadcast(mean)).select("label", (F.col("each") / F.col("mean")).alias("weight"))), "label")
+    return weighed.select("doc_id", "label", F.pmod(F.xxhash64("h"), F.lit(1000)).cast("int").alias("fold"), "weight")
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """doc_id, label, fold, text of the sampled ids (the sample has a bound, so it is sent to all tasks); repeated rows of an id once."""
+    """doc_id, label, fold, weight, text of the sampled ids (the sample has a bound, so it is sent to all tasks); repeated rows of an id once."""
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])

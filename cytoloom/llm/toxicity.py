@@ -220,16 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, trees: int =
         return Model((np.zeros(0, np.uint64), np.zeros(0)), constant=float(max(counted, default=0)))
     part = sample.filter("fold < 450").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(keys, "label int, keys binary").toPandas()
     model = Model(learn_lexicon([np.frombuffer(k, np.uint64) for k in part["keys"]], part.label.to_numpy()))
-    slim = sample.select("fold", F.col("label").cast("double").alias("label"), "text")
+    slim = sample.select("fold", "weight", F.col("label").cast("double").alias("label"), "text")
     ready = staging.write(with_features(slim, model.learned).coalesce(2), "features").withColumn("features", array_to_vector("features"))
     learn = ready.filter("fold >= 450 AND fold < 800") if ready.filter("fold >= 450 AND fold < 800").select("label").distinct().count() == 2 else ready
-    model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=32, cacheNodeIds=False).fit(learn)
-    judged = model.trees.transform(ready.filter("fold >= 800")).select("label", vector_to_array("probability")[1].alias("p"))
+    model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=32, cacheNodeIds=False, weightCol="weight").fit(learn)
+    judged = model.trees.transform(ready.filter("fold >= 800")).select("label", "weight", vector_to_array("probability")[1].alias("p"))
     if judged.isEmpty():
-        judged = model.trees.transform(ready).select("label", vector_to_array("probability")[1].alias("p"))
+        judged = model.trees.transform(ready).select("label", "weight", vector_to_array("probability")[1].alias("p"))
     # one pseudo-row of each label at either end keeps the curve inside (0, 1)
-    ends = docs.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "label double, p double")
-    model.isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score").fit(judged.unionByName(ends))
+    ends = docs.sparkSession.createDataFrame([(0.0, 1.0, 0.0), (1.0, 1.0, 1.0)], "label double, weight double, p double")
+    model.isotonic = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="score", weightCol="weight").fit(judged.unionByName(ends))
     return model
 
 

@@ -231,6 +231,25 @@ def test_classifier_edges(spark, edges, module, args):
     assert module.score(docs.limit(0), module.fit(docs.limit(0), none.limit(0))).count() == 0
 
 
+def test_a_capped_sample_keeps_the_labels_shares(spark):
+    from cytoloom.llm.sampling import labelled_sample
+
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 > 0).cast("int").alias("label"))
+    for n in (400, 4000):
+        got = labelled_sample(labels, n).toPandas()
+        assert len(got) == min(n, 2000) and np.isclose(got.weight.sum(), len(got))
+        assert np.isclose(got.weight[got.label == 1].sum() / len(got), 0.9)
+
+
+@pytest.mark.parametrize("module", [quality_mil, toxicity])
+def test_scores_do_not_follow_the_cap(spark, module):
+    # one text with the evidence of both labels: only their shares can part it
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("the same plain words in every text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("label"))
+    for cap in (240, 2000):
+        assert abs(module.score(docs.limit(1), module.fit(docs, labels, max_train=cap)).first()["score"] - 0.1) < 0.06
+
+
 def test_obfuscated_insults_are_seen():
     import pyarrow as pa
 
