@@ -3,7 +3,8 @@
 A naive Bayes classifier, trained on a labelled table, gives every document a posterior over domains; a document counts in each
 domain with its tokens times its posterior. Nonnegative rates (how often a document is taken) are fitted so that the expected tokens of the
 domains match targets: projected gradient descent on the relative squared error, starting from rate 1. A step moves a rate against
-the posterior-weighted relative error and projects it to zero and above. The rates follow from the few error vectors of the steps so
+the posterior-weighted error, each domain's over its own tokens so that rare domains move as fast, and projects it to zero and above.
+Where a step does not lessen the largest relative error, half of it is tried. Targets that are not met are warned of. The rates follow from the few error vectors of the steps so
 far, so each step is one aggregate over a narrow table of tokens and posteriors; nothing but one vector a step reaches the driver.
 
 Targets are shares of tokens; without any, the labelled table's shares to the power `temper`. The total is the least at which no domain has to
@@ -16,6 +17,8 @@ doc_id takes part like any other. Texts are taken whole; repeated rows count and
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -67,8 +70,8 @@ def rate_after(errors: list[list[float]], step: float) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - step * dot(e)))
 
 
-def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None, step: float = 1.6, most: int = 40, within: float = 1e-4) -> list[list[float]]:
-    """The error vectors of the steps taken until every domain's expected tokens are within `within` of its target."""
+def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None, step: float = 1.6, most: int = 120, within: float = 1e-4) -> list[list[float]]:
+    """The error vectors of the steps taken until every domain's expected tokens are within `within` of its target; warns if `most` passes do not reach it."""
     goal = [targets.get(d, 0.0) / sum(targets.get(d, 0.0) for d in domains) for d in domains]
 
     def totals(errors: list[list[float]]) -> list[float]:
@@ -81,13 +84,19 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], to
     budget = tokens or max(h / g for h, g in zip(have, goal) if g > 0)
     # a domain with target 0 is measured against the mean target
     scale = [budget * (g or 1 / len(domains)) for g in goal]
+    own = have  # tokens at rate 1: what a step of 1 can move
+    gap = lambda h: max(abs(x - budget * g) / s for x, g, s in zip(h, goal, scale))
     errors: list[list[float]] = []
-    for _ in range(most):
-        error = [(h - budget * g) / s for h, g, s in zip(have, goal, scale)]
-        if max(map(abs, error)) <= within:
-            break
-        errors.append(error)
-        have = totals(errors)
+    part, left = 1.0, most
+    while gap(have) > within and left and part > 1e-6:
+        tried = [*errors, [part * (h - budget * g) / max(t, 1e-9) if t > 0 else 0.0 for h, g, t in zip(have, goal, own)]]
+        got, left = totals(tried), left - 1
+        if gap(got) < gap(have):
+            errors, have, part = tried, got, min(1.0, 1.5 * part)
+        else:
+            part /= 2
+    if gap(have) > within:
+        warnings.warn(f"mixing: expected tokens {[round(h / s, 4) for h, s in zip(have, scale)]} of {domains} are not within {within} of their targets {[round(budget * g / s, 4) for g, s in zip(goal, scale)]}", stacklevel=2)
     return errors
 
 

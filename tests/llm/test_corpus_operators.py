@@ -275,6 +275,20 @@ def test_mixing_meets_its_targets(spark):
     assert (got >= (t.n_tokens.to_numpy()[:, None] * post).sum(0) * (1 - 1e-3)).all()  # no domain shrinks
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_mixing_meets_targets_of_a_rare_domain(spark, noise):
+    soft = spark.range(4000).select(F.lit(100).cast("long").alias("n_tokens"), F.when(F.col("id") < 4, F.array(F.lit(noise), F.lit(1 - noise))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("post")).localCheckpoint()
+    errors = mixing.fit_rates(soft, ["a", "b"], {"a": 1.0, "b": 1.0})
+    row = soft.withColumn("r", mixing.rate_after(errors, mixing.STEP)).agg(*(F.sum(F.col("n_tokens") * F.col("r") * F.get("post", F.lit(k))) for k in (0, 1))).first()
+    assert abs(row[1] / (row[0] + row[1]) - 0.5) < 1e-3
+
+
+def test_mixing_warns_of_missed_targets(spark):
+    soft = spark.createDataFrame([(100, [0.5, 0.5])], "n_tokens long, post array<double>")
+    with pytest.warns(UserWarning, match="not within"):
+        mixing.fit_rates(soft, ["a", "b"], {"a": 0.9, "b": 0.1}, most=5)
+
+
 def test_mixing_edges(spark, edges):
     labelled = edges.select("doc_id", F.col("lang").alias("label"))
     assert mixing.mixed(edges.select("doc_id", "text"), labelled).count() == 7
