@@ -105,6 +105,14 @@ def stream_running_baseline(spark, sf_dir):
     return rounded(last.select("cell_line", "s.n", "s.mean"))
 
 
+@query("stream_running_baseline_all", "SELECT user_id AS cell_line, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def stream_running_baseline_all(spark, sf_dir):
+    """All events; stream_running_baseline takes a quarter of them for controls."""
+    s = _events(spark, sf_dir).select(F.col("user_id").alias("cell_line"), "value")
+    last = drained(J.running_baseline(s), "update").groupBy("cell_line").agg(F.max_by(F.struct("n", "mean"), "n").alias("s"))
+    return rounded(last.select("cell_line", "s.n", "s.mean"))
+
+
 @query("stream_suppress_duplicates", "SELECT count(DISTINCT user_id * 1000 + event_id % 7) AS n FROM events")
 def stream_suppress_duplicates(spark, sf_dir):
     s = _events(spark, sf_dir).select("ts", (F.col("user_id") * 1000 + F.col("event_id") % 7).alias("cell_id"))

@@ -162,6 +162,17 @@ def jaccard_knn(spark, sf_dir):
     return rounded(N.jaccard_knn(fp.withColumnRenamed("compound", "query_id"), fp.withColumnRenamed("compound", "ref_id"), 5))
 
 
+_FP_ALL = "SELECT compound, list(DISTINCT bit) AS bits FROM (SELECT compound, (('0x' || substr(sha256(compound || '|' || i), 1, 8))::UBIGINT % 2048)::INT AS bit FROM (SELECT DISTINCT p_type || ' ' || p_size AS compound FROM part), (SELECT unnest(range(48)) AS i)) GROUP BY 1"
+
+
+@query("jaccard_knn_all", D.sql("SELECT query_id, ref_id, round(distance, 6) AS distance FROM (SELECT a.compound AS query_id, b.compound AS ref_id, 1 - len(list_intersect(a.bits, b.bits)) / len(list_distinct(a.bits || b.bits))::DOUBLE AS distance FROM fp a, fp b) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), ref_id) <= 5", fp=_FP_ALL))
+def jaccard_knn_all(spark, sf_dir):
+    """All compounds of part, with the operator's own fingerprint; jaccard_knn takes small ones on a small fingerprint."""
+    c = D.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_size").alias("compound")).distinct()
+    fp = c.withColumn("bits", N.hashed_fingerprint(F.col("compound")))
+    return rounded(N.jaccard_knn(fp.withColumnRenamed("compound", "query_id"), fp.withColumnRenamed("compound", "ref_id"), 5))
+
+
 @query("euclidean_knn", D.sql("SELECT query_id, ref_id, round(distance, 5) AS distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS ref_id, list_distance(a.v, b.v) AS distance FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) <= 3"))
 def euclidean_knn(spark, sf_dir):
     v = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
