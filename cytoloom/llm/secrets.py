@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that no pattern names.
 
 Patterns: assignments to a key word, access ids, long runs of hex digits. Further candidates are runs of 20 and more
-characters of the key alphabets that no pattern covers. The encoding of each is inferred (hex, base 32, base 36, base 64),
+characters of the key alphabets that no pattern covers. The encoding of each is inferred (hex, base 32, base 36, base 64, letters
+of one or both cases, by frequency in English, so that words crowd at the beginning). A run that is of no encoding with its
+separators is cut: its long pieces are tested each, and one of short pieces (as a dashed key) is tested without separators;
 and three tests ask whether its symbols look drawn at random from that alphabet: chi-squared uniformity, runs about the
 middle of the alphabet, serial correlation. Fisher's method joins the three p-values.
 
@@ -25,15 +27,19 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+PIECE = r"[A-Za-z0-9]{20,}"  # between separators
 KINDS = ["assign", "access", "hex", "random"]
 
 _UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_OFTEN = "etaoinshrdlcumwfgypbvkxjqz"
 #: encoding: (what a string of it looks like, alphabet in the order of its values, cells of the chi-squared test for short and long strings)
 ENCODINGS = {
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", _DIGIT + "abcdef", (4, 8)),
     "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UP + "234567", (4, 8)),
     "base36": (r"^(?=.*[0-9])(?=.*[A-Za-z])([a-z0-9]+|[A-Z0-9]+)$", _DIGIT + _LOW, (4, 9)),
     "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", _UP + _LOW + _DIGIT + "+/", (4, 8)),
+    "lower": (r"^([a-z]+|[A-Z]+)$", _OFTEN, (4, 8)),
+    "letters": (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", "".join(c + c.upper() for c in _OFTEN), (4, 8)),
 }
 LENGTHS = (24, 32, 48, 64)  # bounds of the length groups
 BINS = 64  # of p-values
@@ -83,7 +89,7 @@ def randomness(token: Column, encoding: str) -> Column:
     """p-value of the joined tests that the token's symbols are uniform, independent draws from the encoding's alphabet."""
     _, alphabet, cells = ENCODINGS[encoding]
     size = len(alphabet)
-    plain = F.translate(F.lower(token) if encoding in ("hex", "base36") else token, "_-", "/+")
+    plain = F.translate(F.lower(token) if encoding in ("hex", "base36", "lower") else token, "_-", "/+")
     values = F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
 
     def tests(v: Column) -> Column:
@@ -122,11 +128,22 @@ def randomness(token: Column, encoding: str) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, end, grp, p>>: strings outside the base spans with an inferred encoding."""
-    places = let(spans_of(text, CANDIDATE, 3), lambda a: F.filter(a, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    """array<struct<start, end, grp, p>>: strings outside the base spans, whole or in pieces."""
+    meets = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    token_of = lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])
+
+    def encoded(t: Column) -> Column:
+        found = F.lit(False)
+        for looks, _, _ in ENCODINGS.values():
+            found = found | t.rlike(looks)
+        return found
+
+    whole = let(spans_of(text, CANDIDATE, 3), lambda a: F.filter(a, lambda x: let(token_of(x), lambda t: encoded(t) | ~t.rlike(PIECE))))
+    both = let(whole, lambda w: F.concat(w, F.filter(spans_of(text, PIECE, 3), lambda x: ~meets(x, w))))
+    places = let(both, lambda a: F.filter(a, lambda x: ~meets(x, base)))
 
     def measured(x: Column) -> Column:
-        token = F.substring(text, x["start"] + 1, x["end"] - x["start"])
+        token = let(token_of(x), lambda t: F.when(encoded(t), t).otherwise(F.regexp_replace(t, "[+/_-]", "")))
 
         def with_p(t: Column) -> Column:
             length = F.length(t)
@@ -138,7 +155,7 @@ def candidates(text: Column, base: Column) -> Column:
 
         return let(let(token, with_p), lambda r: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["grp"].alias("grp"), r["p"].alias("p")))
 
-    return F.filter(F.transform(places, measured), lambda x: x["grp"].isNotNull())
+    return F.filter(F.transform(F.sort_array(places), measured), lambda x: x["grp"].isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,14 +167,18 @@ def scan(docs: DataFrame) -> DataFrame:
     return based.withColumn("__more", more)
 
 
-def cutoffs(scanned: DataFrame, alpha: float = 0.1, least_p: float = 0.001) -> dict[int, float]:
-    """The lowest p-value that counts as random, by group of encoding and length. The table has as many rows as groups times bins."""
+def cutoffs(scanned: DataFrame, alpha: float = 0.1, least_p: float = 0.001, least: int = 20) -> dict[int, float]:
+    """The lowest p-value that counts as random, by group of encoding and length; groups of under `least` take all lengths of their encoding.
+
+    The table has as many rows as groups times bins."""
     each = scanned.select(F.explode("__more").alias("x")).select("x.grp", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     table: dict[int, list[int]] = {}
     for r in each.groupBy("grp", "bin").count().collect():
         table.setdefault(r["grp"], [0] * BINS)[r["bin"]] = r["count"]
+    wide = {e: [sum(x) for x in zip(*(n for g, n in table.items() if g // 8 == e))] for e in {g // 8 for g in table}}
     out = {}
     for group, n in table.items():
+        n = n if sum(n) >= least else wide[group // 8]
         uniform = sum(n[BINS // 2 :]) / (BINS / 2)  # keys in each bin
         for b in range(BINS):
             above = sum(n[b:])

@@ -64,6 +64,24 @@ def test_secrets_match_brute_force(spark):
     assert "random:0:32" in got[-5]["spans"] and got[-5]["n_random"] == 1
 
 
+def test_keys_of_every_alphabet_are_tested(spark):
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, hexes, both = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [
+        lambda: "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "sk_live_" + draw(low + "0123456789", 32), lambda: "/srv/keys/" + draw(low + "0123456789", 32),
+        lambda: draw(low, 32), lambda: draw(both, 32), lambda: "-".join(draw(low + "0123456789", 8) for _ in range(4)),
+    ]
+    planted = [k() for k in kinds for _ in range(20)]
+    plain = ["internationalisationandlocalisation", "some/long/path/to/another-file_name", "InternationalizationHelperFactory", "this-is-not-the-key-that-you-seek"]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(planted + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(docs).collect()}
+    found = secrets.scan(docs).select("doc_id", F.size("__more").alias("n"), "__more").collect()
+    assert all(r["n"] == 1 for r in found), found
+    assert all(sum(got[i] for i in range(k * 20, k * 20 + 20)) >= 18 for k in range(len(kinds))), found
+    assert sum(got[i] for i in range(len(planted), len(planted + plain))) <= 1, found  # alpha lets a tenth of a group through
+
+
 def test_redaction(spark, edges):
     extra = spark.createDataFrame([(9, "x token=abcdefgh12 y", "en", "a", 5, "x")], DOCS)
     out = secrets.redact(edges.union(extra))
