@@ -1,21 +1,22 @@
 """N-gram Jaccard join by signature trees.
 
-A text's set is its distinct 4-word shingles, as 64-bit hashes. Equal sets are one class with one representative. Two sets whose
-Jaccard index is at least `percent` share one of the first n - ceil(percent n) + 1 shingles of either, in whatever order
-all agree on; ours is by hash, but with the corpus's frequent shingles last, by frequency. So each representative goes to the bucket
-of each shingle of that beginning, and no linked pair is missed.
+A text's set is its distinct 4-word shingles, as 64-bit hashes. Equal sets are one class; its representative is the smallest
+doc_id that has the set. Two sets whose Jaccard index is at least `percent` share one of the first n - ceil(percent n) + 1
+shingles of either, in whatever order all agree on; ours is by hash, but with the corpus's frequent shingles last, by frequency. So
+each class goes to the bucket of each shingle of that beginning, and no linked pair is missed. Buckets with the same smallest member
+are searched as one, so that near copies meet once and not in each of their shingles.
 
-Each bucket is searched with a signature tree. A set's signature is a bitmap of its shingles (at least four bits a shingle),
+Each bucket is searched with a signature tree. A set's signature is a bitmap of its shingles (two to four bits a shingle),
 its size, and how many shingles share bits. A node holds the OR of its members' bitmaps, their range of sizes and the most
 shared bits. The dual traversal drops a pair of nodes when their bitmaps' common bits, plus shared ones, cannot make
-the overlap that the smallest sizes need. Nodes whose members are already joined are compared only until one pair passes. What
-a bucket gives is a spanning forest of candidate pairs, at most one less than its members, and the whole sets then decide. Where a
-candidate fails, its bucket is searched again, without the pairs that failed and with what is joined by now, and after `rounds` such
-searches for all passing pairs between parts that are not joined, so the components are exact. Buckets with the same smallest
-member are searched as one, so that near copies meet once and not in each of their shingles. A bucket of more than `cell` members is cut into cells, and pairs of cells are searched apart.
+the overlap that the smallest sizes need. Nodes whose members are already joined are compared only until one pair passes, so a
+bucket gives a spanning forest of its passing pairs. Every link is a passing pair, so it lies within one part of that forest.
 
-A forest has too few pairs to count links. As linked sets are in one component, the whole sets of a component are then compared
-all with all, within sizes that can link, in blocks of at most `BLOCK` sets a side; each task counts a set's links or lists the pairs.
+The whole sets of each part then decide: they meet once, in blocks of at most `BLOCK` sets a side, where every pair whose sizes can
+link is compared. A block counts its links (or lists them) and gives a spanning forest of them; from these come the components. A
+group of g different texts that are all alike costs g * g / 2 comparisons of bitmaps, in as many tasks as it has pairs of
+blocks: that is what counting all its links takes. Where links are not asked for, a large part is first compared with one of its members
+(the hub), and pairs of texts that both link to the hub are not compared. A bucket of more than `cell` members is searched likewise.
 
 Nulls: a null text is an empty one; a text without words has an empty set, is linked with nothing and is its own component.
 A null doc_id takes part in no link and gets a null component unless an equal set has an id. Rows that share a doc_id are one
@@ -36,7 +37,8 @@ from .components import components
 from .staging import Staging
 from .text import Words, small_batches
 
-SLOTS = 1 << 22  # of the filter that finds candidates' texts: half a megabyte
+SLOTS = 1 << 27  # at most, of the filter that finds candidates' texts: 16 MB
+SEEN = 100_000  # sets that a task remembers, to write copies once
 
 
 def need(n: int, percent: int) -> int:
@@ -52,7 +54,7 @@ def least_overlap(a: int, b: int, percent: int) -> int:
 # ---- signatures -----------------------------------------------------------------------------------------------------
 
 
-def frequent_shingles(docs: DataFrame, k: int, share: float = 1 / 100_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, k: int, staging: Staging, share: float = 1 / 100_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of shingles found in at least `share` of the texts, at most `most` of them: only their order depends on it.
 
     A shingle of that share has it in some part of the table too, so parts list only their own frequent ones.
@@ -80,48 +82,78 @@ def frequent_shingles(docs: DataFrame, k: int, share: float = 1 / 100_000, most:
 
     seen = docs.select("text").mapInArrow(run, "shingle long, n long, texts long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     total = F.max(F.when(F.col("shingle").isNull(), F.col("texts")))
-    staged = Staging(docs.sparkSession, "frequent").write(seen.filter("n >= 8 OR shingle IS NULL"), "counts")
+    staged = staging.write(seen.filter("n >= 8 OR shingle IS NULL"), "counts")
     texts = staged.agg(total.alias("t")).first()["t"] or 0
     got = staged.filter(F.col("shingle").isNotNull() & (F.col("n") >= share * texts)).orderBy(F.col("n").desc(), "shingle").limit(most).select("shingle", "n").toPandas()
+    staging.drop(staged)
     order = np.argsort(h := got.shingle.to_numpy(np.int64).view(np.uint64))
     return h[order], got.n.to_numpy(np.int64)[order]
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
     width = 64
-    while width < 4 * len(shingles):
+    while width < 2 * len(shingles):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(shingles >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def beginning(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The first n - need + 1 shingles in the common order."""
-    m = len(shingles) - need(len(shingles), percent) + 1
+def _often(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many texts have each shingle, 0 if it is not a frequent one."""
     keys, counts = frequent
     if not len(keys):
-        return shingles[:m]
+        return np.zeros(len(shingles), np.int64)
     at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-    often = np.where(keys[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(often, kind="stable")[:m]]
+    return np.where(keys[at] == shingles, counts[at], 0)
+
+
+def beginning(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first n - need + 1 shingles in the common order."""
+    m = len(shingles) - need(len(shingles), percent) + 1
+    return shingles[np.argsort(_often(shingles, frequent), kind="stable")[:m]]
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, set_key, first array<long>, bits: one row per row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def signatures(docs: DataFrame, k: int, percent: int, staging: Staging) -> DataFrame:
+    """doc_id, n, key (of the set), and rare, often (the beginning's shingles), bits: one row per row of docs.
+
+    The last three are given once in a task for each set (null or empty in its copies), so a set that many rows have is routed a few times only.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k, staging))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        none = np.zeros(0, np.uint64)
         for b in small_batches(batches):
             sets = Words(b.column("text")).shingles(k)
-            firsts = [beginning(s, sent.value, percent) if len(s) else s for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))
+            keys, firsts, bits = [set_key(s) for s in sets], [], []
+            for s, key, known in zip(sets, keys, b.column("doc_id").is_valid().to_pylist()):
+                if not len(s) or not known or key in seen:
+                    firsts.append((none, none))
+                    bits.append(None)
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+                first = beginning(s, sent.value, percent)
+                on = _often(first, sent.value) > 0
+                firsts.append((first[~on], first[on]))
+                bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists, pa.array([bitmap(s) for s in sets], pa.binary())],
-                names=["doc_id", "n", "set_key", "first", "bits"],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()), _lists([f[0] for f in firsts]), _lists([f[1] for f in firsts]), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "key", "rare", "often", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, set_key binary, first array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, key binary, rare array<long>, often array<long>, bits binary")
 
 
 # ---- the tree -------------------------------------------------------------------------------------------------------
@@ -170,8 +202,8 @@ def grown(nodes: list[Node]) -> Node:
 class Search:
     """Dual traversal of a tree with itself or with another; joins members by passing pairs and lists these."""
 
-    def __init__(self, n: int, percent: int, forest: bool, failed: frozenset | set = frozenset()):
-        self.up, self.percent, self.forest, self.failed, self.pairs = list(range(n)), percent, forest, failed, []
+    def __init__(self, n: int, percent: int, forest: bool):
+        self.up, self.percent, self.forest, self.pairs = list(range(n)), percent, forest, []
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -213,8 +245,6 @@ class Search:
         if not self.may(p, q):
             return False
         if p.kids is None and q.kids is None:
-            if (p.member, q.member) in self.failed:
-                return False
             self.pairs.append((p.member, q.member))
             if self.forest:
                 self.up[self.root(p.member)] = self.root(q.member)
@@ -226,14 +256,10 @@ class Search:
         return False
 
 
-def search(members: list[tuple[int, int, bytes, int, int]], percent: int, forest: bool, failed: list[tuple[int, int]] = []) -> list[tuple[int, int]]:  # noqa: B006
-    """Candidate pairs among members (id, n, bits, part, cell side); members of one part are joined already; sides, if two, are compared across; failed pairs are not."""
+def search(members: list[tuple[int, int, bytes, int, int]], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the passing pairs among members (id, n, bits, part, cell side); members of one part are joined already; sides, if two, are compared across."""
     sides = sorted({m[4] for m in members})
-    at: dict[int, list[int]] = {}
-    for i, m in enumerate(members):
-        at.setdefault(m[0], []).append(i)
-    bad = {pair for a, b in failed for i in at.get(a, ()) for j in at.get(b, ()) for pair in ((i, j), (j, i))}
-    s = Search(len(members), percent, forest, bad)
+    s = Search(len(members), percent, True)
     firsts: dict[int, int] = {}
     for i, m in enumerate(members):
         s.up[i] = firsts.setdefault(m[3], i)
@@ -244,7 +270,7 @@ def search(members: list[tuple[int, int, bytes, int, int]], percent: int, forest
         size[m[3]] = min(size.get(m[3], m[1]), m[1])
     order = sorted(range(len(members)), key=lambda i: (size[members[i][3]], members[i][3], members[i][1], members[i][0]))
     if len(sides) == 1:
-        if forest and len(members) > 2:  # a first star about the lowest id gives the same pairs in many buckets
+        if len(members) > 2:  # a first star about the lowest id gives the same pairs in many buckets
             hub = min(range(len(members)), key=lambda i: members[i][0])
             for i in order:
                 if i != hub:
@@ -265,265 +291,318 @@ def mark_joined(p: Node, s: Search) -> None:
         p.joined = all(x.joined for x in p.kids) and len({s.root(s.some(x)) for x in p.kids}) == 1
 
 
-def candidate_pairs(buckets: DataFrame, percent: int, forest: bool, cell: int, failed: DataFrame | None = None) -> DataFrame:
-    """bucket, a, b of the pairs that pass. buckets: bucket, members, rep, n, bits, part; failed: bucket, members, a, b."""
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = F.ceil(F.col("members") / cell).cast("int")
-    own = lambda c: F.pmod(F.xxhash64(c), cells).cast("int")
-    cut = buckets.withColumn("own", own("rep")).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    dealt = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "n", "bits", "part", "own")
-    if failed is not None:
-        sides = (own("a"), own("b"))
-        dealt = dealt.unionByName(failed.select("bucket", F.least(*sides).alias("i"), F.greatest(*sides).alias("j"), F.col("a").alias("rep"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("bits"), F.col("b").alias("part"), F.lit(0).alias("own")))
-    together = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.col("rep"))
+def cell_pairs(rows: DataFrame, group: str, cells) -> DataFrame:
+    """group, id, own, i, j: the pairs of cells that each row is compared in. rows: group, id, n, rest.
+
+    cells(rows, shingles) of a group gives how many its rows are dealt to; rows that are not `rest` are compared with those of `rest` only.
+    """
+    sizes = rows.groupBy(group).agg(
+        cells(F.count_if("rest"), F.sum(F.when(F.col("rest"), F.col("n")))).alias("r"), cells(F.count_if(~F.col("rest")), F.sum(F.when(~F.col("rest"), F.col("n")))).alias("l")
+    )
+    spread = lambda c: F.pmod(F.xxhash64("id"), F.greatest(F.col(c), F.lit(1))).cast("int")
+    own = rows.join(sizes, group).withColumn("own", F.when(F.col("rest"), spread("r")).otherwise(F.col("r") + spread("l")))
+    last = F.when(F.col("rest"), F.col("r") + F.col("l")).otherwise(F.col("r")) - 1
+    both = own.withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
+    return both.select(group, "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def against_hub(rows: DataFrame, group: str, size: int, test) -> DataFrame:
+    """group, id of the rows that pass test(n, raw, n of hub, raw of hub) with their group's hub. rows: group, id, n, raw, hub, members; about `size` rows a task."""
+    salts = F.ceil(F.col("members") / size).cast("int")
+    dealt = rows.withColumn("salt", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), salts).cast("int")))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = dealt.select(group, "salt", "hub", "id", "n", "raw").repartition(parts, group, "salt").sortWithinPartitions(group, "salt", F.desc("hub"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hubs = None, []
+        for b in batches:
+            out = []
+            for g, salt, hub, i, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (g, salt) != key:
+                    key, hubs = (g, salt), []
+                if hub:
+                    hubs.append((n, raw))
+                elif any(test(n, raw, *h) for h in hubs):
+                    out.append((g, i))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=[group, "id"])
+
+    return together.mapInArrow(run, f"{group} long, id long").distinct()
+
+
+def candidate_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: spanning forests of the passing pairs. members: bucket, i, j, own, part, id, n, bits."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = members.select("bucket", "i", "j", "id", "n", "bits", "part", "own").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, bad, out = None, [], [], []
+        key, held, out = None, {}, []
 
         def close() -> None:
-            if len(members) > 1 and (key[1] == key[2] or len({m[4] for m in members}) == 2):
-                out.extend((key[0], min(p), max(p)) for p in search(members, percent, forest, bad))
+            if len(held) > 1 and (key[1] == key[2] or len({m[4] for m in held.values()}) == 2):
+                out.extend((min(p), max(p)) for p in search(list(held.values()), percent))
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[:3] != key:
-                    if key is not None:
-                        close()
-                    key, members, bad = row[:3], [], []
-                if row[4] is None:
-                    bad.append((row[3], row[6]))
-                else:
-                    members.append(row[3:])
+                    close()
+                    key, held = row[:3], {}
+                held[row[3], row[5]] = row[3:]  # a set that several tasks have given is one member
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
-        if key is not None:
-            close()
+        close()
         yield _pairs(out)
 
-    return together.mapInArrow(run, "bucket long, a long, b long")
+    return together.mapInArrow(run, "a long, b long")
 
 
-def _pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "a", "b"])
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-# ---- whole sets -----------------------------------------------------------------------------------------------------
+def shared_buckets(signed: DataFrame, staging: Staging) -> DataFrame:
+    """bucket, id, members: the buckets of shingles with at least two members, named by the smallest; those of one name are one.
 
+    The rare shingles' rows meet in windows (a rare one has few rows). Of a frequent one, which any share of the rows may
+    have, only the smallest member is looked up; the frequent ones are listed in at most half a million rows, so that table is broadcast.
+    """
+    rare = signed.select(F.explode("rare").alias("shingle"), "id")
+    of_shingle = Window.partitionBy("shingle")
+    met = rare.select("id", F.min("id").over(of_shingle).alias("bucket"), F.max("id").over(of_shingle).alias("top")).filter("bucket < top").select("bucket", "id")
+    often = signed.select(F.explode("often").alias("shingle"), "id")
+    lowest = often.groupBy("shingle").agg(F.min("id").alias("bucket"), F.max("id").alias("top")).filter("bucket < top").select("shingle", "bucket")
+    hot = often.join(F.broadcast(lowest), "shingle").select("bucket", "id")
+    merged = staging.write(met.unionByName(hot).distinct(), "postings")
+    return staging.write(merged.join(merged.groupBy("bucket").agg(F.count("*").alias("members")), "bucket"), "buckets")
+
+
+def passing(signed: DataFrame, percent: int, cell: int, staging: Staging) -> DataFrame:
+    """a, b: pairs of ids of sets, in spanning forests of all pairs that may link. signed: id, n, rare, often, bits."""
+    met = shared_buckets(signed, staging)
+    # a set may be given by several tasks; its rows meet where the join needs them
+    light = signed.filter("bits IS NOT NULL").select("id", "n", "bits")
+    large = met.filter(F.col("members") > cell)
+    whole = met.filter(F.col("members") <= cell).join(light, "id")
+    zero = F.lit(0)
+    found = candidate_pairs(whole.select("bucket", zero.alias("i"), zero.alias("j"), zero.alias("own"), F.col("id").alias("part"), "id", "n", "bits"), percent)
+    if large.isEmpty():
+        return found
+    rows = staging.write(large.join(light, "id").dropDuplicates(["bucket", "id", "bits"]), "large")
+    s = Search(0, percent, False)
+    near = staging.write(
+        against_hub(rows.select("bucket", "id", "n", F.col("bits").alias("raw"), (F.col("id") == F.col("bucket")).alias("hub"), "members"), "bucket", cell, lambda n, raw, m, hub: s.may(leaf(0, n, raw), leaf(1, m, hub))), "near-hub"
+    )
+    flagged = rows.select("bucket", "id", "n", (F.col("id") != F.col("bucket")).alias("other")).join(near.withColumn("near", F.lit(True)), ["bucket", "id"], "left")
+    rest = flagged.select("bucket", "id", "n", (F.col("other") & F.col("near").isNull()).alias("rest")).distinct()
+    dealt = cell_pairs(rest, "bucket", lambda rows, _: F.ceil(rows / cell).cast("int"))
+    part = F.when(F.col("rest"), F.col("id")).otherwise(F.col("bucket"))
+    members = rows.select("bucket", "id", "n", "bits").join(rest.select("bucket", "id", part.alias("part")).distinct(), ["bucket", "id"]).join(dealt, ["bucket", "id"])
+    return found.unionByName(near.select(F.col("bucket").alias("a"), F.col("id").alias("b"))).unionByName(candidate_pairs(members, percent))
 
-def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, shingles (packed hashes) of the documents named in ids (id). A filter of fixed size finds their texts; the join is exact."""
-    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas().slot.to_numpy()
-    on = np.zeros(SLOTS, bool)
-    on[slots] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(on))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(sent.value).astype(bool)
-        for b in batches:
-            few = b.filter(pa.array(on[b.column("slot").to_numpy()]))
-            for s in small_batches(iter([few])):
-                sets = Words(s.column("text")).shingles(k)
-                yield pa.RecordBatch.from_arrays([s.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
-
-    near = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).cast("int").alias("slot")).filter("id IS NOT NULL")
-    return near.mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates()
+# ---- whole sets -----------------------------------------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked of candidate pairs, by their whole sets."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """key, set (packed hashes) of texts with a doc_id of ids (id), and of few others: a filter that grows with ids up to `SLOTS` finds them."""
+    slots = 1 << 16
+    while slots < min(SLOTS, 32 * ids.count()):
+        slots *= 2
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    marked = ids.select((slot("id") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    on = np.zeros(-(-slots // 32768) * 4096, np.uint8)
+    for r in marked.collect():  # a row for each 32,768 slots
+        on[(r["at"] - 1) * 4096 : r["at"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(on)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, seen = sent.value, set()
         for b in batches:
-            linked = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked)], names=["a", "b", "linked"])
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-
-def shared_buckets(classes: DataFrame, staging: Staging) -> DataFrame:
-    """bucket, rep, members: the buckets of shingles with at least two members; those with the same smallest member are one, named by it.
-
-    One shuffle of (shingle, rep); windows over a bucket's rows spill, so a bucket may have any size.
-    """
-    postings = classes.select(F.explode("first").alias("shingle"), "rep")
-    of_shingle = Window.partitionBy("shingle")
-    met = postings.select("rep", F.min("rep").over(of_shingle).alias("bucket"), F.count("*").over(of_shingle).alias("k")).filter("k > 1")
-    merged = staging.write(met.select("bucket", "rep").distinct(), "postings")
-    return merged.join(merged.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
-
-
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-
-def _joined_parts(docs: DataFrame, k: int, percent: int, cell: int, rounds: int, staging: Staging) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, set_key of all rows; the classes; node, component of the representatives that have a link)."""
-    full = staging.write(signatures(docs, k, percent), "signatures")
-    of_class = full.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-    classes = staging.write(of_class.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits")), "classes")
-    signed = staging.write(full.select("doc_id", "n", "set_key"), "keys")
-    staging.drop(full)
-    met = staging.write(shared_buckets(classes, staging), "buckets")
-    light = classes.select("rep", "n", "bits")
-    larger = staging.write(met.filter("members > 2").join(light, "rep"), "members")
-    # a bucket of two is a single pair of leaves
-    small = met.filter("members = 2").groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b")
-    left, right = light.toDF("a", "na", "bits_a"), light.toDF("b", "nb", "bits_b")
-    leaves = _passing(small.join(left, "a").join(right, "b"), percent).select(F.lit(None).cast("long").alias("bucket"), "a", "b")
-    tried = staging.write(candidate_pairs(larger.withColumn("part", F.col("rep")), percent, True, cell).unionByName(leaves), "candidates")
-    pairs = tried.select("a", "b").distinct()
-    sets = staging.write(whole_sets(docs, _ids(pairs), k), "sets")
-    judged = staging.write(verified(pairs, sets, percent), "judged")
-    parts = components(judged.filter("linked").select("a", "b"), staging)
-    active = _failing(tried, judged)
-    for n in range(1, rounds + 1):
-        if active.isEmpty():
-            break
-        searched = staging.write(larger.join(active, "bucket", "left_semi"), "searched")
-        if n == 1:  # their members' sets serve all further rounds
-            staging.drop(sets)
-            sets = staging.write(whole_sets(docs, searched.select(F.col("rep").alias("id")).distinct(), k), "sets")
-        again = searched.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-        bad = tried.join(judged.filter("NOT linked"), ["a", "b"], "left_semi").join(searched.select("bucket", "members").distinct(), "bucket")
-        new = staging.write(candidate_pairs(again, percent, n < rounds, cell, bad), "candidates")
-        fresh = new.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
-        judged = staging.write(verified(fresh, sets, percent).unionByName(judged), "judged")
-        parts = components(judged.filter("linked").select("a", "b"), staging)
-        active = _failing(new, judged)
-        tried = staging.write(tried.unionByName(new), "tried")
-    return signed, classes, parts
-
-
-BLOCK, WEIGHT = 512, 1 << 19  # sets and shingles of a side, about
+            s = b.column("slot").to_numpy()
+            few = b.filter(pa.array((on[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
+            for part in small_batches(iter([few])):
+                sets = {set_key(x): x for x in Words(part.column("text")).shingles(k) if len(x)}
+                fresh = [key for key in sets if key not in seen]
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()), pa.array([sets[key].tobytes() for key in fresh], pa.binary())], names=["key", "set"])
+
+    near = docs.filter("doc_id IS NOT NULL").select(slot(F.col("doc_id").cast("long")).alias("slot"), "text")
+    return near.mapInArrow(run, "key binary, set binary")
+
+
+BLOCK, WEIGHT = 2048, 1 << 20  # sets and shingles of a side, about
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+    """For each set of one, how many shingles it has in common with two[low:high]. Shingles of a single set are left out; the rest are compared as bitmaps, or as lists where bitmaps would be wider."""
+    both = one if one is two else [*one, *two]
+    size = np.array([len(x) for x in both])
+    keys, at, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    on = times[at] > 1
+    at, row = place[at[on]], np.repeat(np.arange(len(both)), size)[on]
+    width = -(-max(int(place[-1]) + 1, 1) // 64)
+    first = 0 if one is two else len(one)
+    if width <= 2 * len(at) // max(len(both), 1) + 8:
+        bits = np.zeros((len(both), width), np.uint64)
+        np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        for i in range(len(one)):
+            yield np.bitwise_count(bits[first + low[i] : first + high[i]] & bits[i]).sum(1, dtype=np.int64)
+        return
+    edge = np.searchsorted(row, np.arange(len(both) + 1))
+    mark = np.zeros(int(place[-1]) + 1, np.int64)
+    for i in range(len(one)):
+        mark[at[edge[i] : edge[i + 1]]] = 1
+        cuts = edge[first + low[i] : first + high[i] + 1]
+        sums = np.concatenate(([0], np.cumsum(mark[at[cuts[0] : cuts[-1]]]))) if len(cuts) else np.zeros(1, np.int64)
+        mark[at[edge[i] : edge[i + 1]]] = 0
+        yield np.diff(sums[cuts - cuts[0]]) if len(cuts) > 1 else np.zeros(0, np.int64)
 
 
 def linked_in(members: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(id, ids linked to it) with each linked pair once, among members (id, side, set); two sides are compared across. An id may have several sets."""
+    members = sorted(members, key=lambda m: len(m[2]))
     sides = sorted({m[1] for m in members})
-    one = [m for m in members if m[1] == sides[0]]
-    two = sorted((m for m in members if m[1] == sides[-1]), key=lambda m: len(m[2]))
+    one, two = ([m for m in members if m[1] == side] for side in (sides[0], sides[-1]))
     ids, size = np.array([m[0] for m in two]), np.array([len(m[2]) for m in two])
-    first = np.concatenate(([0], np.cumsum(size)))
-    keys, at = np.unique(np.concatenate([m[2] for m in two]), return_inverse=True)
+    own = size if len(sides) == 1 else np.array([len(m[2]) for m in one])
+    low, high = np.searchsorted(size, -(-percent * own // 100)), np.searchsorted(size, 100 * own // percent, "right")
+    left = [m[2] for m in one]
     found: dict[int, list[np.ndarray]] = {}
-    for i, _, x in one:
-        low, high = np.searchsorted(size, need(len(x), percent)), np.searchsorted(size, 100 * len(x) // percent, "right")
-        if low == high:
-            continue
-        on = np.zeros(len(keys), np.int32)
-        place = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        on[place[keys[place] == x]] = 1
-        both = np.add.reduceat(on[at[first[low] : first[high]]], first[low:high] - first[low])
-        near = ids[low:high][(both > 0) & (100 * both >= percent * (len(x) + size[low:high] - both))]
-        found.setdefault(i, []).append(near[near > i] if len(sides) == 1 else near)
+    for n, both in enumerate(overlaps(left, left if len(sides) == 1 else [m[2] for m in two], low, high)):
+        i, span = one[n][0], slice(low[n], high[n])
+        near = ids[span][(both > 0) & (100 * both >= percent * (own[n] + size[span] - both))]
+        found.setdefault(i, []).append(near[near > i] if len(sides) == 1 else near[near != i])
     for i, near in found.items():
         if len(each := np.unique(np.concatenate(near))):
             yield i, each
 
 
-def links_of(docs: DataFrame, classes: DataFrame, parts: DataFrame, k: int, percent: int, listed: bool, staging: Staging) -> DataFrame:
-    """All linked pairs of representatives: a, b if listed, else rep, n_links. Every pair is in one block of its component."""
+def judged(docs: DataFrame, classes: DataFrame, parts: DataFrame, k: int, percent: int, give: str, staging: Staging) -> DataFrame:
+    """a, b, n of the links of representatives, each pair of texts compared in one block of its part.
+
+    give "pairs": all links (a, b); "forest": a spanning forest of them; "counts": that, and rows (a, null, n) that add up to a's links.
+    """
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighed = parts.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
-    sized = staging.write(weighed.join(weighed.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")), "component"), "sized")
-    larger = sized.filter("nodes > 2")
-    sets = whole_sets(docs, larger.select(F.col("rep").alias("id")), k).toDF("rep", "shingles_of")
-    cells = F.greatest(F.ceil(F.col("nodes") / BLOCK), F.ceil(F.col("shingles") / WEIGHT)).cast("int")
-    cut = larger.withColumn("own", F.pmod(F.xxhash64("rep"), cells).cast("int")).join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    dealt = cut.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "shingles_of")
-    together = dealt.repartition(shuffles, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    members = staging.write(classes.join(parts.select(F.col("node").alias("id"), "component"), "id").select("component", "key", "rep", "n"), "members")
+    sets = whole_sets(docs, members.select(F.col("rep").alias("id")), k)
+    rows = members.groupBy("component", F.col("rep").alias("id")).agg(F.sum("n").alias("n")).withColumn("rest", F.lit(True))
+    edges = None
+    if give == "forest":
+        groups = rows.groupBy("component").agg(F.count("*").alias("members"), F.min("id").alias("hub")).filter(F.col("members") > BLOCK)
+        if not groups.isEmpty():
+            groups = staging.write(groups, "large")
+            whole = members.join(groups, "component").join(sets, "key").select("component", F.col("rep").alias("id"), "n", F.col("set").alias("raw"), (F.col("rep") == F.col("hub")).alias("hub"), "members")
+
+            def linked(n: int, raw: bytes, m: int, hub: bytes) -> bool:
+                both = len(np.intersect1d(np.frombuffer(raw, np.uint64), np.frombuffer(hub, np.uint64), assume_unique=True))
+                return both > 0 and 100 * both >= percent * (n + m - both)
+
+            near = staging.write(against_hub(whole, "component", BLOCK, linked), "near-hub")
+            edges = near.join(groups, "component").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.lit(None).cast("long").alias("n"))
+            done = near.unionByName(groups.select("component", F.col("hub").alias("id"))).withColumn("done", F.lit(True))
+            rows = rows.join(done, ["component", "id"], "left").select("component", "id", "n", F.col("done").isNull().alias("rest"))
+    cells = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(F.coalesce(shingles, F.lit(0)) / WEIGHT)).cast("int")
+    cut = members.withColumnRenamed("rep", "id").join(cell_pairs(rows, "component", cells), ["component", "id"])
+    together = cut.join(sets, "key").select("component", "i", "j", "own", "id", "key", "set").repartition(shuffles, "component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
+        group, held = None, {}
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(members) < 2 or (key[1] != key[2] and len({m[1] for m in members}) < 2):
+            members = list(held.values())
+            if len(members) < 2 or (group[1] != group[2] and len({m[1] for m in members}) < 2):
                 return
-            count: dict[int, int] = {}
+            ids = np.unique([m[0] for m in members])
+            count, label, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
             for i, near in linked_in(members, percent):
-                if listed:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, i)), pa.array(np.maximum(near, i))], names=["x", "y"])
-                else:
-                    for x in near.tolist():
-                        count[x] = count.get(x, 0) + 1
-                    count[i] = count.get(i, 0) + len(near)
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["x", "y"])
+                if give == "pairs":
+                    yield _links(np.minimum(near, i), np.maximum(near, i), None)
+                    continue
+                at, there = int(np.searchsorted(ids, i)), np.searchsorted(ids, near)
+                count[at] += len(there)
+                count[there] += 1
+                new = there[np.unique(label[there], return_index=True)[1]]
+                for x in new[label[new] != label[at]].tolist():
+                    edges.append((i, int(ids[x])))
+                    label[label == label[x]] = label[at]
+            if edges:
+                yield _links(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), None)
+            if give == "counts" and (has := np.flatnonzero(count)).size:
+                yield _links(ids[has], None, count[has])
 
         for b in batches:
-            for *new, rep, own, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if new != key:
+            for *new, own, i, key, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if new != group:
                     yield from close()
-                    key, members = new, []
-                members.append((rep, own, np.frombuffer(raw, np.uint64)))
+                    group, held = new, {}
+                held[key, i] = (i, own, np.frombuffer(raw, np.uint64))
         yield from close()
 
-    out = together.mapInArrow(run, "x long, y long")
-    two = sized.filter("nodes = 2")  # a link made the component, and there is no other
-    if listed:
-        return out.toDF("a", "b").unionByName(two.filter("rep <> component").select(F.col("component").alias("a"), F.col("rep").alias("b")))
-    return out.toDF("rep", "n").unionByName(two.select("rep", F.lit(1).cast("long").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n_links"))
+    out = together.mapInArrow(run, "a long, b long, n long")
+    return out if edges is None else out.unionByName(edges)
+
+
+def _links(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
 
 
-def link_components(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 4096, rounds: int = 4, links: bool = True) -> DataFrame:
+def _judged_parts(docs: DataFrame, k: int, percent: int, cell: int, give: str, staging: Staging) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(doc_id, n, key of all rows; the classes; the links; pairs of representatives that one document has, or none)."""
+    full = staging.write(signatures(docs, k, percent, staging), "signatures")
+    keys = staging.write(full.select("doc_id", "n", "key"), "keys")
+    known = keys.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = staging.write(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("id", F.xxhash64("key")), "classes")
+    tried = staging.write(passing(full.withColumn("id", F.xxhash64("key")), percent, cell, staging), "candidates")
+    staging.drop(full)
+    several = known.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("top")).filter("low < top").select("doc_id", "low")
+    same = None
+    if not several.isEmpty():  # a document of several texts
+        twins = staging.write(known.join(several, "doc_id").filter("key <> low").select("low", "key").distinct(), "twins")
+        tried = tried.unionByName(twins.select(F.xxhash64("low").alias("a"), F.xxhash64("key").alias("b")))
+        rep = lambda c, to: classes.select(F.col("key").alias(c), F.col("rep").alias(to))
+        same = twins.join(rep("low", "a"), "low").join(rep("key", "b"), "key").select("a", "b")
+    parts = components(tried, staging)
+    return keys, classes, staging.write(judged(docs, classes, parts, k, percent, give, staging), "links"), same
+
+
+def link_components(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 512, links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id (the smallest doc_id with an equal set), n_links.
 
     n_links counts the other representatives that the class's representative links to; without `links` the column is left out.
     """
     staging = Staging(docs.sparkSession, "ngram-join")
-    signed, classes, parts = _joined_parts(docs, k, percent, cell, rounds, staging)
-    named = classes.select("set_key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    keys, classes, found, same = _judged_parts(docs, k, percent, cell, "counts" if links else "forest", staging)
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    parts = components(edges if same is None else edges.unionByName(same), staging)
+    named = classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     if links:
-        named = named.join(staging.write(links_of(docs, classes, parts, k, percent, False, staging), "links"), "rep", "left")
-    out = signed.join(named, "set_key", "left")
+        named = named.join(found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links")), "rep", "left")
+    out = keys.join(named, "key", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), *counted)
 
 
-def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 4096, rounds: int = 4) -> DataFrame:
+def linked_pairs(docs: DataFrame, k: int = 4, percent: int = 85, cell: int = 512) -> DataFrame:
     """a, b (a < b) of all linked pairs of class representatives."""
-    staging = Staging(docs.sparkSession, "ngram-join")
-    _, classes, parts = _joined_parts(docs, k, percent, cell, rounds, staging)
-    return links_of(docs, classes, parts, k, percent, True, staging)
-
-
-def _failing(tried: DataFrame, judged: DataFrame) -> DataFrame:
-    """Buckets of which a candidate failed: they may have left out a pair for it."""
-    return tried.filter("bucket IS NOT NULL").join(judged.filter("NOT linked"), ["a", "b"], "left_semi").select("bucket").distinct()
-
-
-def _passing(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaves (a, na, bits_a, b, nb, bits_b) that may link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Search(0, percent, False)
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("na", "bits_a", "nb", "bits_b")]
-            ok = pa.array([s.may(leaf(0, na, x), leaf(1, nb, y)) for na, x, nb, y in zip(*cols)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
-
-    return pairs.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(run, "a long, b long")
+    return _judged_parts(docs, k, percent, cell, "pairs", Staging(docs.sparkSession, "ngram-join"))[2].select("a", "b")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one with the smallest id (of wholly repeated rows, one). Texts without words are each kept. Columns stay."""
     linked = link_components(docs, k, percent, links=False)
-    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
+    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rest = row.join(gone, "id", "left_anti")
+    repeated = row.groupBy("id").count().filter("count > 1").select(F.col("id").alias("again"))
     if repeated.isEmpty():
-        return rest
-    again = rest.join(repeated, F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi").dropDuplicates(docs.columns)
-    return rest.join(repeated, F.col("doc_id").eqNullSafe(F.col("__again")), "left_anti").unionByName(again)
+        return rest.select("row.*")
+    once = rest.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_semi").select("row.*").dropDuplicates()
+    return rest.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_anti").select("row.*").unionByName(once)
 
 
 def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
