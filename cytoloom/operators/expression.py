@@ -74,7 +74,9 @@ def pivot_scores(scores: DataFrame, names: list[str]) -> DataFrame:
 
 
 def control_relative_z(df: DataFrame, score: str) -> Column:
-    """z of `score` against the own line's controls in the chunk; fewer than two: the chunk's controls; no spread: the chunk's, then 1."""
+    """z of `score` against the own line's controls in the chunk; fewer than two: the chunk's controls; no spread: the chunk's, then 1.
+
+    As windows, for chunks of moderate size; relative_to_controls gives the same by aggregates."""
     line, chunk = Window.partitionBy("chunk_id", "cell_line"), Window.partitionBy("chunk_id")
     ctrl = F.when(F.col("is_control"), F.col(score))
     own = F.count(ctrl).over(line) >= 2
@@ -87,11 +89,41 @@ def control_relative_z(df: DataFrame, score: str) -> Column:
     return (F.col(score) - mu) / sd
 
 
+def _control_stats(df: DataFrame, scores: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(by chunk and line, by chunk): count, mean and spread of each score over controls (c_) and over all (a_). Partial aggregates, so a line may have nearly all rows."""
+    ctrl = lambda c: F.when(F.col("is_control"), F.col(c))
+    stats = [f(v).alias(f"{p}{n}_{c}") for c in scores for p, v in (("c_", ctrl(c)), ("a_", F.col(c))) for n, f in (("n", F.count), ("mu", F.avg), ("sd", F.stddev_pop))]
+    return df.groupBy("chunk_id", "cell_line").agg(*stats), df.groupBy("chunk_id").agg(*(s.alias(f"g_{i}") for i, s in enumerate(stats)))
+
+
+def relative_to_controls(df: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """df with z (named by `scores`) of each score against the own line's controls in the chunk; fewer than two: the chunk's controls; no spread: the chunk's, then 1."""
+    line, chunk = _control_stats(df, list(scores))
+    names = [c for c in line.columns if c not in ("chunk_id", "cell_line")]
+    chunk = chunk.select("chunk_id", *(F.col(f"g_{i}").alias(f"g{n}") for i, n in enumerate(names)))
+    j = _with_stats(df, line, chunk)
+    out = {}
+    for c, z in scores.items():
+        g_mu, g_sd = (F.when(F.col(f"gc_n_{c}") >= 2, F.col(f"gc_{s}_{c}")).otherwise(F.col(f"ga_{s}_{c}")) for s in ("mu", "sd"))
+        own = F.col(f"c_n_{c}") >= 2
+        mu, sd = F.when(own, F.col(f"c_mu_{c}")).otherwise(g_mu), F.when(own, F.col(f"c_sd_{c}")).otherwise(g_sd)
+        out[z] = (F.col(c) - mu) / F.when(sd > 1e-8, sd).when(g_sd > 1e-8, g_sd).otherwise(1.0)
+    return j.withColumns(out).select(*(c for c in df.columns if c not in out), *out)
+
+
+def _with_stats(df: DataFrame, line: DataFrame, chunk: DataFrame | None = None) -> DataFrame:
+    """df with the columns of its line in its chunk, and of its chunk. A few rows a chunk: Spark broadcasts them, or deals a hot line's rows again."""
+    keys = ["chunk_id", "cell_line"]
+    both = line if chunk is None else line.join(chunk, "chunk_id")
+    null_safe = [df[k].eqNullSafe(both[k]) for k in keys]
+    return df.join(both, null_safe[0] & null_safe[1]).drop(*(both[k] for k in keys))
+
+
 def fate_labels(scores: DataFrame, cells: DataFrame, tau: float, baseline_safe: float = 2.0) -> DataFrame:
     """cell_id, y_safe, y_loss, y_death from somatic, pluripotency and apoptosis scores (safe, loss, death)."""
     df = cells.select("cell_id", "chunk_id", "cell_line", "is_control").join(scores, "cell_id")
-    z = df.select("cell_id", *(control_relative_z(df, c).alias(c) for c in ("safe", "loss", "death")))
-    y = softmax(F.lit(baseline_safe), F.col("loss") - F.col("safe"), F.col("death"), tau=tau)
+    z = relative_to_controls(df, {"safe": "zs", "loss": "zl", "death": "zd"})
+    y = softmax(F.lit(baseline_safe), F.col("zl") - F.col("zs"), F.col("zd"), tau=tau)
     return z.select("cell_id", *(p.alias(n) for p, n in zip(y, ("y_safe", "y_loss", "y_death"))))
 
 
@@ -102,14 +134,21 @@ def clock_predict(expr: DataFrame, cells: DataFrame, clock: DataFrame, intercept
 
 
 def control_baseline(value: str) -> Column:
-    """Mean of the controls of the line in the chunk; without controls, of the line."""
+    """Mean of the controls of the line in the chunk; without controls, of the line. As windows; with_baseline gives the same by an aggregate."""
     line = Window.partitionBy("chunk_id", "cell_line")
     return F.coalesce(F.avg(F.when(F.col("is_control"), F.col(value))).over(line), F.avg(value).over(line))
 
 
+def with_baseline(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with `out`: the mean of the controls of the line in the chunk; without controls, of the line."""
+    line = df.groupBy("chunk_id", "cell_line").agg(F.coalesce(F.avg(F.when(F.col("is_control"), F.col(value))), F.avg(value)).alias(out))
+    return _with_stats(df, line)
+
+
 def delta_age(ages: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell_id, chunk_id, cell_line, is_control, age, d_age: the age less that of the line's controls. Cells without an age are left out, a null line is a line."""
     df = cells.select("cell_id", "chunk_id", "cell_line", "is_control").join(ages, "cell_id")
-    return df.withColumn("d_age", F.col("age") - control_baseline("age"))
+    return with_baseline(df, "age", "base").withColumn("d_age", F.col("age") - F.col("base")).drop("base")
 
 
 def ols(by: list[str], df: DataFrame, x: str, y: str) -> DataFrame:
@@ -125,7 +164,7 @@ def deconfound(df: DataFrame, train: Column, x: str, y: str, mask: Column) -> Da
     """y less its fit on x over the training rows, recentred on the controls of masked rows; null elsewhere."""
     fit = ols([], df.filter(train & mask), x, y)
     masked = df.filter(mask).crossJoin(F.broadcast(fit)).withColumn("r", F.col(y) - (F.col("a") * F.col(x) + F.col("b")))
-    return masked.withColumn("y_age", F.col("r") - control_baseline("r")).drop("a", "b", "r")
+    return with_baseline(masked, "r", "base").withColumn("y_age", F.col("r") - F.col("base")).drop("a", "b", "r", "base")
 
 
 def fit_harmonizer(expr: DataFrame, cells: DataFrame, least_mean: float = 0.1) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import hard_label, sanitize_id
 from ..operators import expression as X, quality as Q
+from ..streaming.run import staged
 from . import domain as D
 from .domain import CTES, GENE_NUMBER, gene_number
 from .registry import query, rounded
@@ -59,32 +62,59 @@ def sets_table(genes: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFram
 
 
 class Build:
-    """The lazily built tables of one run."""
+    """The tables of one run; those that several steps read are written once to the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.cells = D.cells(spark, sf_dir)
-        self.expr = D.expr(spark, sf_dir)
+        self.spark, self.sf_dir = spark, sf_dir
         self.genes = D.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene")).distinct()
         self.clock = self.genes.select("gene", ((gene_number() % 7 - 3) / 10.0).alias("weight"))
         self.sets = sets_table(self.genes, SETS)
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return D.cells(self.spark, self.sf_dir)
+
+    @cached_property
+    def expr(self) -> DataFrame:
+        return staged(D.expr(self.spark, self.sf_dir), "expr")
+
     def qc(self) -> DataFrame:
         return Q.qc_metrics(self.expr, self.cells, F.col("gene").isin(MITO))
 
+    @cached_property
+    def _kept(self) -> DataFrame:
+        return staged(self.cells.join(Q.qc_filter(self.qc(), 2, 0.5), "cell_id", "left_semi"), "kept")
+
+    @cached_property
+    def _norm(self) -> DataFrame:
+        return staged(X.normalize_cp10k(self.expr.join(self.kept().select("cell_id"), "cell_id", "left_semi")), "norm")
+
+    @cached_property
+    def _scores(self) -> DataFrame:
+        return staged(X.pivot_scores(X.signature_scores(self.norm(), self.kept(), self.sets), list(SETS)), "scores")
+
     def kept(self) -> DataFrame:
-        return self.cells.join(Q.qc_filter(self.qc(), 2, 0.5), "cell_id", "left_semi")
+        return self._kept
 
     def norm(self) -> DataFrame:
-        return X.normalize_cp10k(self.expr.join(self.kept().select("cell_id"), "cell_id", "left_semi"))
+        return self._norm
 
     def scores(self) -> DataFrame:
-        return X.pivot_scores(X.signature_scores(self.norm(), self.kept(), self.sets), list(SETS))
+        return self._scores
+
+    @cached_property
+    def _cycle(self) -> DataFrame:
+        return staged(X.signature_scores(self.norm(), self.kept(), sets_table(self.genes, {"cycle": CYCLE})).select("cell_id", "score"), "cycle")
 
     def cycle(self) -> DataFrame:
-        return X.signature_scores(self.norm(), self.kept(), sets_table(self.genes, {"cycle": CYCLE})).select("cell_id", "score")
+        return self._cycle
+
+    @cached_property
+    def _ages(self) -> DataFrame:
+        return staged(X.clock_predict(self.norm(), self.kept(), self.clock, INTERCEPT), "ages")
 
     def ages(self) -> DataFrame:
-        return X.clock_predict(self.norm(), self.kept(), self.clock, INTERCEPT)
+        return self._ages
 
 
 @query("delta_age_by_line", D.sql("SELECT chunk_id, cell_line, count(*) AS n, round(avg(d_age), 6) + 0.0 AS mean_delta, round(min(d_age), 6) + 0.0 AS lo, round(max(d_age), 6) + 0.0 AS hi FROM deltas WHERE NOT is_control GROUP BY ALL"))
@@ -223,7 +253,7 @@ def cell_cycle_score(spark, sf_dir):
 def control_relative_z(spark, sf_dir):
     b = Build(spark, sf_dir)
     df = b.kept().select("cell_id", "chunk_id", "cell_line", "is_control").join(b.scores(), "cell_id")
-    return rounded(df.select("cell_id", *(X.control_relative_z(df, c).alias(a) for c, a in (("safe", "zs"), ("loss", "zl"), ("death", "zd")))))
+    return rounded(X.relative_to_controls(df, {"safe": "zs", "loss": "zl", "death": "zd"}).select("cell_id", "zs", "zl", "zd"))
 
 
 @query("fate_labels", D.sql("SELECT cell_id, round(y_safe, 6) AS y_safe, round(y_loss, 6) AS y_loss, round(y_death, 6) AS y_death FROM fate"))
@@ -247,7 +277,7 @@ def clock_predict(spark, sf_dir):
 def recenter(spark, sf_dir):
     b = Build(spark, sf_dir)
     df = b.kept().join(b.cycle(), "cell_id")
-    return rounded(df.select("cell_id", (F.col("score") - X.control_baseline("score")).alias("centred")))
+    return rounded(X.with_baseline(df, "score", "base").select("cell_id", (F.col("score") - F.col("base")).alias("centred")))
 
 
 @query("ols_by_line", D.sql("SELECT cell_line, round(CASE WHEN coalesce(var_pop(score), 0) < 1e-12 THEN 0 ELSE regr_slope(d_age, score) END, 5) + 0.0 AS a, round(CASE WHEN coalesce(var_pop(score), 0) < 1e-12 THEN avg(d_age) ELSE regr_intercept(d_age, score) END, 5) + 0.0 AS b FROM deltas JOIN cyc USING (cell_id) GROUP BY 1"))

@@ -11,8 +11,8 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLES).parquet(path)
 
 
-def write_samples(df: DataFrame, path: str, by: str = "chunk_id") -> None:
-    """zstd Parquet, one folder a chunk; only the chunks in df are replaced, each as a whole. An empty table is an error."""
+def write_samples(df: DataFrame, path: str, by: str | list[str] = "chunk_id") -> None:
+    """zstd Parquet, one folder a chunk (or what `by` names); only the folders that df has rows for are replaced, each as a whole. An empty table is an error."""
     if df.isEmpty():
         raise ValueError("no samples to write")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(path)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scoring import ScoreParams, efficacy
 from ..sources.samples import write_samples
@@ -14,32 +12,50 @@ from ..sources.samples import write_samples
 ERROR_LENGTH = 500
 
 
+LEDGER = "chunk_id string, batch long, status string, n long, error string, ts timestamp"
+
+
 def pending(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
     """Chunks whose latest ledger row is not `done`."""
-    last = ledger.withColumn("r", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("ts")))).filter("r = 1 AND status = 'done'")
-    return chunks.join(last, "chunk_id", "left_anti")
+    latest = ledger.groupBy("chunk_id").agg(F.max_by("status", "ts").alias("status")).filter("status = 'done'")
+    return chunks.join(latest, "chunk_id", "left_anti")
+
+
+def ledger_rows(spark: SparkSession, chunk_ids: list, status: str, n: int = 0, error: str | None = None, batch: int | None = None) -> DataFrame:
+    rows = [(str(c), batch, status, n, error[:ERROR_LENGTH] if error else None) for c in chunk_ids]
+    return spark.createDataFrame(rows, "chunk_id string, batch long, status string, n long, error string").withColumn("ts", F.current_timestamp())
 
 
-def ledger_rows(spark: SparkSession, chunk_ids: list, status: str, n: int = 0, error: str | None = None) -> DataFrame:
-    rows = [(str(c), status, n, error[:ERROR_LENGTH] if error else None) for c in chunk_ids]
-    return spark.createDataFrame(rows, "chunk_id string, status string, n long, error string").withColumn("ts", F.current_timestamp())
+def clear(spark: SparkSession, ledger: str, chunk_ids: list, batch: int | None = None) -> None:
+    """Marks chunks as not done, so that the next run of their batch takes them again; of one batch, or of all that the ledger has."""
+    wanted = F.col("chunk_id").isin([str(c) for c in chunk_ids])
+    known = spark.read.schema(LEDGER).parquet(ledger).filter(wanted if batch is None else wanted & (F.col("batch") == batch))
+    rows = known.select("chunk_id", "batch").distinct().select("chunk_id", "batch", F.lit("cleared").alias("status"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("ts"))
+    rows.write.mode("append").parquet(ledger)
 
 
 def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, ledger: str, checkpoint: str):
-    """New chunk files to samples: each batch replaces its chunks as a whole, so a batch that runs again leaves the same table. Failures are recorded and raised."""
+    """New chunk files to samples, in folders of chunk and batch, so that a chunk may come in several deliveries and none replaces another.
 
-    def step(batch: DataFrame, _: int) -> None:
+    A batch that runs again replaces its own folders only, and skips the chunks that the ledger has as done in it. Failures are recorded and
+    raised: the batch is taken again when the stream is started anew. A reader of `out` gets the chunks with an extra column, batch.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        ids = [r[0] for r in batch.select("chunk_id").distinct().collect()]  # the chunks of one batch
+        seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("batch") == number)
+        todo = pending(batch.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), seen)
+        ids = [r[0] for r in todo.collect()]  # the chunks of one batch
         if not ids:
             return
         try:
-            write_samples(transform(batch), out)
+            write_samples(transform(batch.filter(F.col("chunk_id").cast("string").isin(ids))).withColumn("batch", F.lit(number)), out, ["chunk_id", "batch"])
         except Exception as e:
-            ledger_rows(spark, ids, "failed", error=str(e)).write.mode("append").parquet(ledger)
+            ledger_rows(spark, ids, "failed", error=str(e), batch=number).write.mode("append").parquet(ledger)
             raise
-        ledger_rows(spark, ids, "done", n=len(ids)).write.mode("append").parquet(ledger)
+        ledger_rows(spark, ids, "done", n=len(ids), batch=number).write.mode("append").parquet(ledger)
 
+    stream.sparkSession.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # so that the first batch finds a ledger
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -62,17 +78,8 @@ def running_rates(stream: DataFrame, window: str = "1 day", late: str = "2 days"
 
 
 def running_baseline(stream: DataFrame) -> DataFrame:
-    """cell_line, n, mean of the controls seen so far, after each batch. State is a count and a sum a line. stream: cell_line, value."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for pdf in batches:
-            n, total = n + len(pdf), total + float(pdf.value.sum())
-        state.update((n, total))
-        yield pd.DataFrame({"cell_line": [key[0]], "n": [n], "mean": [total / max(n, 1)]})
-
-    kind = stream.schema["cell_line"].dataType.simpleString()
-    return stream.groupBy("cell_line").applyInPandasWithState(update, f"cell_line {kind}, n long, mean double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+    """cell_line, n, mean of the controls seen so far; in update mode, of the lines that a batch touches. stream: cell_line, value."""
+    return stream.groupBy("cell_line").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
 def suppress_duplicates(stream: DataFrame, key: str = "cell_id", ts: str = "ts", late: str = "2 days") -> DataFrame:
