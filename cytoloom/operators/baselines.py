@@ -50,6 +50,26 @@ def logistic(train: DataFrame, cols: list[str], y: str, weight: str | None = Non
     return lambda df: model.transform(df).withColumn("probs", vector_to_array("probability")).drop("__raw", "features", "rawPrediction", "probability", "prediction")
 
 
+#: what an estimator may see: the state, the perturbation, or both
+VIEWS = {"x_only": ["z0", "z1"], "u_only": ["z2", "sigma_age"], "all": ["z0", "z1", "z2", "sigma_age"]}
+
+
+def view(train: DataFrame, cols: list[str], y: str = "y", age: str = "y_age", mask: str = "age_mask") -> Callable[[DataFrame], DataFrame]:
+    """Logistic and ridge regression on a view's columns: gives p0.. and mu_age in place of those of the rows. A single class or no age leaves its share, or the mean."""
+    shares = train.agg(F.count_distinct(y).alias("k"), F.max(y).alias("top"), F.count_if(mask).alias("ages"), F.avg(F.when(F.col(mask), F.col(age))).alias("mean")).first()
+    fate = logistic(train.select(*cols, y), cols, y) if shares["k"] > 1 else None
+    years = ridge(train.filter(mask).select(*cols, age), cols, age, out="__age") if shares["ages"] > 1 else None
+    n = (shares["top"] or 0) + 1
+
+    def predict(df: DataFrame) -> DataFrame:
+        bare = df.drop("mu_age", "probs", *(f"p{i}" for i in range(n)))
+        out = fate(bare) if fate else bare.withColumn("probs", F.array(*(F.lit(float(i == n - 1)) for i in range(n))))
+        out = years(out) if years else out.withColumn("__age", F.lit(shares["mean"] or 0.0))
+        return out.withColumns({"mu_age": F.col("__age"), **{f"p{i}": F.get("probs", F.lit(i)) for i in range(n)}}).drop("__age", "probs")
+
+    return predict
+
+
 def trees(train: DataFrame, cols: list[str], y: str, kind: str = "boosted") -> Callable[[DataFrame], DataFrame]:
     fit = GBTRegressor(labelCol=y, maxIter=10, maxDepth=3, seed=1) if kind == "boosted" else RandomForestRegressor(labelCol=y, numTrees=20, maxDepth=5, seed=1)
     model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), fit]).fit(train)

@@ -216,3 +216,8 @@ def embedding_project(expr: DataFrame, vectors: DataFrame) -> DataFrame:
     """cell_id, dim, value: expression-weighted sums of gene vectors (gene, vec)."""
     long = vectors.select("gene", F.posexplode("vec").alias("dim", "e"))
     return expr.join(F.broadcast(long), "gene").groupBy("cell_id", "dim").agg(F.sum(F.col("value") * F.col("e")).alias("value"))
+
+
+def age_valid(source: Column, masked: list) -> Column:
+    """Whether a row's age counts: its source is not one whose ages mean nothing (as of cancer lines). An unknown source counts."""
+    return ~F.coalesce(source.isin(masked), F.lit(False))

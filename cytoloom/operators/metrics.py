@@ -137,13 +137,32 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def mean_distance(a: DataFrame, b: DataFrame, by: list[str], block: int = 1024) -> DataFrame:
+    """by, d: the mean Euclidean distance of all pairs of a group, self-pairs included. a: by, v; b: by, v.
+
+    Groups are dealt to blocks of about `block` rows on either side, by their rows' hash; each block is a task's sum, so neither side is broadcast and a hot group is
+    many tasks. Costs rows times rows of a group: cap_per_sample first where groups are very large.
+    """
+    n = lambda d, c: d.groupBy(*by).agg(F.count("*").alias(c))
+    sizes = n(a, "na").join(n(b, "nb"), by)
+    deal = lambda d, own, other: d.join(sizes, by).select(
+        *by, "v", F.pmod(F.xxhash64("v"), F.ceil(F.col(own) / block)).cast("int").alias("b" + own), F.explode(F.sequence(F.lit(0), F.ceil(F.col(other) / block).cast("int") - 1)).alias("b" + other)
+    )
+    left, right = deal(a, "na", "nb"), deal(b, "nb", "na").withColumnRenamed("v", "w")
+    sums = left.join(right, [*by, "bna", "bnb"]).groupBy(*by).agg(F.sum(euclidean(F.col("v"), F.col("w"))).alias("s"))
+    return sums.join(sizes, by).select(*by, (F.col("s") / (F.col("na").cast("double") * F.col("nb"))).alias("d"))
+
+
 def energy_to_control(df: DataFrame, group: str, vec: str, control: Column) -> DataFrame:
-    """Energy distance of each group to the controls, self-pairs included, at least 0. Cap the rows of each group first: pairs are formed."""
-    ctrl = df.filter(control).select(F.col(vec).alias("v2"))
-    rest = df.filter(~control).select(group, F.col(vec).alias("v1"))
-    cross_ = rest.crossJoin(F.broadcast(ctrl)).groupBy(group).agg(F.avg(euclidean(F.col("v1"), F.col("v2"))).alias("ab"))
-    own = rest.join(rest.select(group, F.col("v1").alias("v2")), group).groupBy(group).agg(F.avg(euclidean(F.col("v1"), F.col("v2"))).alias("aa"))
-    bb = ctrl.crossJoin(F.broadcast(ctrl.select(F.col("v2").alias("v1")))).agg(F.avg(euclidean(F.col("v1"), F.col("v2"))).alias("bb"))
+    """Energy distance of each group to the controls, self-pairs included, at least 0."""
+    ctrl = df.filter(control).select(F.col(vec).alias("v"))
+    rest = df.filter(~control).select(group, F.col(vec).alias("v"))
+    groups = rest.select(group).distinct()
+    facing = ctrl.crossJoin(groups)  # groups are few; the controls are repeated once a group
+    cross_ = mean_distance(rest, facing, [group]).withColumnRenamed("d", "ab")
+    own = mean_distance(rest, rest, [group]).withColumnRenamed("d", "aa")
+    one = ctrl.withColumn("all", F.lit(0))
+    bb = mean_distance(one, one, ["all"]).select(F.col("d").alias("bb"))
     return cross_.join(own, group).crossJoin(F.broadcast(bb)).select(group, F.greatest(2 * F.col("ab") - F.col("aa") - F.col("bb"), F.lit(0.0)).alias("e_distance"))
 
 

@@ -40,23 +40,37 @@ def jaccard_knn(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     return met.unionByName(fill).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
 
 
-def euclidean_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """query_id, ref_id, distance of the k nearest refs of the same key. Cap the refs of a key first."""
-    j = queries.join(refs, by)
+def euclidean_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], block: int = 1024) -> DataFrame:
+    """query_id, ref_id, distance of the k nearest refs of the same key, by ref_id on ties. queries: by, query_id, v; refs: by, ref_id, ref_v.
+
+    A key's rows meet in blocks of about `block` on either side, so a hot key is many tasks; each block keeps the k best refs of its queries, and only
+    these are ranked. All queries against all refs of a key is as many distances as that takes: state a smaller query set where a key has very many rows.
+    """
+    n = lambda d: F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(d)
+    sizes = queries.groupBy(*by).agg(n("nq")).join(refs.groupBy(*by).agg(n("nr")), by)
+    spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    q = queries.join(sizes, by).select(*by, "query_id", "v", spread("query_id", "nq").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("br"))
+    r = refs.join(sizes, by).select(*by, "ref_id", "ref_v", spread("ref_id", "nr").alias("br"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
     d = F.sqrt(F.aggregate(F.zip_with("v", "ref_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    ranked = j.select(*by, "query_id", "ref_id", d.alias("distance"))
-    return ranked.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))).filter(F.col("r") <= k).drop("r")
+    met = q.join(r, [*by, "bq", "br"]).select(*by, "query_id", "ref_id", d.alias("distance"))
+    # the limit on the rank is taken in each partition before rows of a query meet
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))).filter(F.col("r") <= k).drop("r")
 
 
 def fit_ood(train: DataFrame, col: str, ridge: float = 1e-3, q: float = 0.99) -> dict:
-    """Mean, inverse of covariance (n - 1) plus ridge, and the q-quantile of squared distances. The matrix has the features' size, whatever the rows do."""
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = train.select(col).rdd.map(lambda r: Old.dense(r[0]))
-    matrix = RowMatrix(rows)
-    mean = np.array(matrix.computeColumnSummaryStatistics().mean())
-    precision = np.linalg.inv(matrix.computeCovariance().toArray() + ridge * np.eye(len(mean)))
+    """Mean, inverse of covariance (n - 1) plus ridge, and the q-quantile of squared distances. The matrix has the features' size, whatever the rows do.
+
+    Sums of products are one aggregate over the pairs of dimensions.
+    """
+    width = F.size(col)
+    upper = F.flatten(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(F.sequence(i, width - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get(col, i).alias("x"), F.get(col, j).alias("y")))))
+    pairs = train.select(F.explode(upper).alias("e")).select("e.*").groupBy("i", "j").agg(F.avg("x").alias("mean"), F.covar_samp("x", "y").alias("c")).toPandas()
+    d = int(pairs.j.max()) + 1
+    covariance, mean = np.zeros((d, d)), np.zeros(d)
+    i, j = pairs.i.to_numpy(), pairs.j.to_numpy()
+    covariance[i, j] = covariance[j, i] = pairs.c.to_numpy()
+    mean[i] = pairs["mean"].to_numpy()
+    precision = np.linalg.inv(covariance + ridge * np.eye(d))
     model = {"mean": mean.tolist(), "precision": precision.tolist()}
     model["threshold"] = score_ood(train, col, model | {"threshold": 0.0}).agg(F.percentile("d2", F.lit(q)).alias("t")).first()["t"]
     return model

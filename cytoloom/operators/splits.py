@@ -170,3 +170,16 @@ def inner_lodo(rows: DataFrame, bulk: float = 0.5) -> DataFrame:
 def kfold(df: DataFrame, k: int, seed: int, by: list[str]) -> DataFrame:
     """fold of each row of a sample table, dealt within `by`."""
     return df.withColumn("fold_k", F.ntile(k).over(Window.partitionBy(*by).orderBy(shuffled(seed, "cell_id"), "cell_id")) - 1)
+
+
+def union_splits(*parts: DataFrame) -> DataFrame:
+    """Rows of several splits, each cell once, though a split be passed twice."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates(["cell_id"])
+
+
+def codes(rows: DataFrame, name: str) -> DataFrame:
+    """name, code: numbers of the distinct names in their order, from 0. Names are a dimension."""
+    return rows.select(name).distinct().withColumn("code", (F.row_number().over(Window.orderBy(name)) - 1).cast("int"))

@@ -87,7 +87,7 @@ def interval_report(df: DataFrame, by: list[str], level: float = 0.9) -> DataFra
 
 
 def pooled_ece(df: DataFrame, p: str, y: str, bins: int, trials: int, seed: int) -> DataFrame:
-    """ECE over all rows, and the median that it has where labels follow the probabilities (hash draws): ece, floor, excess. Null for n < 10.
+    """ECE over all rows, the median that it has where labels follow the probabilities (hash draws), and the share of draws below it: ece, floor, excess, pctile. Null for n < 10.
 
     Rows are repeated once a trial and reduced to bins at once.
     """
@@ -99,9 +99,11 @@ def pooled_ece(df: DataFrame, p: str, y: str, bins: int, trials: int, seed: int)
     hit = F.when(F.col("trial") == 0, F.col("y")).otherwise((unit_hash(str(seed), F.col("cell_id"), F.col("trial")) < F.col("p")).cast("double"))
     gaps = draws.groupBy("trial", "b").agg(F.abs(F.sum(hit) - F.sum("p")).alias("g"), F.count("*").alias("n"))
     each = gaps.groupBy("trial").agg((F.sum("g") / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
-    out = each.agg(F.max(F.when(F.col("trial") == 0, F.col("ece"))).alias("ece"), F.percentile(F.when(F.col("trial") > 0, F.col("ece")), F.lit(0.5)).alias("floor"), F.max("n").alias("n"))
+    drawn = F.when(F.col("trial") > 0, F.round("ece", 12))
+    out = each.agg(F.max(F.when(F.col("trial") == 0, F.col("ece"))).alias("ece"), F.percentile(F.when(F.col("trial") > 0, F.col("ece")), F.lit(0.5)).alias("floor"), F.collect_list(drawn).alias("draws"), F.max("n").alias("n"))
     few = F.col("n") < 10
-    return out.select(*(F.when(~few, c).alias(a) for c, a in ((F.col("ece"), "ece"), (F.col("floor"), "floor"), (F.col("ece") - F.col("floor"), "excess"))), "n")
+    below = F.size(F.filter("draws", lambda x: x < F.round("ece", 12))) / F.lit(float(trials))
+    return out.select(*(F.when(~few, c).alias(a) for c, a in ((F.col("ece"), "ece"), (F.col("floor"), "floor"), (F.col("ece") - F.col("floor"), "excess"), (below, "pctile"))), "n")
 
 
 def gates(metrics: DataFrame) -> DataFrame:

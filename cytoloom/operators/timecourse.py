@@ -58,11 +58,14 @@ def trajectory_shape(points: DataFrame, by: str = "donor") -> DataFrame:
     return out.select(by, "a", "b", "c", "t_curve", "r2", shape.alias("shape"))
 
 
-def rises(steps: DataFrame, step: str = "day", value: str = "value") -> DataFrame:
-    """Whether the mean falls overall, and whether it rises more in the last third than in the first. One row a step: few rows."""
-    g = steps.groupBy(step).agg(F.avg(value).alias("m"))
-    arr = F.transform(F.array_sort(F.collect_list(F.struct(step, "m"))), lambda x: x["m"])
-    one = g.agg(arr.alias("m")).withColumn("k", F.greatest(F.lit(1), F.floor(F.size("m") / 3)).cast("int"))
-    at = lambda i: F.get("m", i)
-    last = F.size("m") - 1
-    return one.select((at(last) < at(F.lit(0))).alias("falls"), (at(last) - at(last - F.col("k"))).alias("late"), (at(F.col("k")) - at(F.lit(0))).alias("early")).withColumn("late_rise", F.col("late") >= F.col("early"))
+def rises(steps: DataFrame, step: str = "day", value: str = "value", loss: str | None = None) -> DataFrame:
+    """falls: whether the mean age (value) ends lower than it began; early, late: how much the mean identity loss rises over the first and the last third of the steps;
+    late_rise: late is at least early. Without `loss` the value serves for both. A course with no more steps than a third has rises of 0. One row a step: few rows."""
+    g = steps.groupBy(step).agg(F.avg(value).alias("m"), F.avg(loss or value).alias("p"))
+    arr = F.array_sort(F.collect_list(F.struct(step, "m", "p")))
+    one = g.agg(arr.alias("s")).withColumn("k", F.greatest(F.lit(1), F.floor(F.size("s") / 3)).cast("int"))
+    at = lambda i, c: F.get("s", i)[c]
+    last = F.size("s") - 1
+    rise = lambda hi, lo: F.when(F.size("s") > F.col("k"), at(hi, "p") - at(lo, "p")).otherwise(0.0)
+    out = one.select(F.when(F.size("s") > 1, at(last, "m") < at(F.lit(0), "m")).otherwise(F.lit(False)).alias("falls"), rise(last, last - F.col("k")).alias("late"), rise(F.col("k"), F.lit(0)).alias("early"))
+    return out.withColumn("late_rise", F.col("late") >= F.col("early"))

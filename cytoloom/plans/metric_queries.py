@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import entropy
-from ..operators import metrics as M
+from ..operators import evaluation as V, metrics as M
+from ..streaming.run import staged
 from . import domain as D
 from .domain import CTES
 from .registry import query, rounded
@@ -95,15 +96,16 @@ def spearman(spark, sf_dir):
 
 @query("des", D.sql("""SELECT pert_id, round(count(*) FILTER (a AND b) / count(*)::DOUBLE, 6) AS jaccard FROM (SELECT pert_id, gene, bool_or(src = 0) AS a, bool_or(src = 1) AS b FROM (
   SELECT 0 AS src, pert_id, gene FROM top_odd UNION ALL SELECT 1, pert_id, gene FROM top_even) GROUP BY ALL) GROUP BY 1""",
-  **{f"top_{n}": f"SELECT pert_id, gene FROM (SELECT pert_id, gene, row_number() OVER (PARTITION BY pert_id ORDER BY round(sum(value) / any_value(n), 9) DESC, gene) AS r FROM expr JOIN cells USING (cell_id) JOIN (SELECT pert_id, count(*) AS n FROM cells WHERE cell_id % 2 = {k} GROUP BY 1) USING (pert_id) WHERE cell_id % 2 = {k} GROUP BY pert_id, gene) WHERE r <= 5" for n, k in (("odd", 1), ("even", 0))}))
+  cmean="SELECT gene, coalesce(sum(value) FILTER (is_control), 0) / (SELECT count(*) FROM cells WHERE is_control) AS c FROM expr JOIN cells USING (cell_id) GROUP BY 1",
+  **{f"top_{n}": f"SELECT pert_id, gene FROM (SELECT pert_id, gene, row_number() OVER (PARTITION BY pert_id ORDER BY round((coalesce(d, 0) + (n - coalesce(k, 0)) * c) / n, 9) DESC, gene) AS r, count(*) OVER (PARTITION BY pert_id) AS g FROM (SELECT pert_id, count(*) AS n FROM cells WHERE NOT is_control AND cell_id % 2 = {k} GROUP BY 1) CROSS JOIN cmean LEFT JOIN (SELECT pert_id, gene, sum(abs(value - c)) AS d, count(*) AS k FROM expr JOIN cells USING (cell_id) JOIN cmean USING (gene) WHERE NOT is_control AND cell_id % 2 = {k} GROUP BY ALL) USING (pert_id, gene)) WHERE r <= greatest(1, floor(g * 0.1))" for n, k in (("odd", 1), ("even", 0))}))
 def des(spark, sf_dir):
-    cells, expr = D.cells(spark, sf_dir), D.expr(spark, sf_dir)
+    """The genes that move most from the controls, in two halves of a perturbation's cells."""
+    cells, expr = D.cells(spark, sf_dir), staged(D.expr(spark, sf_dir), "expr")
+    treated = cells.filter("NOT is_control").select("cell_id", "pert_id")
 
     def top(k: int):
-        c = cells.filter(F.col("cell_id") % 2 == k)
-        n = c.groupBy("pert_id").agg(F.count("*").alias("n"))
-        m = expr.join(c.select("cell_id", "pert_id"), "cell_id").groupBy("pert_id", "gene").agg(F.sum("value").alias("s")).join(F.broadcast(n), "pert_id")
-        return M.top_share(m.withColumn("shift", F.round(F.col("s") / F.col("n"), 9)), ["pert_id"], "gene", "shift", 0.2).select("pert_id", "gene")
+        shift = V.mean_shift(expr, treated.filter(F.col("cell_id") % 2 == k), "pert_id", cells.filter("is_control"))
+        return M.top_share(shift.withColumn("shift", F.round("shift", 9)), ["pert_id"], "gene", "shift", 0.1).select("pert_id", "gene")
 
     return rounded(M.jaccard(top(1), top(0), ["pert_id"], "gene"))
 

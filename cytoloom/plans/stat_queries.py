@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_corr
-from ..operators import metrics as M, statistics as S, timecourse as T
+from ..operators import evaluation as V, expression as X, metrics as M, statistics as S, timecourse as T
 from . import domain as D
+from .build_queries import Build
 from .domain import CTES
 from .registry import query, rounded
 
@@ -70,9 +71,9 @@ def interval_report(spark, sf_dir):
     return rounded(S.interval_report(df.select("fold", (F.col("mu_age") - s).alias("low"), (F.col("mu_age") + s).alias("high"), F.col("y_age").alias("true")), ["fold"]))
 
 
-@query("pooled_ece", D.sql("""SELECT round(max(e) FILTER (trial = 0), 6) AS ece, round(median(e) FILTER (trial > 0), 6) AS floor, round(max(e) FILTER (trial = 0) - median(e) FILTER (trial > 0), 6) AS excess, max(n)::BIGINT AS n FROM (
+@query("pooled_ece", D.sql("""SELECT round(max(e) FILTER (trial = 0), 6) AS ece, round(median(e) FILTER (trial > 0), 6) AS floor, round(max(e) FILTER (trial = 0) - median(e) FILTER (trial > 0), 6) AS excess, (SELECT count(*) / 20.0::DOUBLE FROM each WHERE trial > 0 AND round(e, 12) < (SELECT round(e, 12) FROM each WHERE trial = 0)) AS pctile, max(n)::BIGINT AS n FROM each""", each="""
   SELECT trial, sum(g) / sum(n) AS e, sum(n) AS n FROM (SELECT trial, b, abs(sum(CASE WHEN trial = 0 THEN (y = 0)::INT WHEN ('0x' || substr(md5('3|' || cell_id || '|' || trial), 1, 8))::UBIGINT / 4294967296.0 < p0 THEN 1 ELSE 0 END) - sum(p0)) AS g, count(*) AS n
-  FROM (SELECT *, least(floor(p0 * 10), 9) AS b FROM probs), (SELECT unnest(range(21)) AS trial) GROUP BY trial, b) GROUP BY trial)"""))
+  FROM (SELECT *, least(floor(p0 * 10), 9) AS b FROM probs), (SELECT unnest(range(21)) AS trial) GROUP BY trial, b) GROUP BY trial"""))
 def pooled_ece(spark, sf_dir):
     df = D.probs(spark, sf_dir).withColumn("safe", (F.col("y") == 0).cast("int"))
     return rounded(S.pooled_ece(df, "p0", "safe", 10, 20, 3))
@@ -116,11 +117,11 @@ def matched_pairs(spark, sf_dir):
     return rounded(T.matched_pairs(D.course(spark, sf_dir).withColumn("batch", F.col("row_id") % 2), ["donor", "day"], "batch", 0, 1))
 
 
-@query("batch_offset", D.sql("SELECT count(*) AS n, round(avg(o), 6) + 0.0 AS mean_offset, CASE WHEN count(*) = 0 THEN 'NOT_ESTIMABLE' WHEN count(*) < 3 THEN 'INDETERMINATE' ELSE 'ESTIMATED' END AS status FROM (SELECT max(value) FILTER (b = 1) - max(value) FILTER (b = 0) AS o FROM (SELECT *, row_id % 2 AS b FROM course) GROUP BY donor, day HAVING count(*) FILTER (b = 0) = 1 AND count(*) FILTER (b = 1) = 1)"))
+@query("batch_offset", D.sql("""SELECT n, CASE WHEN n >= 3 THEN round(m, 6) + 0.0 END AS mean_offset, CASE WHEN n >= 3 THEN round(m - h, 6) + 0.0 END AS ci_low, CASE WHEN n >= 3 THEN round(m + h, 6) + 0.0 END AS ci_high, CASE WHEN n = 0 THEN 'NOT_ESTIMABLE' WHEN n < 3 THEN 'INDETERMINATE' WHEN m - h > 0 OR m + h < 0 THEN 'BATCH_EFFECT' ELSE 'NO_BATCH_EFFECT' END AS status FROM (
+  SELECT count(*) AS n, avg(o) AS m, stddev_samp(o) / sqrt(count(*)) * CASE count(*) - 1 WHEN 2 THEN 4.303 WHEN 3 THEN 3.182 WHEN 4 THEN 2.776 WHEN 5 THEN 2.571 WHEN 6 THEN 2.447 ELSE 1.96 END AS h
+  FROM (SELECT max(value) FILTER (b = 1) - max(value) FILTER (b = 0) AS o FROM (SELECT *, row_id % 2 AS b FROM course) GROUP BY donor, day HAVING count(*) FILTER (b = 0) = 1 AND count(*) FILTER (b = 1) = 1))"""))
 def batch_offset(spark, sf_dir):
-    p = T.matched_pairs(D.course(spark, sf_dir).withColumn("batch", F.col("row_id") % 2), ["donor", "day"], "batch", 0, 1)
-    n = F.count("*")
-    return rounded(p.agg(n.alias("n"), F.avg("offset").alias("mean_offset"), F.when(n == 0, "NOT_ESTIMABLE").when(n < 3, "INDETERMINATE").otherwise("ESTIMATED").alias("status")))
+    return rounded(V.batch_offset(T.matched_pairs(D.course(spark, sf_dir).withColumn("batch", F.col("row_id") % 2), ["donor", "day"], "batch", 0, 1)))
 
 
 @query("nearest_reference", D.sql("SELECT donor, row_id, t, ref_id, t_ref, ref_value FROM (SELECT r.donor, r.row_id, r.day AS t, f.row_id AS ref_id, f.day AS t_ref, f.value AS ref_value, row_number() OVER (PARTITION BY r.row_id ORDER BY abs(r.day - f.day), f.row_id) AS k FROM course r JOIN course f USING (donor) WHERE r.row_id % 10 <> 0 AND f.row_id % 10 = 0) WHERE k = 1"))
@@ -130,35 +131,60 @@ def nearest_reference(spark, sf_dir):
     return T.nearest(c.filter("row_id % 10 <> 0").select("donor", "row_id", F.col("day").alias("t")), refs)
 
 
-@query("level_correction", D.sql("SELECT round(avg(abs(e)), 6) AS mae_before, round(avg(abs(e - o)), 6) AS mae_after FROM (SELECT fold, mu_age - y_age AS e FROM preds WHERE age_mask AND cell_id % 20 <> 1) JOIN (SELECT fold, median(mu_age - y_age) AS o FROM preds WHERE age_mask AND cell_id % 20 = 1 GROUP BY 1) USING (fold)"))
+@query("level_correction", D.sql("""SELECT c.fold, k::INT AS k, round(avg(sc_shift), 5) AS sc_shift, round(avg(sc_mae), 6) AS sc_mae, round(avg(mt_shift), 5) AS mt_shift, round(avg(mt_mae), 6) AS mt_mae, round(any_value(base_shift), 6) AS base_shift, round(any_value(base_mae), 6) AS base_mae FROM (
+    SELECT fold, k, repeat, abs(median(mu_age - o) - median(y_age)) AS sc_shift, avg(abs(mu_age - o - y_age)) AS sc_mae, abs(median(mu_age - near) - median(y_age)) AS mt_shift, avg(abs(mu_age - near - y_age)) AS mt_mae
+    FROM (SELECT w.fold, w.repeat, k, w.mu_age, w.y_age, o, list_sort(list_transform(refs, lambda x: {'gap': abs(x.t - w.t), 'id': x.cell_id, 'e': x.e}))[1].e AS near FROM walk w
+      JOIN (SELECT fold, repeat, k, median(mu_age - y_age) AS o, list({'cell_id': cell_id, 't': t, 'e': mu_age - y_age}) AS refs FROM walk, (SELECT unnest([1, 3, 5]) AS k) WHERE r <= k GROUP BY ALL) USING (fold, repeat) WHERE w.r > k) GROUP BY ALL) c
+  JOIN (SELECT fold, abs(median(mu_age) - median(y_age)) AS base_shift, avg(abs(mu_age - y_age)) AS base_mae, count(*) AS n FROM timed GROUP BY 1) USING (fold) WHERE n - k >= 3 GROUP BY c.fold, k""",
+  timed="SELECT p.*, c.time_h AS t FROM preds p JOIN cells c USING (cell_id) WHERE age_mask",
+  walk="SELECT *, row_number() OVER (PARTITION BY fold, repeat ORDER BY ('0x' || substr(md5('5|' || repeat || '|' || cell_id), 1, 8))::UBIGINT, cell_id) AS r FROM timed, (SELECT unnest(range(3)) AS repeat)"))
 def level_correction(spark, sf_dir):
-    df = D.preds(spark, sf_dir).filter("age_mask").withColumn("e", F.col("mu_age") - F.col("y_age"))
-    offset = df.filter("cell_id % 20 = 1").groupBy("fold").agg(F.percentile("e", F.lit(0.5)).alias("o"))
-    return rounded(df.filter("cell_id % 20 <> 1").join(F.broadcast(offset), "fold").agg(F.avg(F.abs("e")).alias("mae_before"), F.avg(F.abs(F.col("e") - F.col("o"))).alias("mae_after")))
+    """k references of each fold, three draws: a scalar offset, and that of the reference nearest in time."""
+    df = D.preds(spark, sf_dir).filter("age_mask").join(D.cells(spark, sf_dir).select("cell_id", F.col("time_h").alias("t")), "cell_id")
+    out = V.level_correction(df, [1, 3, 5], 3, 5)
+    return rounded(out.withColumns({c: F.round(c, 5) for c in ("sc_shift", "mt_shift")}))
 
 
-@query("trajectory_shape")
+@query("trajectory_shape", D.sql("""SELECT donor, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, round(c / nullif(se, 0), 4) + 0.0 AS t_curve, round(1 - sse / nullif(sst, 0), 6) AS r2, CASE WHEN abs(c / nullif(se, 0)) < 2 THEN CASE WHEN abs(b) > 2 * sqrt(sse / (n - 3) / n) THEN 'monotonic' ELSE 'none' END WHEN c < 0 THEN 'HUMP' ELSE 'U' END AS shape FROM (
+  SELECT *, sqrt(sse / (n - 3) * n * n / det) AS se FROM (SELECT *, greatest(yy - a * y0 - b * y1 - c * y2, 0) AS sse, yy - y0 * y0 / n AS sst FROM (SELECT *, (y1 - c * s3) / n AS b, y0 / n - c AS a FROM (SELECT *, (n * n * y2 - n * s3 * y1 - n * n * y0) / det AS c FROM (
+    SELECT *, n * (n * s4 - s3 * s3) - power(n, 3) AS det FROM (SELECT donor, count(*)::DOUBLE AS n, sum(power(z, 3)) AS s3, sum(power(z, 4)) AS s4, sum(value) AS y0, sum(value * z) AS y1, sum(value * z * z) AS y2, sum(value * value) AS yy
+      FROM (SELECT *, (t - avg(t) OVER (PARTITION BY donor)) / nullif(stddev_pop(t) OVER (PARTITION BY donor), 0) AS z FROM points) WHERE z IS NOT NULL GROUP BY 1)) WHERE n >= 4 AND abs(det) > 1e-6))))"""))
 def trajectory_shape(spark, sf_dir):
-    return rounded(T.trajectory_shape(T.timepoints(D.course(spark, sf_dir).withColumnRenamed("day", "t"), 3, 2)))
+    return rounded(T.trajectory_shape(T.timepoints(D.course(spark, sf_dir).withColumnRenamed("day", "t"), 3, 2)).withColumn("t_curve", F.round("t_curve", 4)))
 
 
-@query("timecourse_rises", D.sql("SELECT m[len(m)] < m[1] AS falls, round(m[len(m)] - m[len(m) - k], 6) + 0.0 AS late, round(m[1 + k] - m[1], 6) + 0.0 AS early, m[len(m)] - m[len(m) - k] >= m[1 + k] - m[1] AS late_rise FROM (SELECT list(m ORDER BY day) AS m, greatest(1, count(*) // 3) AS k FROM (SELECT day, avg(value) AS m FROM course GROUP BY 1))"))
+@query("timecourse_rises", D.sql("SELECT m[len(m)] < m[1] AS falls, round(p[len(p)] - p[len(p) - k], 6) + 0.0 AS late, round(p[1 + k] - p[1], 6) + 0.0 AS early, p[len(p)] - p[len(p) - k] >= p[1 + k] - p[1] AS late_rise FROM (SELECT list(m ORDER BY day) AS m, list(p ORDER BY day) AS p, greatest(1, count(*) // 3) AS k FROM (SELECT day, avg(value) AS m, avg((row_id % 10) / 10.0::DOUBLE) AS p FROM course GROUP BY 1))"))
 def timecourse_rises(spark, sf_dir):
-    return rounded(T.rises(D.course(spark, sf_dir)))
+    """Falls are of the age (value), rises of the identity loss."""
+    return rounded(T.rises(D.course(spark, sf_dir).withColumn("loss", F.col("row_id") % 10 / 10.0), loss="loss"))
 
 
-@query("delta_by_grouping_sets", D.sql("SELECT coalesce(chunk_id, -1) AS chunk_id, coalesce(cell_line, -1) AS cell_line, coalesce(is_control::INT, -1) AS is_control, count(*) AS n, round(avg(dose_um), 6) AS mean_dose FROM (SELECT chunk_id, cell_line, is_control, dose_um FROM cells) GROUP BY GROUPING SETS ((cell_line, is_control), (chunk_id, cell_line), (chunk_id), ())"))
+@query("delta_by_grouping_sets", D.sql("SELECT coalesce(chunk_id, -1) AS chunk_id, coalesce(cell_line, -1) AS cell_line, coalesce(is_control::INT, -1) AS is_control, count(*) AS n, round(avg(d_age), 6) + 0.0 AS mean_delta FROM deltas GROUP BY GROUPING SETS ((cell_line, is_control), (chunk_id, cell_line), (chunk_id), ())"))
 def grouping_sets(spark, sf_dir):
-    c = D.cells(spark, sf_dir)
+    b = Build(spark, sf_dir)
+    d = X.delta_age(b.ages(), b.kept())
     keys = ["chunk_id", "cell_line", "is_control"]
     col = {k: F.col(k) for k in keys}
-    out = c.groupingSets([[col["cell_line"], col["is_control"]], [col["chunk_id"], col["cell_line"]], [col["chunk_id"]], []], *keys).agg(F.count("*").alias("n"), F.avg("dose_um").alias("mean_dose"))
+    out = d.groupingSets([[col["cell_line"], col["is_control"]], [col["chunk_id"], col["cell_line"]], [col["chunk_id"]], []], *keys).agg(F.count("*").alias("n"), F.avg("d_age").alias("mean_delta"))
     return rounded(out.withColumns({k: F.coalesce(F.col(k).cast("int"), F.lit(-1)) for k in keys}))
 
 
-@query("variance_share", D.sql("SELECT fold, round(var_samp(mu_age) / var_samp(y_age), 6) AS share, count(*) AS n FROM preds WHERE age_mask GROUP BY 1"))
+@query("control_gap", D.sql("SELECT round(abs(a - b), 6) + 0.0 AS gap, abs(a - b) < 3 AS passed FROM (SELECT avg(d_age) FILTER (chunk_id = 0) AS a, avg(d_age) FILTER (chunk_id = 1) AS b FROM deltas WHERE is_control)"))
+def control_gap(spark, sf_dir):
+    """How far the controls of two datasets are apart after the shift; within three years passes."""
+    b = Build(spark, sf_dir)
+    d = X.delta_age(b.ages(), b.kept()).filter("is_control")
+    mean = lambda c: F.avg(F.when(F.col("chunk_id") == c, F.col("d_age")))
+    return rounded(d.agg(F.abs(mean(0) - mean(1)).alias("gap")).withColumn("passed", F.col("gap") < 3))
+
+
+@query("variance_share", D.sql("""SELECT region, n, round(share, 6) AS share, round(lo, 6) AS share_low, round(hi, 6) AS share_high, round(sqrt(greatest(v - 4.0, 0)), 6) AS residual_sd, CASE WHEN hi - lo > 0.5 THEN 'INDETERMINATE' WHEN share >= 0.6 THEN 'BASELINE_DOMINATES' WHEN share < 0.3 THEN 'BASELINE_MINOR' ELSE 'INDETERMINATE' END AS status FROM (
+  SELECT region, n, v, least(4.0 / v, 1) AS share, least(4.0 / (v * 4 / 0.484), 1) AS lo, least(4.0 / (v * 4 / 11.143), 1) AS hi FROM (SELECT fold % 5 AS region, count(*) AS n, var_samp(o) AS v FROM (SELECT fold, median(mu_age) - median(y_age) + fold AS o FROM preds WHERE age_mask GROUP BY 1) GROUP BY 1))"""))
 def variance_share(spark, sf_dir):
-    return rounded(D.preds(spark, sf_dir).filter("age_mask").groupBy("fold").agg((F.var_samp("mu_age") / F.nullif(F.var_samp("y_age"), F.lit(0.0))).alias("share"), F.count("*").alias("n")))
+    """Five folds a region, their offsets against a clock whose error is two years."""
+    half = F.lit(0.5)
+    offsets = D.preds(spark, sf_dir).filter("age_mask").groupBy("fold").agg((F.percentile("mu_age", half) - F.percentile("y_age", half) + F.col("fold")).alias("offset"))
+    return rounded(V.variance_share(offsets.withColumn("region", F.col("fold") % 5), ["region"], 2.0))
 
 
 @query("external_agreement", D.sql("SELECT fold, round(corr(mu_age, y_age), 6) AS pearson, round(avg(mu_age - y_age), 6) + 0.0 AS bias, count(*) AS n FROM preds GROUP BY 1"))

@@ -32,6 +32,19 @@ def manifest(samples: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     return samples.select(*keys, F.col(chunk).alias("shard_id"), (F.row_number().over(Window.partitionBy(chunk).orderBy("cell_id")) - 1).cast("long").alias("row_idx"))
 
 
+def load_manifest(spark: SparkSession, samples: str, path: str) -> DataFrame:
+    """The manifest at `path`; where there is none, it is built from the samples and written first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    manifest(spark.read.parquet(samples)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_report(metrics: DataFrame, path: str) -> None:
     """Metric rows as JSON lines, one folder a regime."""
     metrics.write.mode("overwrite").partitionBy("regime").json(path)
