@@ -82,12 +82,17 @@ def apply_platt(df: DataFrame, slope: float, intercept: float, s: str = "p0", lo
 
 
 def temperature_grid(df: DataFrame, logits: list[str], y: str, grid: list[float]) -> DataFrame:
-    """t, nll of the logits divided by each temperature: one aggregate, rows repeated by the grid."""
-    wide = df.select(*logits, y).withColumn("t", F.explode(F.array(*map(F.lit, grid))))
-    z = [F.col(c) / F.col("t") for c in logits]
-    top = F.greatest(*z)
-    lse = top + F.ln(sum((F.exp(c - top) for c in z[1:]), F.exp(z[0] - top)))
-    return wide.groupBy("t").agg(F.avg(lse - F.element_at(F.array(*z), F.col(y) + 1)).alias("nll"))
+    """t, nll of the logits divided by each temperature: one aggregate a temperature, in one pass over the rows as they are."""
+    top = F.greatest(*(F.col(c) for c in logits))
+    own = F.element_at(F.array(*logits), F.col(y) + 1)
+
+    def nll(t: float) -> Column:
+        parts = [F.exp((F.col(c) - top) / t) for c in logits]
+        return F.avg((top - own) / t + F.ln(sum(parts[1:], parts[0])))
+
+    ts = list(dict.fromkeys(grid))
+    wide = df.agg(*(nll(t).alias(f"n{i}") for i, t in enumerate(ts)))
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"n{i}").alias("nll")) for i, t in enumerate(ts)))))
 
 
 def fit_temperature(df: DataFrame, logits: list[str], y: str, points: int = 25, rounds: int = 3) -> float:
@@ -95,7 +100,7 @@ def fit_temperature(df: DataFrame, logits: list[str], y: str, points: int = 25,
     low, high, best = math.log(0.01), math.log(100.0), (math.inf, 1.0)
     for _ in range(rounds):
         grid = [math.exp(low + (high - low) * i / (points - 1)) for i in range(points)] + [1.0]
-        got = sorted((r["nll"], r["t"]) for r in temperature_grid(df, logits, y, grid).collect())
+        got = sorted((r["nll"], r["t"]) for r in temperature_grid(df, logits, y, grid).collect() if r["nll"] is not None)
         best = min([best, *got]) if got else best
         step = (high - low) / (points - 1)
         low, high = max(math.log(0.01), math.log(best[1]) - step), min(math.log(100.0), math.log(best[1]) + step)

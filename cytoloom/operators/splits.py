@@ -107,14 +107,17 @@ def line_holdout_split(cells: DataFrame, fracs: list[float], seed: int, line, sh
     return cells.select("cell_id", F.when(test, "test").otherwise(drawn).alias("split"))
 
 
-REGIMES: dict[str, Callable[..., DataFrame]] = {"scaffold": scaffold_split, "cell_line": cell_line_split, "both": both_split, "random": random_split}
+REGIMES: dict[str, Callable[..., DataFrame]] = {"scaffold": scaffold_split, "cell_line": cell_line_split, "both": both_split, "random": random_split, "holdout": holdout_split, "line_holdout": line_holdout_split}
 
 
-def make_splits(cells: DataFrame, regimes: list[str], fracs: list[float], seed: int) -> DataFrame:
-    """regime, cell_id, split of all regimes at once; an unknown one is an error."""
+def make_splits(cells: DataFrame, regimes: list[str], fracs: list[float], seed: int, lines: list | None = None, line=None, share: float = 0.3) -> DataFrame:
+    """regime, cell_id, split of all regimes at once; an unknown one is an error. holdout needs `lines`, line_holdout a `line` and the share of it that is test."""
     if unknown := set(regimes) - set(REGIMES):
         raise ValueError(f"unknown regimes: {sorted(unknown)}")
-    parts = [REGIMES[r](cells, fracs, seed).select(F.lit(r).alias("regime"), "cell_id", "split") for r in regimes]
+    if ("holdout" in regimes and not lines) or ("line_holdout" in regimes and line is None):
+        raise ValueError("holdout needs lines, line_holdout a line")
+    more = {"holdout": (lines,), "line_holdout": (line, share)}
+    parts = [REGIMES[r](cells, fracs, seed, *more.get(r, ())).select(F.lit(r).alias("regime"), "cell_id", "split") for r in regimes]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

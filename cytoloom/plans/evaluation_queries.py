@@ -163,7 +163,7 @@ def embedding_features(spark, sf_dir):
     raw = raw.select("cell_id", *(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias(f"r{i}") for i, g in enumerate(genes)))
     parts = []
     for name, feats, cols in (("embedded", low, [f"e{i}" for i in range(4)]), ("raw", raw, [f"r{i}" for i in range(4)])):
-        df = ages.join(feats, "cell_id")
+        df = ages.join(feats, "cell_id", "left").na.fill(0.0, cols)
         out = B.ridge(df.filter("cell_id % 5 < 3"), cols, "age")(df.filter("cell_id % 5 >= 3"))
         parts.append(M.regression(out, [], "prediction", "age", F.lit(True)).withColumn("features", F.lit(name)))
     return rounded(M.union_all(*parts), 4)
@@ -341,6 +341,35 @@ def union_splits(spark, sf_dir):
     return SP.union_splits(*parts).groupBy("split").agg(F.count("*").alias("n"))
 
 
+_RULES = {
+    "x_empty": "len(X) = 0", "x_finite": "len(list_filter(X, lambda v: v IS NULL OR isnan(v) OR isinf(v))) > 0", "dose_time_size": "len(dose_time) <> 2", "y_cls_size": "len(y_cls) <> 3", "y_cls_negative": "len(list_filter(y_cls, lambda v: v < -1e-6)) > 0",
+    "y_cls_sum": "abs(list_sum(y_cls) - 1) > 1e-3", "age_mask": "age_mask <> (y_age IS NOT NULL)", "sig_scores_size": "len(sig_scores) <> 3", "modality": "u_modality NOT IN ('chem', 'genetic', 'tf')", "fingerprint": "(u_modality = 'chem') <> (u_chem_fp IS NOT NULL)",
+    "fingerprint_size": "u_chem_fp IS NOT NULL AND len(u_chem_fp) <> 2048", "fingerprint_bits": "len(list_filter(u_chem_fp, lambda b: b NOT IN (0, 1))) > 0", "gene_embedding": "u_modality = 'genetic' AND u_gene_emb IS NULL", "tf_embedding": "u_modality = 'tf' AND (u_tf_emb IS NULL OR len(u_tf_emb) <> 8)",
+    "scaffold": "u_modality = 'chem' AND (scaffold_id IS NULL OR scaffold_id = '')",
+}
+_SAMPLES = """SELECT cell_id, CASE WHEN cell_id % 13 = 0 THEN [] WHEN cell_id % 17 = 0 THEN ['nan'::DOUBLE] ELSE [z0, z1, z2] END AS X, CASE WHEN cell_id % 19 = 0 THEN [1.0] ELSE [1.0, 2.0] END AS dose_time,
+  CASE WHEN cell_id % 23 = 0 THEN [0.5, 0.1, 0.1] WHEN cell_id % 29 = 0 THEN [1.2, -0.2, 0.0] WHEN cell_id % 61 = 0 THEN [1.0] ELSE [p0, p1, p2] END AS y_cls, age_mask, CASE WHEN age_mask AND cell_id % 31 <> 0 THEN y_age END AS y_age, CASE WHEN cell_id % 37 = 0 THEN [0.0] ELSE [0.0, 0.0, 0.0] END AS sig_scores,
+  ['chem', 'tf', 'genetic', 'other'][cell_id % 4 + 1] AS u_modality, CASE WHEN cell_id % 4 = 0 AND cell_id % 41 <> 0 THEN CASE WHEN cell_id % 43 = 0 THEN [2, 2] ELSE list_transform(range(2048), lambda i: 0) END END AS u_chem_fp,
+  CASE WHEN cell_id % 4 = 2 AND cell_id % 47 <> 0 THEN [1.0] END AS u_gene_emb, CASE WHEN cell_id % 4 = 1 THEN CASE WHEN cell_id % 53 = 0 THEN [0.0] ELSE [0.0, 0, 0, 0, 0, 0, 0, 0] END END AS u_tf_emb, CASE WHEN cell_id % 59 = 0 THEN '' ELSE 'S' END AS scaffold_id FROM probs"""
+
+
+@query("validate_samples", D.sql(" UNION ALL ".join(f"SELECT cell_id, '{rule}' AS rule FROM sampled WHERE {broken}" for rule, broken in _RULES.items()), sampled=_SAMPLES))
+def validate_samples(spark, sf_dir):
+    """Samples of which some break each rule."""
+    from ..operators.quality import validate_samples as validate
+
+    every = lambda n: F.col("cell_id") % n == 0
+    arr = lambda *v: F.array(*(F.lit(float(x)) for x in v))
+    kind = F.col("cell_id") % 4
+    df = D.probs(spark, sf_dir).select(
+        "cell_id", F.when(every(13), F.array().cast("array<double>")).when(every(17), F.array(F.lit(float("nan")))).otherwise(F.array("z0", "z1", "z2")).alias("X"), F.when(every(19), arr(1)).otherwise(arr(1, 2)).alias("dose_time"),
+        F.when(every(23), arr(0.5, 0.1, 0.1)).when(every(29), arr(1.2, -0.2, 0)).when(every(61), arr(1)).otherwise(F.array(*PROBS)).alias("y_cls"), "age_mask", F.when(F.col("age_mask") & ~every(31), F.col("y_age")).alias("y_age"), F.when(every(37), arr(0)).otherwise(arr(0, 0, 0)).alias("sig_scores"),
+        F.get(F.array(*map(F.lit, ("chem", "tf", "genetic", "other"))), kind.cast("int")).alias("u_modality"), F.when((kind == 0) & ~every(41), F.when(every(43), F.array(F.lit(2), F.lit(2))).otherwise(F.array_repeat(F.lit(0), 2048))).alias("u_chem_fp"),
+        F.when((kind == 2) & ~every(47), arr(1)).alias("u_gene_emb"), F.when(kind == 1, F.when(every(53), arr(0)).otherwise(arr(*[0] * 8))).alias("u_tf_emb"), F.when(every(59), "").otherwise("S").alias("scaffold_id"),
+    )
+    return validate(df)
+
+
 # ---- the data build -----------------------------------------------------------------------------------------------
 
 

@@ -128,16 +128,42 @@ def stream_scoring(spark, sf_dir):
     return drained(J.score_stream(s, S.ScoreParams(), offsets)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("ingest_with_ledger", D.sql("SELECT chunk_id, count(*) AS n FROM cells GROUP BY 1"))
+@query("ingest_with_ledger", D.sql("SELECT chunk_id, count(*) AS n, count(DISTINCT cell_id % 2)::BIGINT AS n_batches FROM cells GROUP BY 1"))
 def ingest_with_ledger(spark, sf_dir):
+    """Each chunk comes in two deliveries; a third run finds nothing new."""
     landing, out, ledger, check = (shared_path(spark, w) for w in ("landing", "ingested", "ledger", "check"))
     cells = D.cells(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    cells.repartition("chunk_id").write.parquet(landing)
-    for _ in range(2):  # the second run finds nothing new
+    for half in (0, 1, None):
+        if half is not None:
+            cells.filter(F.col("cell_id") % 2 == half).repartition("chunk_id").write.mode("append").parquet(landing)
         J.ingest(spark.readStream.schema(cells.schema).parquet(landing), lambda b: b, out, ledger, check).awaitTermination()
-    return spark.read.parquet(out).groupBy(F.col("chunk_id").cast("int").alias("chunk_id")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(out).groupBy(F.col("chunk_id").cast("int").alias("chunk_id")).agg(F.count("*").alias("n"), F.count_distinct("batch").alias("n_batches"))
 
 
+@query("stream_running_rates", "SELECT (epoch_us(ts) // 86400000000)::BIGINT AS day, round(avg((event_id % 11 = 0)::INT), 6) AS ood_rate, round(avg((event_id % 3 = 0)::INT), 6) AS approval_rate, count(*) AS n FROM events GROUP BY 1")
+def stream_running_rates(spark, sf_dir):
+    s = _events(spark, sf_dir).select("ts", (F.col("event_id") % 11 != 0).alias("in_dist"), F.when(F.col("event_id") % 3 == 0, S.APPROVED).otherwise(S.REJECTED_UNSAFE).alias("status"))
+    out = drained(J.running_rates(s, late="60 days"), "complete")
+    return rounded(out.select(F.floor(F.unix_seconds("w.start") / 86400).alias("day"), "ood_rate", "approval_rate", "n"))
+
+
+@query("mean_finite", D.sql("SELECT fold, round(avg(v) FILTER (isfinite(v)), 6) AS mean FROM (SELECT fold, CASE WHEN cell_id % 5 = 0 THEN NULL WHEN cell_id % 7 = 0 THEN 'nan'::DOUBLE WHEN cell_id % 11 = 0 THEN 'inf'::DOUBLE ELSE mu_age END AS v FROM preds) GROUP BY 1"))
+def mean_finite(spark, sf_dir):
+    k = F.col("cell_id")
+    v = F.when(k % 5 == 0, F.lit(None).cast("double")).when(k % 7 == 0, float("nan")).when(k % 11 == 0, float("inf")).otherwise(F.col("mu_age"))
+    return rounded(D.preds(spark, sf_dir).withColumn("v", v).groupBy("fold").agg(M.mean_finite(F.col("v")).alias("mean")))
+
+
+@query("fold_reports_as_json", D.sql("SELECT f.fold::VARCHAR AS fold, metric, round(value, 6) AS value FROM (SELECT DISTINCT fold FROM preds) f LEFT JOIN (SELECT fold, unnest(['mae', 'bias']) AS metric, unnest([avg(abs(mu_age - y_age)), avg(mu_age - y_age)]) AS value FROM preds WHERE age_mask AND fold % 4 <> 1 GROUP BY fold) USING (fold)"))
+def fold_reports_as_json(spark, sf_dir):
+    """Metric rows written as JSON by regime and read back for all expected folds; some have no report."""
+    df = D.preds(spark, sf_dir).filter("age_mask AND fold % 4 <> 1")
+    e = F.col("mu_age") - F.col("y_age")
+    long = M.long_form(df.groupBy("fold").agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias")), ["fold"], ["mae", "bias"])
+    path = shared_path(spark, "reports")
+    IO.write_report(long.select((F.col("fold") % 3).cast("string").alias("regime"), F.lit("model").alias("estimator"), F.col("fold").cast("string").alias("fold"), "metric", "value"), path)
+    folds = D.preds(spark, sf_dir).select(F.col("fold").cast("string").alias("fold")).distinct()
+    return rounded(IO.read_fold_reports(spark, path, folds).select("fold", "metric", "value"))
 
 
 def _battery(df):

@@ -41,7 +41,7 @@ def rank_candidates(spark, sf_dir):
     return S.rank_candidates(_scored(spark, sf_dir).select("cell_id", "status", F.round(10 * F.col("res"), 2).alias("score")), 100)
 
 
-@query("respond")
+@query("respond", D.sql("SELECT cell_id, status, round_even(10 * res, 2) AS score, round_even(p0, 3) AS p_identity_preserved, round_even(p1, 3) AS p_identity_loss, round_even(p2, 3) AS p_apoptosis, round_even(mu_age, 2) AS delta_age_mean, round_even(mu_age - 9.5, 2) AS low, round_even(mu_age + 9.5, 2) AS high, in_dist, CASE WHEN NOT in_dist THEN 'Out-of-distribution: prediction not trustworthy.' END AS warning FROM scored"))
 def respond(spark, sf_dir):
     return S.respond(_scored(spark, sf_dir), 9.5)
 
@@ -85,10 +85,19 @@ def temperature_grid(spark, sf_dir):
     return rounded(S.temperature_grid(D.preds(spark, sf_dir), ["z0", "z1", "z2"], "y", [0.5, 1.0, 2.0, 8.0]))
 
 
-@query("fit_temperature")
+def _narrowed(n: int) -> dict[str, str]:
+    """SQL of a round of the search: the grid between its bounds, and the best of it and of the rounds before."""
+    low, high = ("ln(0.01::DOUBLE)", "ln(100::DOUBLE)") if n == 1 else (f"(SELECT low FROM best{n - 1})", f"(SELECT high FROM best{n - 1})")
+    before = "" if n == 1 else f" UNION ALL SELECT nll, t FROM best{n - 1}"
+    grid = f"SELECT avg(m / t + ln(exp((z0 - m) / t) + exp((z1 - m) / t) + exp((z2 - m) / t)) - [z0, z1, z2][y + 1] / t) AS nll, t FROM (SELECT *, greatest(z0, z1, z2) AS m FROM preds), (SELECT exp({low} + ({high} - {low}) * i / 24) AS t FROM (SELECT unnest(range(25)) AS i) UNION ALL SELECT 1.0::DOUBLE) GROUP BY t"
+    step = f"({high} - {low}) / 24"
+    return {f"grid{n}": grid, f"best{n}": f"SELECT nll, t, greatest(ln(0.01::DOUBLE), ln(t) - {step}) AS low, least(ln(100::DOUBLE), ln(t) + {step}) AS high FROM (SELECT nll, t FROM grid{n}{before}) ORDER BY nll, t LIMIT 1"}
+
+
+@query("fit_temperature", D.sql("SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM (SELECT nll, t FROM best3 UNION SELECT nll, t FROM grid1 WHERE t = 1)", **{k: v for n in (1, 2, 3) for k, v in _narrowed(n).items()}))
 def fit_temperature(spark, sf_dir):
     df = D.preds(spark, sf_dir)
-    return S.temperature_grid(df, ["z0", "z1", "z2"], "y", [1.0, S.fit_temperature(df, ["z0", "z1", "z2"], "y")])
+    return rounded(S.temperature_grid(df, ["z0", "z1", "z2"], "y", [1.0, S.fit_temperature(df, ["z0", "z1", "z2"], "y")]))
 
 
 @query("minmax_by_calib", D.sql("SELECT cell_id, round(greatest(least((p0 - lo) / (hi - lo), 1), 0), 6) AS scaled, round((tq - lo) / (hi - lo), 6) AS threshold FROM probs JOIN (SELECT fold, min(p0) AS lo, max(p0) AS hi, quantile_cont(p0, 0.8) AS tq FROM probs WHERE cell_id % 3 = 0 GROUP BY 1) USING (fold) WHERE cell_id % 3 <> 0"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import splits as S
 from . import domain as D
-from .registry import query, rounded
+from .registry import SQL, query, rounded
 
 FRACS = [0.7, 0.1, 0.1, 0.1]
 SEED = 7
@@ -20,12 +20,12 @@ def _unit(expr: str, seed: int | str = SEED) -> str:
     return f"(('0x' || substr(md5('{seed}|' || ({expr})::VARCHAR), 1, 8))::UBIGINT / 4294967296.0)"
 
 
-def _groups(source: str, fracs: list[float], seed: int = SEED) -> str:
-    """SQL of partition_groups: floors, largest remainders, at least one group a split where there are four."""
+def _groups(source: str, fracs: list[float], seed: int = SEED, less: int = 0) -> str:
+    """SQL of partition_groups: floors, largest remainders; less: groups that the first split gives to the last, which would have none."""
     f = ", ".join(map(str, fracs))
     return f"""(SELECT grp, CASE WHEN r <= c1 THEN 'train' WHEN r <= c1 + c2 THEN 'val' WHEN r <= c1 + c2 + c3 THEN 'calib' ELSE 'test' END AS split FROM
   (SELECT grp, row_number() OVER (ORDER BY {_key("grp", seed)}, grp) AS r FROM (SELECT DISTINCT grp FROM ({source}))),
-  (SELECT k[1] AS c1, k[2] AS c2, k[3] AS c3 FROM (SELECT list(c ORDER BY i) AS k FROM (SELECT i, c0 + CASE WHEN rk <= n - sum(c0) OVER () THEN 1 ELSE 0 END AS c FROM
+  (SELECT k[1] - {less} AS c1, k[2] AS c2, k[3] AS c3 FROM (SELECT list(c ORDER BY i) AS k FROM (SELECT i, c0 + CASE WHEN rk <= n - sum(c0) OVER () THEN 1 ELSE 0 END AS c FROM
     (SELECT i, n, floor(f * n + 1e-9)::INT AS c0, row_number() OVER (ORDER BY floor(f * n + 1e-9) - f * n, i) AS rk FROM (SELECT unnest([{f}]) AS f, unnest(range({len(fracs)})) AS i), (SELECT count(DISTINCT grp) AS n FROM ({source})))))))"""
 
 
@@ -57,14 +57,28 @@ def line_holdout_split(spark, sf_dir):
     return S.line_holdout_split(D.cells(spark, sf_dir), FRACS, SEED, 5, 0.3)
 
 
-@query("both_split")
+def _held(col: str, seed: int) -> str:
+    return f"{col} IN (SELECT grp FROM (SELECT grp, row_number() OVER (ORDER BY {_key('grp', seed)}, grp) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT {col} AS grp FROM cells)) WHERE r <= greatest(1, floor(n * 0.1::DOUBLE + 1e-9)))"
+
+
+_MARKED = f"SELECT cell_id, scaffold_id, {_held('scaffold_id', SEED)} AS ns, {_held('cell_line', SEED + 1)} AS nl FROM cells"
+# the rescaled fourth fraction is 0, so where there are four groups one of them goes from train to test
+_BOTH = f"SELECT cell_id, CASE WHEN ns AND nl THEN 'test' WHEN ns OR nl THEN 'drop' ELSE split END AS split FROM marked LEFT JOIN {_groups('SELECT scaffold_id AS grp FROM marked WHERE NOT ns AND NOT nl', [0.7 / 0.9, 0.1 / 0.9, 0.1 / 0.9, 0.0], SEED + 2, 1)} ON scaffold_id = grp"
+
+
+@query("both_split", D.sql(_BOTH, marked=_MARKED))
 def both_split(spark, sf_dir):
     return S.both_split(D.cells(spark, sf_dir), FRACS, SEED)
 
 
-@query("make_splits")
+_REGIMES = {
+    "scaffold": SQL["scaffold_split"], "cell_line": SQL["cell_line_split"], "random": SQL["random_split"], "holdout": SQL["holdout_split"], "line_holdout": SQL["line_holdout_split"], "both": D.sql(_BOTH, marked=_MARKED),
+}
+
+
+@query("make_splits", " UNION ALL ".join(f"SELECT '{r}' AS regime, split, count(*) AS n FROM ({q}) GROUP BY split" for r, q in _REGIMES.items()))
 def make_splits(spark, sf_dir):
-    return S.make_splits(D.cells(spark, sf_dir), list(S.REGIMES), FRACS, SEED).groupBy("regime", "split").agg(F.count("*").alias("n"))
+    return S.make_splits(D.cells(spark, sf_dir), list(S.REGIMES), FRACS, SEED, lines=[3, 11], line=5).groupBy("regime", "split").agg(F.count("*").alias("n"))
 
 
 @query("gather_split", D.sql(f"SELECT cell_id, dose_um, time_h FROM cells WHERE {_unit('cell_id')} < 0.8 AND {_unit('cell_id')} >= 0.7"))
