@@ -10,9 +10,9 @@ far, so each step is one aggregate over a narrow table of tokens and posteriors;
 Targets are shares of tokens; without any, the labelled table's shares to the power `temper`. The total is the least at which no domain has to
 shrink, or `tokens` if given. `copies` is the rate rounded up or down by a hash of the id, so that its expectation is the rate.
 
-Nulls: a null text has no tokens; its posterior is the prior and its rate fits no one's total. A null label is not learned from, a null
-doc_id takes part like any other. Texts are taken whole; repeated rows count and are rated each. Without labelled rows every rate is
-1. An empty table gives none. Extra columns are ignored. All of it is DataFrame functions and Spark ML.
+Nulls: a null text has no tokens; its posterior is the prior and its rate fits no one's total. A null label, or the label of a null id or
+of an id that is not among the documents, is not learned from, and is no domain if it has no other; a row with a null doc_id is rated like any other. Texts are taken whole; repeated rows count and are rated each. Without labelled rows every rate is
+1. An empty table gives none. Extra columns pass through, but for those with the names of results. All of it is DataFrame functions and Spark ML.
 """
 
 from __future__ import annotations
@@ -39,26 +39,32 @@ def token_features(docs: DataFrame) -> DataFrame:
     return Normalizer(inputCol="__tf", outputCol="features", p=2.0).transform(counted).drop("__words", "__tf")
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, max_train: int = 4000) -> tuple[list[str], dict[str, float], DataFrame]:
+def posteriors(docs: DataFrame, labelled: DataFrame, max_train: int = 4000, staging: Staging | None = None) -> tuple[list[str], dict[str, float], DataFrame]:
     """(domains, their shares of the labelled rows, docs' columns but text with n_tokens and post array<double>).
 
     labelled: doc_id, label. The classifier is fitted on at most `max_train` rows, spread evenly over the labels; the shares become its prior again.
     """
-    counts = {r["label"]: r["n"] for r in labelled.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    domains = sorted(counts)
-    slim = docs.select(*(c for c in docs.columns if c != "text"), F.coalesce("text", F.lit("")).alias("text"))
+    staging = staging or Staging(docs.sparkSession, "mixing")
+    # docs' own columns travel in one, so that none clashes with a feature's
+    slim = docs.select(F.struct(F.lit(0).alias("text"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_tokens", "post"))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = slim.withColumn("n_tokens", F.size(words_of(F.col("text"))).cast("long"))
+    out = lambda df, post: df.select("row.*", "n_tokens", post.alias("post")).drop("text")
+    sampled = staging.write(sample_texts(docs, labelled_sample(labelled, max_train)), "sample")
+    each = {r["label"]: (r["n"], r["weight"]) for r in sampled.groupBy("label").agg(F.count("*").alias("n"), F.first("weight").alias("weight")).collect()}
+    # only labels that the sample has can be learned: ids may be null, or not be among docs
+    domains = sorted(each)
     if not domains:
-        return [], {}, slim.select(*(c for c in docs.columns if c != "text"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("post"))
-    shares = {d: counts[d] / sum(counts.values()) for d in domains}
+        return [], {}, out(plain, F.array().cast("array<double>"))
+    total = sum(n * w for n, w in each.values())
+    shares = {d: each[d][0] * each[d][1] / total for d in domains}
+    if len(domains) == 1:
+        return domains, shares, out(plain, F.array(F.lit(1.0)))
     number = F.element_at(F.create_map(*(F.lit(x) for i, d in enumerate(domains) for x in (d, float(i)))), F.col("label"))
-    train = token_features(sample_texts(docs, labelled_sample(labelled, max_train))).select(number.alias("label"), "features")
-    # Spark ML takes labels 0..k-1: a domain the sample lacks would shift them, and it lacks none, as it is spread over all
-    model = NaiveBayes(smoothing=0.01).fit(train)
+    model = NaiveBayes(smoothing=0.01).fit(token_features(sampled).select(number.alias("label"), "features"))
     judged = model.transform(token_features(slim)).withColumn("post", vector_to_array("probability"))
-    sampled = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    weight = F.array(*(F.lit(shares[d] / max(sampled.get(float(i), 1), 1)) for i, d in enumerate(domains)))
+    weight = F.array(*(F.lit(shares[d] / each[d][0]) for d in domains))
     scaled = let(F.zip_with("post", weight, lambda p, w: p * w), lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(v, lambda x: x / t)))
-    return domains, shares, judged.select(*(c for c in docs.columns if c != "text"), "n_tokens", scaled.alias("post"))
+    return domains, shares, out(judged, scaled)
 
 
 def rate_after(errors: list[list[float]], step: float) -> Column:
@@ -106,7 +112,7 @@ STEP = 1.6
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, temper: float = 0.7, tokens: float | None = None, staging: Staging | None = None) -> DataFrame:
     """docs' columns but text, and n_tokens, domain (the likeliest), posterior (its share), rate, copies."""
     staging = staging or Staging(docs.sparkSession, "mixing")
-    domains, shares, soft = posteriors(docs, labelled)
+    domains, shares, soft = posteriors(docs, labelled, staging=staging)
     soft = staging.write(soft, "posteriors")
     targets = targets or {d: s**temper for d, s in shares.items()}
     errors = fit_rates(soft, domains, targets, tokens, STEP) if domains else []
@@ -114,18 +120,19 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     top = F.array_max("post")
     name = F.get(F.array(*map(F.lit, domains)), F.array_position("post", top).cast("int") - 1) if domains else F.lit(None).cast("string")
     chance = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rest = [c for c in soft.columns if c not in ("n_tokens", "post")]
+    rest = [c for c in soft.columns if c not in ("n_tokens", "post", "domain", "posterior", "rate", "copies")]
     return rated.select(*rest, "n_tokens", name.alias("domain"), top.alias("posterior"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
 
 
 def repeat_to_mix(docs: DataFrame, label: str = "lang", **how) -> DataFrame:
     """docs with each row repeated as often as its copies say. Columns stay.
 
-    Rows that share an id share their decision: ids are rated once, by the row with the least text.
+    Rows that share an id share their decision: ids are rated once, by the row with the most copies.
     """
-    rates = mixed(docs.select("doc_id", "text"), docs.select("doc_id", F.col(label).cast("string").alias("label")), **how).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    both = docs.alias("d").join(rates.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")))
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select("d.*")
+    rates = mixed(docs.select("doc_id", "text"), docs.select("doc_id", F.col(label).cast("string").alias("label")), **how).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id")
+    both = row.join(rates, F.col("doc_id").eqNullSafe(F.col("id")))
+    return both.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
