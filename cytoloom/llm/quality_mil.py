@@ -3,7 +3,7 @@
 A text is a bag of passages of 50 words. Each passage is encoded: shares of kinds of bytes, word shape, repetition
 inside the passage, inside the text and of whole lines, then a dense layer. Gated attention, learned from document labels alone,
 weighs the passages; the weighted sum of their encodings is scored. The network (a few thousand weights) is trained on
-at most `max_train` labelled texts, whole, spread evenly over the labels and weighed back to the labels' shares.
+at most `max_train` labelled texts, whole, of at most `max_passages` passages together, spread evenly over the labels and weighed back to the labels' shares.
 
 Nulls: a null text is an empty one, which is a single passage of zeros; a null label or doc_id is not learned from. Very
 long texts are bags of many passages, encoded in bounded slices of a batch; ties do not matter; repeated rows each give a row. With no
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .language_id import held_out
 from .sampling import labelled_sample, sample_texts
+from .staging import Staging
 from .text import Words, _windows, small_batches, string_bytes
 
 PASSAGE = 50
@@ -147,21 +148,37 @@ def train(bags: list[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int = 1
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> Network | float:
-    """The network, or a constant share where labels have nothing to part. labels: doc_id, label (0 or 1)."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, max_passages: int = 400_000) -> Network | float:
+    """The network, or a constant share where labels have nothing to part. labels: doc_id, label (0 or 1).
+
+    It is trained on at most `max_train` whole texts that have at most `max_passages` passages together (74 MB encoded): texts in the order of their hash, as long as they fit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             x, first = passages(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("weight"), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())], names=["doc_id", "label", "weight", "x"])
+            packed = pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("fold"), b.column("weight"), pa.array(np.diff(first)), packed], names=["doc_id", "label", "fold", "weight", "n", "x"])
 
     texts = sample_texts(docs, labelled_sample(labels, max_train))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    sample = texts.select("doc_id", F.col("label").cast("int").alias("label"), "weight", "text").mapInArrow(run, f"doc_id {kind}, label int, weight double, x binary").toPandas().sort_values("doc_id")
-    y = sample.label.to_numpy().astype(float)
+    encoded = texts.select("doc_id", F.col("label").cast("int").alias("label"), "fold", "weight", "text").mapInArrow(run, f"doc_id {kind}, label int, fold int, weight double, n long, x binary")
+    bags = Staging(docs.sparkSession, "mil").write(encoded, "bags")
+    sizes = bags.select("doc_id", "label", "fold", "weight", "n").toPandas().sort_values(["fold", "doc_id"])
+    fits, kept = 0, []
+    for n in sizes.n:
+        kept.append(fits + n <= max_passages)
+        fits += n if kept[-1] else 0
+    chosen = sizes[np.array(kept, bool)]
+    y = chosen.label.to_numpy().astype(float)
     if len(np.unique(y)) < 2:  # weights of one label are equal
-        return float(y.mean()) if len(y) else 0.5
-    return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in sample.x], y, weight=sample.weight.to_numpy())
+        y = sizes.label.to_numpy().astype(float)
+        return float(np.average(y, weights=sizes.weight)) if len(y) else 0.5
+    scale = sizes.groupby("label").size() / chosen.groupby("label").size()  # what a label lost by length is weighed back
+    few = bags.filter(F.col("doc_id").isin(chosen.doc_id.tolist())) if len(chosen) < len(sizes) else bags
+    sample = few.select("doc_id", "label", "weight", "x").toPandas().sort_values("doc_id")
+    weight = sample.weight.to_numpy() * sample.label.map(scale).to_numpy()
+    return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in sample.x], sample.label.to_numpy().astype(float), weight=weight)
 
 
 def score(docs: DataFrame, net: Network | float, threshold: float = 0.7) -> DataFrame:
