@@ -8,9 +8,9 @@ and three tests ask whether its symbols look drawn at random from that alphabet:
 middle of the alphabet, serial correlation. Fisher's method joins the three p-values.
 
 False discoveries are controlled over the whole corpus, separately by encoding and length: keys have uniform p-values,
-ordinary strings have p-values near 0. The share of ordinary strings above a cutoff is estimated from the excess over
-the uniform part (counted above 1/2), and the lowest cutoff is taken for which that share is at most `alpha`, within
-two standard errors. A candidate above its group's cutoff is a span of kind "random".
+ordinary strings have p-values near 0. A group's share of keys is the lower limit of what its p-values above 1/2 say; how far
+ordinary strings reach up is what the corpus has in excess of the uniform part, with a prior. The lowest cutoff is taken above which
+at most `alpha` of the group's strings are expected to be ordinary; a corpus with too few strings to tell takes a fixed level. A candidate above its group's cutoff is a span of kind "random".
 
 Nulls and empty texts have no spans; texts of any length are scanned whole; repeated rows each give a row; extra
 columns pass through untouched; an empty table gives an empty result. Everything is DataFrame functions.
@@ -158,34 +158,60 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(F.transform(F.sort_array(places), measured), lambda x: x["grp"].isNotNull())
 
 
+MORE = "array<struct<start:int,end:int,grp:int,p:double>>"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs with two columns more: __base (spans) and __more (candidates)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     based = docs.withColumn("__base", base_spans(text))
     # the tests are for the few texts that hold a candidate at all
-    more = F.when(text.rlike(CANDIDATE), let(F.col("__base"), lambda b: candidates(text, b))).otherwise(F.array().cast("array<struct<start:int,end:int,grp:int,p:double>>"))
+    more = F.when(text.rlike(CANDIDATE), let(F.col("__base"), lambda b: candidates(text, b))).otherwise(F.array().cast(MORE))
     return based.withColumn("__more", more)
 
 
-def cutoffs(scanned: DataFrame, alpha: float = 0.1, least_p: float = 0.001, least: int = 20) -> dict[int, float]:
-    """The lowest p-value that counts as random, by group of encoding and length; groups of under `least` take all lengths of their encoding.
+def cutoffs(scanned: DataFrame, alpha: float = 0.1, least_p: float = 0.001, least: int = 20, few_p: float = 0.01) -> dict[int, float]:
+    """The lowest p-value that counts as random, by group of encoding and length.
 
-    The table has as many rows as groups times bins."""
+    A group of under `least` strings takes the share of keys of its encoding, or else of the corpus; a corpus of fewer says nothing of shares, and
+    `few_p` is the cutoff. The table has as many rows as groups times bins."""
     each = scanned.select(F.explode("__more").alias("x")).select("x.grp", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     table: dict[int, list[int]] = {}
     for r in each.groupBy("grp", "bin").count().collect():
         table.setdefault(r["grp"], [0] * BINS)[r["bin"]] = r["count"]
-    wide = {e: [sum(x) for x in zip(*(n for g, n in table.items() if g // 8 == e))] for e in {g // 8 for g in table}}
-    out = {}
-    for group, n in table.items():
-        n = n if sum(n) >= least else wide[group // 8]
-        uniform = sum(n[BINS // 2 :]) / (BINS / 2)  # keys in each bin
-        for b in range(BINS):
-            above = sum(n[b:])
-            if above - uniform * (BINS - b) <= alpha * above + 2 * above**0.5:
-                break
-        out[group] = max(least_p, b / BINS)
-    return out
+    merged = lambda groups: [sum(x) for x in zip(*groups)]
+    wide = {e: merged(n for g, n in table.items() if g // 8 == e) for e in {g // 8 for g in table}}
+    corpus = merged(table.values())
+    if sum(corpus) < least:
+        return dict.fromkeys(table, few_p)
+    tail = plain_tail(corpus)
+    return {g: cutoff(next((x for x in (n, wide[g // 8]) if sum(x) >= least), corpus), tail, alpha, least_p) for g, n in table.items()}
+
+
+def plain_tail(n: list[int], prior: float = 100.0, near: float = 0.03) -> list[float]:
+    """The share of ordinary strings with a p-value of at least b / BINS, for each bin b: what exceeds the uniform part, with `prior` strings of p ** near."""
+    half = BINS // 2
+    uniform = sum(n[half:]) / half
+    out: list[float] = []
+    for b in range(BINS):
+        extra = max(0.0, sum(n[b:half]) - uniform * (half - b)) if b < half else 0.0
+        now = extra + prior * (1 - (b / BINS) ** near)
+        out.append(min(now, out[-1]) if out else now)
+    return [x / out[0] for x in out]
+
+
+def cutoff(n: list[int], tail: list[float], alpha: float, least_p: float) -> float:
+    """The lowest cutoff above which at most `alpha` of the strings are expected to be ordinary.
+
+    Keys are counted at the lower limit of one standard error, so that a few strings are not taken for keys by chance; one key and one ordinary string are added.
+    """
+    upper = sum(n[BINS // 2 :])
+    keys = (min(sum(n), max(0.0, 2 * (upper - upper**0.5))) + 1) / (sum(n) + 2)
+    for b in range(BINS):
+        ordinary = (1 - keys) * tail[b]
+        if ordinary <= alpha * (ordinary + keys * (1 - b / BINS)):
+            return max(least_p, b / BINS)
+    return 1.0
 
 
 def all_spans(cut: dict[int, float]) -> Column:
@@ -215,7 +241,8 @@ def find_secrets(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 def redact(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
     """docs with every secret in text replaced by [kind]; spans that overlap are replaced as one, named by the first. Other columns stay."""
-    scanned = scan(docs)
+    # docs' own columns travel in one, so that none clashes
+    scanned = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"))
     cut = cutoffs(scan(docs.select("text")), alpha)
     kinds = F.array(*map(F.lit, KINDS))
 
@@ -231,8 +258,8 @@ def redact(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
         return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text") - a["at"])))
 
     found = scanned.withColumn("__all", all_spans(cut))
-    text = F.when(F.size("__all") > 0, let(F.col("__all"), cleaned)).otherwise(F.col("text"))
-    return found.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.size("__all") > 0, let(F.col("__all"), cleaned)).otherwise(F.col("row.text"))
+    return found.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
