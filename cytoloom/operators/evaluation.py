@@ -168,10 +168,10 @@ def level_correction(df: DataFrame, ks: list[int], repeats: int, seed: int, dono
     order = Window.partitionBy(donor, "repeat").orderBy("u", "cell_id")
     refs = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).select(donor, "repeat", "cell_id", "r", F.col("t").alias("t_ref"), e.alias("e_ref"))
     by_k = refs.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter(F.col("r") <= F.col("k"))
-    offsets = by_k.groupBy(donor, "repeat", "k").agg(F.percentile("e_ref", F.lit(0.5)).alias("offset"), F.sort_array(F.collect_list(F.struct("cell_id", "t_ref", "e_ref"))).alias("refs"))  # k rows each
-    judged = rows.join(F.broadcast(offsets), [donor, "repeat"]).filter(~F.exists("refs", lambda x: x["cell_id"] == F.col("cell_id")))
+    offsets = by_k.groupBy(donor, "repeat", "k").agg(F.percentile("e_ref", F.lit(0.5)).alias("offset"), F.collect_list("cell_id").alias("ids"), F.sort_array(F.collect_list(F.struct(F.col("cell_id").alias("id"), "t_ref", "e_ref"))).alias("refs"))  # k rows each
+    judged = rows.join(F.broadcast(offsets), [donor, "repeat"]).withColumn("is_ref", F.array_contains("ids", F.col("cell_id"))).filter("NOT is_ref")
     gap = lambda x: F.abs(x["t_ref"] - F.col("t"))
-    near = F.array_min(F.transform("refs", lambda x: F.struct(gap(x).alias("gap"), x["cell_id"].alias("id"), x["e_ref"].alias("e"))))["e"]
+    near = F.array_min(F.transform("refs", lambda x: F.struct(gap(x).alias("gap"), x["id"].alias("id"), x["e_ref"].alias("e"))))["e"]
     cut = judged.select(donor, "repeat", "k", "y_age", (F.col("mu_age") - F.col("offset")).alias("sc"), (F.col("mu_age") - near).alias("mt"))
     med = lambda c: F.percentile(c, F.lit(0.5))
     each = cut.groupBy(donor, "k", "repeat").agg(
