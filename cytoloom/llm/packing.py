@@ -7,7 +7,7 @@ is left in them: the search begins at the smallest remainder that holds the docu
 compatible bin, which is the tightest one, is found; else a bin is opened. A document longer than a bin is cut
 into full bins of its own and a rest, which is packed like any other; nothing is left out.
 
-Documents are dealt to shards by a hash of the row, about `shard` each, whatever their source or cluster, so a hot source
+Documents are dealt to shards by a hash of the row and its number among equal rows, about `shard` each, whatever their source or cluster, so a hot source
 or cluster is spread evenly and a task's work is bounded; shards are packed apart, and only ids and sizes are shuffled.
 
 Nulls: a null text has no tokens, takes no room, and is placed like any other; a null source is one source; a null cluster conflicts with
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .text import lower_ascii, words_of
 
+RUN = 1000  # copies of a row that are numbered at a time
 PACKED = "shard int, doc_id long, piece int, bin int, at int, n_tokens int, source string"
 
 
@@ -76,8 +77,12 @@ def pack(sized: DataFrame, capacity: int = 2048, per_source: int = 3, shard: int
     spark = sized.sparkSession
     rows = sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("int").alias("n_tokens"), F.col("source").cast("string").alias("source"), "cluster")
     shards = max(1, -(-rows.count() // shard))
-    # copies of a row go to shards in turn of the task that reads them, so that a hot row fills no shard
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id() % 1024), F.lit(shards)).cast("int"))
+    # equal rows are counted, numbered and dealt each, so that a hot row fills no shard and the shard does not depend on the files
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    runs = equal.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))))
+    first = F.col("run") * RUN
+    each = runs.withColumn("number", F.explode(F.sequence(first, F.least(first + RUN, F.col("times")) - 1)))
+    dealt = each.select(*rows.columns, F.pmod(F.xxhash64(*rows.columns, "number"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n_tokens", "source", "cluster"]).reset_index(drop=True)
