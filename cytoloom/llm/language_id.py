@@ -13,6 +13,7 @@ order; repeated rows each give a row. Without any labelled row all are `und`. Ex
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +30,9 @@ _FOLDED: list[np.ndarray] = []
 
 
 def _folding() -> np.ndarray:
-    """Code point to lower-cased code point if it is a letter, to 0 if not; from 0x20000 on all are letters as they are."""
+    """Code point to lower-cased code point if it is a letter, to 0 if not."""
     if not _FOLDED:
-        table = np.zeros(0x20000, np.uint32)
-        for c in range(0x20000):
-            if chr(c).isalpha():
-                low = chr(c).lower()
-                table[c] = ord(low[0])
-        _FOLDED.append(table)
+        _FOLDED.append(np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)], np.uint32))
     return _FOLDED[0]
 
 
@@ -46,7 +42,7 @@ def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[off]
     table = _folding()
-    folded = np.where(points < 0x20000, table[np.minimum(points, 0x1FFFF)], points)
+    folded = table[points]
     for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
         f = folded[a:b]
         letter = f > 0
