@@ -18,6 +18,8 @@ columns pass through untouched; an empty table gives an empty result. Everything
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .quality_rules import let
@@ -30,16 +32,17 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 PIECE = r"[A-Za-z0-9]{20,}"  # between separators
 KINDS = ["assign", "access", "hex", "random"]
 
-_UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_UP, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _OFTEN = "etaoinshrdlcumwfgypbvkxjqz"
-#: encoding: (what a string of it looks like, alphabet in the order of its values, cells of the chi-squared test for short and long strings)
+#: encoding: (what a string of it looks like, alphabet in the order of its values, where the cells of the chi-squared test end, for short and long strings).
+#: Cells part kinds of symbols, and of letters the often from the seldom used, as words are lower-case letters in the main.
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", _DIGIT + "abcdef", (4, 8)),
-    "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UP + "234567", (4, 8)),
-    "base36": (r"^(?=.*[0-9])(?=.*[A-Za-z])([a-z0-9]+|[A-Z0-9]+)$", _DIGIT + _LOW, (4, 9)),
-    "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", _UP + _LOW + _DIGIT + "+/", (4, 8)),
-    "lower": (r"^([a-z]+|[A-Z]+)$", _OFTEN, (4, 8)),
-    "letters": (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", "".join(c + c.upper() for c in _OFTEN), (4, 8)),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", _DIGIT + "abcdef", ((4, 8, 12, 16), (2, 4, 6, 8, 10, 12, 14, 16))),
+    "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _OFTEN.upper() + "234567", ((13, 26, 32), (7, 13, 20, 26, 32))),
+    "base36": (r"^(?=.*[0-9])(?=.*[A-Za-z])([a-z0-9]+|[A-Z0-9]+)$", _DIGIT + _OFTEN, ((10, 23, 36), (5, 10, 17, 23, 30, 36))),
+    "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", _UP + _OFTEN + _DIGIT + "+/", ((26, 39, 52, 64), (13, 26, 35, 44, 52, 64))),
+    "lower": (r"^([a-z]+|[A-Z]+)$", _OFTEN, ((7, 13, 20, 26), (4, 7, 10, 13, 17, 20, 23, 26))),
+    "letters": (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", _OFTEN.upper() + _OFTEN, ((26, 39, 52), (13, 26, 35, 44, 52))),
 }
 LENGTHS = (24, 32, 48, 64)  # bounds of the length groups
 BINS = 64  # of p-values
@@ -94,13 +97,17 @@ def randomness(token: Column, encoding: str) -> Column:
 
     def tests(v: Column) -> Column:
         n = F.size(v).cast("double")
-        k = F.when(F.size(v) < 48, F.lit(cells[0])).otherwise(F.lit(cells[1]))
         total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-        cell = lambda x: F.floor(x * k / F.lit(size)).cast("int")
-        share = lambda b: (F.ceil((b + 1) * F.lit(size) / k) - F.ceil(b * F.lit(size) / k)) / F.lit(float(size))
-        chi = total(F.sequence(F.lit(0), k - 1), lambda b: F.pow(F.size(F.filter(v, lambda x: cell(x) == b)) - n * share(b), F.lit(2.0)) / (n * share(b)))
-        df = (k - 1).cast("double")
-        p_chi = let((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), _phi_upper)
+
+        def uniform(ends: tuple[int, ...]) -> Column:
+            chi, df = F.lit(0.0), len(ends) - 1
+            inside = lambda low, end: lambda x: (x >= low) & (x < end)
+            for low, end in zip((0, *ends), ends):
+                want = n * ((end - low) / size)
+                chi = chi + F.pow(F.size(F.filter(v, inside(low, end))) - want, F.lit(2.0)) / want
+            return let((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)), _phi_upper)
+
+        p_chi = F.when(F.size(v) < 48, uniform(cells[0])).otherwise(uniform(cells[1]))
         high = let(v, lambda a: F.transform(a, lambda x: (x >= size // 2).cast("int")))
         runs = let(high, lambda h: 1 + F.size(F.filter(h, lambda x, i: (i > 0) & (F.get(h, i - 1) != x))))
         ups = F.aggregate(high, F.lit(0), lambda s, x: s + x).cast("double")
