@@ -43,6 +43,8 @@ for _a, _b in zip(b"013457@$!", b"oieastasi"):
     _LEET[_a] = _b
 _DROP = np.zeros(256, bool)
 _DROP[list(b".,*_-'\"()[]{}#%&|<>?;:+=~^`/\\")] = True
+_EDGE = _DROP.copy()  # what is cut from the ends of a word
+_EDGE[ord("!")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 FEATURES = 18
@@ -59,15 +61,17 @@ def plain_hashes(w: Words) -> np.ndarray:
     start, end = w.start.copy(), w.end.copy()
     for _ in range(4):
         inside = start < end
-        start[inside & _DROP[w.bytes[np.minimum(start, len(w.bytes) - 1)]]] += 1
+        start[inside & _EDGE[w.bytes[np.minimum(start, len(w.bytes) - 1)]]] += 1
         inside = start < end
-        end[inside & _DROP[w.bytes[np.maximum(end - 1, 0)]]] -= 1
+        end[inside & _EDGE[w.bytes[np.maximum(end - 1, 0)]]] -= 1
     w.plain = (start, np.maximum(end, start))
     return _span_hashes(w.bytes, *w.plain)
 
 
 def folded_hashes(w: Words) -> np.ndarray:
-    """Hashes of the words with digits and signs read as letters, other signs dropped, and drawn-out letters taken once."""
+    """Hashes of the words without signs at their ends, with digits and signs read as letters, other signs dropped, and drawn-out letters taken once."""
+    if not hasattr(w, "plain"):
+        plain_hashes(w)
     leet = _LEET[w.bytes]
     keep = ~_DROP[w.bytes]
     kept = np.flatnonzero(keep)
@@ -81,7 +85,8 @@ def folded_hashes(w: Words) -> np.ndarray:
     at = np.zeros(len(w.bytes) + 1, np.int64)
     at[kept + 1] = 1
     at = np.cumsum(at)
-    return _span_hashes(leet[kept], at[w.start], at[w.end])
+    start, end = w.plain
+    return _span_hashes(leet[kept], at[start], at[end])
 
 
 def beginnings(w: Words, n: int) -> np.ndarray:
@@ -174,21 +179,28 @@ class Model:
     constant: float = 0.0
 
 
-def learn_lexicon(keys: list[np.ndarray], y: np.ndarray, least: int = 3, ratio: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Words and beginnings found in at least `least` toxic texts, in a share `ratio` times that of other texts; their log ratios."""
-    pos = [k for k, t in zip(keys, y) if t]
-    neg = [k for k, t in zip(keys, y) if not t]
-    if not pos or not neg:
+def learn_lexicon(texts: DataFrame, least: int = 3, ratio: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Words and beginnings found in at least `least` toxic texts, in a share `ratio` times that of other texts; their log ratios. texts: label (0 or 1), text.
+
+    Texts are counted by word in Spark; only what stands out is collected.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            found = learned_keys(b.column("text"))
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            label = np.repeat(b.column("label").to_numpy(), [len(k) for k in found])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(label)], names=["key", "label"])
+
+    size = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not size.get(1) or not size.get(0):
         return np.zeros(0, np.uint64), np.zeros(0)
-    u, c = np.unique(np.concatenate(pos), return_counts=True)
-    v, d = np.unique(np.concatenate(neg), return_counts=True)
-    other = np.zeros(len(u))
-    if len(v):
-        at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-        other = np.where(v[at] == u, d[at], 0)
-    log_ratio = np.log((c / len(pos)) / ((other + 0.5) / len(neg)))
-    chosen = (c >= least) & (u > 0) & (log_ratio >= np.log(ratio))
-    return u[chosen], log_ratio[chosen]
+    counts = texts.select("label", "text").mapInArrow(keys, "key long, label int").filter("key <> 0").groupBy("key").agg(F.count_if(F.col("label") == 1).alias("c"), F.count_if(F.col("label") == 0).alias("d"))
+    log_ratio = F.ln((F.col("c") / size[1]) / ((F.col("d") + 0.5) / size[0]))
+    got = counts.filter(F.col("c") >= least).select("key", log_ratio.alias("w")).filter(F.col("w") >= float(np.log(ratio))).toPandas()
+    key = got.key.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], got.w.to_numpy(float)[order]
 
 
 def with_features(docs: DataFrame, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -211,15 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, trees: int =
     staging = Staging(docs.sparkSession, "toxicity")
     sample = staging.write(sample_texts(docs, labelled_sample(labels, max_train)), "sample")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([k.tobytes() for k in learned_keys(b.column("text"))], pa.binary())], names=["label", "keys"])
-
     counted = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counted) < 2:
         return Model((np.zeros(0, np.uint64), np.zeros(0)), constant=float(max(counted, default=0)))
-    part = sample.filter("fold < 450").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(keys, "label int, keys binary").toPandas()
-    model = Model(learn_lexicon([np.frombuffer(k, np.uint64) for k in part["keys"]], part.label.to_numpy()))
+    model = Model(learn_lexicon(sample.filter("fold < 450").select(F.col("label").cast("int").alias("label"), "text")))
     slim = sample.select("fold", "weight", F.col("label").cast("double").alias("label"), "text")
     ready = staging.write(with_features(slim, model.learned).coalesce(2), "features").withColumn("features", array_to_vector("features"))
     learn = ready.filter("fold >= 450 AND fold < 800") if ready.filter("fold >= 450 AND fold < 800").select("label").distinct().count() == 2 else ready
