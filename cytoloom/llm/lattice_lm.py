@@ -3,8 +3,8 @@
 The pieces of a public tokenizer's vocabulary, and all single bytes, form a unigram model. A text's probability sums over
 every segmentation of its words into pieces: the forward recursion, in log space, over the lattice of each word. Pieces do not
 cross words, so the recursion runs once for each distinct word of the corpus, and a text adds up its words' values and
-that of its end. The vocabulary's own scores (its order) give the first probabilities, p ~ 1 / (rank + 3); one pass of
-expectation maximisation over all words of the training texts, weighted by their counts, fits them.
+that of its end. The vocabulary's own scores (its order) give the first probabilities, p ~ 1 / (rank + 3); expectation
+maximisation over all words of the training texts, weighted by their counts, fits them, until words that are held out stop gaining.
 
 The corpus is read once. Groups of texts list their distinct words; words are counted, scored and joined back to the groups,
 where they meet the texts' word counts. So what is shuffled is one row for each distinct word of a group, not for each word.
@@ -31,6 +31,7 @@ from .text import _BASE, _BYTE, Words, mix64, small_batches
 GROUP = 6  # slices of text in a group: about 12 MB
 LONG = 64  # bytes: words beyond it are scored one by one
 LN10 = float(np.log(10))
+PART = 1 << 24  # bytes of packed texts in a task of the last shuffle, about
 
 
 # ---- pieces -------------------------------------------------------------------------------------------------------
@@ -54,6 +55,15 @@ def _roll(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return h * _BASE + _BYTE[byte]
 
 
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials, -inf where all are."""
+    x = np.stack(terms)
+    top = x.max(0)
+    top[np.isneginf(top)] = 0
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(0)) + top
+
+
 @dataclass
 class Pieces:
     """Pieces, their log probabilities, and a table that finds a piece by its hash."""
@@ -84,13 +94,18 @@ class Pieces:
         return ((h >> np.uint64(44 - 11 * n)) & np.uint64((1 << 20) - 1)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers, -1 where there is none."""
+        """Piece numbers, -1 where there is none. A piece of a later table has a rival in each earlier one, so an empty place there ends the search."""
         h = mix64(h)
         out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
         for n, table in enumerate(self.tables):
-            at = table[self._slot(h, n)].astype(np.int64) - 1
-            hit = (at >= 0) & (self.hash[at] == h)
-            out[hit] = at[hit]
+            at = table[self._slot(h[left], n)]
+            left, at = left[at > 0], at[at > 0].astype(np.int64) - 1
+            hit = self.hash[at] == h[left]
+            out[left[hit]] = at[hit]
+            left = left[~hit]
+            if not len(left):
+                break
         return out
 
     def by_text(self) -> dict[bytes, int]:
@@ -100,27 +115,31 @@ class Pieces:
 
     # ---- the lattice ----
 
-    def edges(self, chars: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, words, pieces) of the lattices of equally long words (rows of chars)."""
+    def edges(self, chars: np.ndarray) -> list[np.ndarray]:
+        """For each length, the piece that begins at each place of equally long words (rows of chars); the number of pieces where there is none."""
+        h = np.zeros(chars.shape, np.uint64)
         out = []
-        width = chars.shape[1]
-        for i in range(width):
-            h = np.zeros(len(chars), np.uint64)
-            for j in range(i, min(width, i + self.longest)):
-                h = _roll(h, chars[:, j])
-                piece = self.find(h)
-                on = np.flatnonzero(piece >= 0)
-                if len(on):
-                    out.append((i, j + 1, on, piece[on]))
+        for n in range(1, min(chars.shape[1], self.longest) + 1):
+            h = _roll(h[:, : chars.shape[1] - n + 1], chars[:, n - 1 :])
+            found = self.find(h.ravel()).reshape(h.shape)
+            out.append(np.where(found < 0, len(self.pieces), found))
         return out
 
-    def forward(self, chars: np.ndarray, edges: list) -> np.ndarray:
-        a = np.full((chars.shape[1] + 1, len(chars)), -np.inf)
-        a[0] = 0
-        for i, j, on, piece in sorted(edges, key=lambda e: e[0]):
-            a[j, on] = np.logaddexp(a[j, on], a[i, on] + self.logp[piece])
+    def forward(self, lp: list[np.ndarray], width: int) -> np.ndarray:
+        """Log probability of each beginning of the words, over all its segmentations. lp: log probabilities of the edges by length."""
+        a = np.full((len(lp[0]), width + 1), -np.inf)
+        a[:, 0] = 0
+        for j in range(1, width + 1):
+            a[:, j] = _log_sum([a[:, j - n] + lp[n - 1][:, j - n] for n in range(1, min(j, len(lp)) + 1)])
         return a
 
+    def backward(self, lp: list[np.ndarray], width: int) -> np.ndarray:
+        b = np.full((len(lp[0]), width + 1), -np.inf)
+        b[:, width] = 0
+        for i in reversed(range(width)):
+            b[:, i] = _log_sum([b[:, i + n] + lp[n - 1][:, i] for n in range(1, min(width - i, len(lp)) + 1)])
+        return b
+
     def one(self, word: bytes, counts: np.ndarray | None = None, times: float = 0.0) -> float:
         """The same for one long word, with a dictionary; adds expected counts of pieces if asked."""
         index, n = self.by_text(), len(word)
@@ -150,16 +169,17 @@ class Pieces:
                 continue
             chars = np.frombuffer(b"".join(b" " + words[r] for r in rows.tolist()), np.uint8).reshape(len(rows), n + 1)
             edges = self.edges(chars)
-            a = self.forward(chars, edges)
-            out[rows] = a[n + 1]
+            table = np.append(self.logp, -np.inf)
+            lp = [table[e] for e in edges]
+            a = self.forward(lp, n + 1)
+            out[rows] = a[:, n + 1]
             if counts is not None:
-                b = np.full_like(a, -np.inf)
-                b[n + 1] = 0
-                for i, j, on, piece in sorted(edges, key=lambda e: -e[0]):
-                    b[i, on] = np.logaddexp(b[i, on], b[j, on] + self.logp[piece])
-                ids = np.concatenate([e[3] for e in edges])
-                weight = np.concatenate([times[rows[on]] * np.exp(a[i, on] + self.logp[piece] + b[j, on] - a[n + 1, on]) for i, j, on, piece in edges])
-                counts += np.bincount(ids, weight, len(counts))
+                b = self.backward(lp, n + 1)
+                times_of = times[rows][:, None]
+                for k, (piece, p) in enumerate(zip(edges, lp), 1):
+                    on = piece < len(counts)
+                    weight = (a[:, : n + 2 - k] + p + b[:, k:] - a[:, n + 1 :])[on]
+                    counts += np.bincount(piece[on], np.broadcast_to(times_of, piece.shape)[on] * np.exp(weight), len(counts))
         return out
 
 
@@ -169,22 +189,49 @@ def from_ranks(pieces: list[bytes]) -> np.ndarray:
     return np.log(p / p.sum())
 
 
-def re_estimated(lexicon: DataFrame, first: Pieces, ends: int, prior: float = 100.0) -> Pieces:
-    """One step of expectation maximisation over (word, c); the end of a text is one more symbol. The vocabulary's own probabilities count as `prior` pieces."""
-    sent = lexicon.sparkSession.sparkContext.broadcast(first)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(sent.value.pieces))
-        for b in batches:
-            sent.value.words([w.encode() for w in b.column("word").to_pylist()], counts, b.column("c").to_numpy().astype(float))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["piece", "n"])
-
-    got = lexicon.filter("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-    n = prior * np.exp(first.logp)
-    n[got.piece.to_numpy(dtype=np.int64)] += got.n.to_numpy(dtype=float)
-    total = n.sum() + max(ends, 1)
-    return Pieces(first.pieces, np.log(n / total), float(np.log(max(ends, 1) / total)))
+def re_estimated(lexicon: DataFrame, first: Pieces, ends: int, prior: float = 100.0, most: int = 4, gain: float = 0.005) -> tuple[Pieces, list[float]]:
+    """(the pieces with their fitted probabilities, mean log10 probability of a held-out word before each step).
+
+    Expectation maximisation over (word, c); the end of a text is one more symbol. The vocabulary's own probabilities count as
+    `prior` pieces. A tenth of the words, by hash, is held out: steps go on until these gain less than the share `gain`, or to `most` steps; the
+    last one counts the held-out words too.
+    """
+    spark = lexicon.sparkSession
+    words = lexicon.filter("c > 0").select("word", "c", (F.pmod(F.xxhash64("word"), F.lit(10)) == 0).alias("out"))
+
+    def step(now: Pieces) -> tuple[np.ndarray, float, float]:
+        """(expected counts of the words kept and held out, log probability and number of those held out)."""
+        sent = spark.sparkContext.broadcast(now)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, total, n = np.zeros((2, len(sent.value.pieces))), 0.0, 0.0
+            for b in batches:
+                out = b.column("out").to_numpy(zero_copy_only=False).astype(bool)
+                for held, part in ((0, b.filter(pa.array(~out))), (1, b.filter(pa.array(out)))):
+                    c = part.column("c").to_numpy().astype(float)
+                    logp = sent.value.words([w.encode() for w in part.column("word").to_pylist()], counts[held], c)
+                    if held:
+                        total, n = total + float(c @ logp), n + float(c.sum())
+            part, at = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(part, [2, 3])), pa.array(np.append(at, [0, 0])), pa.array(np.append(counts[part, at], [total, n]))], names=["part", "piece", "n"])
+
+        got = words.mapInArrow(run, "part long, piece long, n double").groupBy("part", "piece").agg(F.sum("n").alias("n")).toPandas()
+        table = np.zeros((4, len(now.pieces)))
+        table[got.part.to_numpy(dtype=np.int64), got.piece.to_numpy(dtype=np.int64)] = got.n.to_numpy(dtype=float)
+        return table[:2], float(table[2, 0]), float(table[3, 0])
+
+    def fitted(counts: np.ndarray) -> Pieces:
+        n = prior * np.exp(first.logp) + counts
+        total = n.sum() + max(ends, 1)
+        return Pieces(first.pieces, np.log(n / total), float(np.log(max(ends, 1) / total)))
+
+    now, seen = first, []
+    while True:
+        counts, logp, n = step(now)
+        seen.append(logp / LN10 / max(n, 1.0))
+        if len(seen) == most or (len(seen) > 1 and seen[-1] - seen[-2] < gain * abs(seen[-2])):
+            return fitted(counts.sum(0)), seen
+        now = fitted(counts[0])
 
 
 # ---- the corpus ---------------------------------------------------------------------------------------------------
@@ -255,12 +302,15 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     staging = Staging(spark, "lattice-lm")
     seen = staging.write(grouped_words(docs), "words")
     words, texts = seen.filter("word IS NOT NULL"), seen.filter("word IS NULL")
-    totals = texts.filter("NOT held_out").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count("*").alias("ends")).first()
+    train = ~F.col("held_out")
+    totals = texts.agg(
+        F.coalesce(F.sum(F.when(train, F.col("n_tokens"))), F.lit(0)).alias("n"), F.count_if(train).alias("ends"), F.coalesce(F.sum(F.octet_length("ids") + F.octet_length("counts") + 64), F.lit(0)).alias("bytes")
+    ).first()
     lexicon = staging.write(words.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
     n, ends = totals["n"], totals["ends"]
     v = lexicon.filter("c > 0").count() + (ends > 0)
     first = Pieces(pieces := read_pieces(vocabulary), from_ranks(pieces))
-    fitted = re_estimated(lexicon, first, ends)
+    fitted, _ = re_estimated(lexicon, first, ends)
     sent = spark.sparkContext.broadcast(fitted)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +321,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     scored = lexicon.mapInArrow(likelihood, "word string, c long, logp double")
     back = words.select("grp", "lid", "word").join(scored, "word").select("grp", "lid", "c", "logp", *(F.lit(None).cast(t).alias(c) for c, t in TEXT))
     rows = back.unionByName(texts.select("grp", F.lit(None).cast("int").alias("lid"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("logp"), *(c for c, _ in TEXT)))
-    met = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions(F.col("grp"), F.col("lid").asc_nulls_last())
+    met = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), totals["bytes"] // PART), "grp").sortWithinPartitions(F.col("grp"), F.col("lid").asc_nulls_last())
     unseen = float(np.log10(1 / (n + v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
