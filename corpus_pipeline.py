@@ -2,6 +2,11 @@
 
 Language ID drops what has no clear language; the n-gram join keeps one document of each group of near duplicates; secrets are
 replaced by their kind; documents are repeated to mix the languages; the rest is packed into bins.
+
+Nulls: a null or empty text has no letter, so the first stage drops it; a null id is no near duplicate and is mixed and packed like
+any; a null language or source is learned from by none and is a source of its own. Rows that share an id stay or go together, wholly
+repeated ones are kept once. Very long texts are taken whole and packed in pieces. An empty table gives none. Extra columns pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -68,3 +68,8 @@ def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation; null where a side is constant, which corr() takes for a division by zero."""
     spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b)))
     return F.covar_pop(a, b) / F.when(spread > 1e-12, spread)
+
+
+def quantile(c: Column | str, q: float, approx: bool = False) -> Column:
+    """Interpolated quantile; approx takes a mergeable sketch (one part in ten thousand), for groups too large to be sorted in one task."""
+    return F.percentile_approx(c, q, 10_000) if approx else F.percentile(c, F.lit(q))

@@ -109,16 +109,25 @@ def precision_at_k(df: DataFrame, by: list[str], score: str, quality: str, k: in
     return ranked.filter(F.col("r") <= k).groupBy(*by).agg(F.avg("good").alias("precision_at_k"))
 
 
-def average_rank(df: DataFrame, by: list[str], col: str) -> Column:
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / 2
-
-
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties; null for fewer than three rows or a constant."""
-    ranked = df.select(*by, a, b).withColumns({"ra": average_rank(df, by, a), "rb": average_rank(df, by, b)})
-    flat = (F.var_pop("ra") < 1e-12) | (F.var_pop("rb") < 1e-12) | (F.count("*") < 3)
-    return ranked.groupBy(*by).agg(F.when(~flat, safe_corr(F.col("ra"), F.col("rb"))).alias("spearman"))
+    """Rank correlation with average ranks for ties; null for fewer than three rows or a constant.
+
+    Equal pairs of values are counted first, so the windows run over distinct pairs and not over rows.
+    """
+    n = F.col("__n")
+    pairs = df.groupBy(*by, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").cast("double").alias("__n"))
+
+    def rank(c: str) -> Column:
+        # of n equal values the last has the rank that the sum gives, and their mean is (n - 1) / 2 below it
+        return F.sum(n).over(Window.partitionBy(*by).orderBy(c)) - (F.sum(n).over(Window.partitionBy(*by, c)) - 1) / 2
+
+    r = pairs.select(*by, "__n", rank("__a").alias("ra"), rank("__b").alias("rb"))
+    total = F.sum(n)
+    mean = (total + 1) / 2
+    va, vb = F.sum(n * F.pow("ra", F.lit(2.0))) / total - mean * mean, F.sum(n * F.pow("rb", F.lit(2.0))) / total - mean * mean
+    cov = F.sum(n * F.col("ra") * F.col("rb")) / total - mean * mean
+    flat = (va < 1e-12) | (vb < 1e-12) | (total < 3)
+    return r.groupBy(*by).agg(F.when(~flat, cov / F.sqrt(F.when(~flat, va * vb))).alias("spearman"))
 
 
 def top_share(df: DataFrame, by: list[str], item: str, value: str, share: float = 0.1) -> DataFrame:

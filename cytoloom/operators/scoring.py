@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import clip, logit, sigmoid
+from ..functions.columns import clip, logit, quantile, sigmoid
 
 #: statuses in order of precedence, the last if nothing speaks against it
 REJECTED_OOD, REJECTED_UNSAFE, REJECTED_NO_REJUVENATION, APPROVED = "REJECTED_OOD", "REJECTED_UNSAFE", "REJECTED_NO_REJUVENATION", "APPROVED"
@@ -57,19 +57,29 @@ def rank_candidates(responses: DataFrame, top: int = 0) -> DataFrame:
     return ordered.limit(top) if top else ordered
 
 
-def fit_conformal(residuals: DataFrame, by: list[str], levels: list[float], col: str = "abs_residual") -> DataFrame:
-    """by, level, q, attainable: the ceil((n + 1) level)-th smallest residual, at most the largest; 1000 without residuals."""
+def fit_conformal(residuals: DataFrame, by: list[str], levels: list[float], col: str = "abs_residual", approx: bool = False) -> DataFrame:
+    """by, level, q, attainable: the ceil((n + 1) level)-th smallest residual, at most the largest; 1000 without residuals.
+
+    Equal residuals are counted first, so the window runs over distinct ones; approx takes a sketch's quantile instead, for groups too large to be sorted in one task.
+    """
+    grid = F.explode(F.array(*(F.lit(float(v)) for v in levels)))
+    if approx:
+        at = residuals.groupBy(*by).agg(F.count(col).alias("n"), *(F.percentile_approx(col, v, 10_000).alias(f"q{i}") for i, v in enumerate(levels)))
+        long = at.select(*by, "n", F.inline(F.array(*(F.struct(F.lit(float(v)).alias("level"), F.col(f"q{i}").cast("double").alias("q")) for i, v in enumerate(levels)))))
+        return long.select(*by, "level", F.coalesce("q", F.lit(1e3)).alias("q"), F.coalesce(F.ceil((F.col("n") + 1) * F.col("level")) <= F.col("n"), F.lit(False)).alias("attainable"))
+    each = residuals.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("m"))
     w = Window.partitionBy(*by)
-    ranked = residuals.filter(F.col(col).isNotNull()).select(*by, col, F.row_number().over(w.orderBy(col)).alias("r"), F.count("*").over(w).alias("n"))
-    want = ranked.withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels)))).withColumn("k", F.ceil((F.col("n") + 1) * F.col("level")))
-    got = want.filter(F.col("r") == F.greatest(F.lit(1), F.least("k", "n"))).select(*by, "level", F.col(col).alias("q"), (F.col("k") <= F.col("n")).alias("attainable"))
-    grid = residuals.select(*by).distinct().withColumn("level", F.explode(F.array(*(F.lit(float(v)) for v in levels))))
-    return grid.join(got, [*by, "level"], "left").select(*by, "level", F.coalesce("q", F.lit(1e3)).alias("q"), F.coalesce("attainable", F.lit(False)).alias("attainable"))
+    ranked = each.select(*by, col, "m", F.sum("m").over(w.orderBy(col)).alias("upto"), F.sum("m").over(w).alias("n"))
+    want = ranked.withColumn("level", grid).withColumn("k", F.ceil((F.col("n") + 1) * F.col("level")))
+    at = F.greatest(F.lit(1), F.least("k", "n"))
+    got = want.filter((F.col("upto") >= at) & (F.col("upto") - F.col("m") < at)).select(*by, "level", F.col(col).alias("q"), (F.col("k") <= F.col("n")).alias("attainable"))
+    wanted = residuals.select(*by).distinct().withColumn("level", grid)
+    return wanted.join(got, [*by, "level"], "left").select(*by, "level", F.coalesce("q", F.lit(1e3)).alias("q"), F.coalesce("attainable", F.lit(False)).alias("attainable"))
 
 
-def sigma_scale(df: DataFrame, by: list[str], residual: str, sigma: str, level: float = 0.9, z: float = 1.6448536269514722) -> DataFrame:
+def sigma_scale(df: DataFrame, by: list[str], residual: str, sigma: str, level: float = 0.9, z: float = 1.6448536269514722, approx: bool = False) -> DataFrame:
     """max(1, level-quantile of |residual| over z times the median spread); 1 where that is no number."""
-    ratio = F.percentile(F.abs(F.col(residual)), F.lit(level)) / F.nullif(F.percentile(sigma, F.lit(0.5)) * z, F.lit(0.0))
+    ratio = quantile(F.abs(F.col(residual)), level, approx) / F.nullif(quantile(sigma, 0.5, approx) * z, F.lit(0.0))
     return df.groupBy(*by).agg(F.greatest(F.lit(1.0), F.coalesce(ratio, F.lit(1.0))).alias("sigma_scale"))
 
 
@@ -107,9 +117,9 @@ def fit_temperature(df: DataFrame, logits: list[str], y: str, points: int = 25,
     return best[1]
 
 
-def minmax_by_calib(test: DataFrame, calib: DataFrame, by: list[str], col: str, q: float) -> DataFrame:
+def minmax_by_calib(test: DataFrame, calib: DataFrame, by: list[str], col: str, q: float, approx: bool = False) -> DataFrame:
     """test with scaled (clipped to [0, 1] by the calibration set's range) and threshold (its scaled quantile)."""
-    ranges = calib.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.percentile(col, F.lit(q)).alias("t"))
+    ranges = calib.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), quantile(col, q, approx).alias("t"))
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     scaled = lambda c: F.coalesce(clip((c - F.col("lo")) / width, 0.0, 1.0), F.lit(0.0))
     return test.join(F.broadcast(ranges), by).withColumns({"scaled": scaled(F.col(col)), "threshold": scaled(F.col("t"))}).drop("lo", "hi", "t")

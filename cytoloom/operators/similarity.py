@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import dot
+from ..functions.columns import dot, quantile
 
 
 def hashed_fingerprint(compound: Column, n: int = 48, size: int = 2048) -> Column:
@@ -21,43 +21,45 @@ def encode_once(df: DataFrame, key: str, out: str = "bits") -> DataFrame:
     return df.join(distinct, key)
 
 
-def jaccard_knn(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """query_id, ref_id, distance of the k nearest refs by Jaccard distance of on-bits, by ref_id on ties.
+def _in_blocks(queries: DataFrame, refs: DataFrame, by: list[str], block: int) -> DataFrame:
+    """All pairs of queries (query_id) and refs (ref_id) of a key, met in blocks of about `block` rows on either side, so that a hot key is many tasks and nothing is broadcast."""
+    n = lambda d: F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(d)
+    sizes = queries.groupBy(*by).agg(n("nq")).join(refs.groupBy(*by).agg(n("nr")), by)
+    spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    q = queries.join(sizes, by).withColumn("bq", spread("query_id", "nq")).withColumn("br", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).drop("nq", "nr")
+    r = refs.join(sizes, by).withColumn("br", spread("ref_id", "nr")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq", "nr")
+    return q.join(r, [*by, "bq", "br"]).drop("bq", "br")
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    # the limit on the rank is taken in each partition before rows of a query meet
+    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))).filter(F.col("r") <= k).drop("r")
 
-    queries: query_id, bits; refs: ref_id, bits; both hold distinct fingerprints. Pairs meet by shared bits. Where a query
-    meets fewer than k, the first refs by id fill up at distance 1; of two empty sets the distance is 0.
+
+def jaccard_knn(queries: DataFrame, refs: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """query_id, ref_id, distance of the k nearest refs by Jaccard distance of on-bits, by ref_id on ties. Of two empty sets the distance is 0.
+
+    queries: query_id, bits; refs: ref_id, bits; both hold distinct fingerprints. Fingerprints of some dozens of bits meet nearly all others in some
+    bit, so no index would prune: the queries are held against all refs, in blocks, and each block keeps its k best of a query.
     """
-    q = queries.select("query_id", F.size("bits").alias("nq"), F.explode("bits").alias("bit"))
-    r = refs.select("ref_id", F.size("bits").alias("nr"), F.explode("bits").alias("bit"))
-    shared = q.join(r, "bit").groupBy("query_id", "ref_id").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("nr").alias("nr"))
-    near = shared.select("query_id", "ref_id", (1 - F.col("both") / (F.col("nq") + F.col("nr") - F.col("both"))).alias("distance"))
-    empty = queries.filter(F.size("bits") == 0).select("query_id").crossJoin(F.broadcast(refs.filter(F.size("bits") == 0).orderBy("ref_id").limit(k).select("ref_id"))).withColumn("distance", F.lit(0.0))
-    # fillers are the first refs by id, as many as a query can need: k beyond those it met
-    first = Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    met = near.unionByName(empty).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
-    short = queries.select("query_id").join(met.groupBy("query_id").count(), "query_id", "left").filter(F.coalesce("count", F.lit(0)) < k).select("query_id")
-    fill = short.crossJoin(F.broadcast(refs.orderBy("ref_id").limit(2 * k).select("ref_id"))).join(met, ["query_id", "ref_id"], "left_anti").withColumn("distance", F.lit(1.0))
-    return met.unionByName(fill).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
+    pairs = _in_blocks(queries.select("query_id", "bits").withColumn("all", F.lit(0)), refs.select("ref_id", F.col("bits").alias("other")).withColumn("all", F.lit(0)), ["all"], block)
+    both = F.size(F.array_intersect("bits", "other"))
+    union = F.size("bits") + F.size("other") - both
+    met = pairs.select("query_id", "ref_id", both.alias("both"), union.alias("union"))
+    return _nearest(met.select("query_id", "ref_id", F.when(F.col("union") == 0, 0.0).otherwise(1 - F.col("both") / F.nullif(F.col("union"), F.lit(0))).alias("distance")), k)
 
 
 def euclidean_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], block: int = 1024) -> DataFrame:
-    """query_id, ref_id, distance of the k nearest refs of the same key, by ref_id on ties. queries: by, query_id, v; refs: by, ref_id, ref_v.
+    """by, query_id, ref_id, distance of the k nearest refs of the same key, by ref_id on ties. queries: by, query_id, v; refs: by, ref_id, ref_v.
 
-    A key's rows meet in blocks of about `block` on either side, so a hot key is many tasks; each block keeps the k best refs of its queries, and only
-    these are ranked. All queries against all refs of a key is as many distances as that takes: state a smaller query set where a key has very many rows.
+    All queries against all refs of a key is as many distances as that takes: state a smaller query set where a key has very many rows.
     """
-    n = lambda d: F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(d)
-    sizes = queries.groupBy(*by).agg(n("nq")).join(refs.groupBy(*by).agg(n("nr")), by)
-    spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
-    q = queries.join(sizes, by).select(*by, "query_id", "v", spread("query_id", "nq").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("br"))
-    r = refs.join(sizes, by).select(*by, "ref_id", "ref_v", spread("ref_id", "nr").alias("br"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
     d = F.sqrt(F.aggregate(F.zip_with("v", "ref_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    met = q.join(r, [*by, "bq", "br"]).select(*by, "query_id", "ref_id", d.alias("distance"))
-    # the limit on the rank is taken in each partition before rows of a query meet
-    return met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))).filter(F.col("r") <= k).drop("r")
+    pairs = _in_blocks(queries.select(*by, "query_id", "v"), refs.select(*by, "ref_id", "ref_v"), by, block)
+    return _nearest(pairs.select(*by, "query_id", "ref_id", d.alias("distance")), k)
 
 
-def fit_ood(train: DataFrame, col: str, ridge: float = 1e-3, q: float = 0.99) -> dict:
+def fit_ood(train: DataFrame, col: str, ridge: float = 1e-3, q: float = 0.99, approx: bool = False) -> dict:
     """Mean, inverse of covariance (n - 1) plus ridge, and the q-quantile of squared distances. The matrix has the features' size, whatever the rows do.
 
     Sums of products are one aggregate over the pairs of dimensions.
@@ -72,7 +74,7 @@ def fit_ood(train: DataFrame, col: str, ridge: float = 1e-3, q: float = 0.99) ->
     mean[i] = pairs["mean"].to_numpy()
     precision = np.linalg.inv(covariance + ridge * np.eye(d))
     model = {"mean": mean.tolist(), "precision": precision.tolist()}
-    model["threshold"] = score_ood(train, col, model | {"threshold": 0.0}).agg(F.percentile("d2", F.lit(q)).alias("t")).first()["t"]
+    model["threshold"] = score_ood(train, col, model | {"threshold": 0.0}).agg(quantile("d2", q, approx).alias("t")).first()["t"]
     return model
 
 

@@ -137,3 +137,13 @@ def test_calibration_policy_reports_both(spark):
     rows = [("xdonor" if i % 4 == 0 else "in_dist", float(x), float(rng.random() < x**2)) for i, x in enumerate(p)]
     got = {r["fitted_on"]: r for r in V.calibration_policy(spark.createDataFrame(rows, "origin string, p double, y double"), "p", "y").collect()}
     assert (got["all"]["n"], got["pool"]["n"]) == (400, 100) and all(0 <= r["safe_ece"] < 0.2 for r in got.values())
+
+
+def test_sketches_are_near_the_exact_quantiles(spark):
+    from cytoloom.operators import scoring as C
+
+    df = spark.range(5000).select(F.lit("g").alias("g"), (F.col("id") % 997).cast("double").alias("abs_residual"), F.lit(2.0).alias("s"))
+    exact, near = (C.fit_conformal(df, ["g"], [0.5, 0.9], approx=a).orderBy("level").collect() for a in (False, True))
+    assert [abs(a["q"] - b["q"]) <= 2 and a["attainable"] == b["attainable"] for a, b in zip(exact, near)] == [True, True]
+    one, two = (C.sigma_scale(df, ["g"], "abs_residual", "s", approx=a).first()["sigma_scale"] for a in (False, True))
+    assert abs(one - two) < 0.02 * one
