@@ -70,6 +70,25 @@ def view(train: DataFrame, cols: list[str], y: str = "y", age: str = "y_age", ma
     return predict
 
 
+def fourier_features(df: DataFrame, cols: list[str], n: int, scale: float = 1.0, seed: int = 0) -> DataFrame:
+    """df with k0.., random Fourier features of a Gaussian kernel: ridge on them is kernel ridge, as far as n features go."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    w, b = r.normal(0, scale, (n, len(cols))), r.uniform(0, 2 * np.pi, n)
+    at = lambda i: sum((F.col(c) * float(w[i, j]) for j, c in enumerate(cols)), F.lit(float(b[i])))
+    return df.withColumns({f"k{i}": F.cos(at(i)) * float(np.sqrt(2.0 / n)) for i in range(n)})
+
+
+#: what fits by name: each takes training rows, feature columns and the target, and gives a function of rows to rows with a prediction
+REGRESSORS: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {"ridge": lambda d, c, y: ridge(d, c, y), "boosted": lambda d, c, y: trees(d, c, y, "boosted"), "forest": lambda d, c, y: trees(d, c, y, "forest"), "kernel": lambda d, c, y: kernel_ridge(d, c, y)}
+
+
+def kernel_ridge(train: DataFrame, cols: list[str], y: str, n: int = 32) -> Callable[[DataFrame], DataFrame]:
+    model = ridge(fourier_features(train, cols, n), [f"k{i}" for i in range(n)], y)
+    return lambda df: model(fourier_features(df, cols, n)).drop(*(f"k{i}" for i in range(n)))
+
+
 def trees(train: DataFrame, cols: list[str], y: str, kind: str = "boosted") -> Callable[[DataFrame], DataFrame]:
     fit = GBTRegressor(labelCol=y, maxIter=10, maxDepth=3, seed=1) if kind == "boosted" else RandomForestRegressor(labelCol=y, numTrees=20, maxDepth=5, seed=1)
     model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), fit]).fit(train)

@@ -187,6 +187,12 @@ def focal_loss(probs: list[str], y: str, gamma: float) -> Column:
     return F.avg(-F.pow(1 - p, F.lit(gamma)) * F.ln(p))
 
 
+def soft_focal_loss(probs: list[str], soft: list[str], weights: list[float], gamma: float) -> Column:
+    """Focal loss against soft labels, with weights of classes."""
+    terms = [F.col(t) * w * F.pow(1 - F.greatest(F.col(p), F.lit(1e-12)), F.lit(gamma)) * F.ln(F.greatest(F.col(p), F.lit(1e-12))) for p, t, w in zip(probs, soft, weights)]
+    return F.avg(-sum(terms[1:], terms[0]))
+
+
 def huber_masked(pred: str, true: str, mask: Column, delta: float) -> Column:
     e = F.abs(F.col(pred) - F.col(true))
     return F.coalesce(F.avg(F.when(mask, F.when(e <= delta, e * e / 2).otherwise(delta * (e - delta / 2)))), F.lit(0.0))

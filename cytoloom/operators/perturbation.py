@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values: the factor vocabulary in the order of its vector, cocktails, letters
 FACTORS = ["POU5F1", "SOX2", "KLF4", "MYC", "NANOG", "LIN28A", "GLIS1", "SALL4"]
@@ -94,3 +94,17 @@ def union_sources(*parts: DataFrame) -> DataFrame:
     if twice:
         raise ValueError(f"chunk ids in several sources: {[r['chunk_id'] for r in twice]}")
     return tagged.drop("source_no")
+
+
+def label_rows(rows: DataFrame, counts: DataFrame, key: str, n: str, order: str) -> DataFrame:
+    """rows, each with the number of its key's count that its place in `order` has; an error where a key has more or fewer rows than its count."""
+    have = rows.groupBy(key).agg(F.count("*").alias("have"))
+    wrong = counts.select(key, n).join(have, key, "full_outer").filter(~F.col(n).eqNullSafe(F.col("have")))
+    if bad := [r[key] for r in wrong.limit(5).collect()]:
+        raise ValueError(f"counts do not match the rows of {bad}")
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
+def perturbation_vector(fingerprint: str, factors: str) -> Column:
+    """The vector of what was given: the compound's fingerprint if there is one, else the factors' levels."""
+    return F.coalesce(F.transform(fingerprint, lambda x: x.cast("double")), F.col(factors))

@@ -101,3 +101,10 @@ def class_variation(soft: DataFrame, cols: list[str], least: float = 0.01) -> Da
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     n = sum(((F.col(c) / total >= least).cast("int") for c in cols[1:]), (F.col(cols[0]) / total >= least).cast("int"))
     return mass.select(n.alias("n_classes"), (n >= 2).alias("varies"))
+
+
+def check_panel_hash(panels: DataFrame) -> DataFrame:
+    """panel_hash, n_sources, agree: whether all sources (source, pos, gene) have one panel."""
+    genes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda x: x["gene"])
+    each = panels.groupBy("source").agg(F.substring(F.sha2(F.concat_ws("\n", genes), 256), 1, 16).alias("h"))
+    return each.agg(F.min("h").alias("panel_hash"), F.count("*").alias("n_sources"), (F.min("h") == F.max("h")).alias("agree"))

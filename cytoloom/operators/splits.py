@@ -157,14 +157,16 @@ def composition(cells: DataFrame, splits: DataFrame, value: str) -> DataFrame:
     return counts.na.fill(0).join(both.groupBy("cell_line").agg(F.avg(value).alias("mean_value")), "cell_line")
 
 
-def inner_lodo(rows: DataFrame, bulk: float = 0.5) -> DataFrame:
+def inner_lodo(rows: DataFrame, bulk: float = 0.5, least: int = 2) -> DataFrame:
     """fold, cell_id, role: each usable donor is left out in turn; its rows of train, val and calib are evaluated.
 
-    rows: cell_id, donor, split. monitor: validation rows of other donors. Folds number as donors do; rows are repeated once a fold.
+    rows: cell_id, donor, split. monitor: validation rows of other donors. Folds number as donors do; rows are repeated once a fold. Fewer than `least` usable donors are an error.
     """
     n = rows.filter("split = 'train'").groupBy("donor").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     folds = n.crossJoin(F.broadcast(total)).filter(F.col("total") - F.col("n") >= F.lit(bulk) * F.col("total")).select(F.col("donor").alias("fold"))
+    if (usable := folds.limit(least).count()) < least:
+        raise ValueError(f"only {usable} donors can be left out; {least} are needed")
     used = rows.filter("split IN ('train', 'val', 'calib')").crossJoin(F.broadcast(folds))
     role = F.when(F.col("donor") == F.col("fold"), "eval").when(F.col("split") == "train", "train").when(F.col("split") == "val", "monitor")
     return used.select("fold", "cell_id", role.alias("role")).filter("role IS NOT NULL")

@@ -420,3 +420,92 @@ def timepoint_precision(spark, sf_dir):
     g = p.groupBy("donor").agg(F.count("*").alias("n_timepoints"), F.sum("n").alias("n_cells"))
     per = F.col("n_cells") / F.col("n_timepoints")
     return rounded(g.select("donor", "n_timepoints", "n_cells", per.alias("per_point"), (17.0 / F.sqrt(per)).alias("se_low"), (21.0 / F.sqrt(per)).alias("se_high"), (21.0 / F.sqrt(per) < 11.35).alias("resolves")))
+
+
+@query("dataset_split_sizes", D.sql("SELECT split, label, count(*) AS n, count(*) FILTER (chunk_id <> 4) AS n_age FROM (SELECT CAST(list_position([y_safe, y_loss, y_death], greatest(y_safe, y_loss, y_death)) - 1 AS INT) AS label, chunk_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.8 THEN 'val' WHEN u < 0.9 THEN 'calib' ELSE 'test' END AS split FROM fate JOIN (SELECT cell_id, chunk_id, (('0x' || substr(md5('7|' || cell_id), 1, 8))::UBIGINT / 4294967296.0) AS u FROM kept) USING (cell_id)) GROUP BY ALL"))
+def dataset_split_sizes(spark, sf_dir):
+    b = Build(spark, sf_dir)
+    y = X.fate_labels(b.scores(), b.kept(), 1.0).join(b.kept().select("cell_id", "chunk_id"), "cell_id").join(SP.random_split(b.kept(), [0.7, 0.1, 0.1, 0.1], 7), "cell_id")
+    return y.groupBy("split", hard_label(F.array("y_safe", "y_loss", "y_death")).alias("label")).agg(F.count("*").alias("n"), F.count_if(X.age_valid(F.col("chunk_id"), [4])).alias("n_age"))
+
+
+@query("label_rows", D.sql("SELECT cell_id, (row_number() OVER (PARTITION BY cell_line ORDER BY cell_id))::INT AS i FROM cells"))
+def label_rows(spark, sf_dir):
+    c = D.cells(spark, sf_dir).select("cell_id", "cell_line")
+    return P.label_rows(c, c.groupBy("cell_line").agg(F.count("*").alias("n")), "cell_line", "n", "cell_id").select("cell_id", "i")
+
+
+@query("panel_agreement", D.sql("SELECT substr(sha256(string_agg(gene, chr(10) ORDER BY gene)), 1, 16) AS panel_hash, 3::BIGINT AS n_sources, true AS agree FROM genes"))
+def panel_agreement(spark, sf_dir):
+    """Bundle, scaler and panel have one list of genes."""
+    from pyspark.sql import Window
+
+    from ..operators.quality import check_panel_hash
+
+    genes = D.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("gene")))  # a dimension
+    return check_panel_hash(genes.withColumn("source", F.explode(F.array(F.lit("bundle"), F.lit("scaler"), F.lit("panel")))))
+
+
+@query("soft_losses", D.sql("SELECT fold, round(avg(-(y0 * ln(p0) + y1 * ln(p1) + y2 * ln(p2))), 6) AS nll, round(avg(-(y0 * 1.0 * power(1 - p0, 2) * ln(p0) + y1 * 0.5 * power(1 - p1, 2) * ln(p1) + y2 * 2.0 * power(1 - p2, 2) * ln(p2))), 6) AS focal FROM (SELECT *, 0.9 * (y = 0)::INT + 0.1 / 3 AS y0, 0.9 * (y = 1)::INT + 0.1 / 3 AS y1, 0.9 * (y = 2)::INT + 0.1 / 3 AS y2 FROM probs) GROUP BY 1"))
+def soft_losses(spark, sf_dir):
+    """Losses against smoothed labels, with weights of classes."""
+    df = D.probs(spark, sf_dir).withColumns({f"y{i}": 0.9 * (F.col("y") == i).cast("int") + 0.1 / 3 for i in range(3)})
+    return rounded(df.groupBy("fold").agg(V.soft_nll(F.array("y0", "y1", "y2"), F.array(*PROBS)).alias("nll"), M.soft_focal_loss(PROBS, ["y0", "y1", "y2"], [1.0, 0.5, 2.0], 2.0).alias("focal")))
+
+
+_RECAL = f"SELECT fold, cell_id, -y_age AS g, unnest(['age', 'res', 'recalibrated']) AS arm, unnest([-mu_age, round(res, 9), round(CASE WHEN in_dist THEN 1 / (1 + exp(-greatest(least((sp - 0.4) / 0.05, 500), -500))) * sp * sp * (r / (r + 5.0)) ELSE 0 END, 9)]) AS score FROM (SELECT *, {_PLATT_SQL} AS sp FROM scored)"
+
+
+def _ranked(spark, sf_dir):
+    df = _card(spark, sf_dir)
+    raw = S.efficacy(df, PARAMS).select("cell_id", "fold", (-F.col("y_age")).alias("g"), "mu_age", F.col("res").alias("raw"))
+    new = S.efficacy(df.withColumn("s", F.col("s_platt")), PARAMS).select("cell_id", F.col("res").alias("new"))
+    return raw.join(new, "cell_id").select("cell_id", "fold", "g", F.expr("stack(3, 'age', -mu_age, 'res', round(raw, 9), 'recalibrated', round(new, 9)) AS (arm, score)"))
+
+
+@query("ranking_arms_full", D.sql(f"SELECT arm, fold, round(s.v, 6) AS spearman, round(p, 6) AS precision_at_5 FROM ({spearman_sql('arm, fold', 'score', 'g', 'rk')}) s JOIN (SELECT arm, fold, avg(good) AS p FROM (SELECT arm, fold, (g >= median(g) OVER (PARTITION BY arm, fold))::INT AS good, row_number() OVER (PARTITION BY arm, fold ORDER BY score DESC, cell_id) AS r FROM rk) WHERE r <= 5 GROUP BY ALL) USING (arm, fold)", rk=_RECAL))
+def ranking_arms_full(spark, sf_dir):
+    """Age alone, the score, and the score on recalibrated safety, against the true gain."""
+    long, by = _ranked(spark, sf_dir), ["arm", "fold"]
+    return rounded(M.spearman(long, by, "score", "g").join(M.precision_at_k(long, by, "score", "g", 5).withColumnRenamed("precision_at_k", "precision_at_5"), by))
+
+
+@query("threshold_arms", D.sql("SELECT arm, fold, round(count(*) FILTER (flag AND y = 0) / nullif(count(*) FILTER (flag), 0)::DOUBLE, 6) AS precision, round(CASE WHEN count(*) FILTER (flag) = 0 THEN 0 ELSE count(*) FILTER (flag AND y = 0) / nullif(count(*) FILTER (y = 0), 0)::DOUBLE END, 6) AS recall, count(*) FILTER (flag) AS n_flagged, count(*) FILTER (flag <> own) AS n_changed FROM (SELECT fold, y, arm, p0 >= CASE arm WHEN 'calib' THEN cut ELSE 0.35 END AS flag, p0 >= 0.5 AS own FROM vt JOIN (SELECT fold, quantile_cont(p0, 0.8) AS cut FROM vt WHERE split = 'val' GROUP BY 1) USING (fold), (SELECT unnest(['calib', 'fixed']) AS arm) WHERE split = 'test') GROUP BY ALL", vt=_VT))
+def threshold_arms(spark, sf_dir):
+    """Flags at the calibration rows' quantile and at a fixed cutoff, and how many differ from those at one half."""
+    df = _with_split(spark, sf_dir)
+    t = df.filter("split = 'val'").groupBy("fold").agg(F.percentile("p0", F.lit(0.8)).alias("t"))
+    arms = df.filter("split = 'test'").join(F.broadcast(t), "fold").withColumn("arm", F.explode(F.array(F.lit("calib"), F.lit("fixed")))).withColumn("flag", F.col("p0") >= F.when(F.col("arm") == "calib", F.col("t")).otherwise(0.35))
+    hits, flags, goods = F.count_if(F.col("flag") & (F.col("y") == 0)), F.count_if("flag"), F.count_if(F.col("y") == 0)
+    return rounded(arms.groupBy("arm", "fold").agg((hits / F.nullif(flags, F.lit(0))).alias("precision"), F.when(flags == 0, 0.0).otherwise(hits / F.nullif(goods, F.lit(0))).alias("recall"), flags.alias("n_flagged"), F.count_if(F.col("flag") != (F.col("p0") >= 0.5)).alias("n_changed")))
+
+
+@query("timepoints_unsafe", D.sql("SELECT donor, t, round(value, 6) AS value, round(unsafe, 6) AS unsafe, n FROM (SELECT *, count(*) OVER (PARTITION BY donor) AS k FROM (SELECT donor, day AS t, avg(value) AS value, avg((row_id % 5 = 0)::INT) AS unsafe, count(*) AS n FROM course GROUP BY ALL HAVING count(*) >= 2)) WHERE k >= 3"))
+def timepoints_unsafe(spark, sf_dir):
+    """Mean value and share of unsafe rows at each time point of a donor."""
+    from ..operators import timecourse as T
+
+    c = D.course(spark, sf_dir).withColumnRenamed("day", "t")
+    unsafe = c.groupBy("donor", "t").agg(F.avg((F.col("row_id") % 5 == 0).cast("double")).alias("unsafe"))
+    return rounded(T.timepoints(c, 3, 2).join(unsafe, ["donor", "t"]).select("donor", "t", "value", "unsafe", "n"))
+
+
+@query("regressors")
+def regressors(spark, sf_dir):
+    """Ridge, boosted trees, a forest and kernel ridge on the same rows, with donors left out in turn; mean R2 and error over donors."""
+    df = D.preds(spark, sf_dir).filter("age_mask").withColumn("region", F.col("fold") % 5)
+    parts = []
+    for g in (0, 1):  # fits
+        train, test = df.filter(F.col("region") != g), df.filter(F.col("region") == g)
+        parts += [M.regression(fit(train, ["z0", "z1", "z2", "sigma_age"], "y_age")(test), ["region"], "prediction", "y_age", F.lit(True)).withColumn("kind", F.lit(name)) for name, fit in B.REGRESSORS.items()]
+    return rounded(M.union_all(*parts).groupBy("kind").agg(F.avg("r2").alias("mean_r2"), F.avg("mae").alias("mae"), F.count("*").alias("n_folds")), 4)
+
+
+@query("perturbation_features", D.sql("SELECT c_custkey, round(list_sum(v), 6) AS mass, len(v)::INT AS width FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN [1.0, 0.0, 1.0, 1.0] ELSE list_transform(range(8), lambda i: (i * c_nationkey) / 10.0::DOUBLE) END AS v FROM customer)"))
+def perturbation_features(spark, sf_dir):
+    """The fingerprint where there is a compound, else the factors' levels."""
+    c = D.table(spark, sf_dir, "customer")
+    fp = F.when(F.col("c_custkey") % 2 == 0, F.array(*(F.lit(x) for x in (1, 0, 1, 1))))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i * F.col("c_nationkey") / 10.0)
+    v = c.select("c_custkey", fp.alias("fp"), levels.alias("tf")).select("c_custkey", P.perturbation_vector("fp", "tf").alias("v"))
+    return rounded(v.select("c_custkey", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("mass"), F.size("v").alias("width")))

@@ -147,3 +147,50 @@ def test_sketches_are_near_the_exact_quantiles(spark):
     assert [abs(a["q"] - b["q"]) <= 2 and a["attainable"] == b["attainable"] for a, b in zip(exact, near)] == [True, True]
     one, two = (C.sigma_scale(df, ["g"], "abs_residual", "s", approx=a).first()["sigma_scale"] for a in (False, True))
     assert abs(one - two) < 0.02 * one
+
+
+def test_sources_by_name(spark):
+    from cytoloom.sources.registry import SOURCES, fetch_all, source
+
+    one = SOURCES["tables"](spark.createDataFrame([("1", "a"), ("2", "b")], "chunk_id string, cell_id string"), spark.createDataFrame([("a", "G", 1.0), ("z", "G", 2.0)], "cell_id string, gene string, value double"))
+    two = SOURCES["tables"](spark.createDataFrame([("3", "c")], "chunk_id string, cell_id string"), spark.createDataFrame([("c", "H", 3.0)], "cell_id string, gene string, value double"))
+    cells, expr = fetch_all(spark, [one, two])
+    assert sorted(r["cell_id"] for r in cells.collect()) == ["a", "b", "c"] and sorted(r["cell_id"] for r in expr.collect()) == ["a", "c"]
+    with pytest.raises(ValueError):
+        fetch_all(spark, [one, one])
+    with pytest.raises(ValueError):
+        source("tables")(object)
+
+
+def test_counts_must_match_their_rows(spark):
+    from cytoloom.operators import perturbation as P
+
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 9)], "d string, t int")
+    got = P.label_rows(rows, spark.createDataFrame([("a", 2), ("b", 1)], "d string, n long"), "d", "n", "t")
+    assert {(r["d"], r["t"], r["i"]) for r in got.collect()} == {("a", 1, 1), ("a", 2, 2), ("b", 9, 1)}
+    for wrong in ([("a", 3), ("b", 1)], [("a", 2)], [("a", 2), ("b", 1), ("c", 1)]):
+        with pytest.raises(ValueError):
+            P.label_rows(rows, spark.createDataFrame(wrong, "d string, n long"), "d", "n", "t")
+
+
+def test_leaving_donors_out_needs_two(spark):
+    rows = spark.createDataFrame([(i, "bulk" if i < 90 else "a", "train") for i in range(100)], "cell_id int, donor string, split string")
+    with pytest.raises(ValueError):
+        S.inner_lodo(rows)
+
+
+def test_panels_that_differ(spark):
+    from cytoloom.operators.quality import check_panel_hash
+
+    rows = [("x", 0, "A"), ("x", 1, "B"), ("y", 0, "A"), ("y", 1, "B"), ("z", 0, "B"), ("z", 1, "A")]
+    df = spark.createDataFrame(rows, "source string, pos int, gene string")
+    assert not check_panel_hash(df).first()["agree"] and check_panel_hash(df.filter("source <> 'z'")).first()["agree"]
+
+
+def test_kernel_ridge_bends(spark):
+    from cytoloom.operators import baselines as B
+
+    x = np.linspace(-3, 3, 120)
+    df = spark.createDataFrame([(float(v), float(np.sin(2 * v))) for v in x], "x double, y double")
+    err = {n: B.REGRESSORS[n](df, ["x"], "y")(df).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] for n in ("ridge", "kernel")}
+    assert err["kernel"] < 0.5 * err["ridge"]
