@@ -97,9 +97,10 @@ def stream_ece_bins(spark, sf_dir):
     return rounded(out.select(F.floor(F.unix_seconds("w.start") / 86400).alias("day"), "bin", "n", "conf", "acc"))
 
 
-@query("stream_running_baseline", "SELECT user_id AS cell_line, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_id % 4 = 0 GROUP BY 1")
+@query("stream_running_baseline", "SELECT user_id AS cell_line, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type = 'view' GROUP BY 1")
 def stream_running_baseline(spark, sf_dir):
-    s = _events(spark, sf_dir).filter("event_id % 4 = 0").select(F.col("user_id").alias("cell_line"), "value")
+    """Views are the controls."""
+    s = _events(spark, sf_dir).filter("event_type = 'view'").select(F.col("user_id").alias("cell_line"), "value")
     out = drained(J.running_baseline(s), "update")
     last = out.groupBy("cell_line").agg(F.max_by(F.struct("n", "mean"), "n").alias("s"))
     return rounded(last.select("cell_line", "s.n", "s.mean"))
@@ -107,7 +108,7 @@ def stream_running_baseline(spark, sf_dir):
 
 @query("stream_running_baseline_all", "SELECT user_id AS cell_line, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def stream_running_baseline_all(spark, sf_dir):
-    """All events; stream_running_baseline takes a quarter of them for controls."""
+    """All events, as if all were controls."""
     s = _events(spark, sf_dir).select(F.col("user_id").alias("cell_line"), "value")
     last = drained(J.running_baseline(s), "update").groupBy("cell_line").agg(F.max_by(F.struct("n", "mean"), "n").alias("s"))
     return rounded(last.select("cell_line", "s.n", "s.mean"))

@@ -161,12 +161,13 @@ def hashed_fingerprint(spark, sf_dir):
     return N.encode_once(part, "compound").distinct()
 
 
-_FP = "SELECT compound, list(DISTINCT bit) AS bits FROM (SELECT compound, (('0x' || substr(sha256(compound || '|' || i), 1, 8))::UBIGINT % 64)::INT AS bit FROM (SELECT DISTINCT p_type || ' ' || p_size AS compound FROM part WHERE p_size <= 20), (SELECT unnest(range(12)) AS i)) GROUP BY 1"
+_FP = "SELECT compound, list(DISTINCT bit) AS bits FROM (SELECT compound, (('0x' || substr(sha256(compound || '|' || i), 1, 8))::UBIGINT % 64)::INT AS bit FROM (SELECT DISTINCT p_type || ' ' || p_size AS compound FROM part), (SELECT unnest(range(12)) AS i)) GROUP BY 1"
 
 
 @query("jaccard_knn", D.sql("SELECT query_id, ref_id, round(distance, 6) AS distance FROM (SELECT a.compound AS query_id, b.compound AS ref_id, 1 - len(list_intersect(a.bits, b.bits)) / len(list_distinct(a.bits || b.bits))::DOUBLE AS distance FROM fp a, fp b) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), ref_id) <= 5", fp=_FP))
 def jaccard_knn(spark, sf_dir):
-    c = D.table(spark, sf_dir, "part").filter("p_size <= 20").select(F.concat_ws(" ", "p_type", "p_size").alias("compound")).distinct()
+    """All compounds of part on a small fingerprint, which has many ties."""
+    c = D.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_size").alias("compound")).distinct()
     fp = c.withColumn("bits", N.hashed_fingerprint(F.col("compound"), 12, 64))
     return rounded(N.jaccard_knn(fp.withColumnRenamed("compound", "query_id"), fp.withColumnRenamed("compound", "ref_id"), 5))
 
@@ -176,7 +177,7 @@ _FP_ALL = "SELECT compound, list(DISTINCT bit) AS bits FROM (SELECT compound, ((
 
 @query("jaccard_knn_all", D.sql("SELECT query_id, ref_id, round(distance, 6) AS distance FROM (SELECT a.compound AS query_id, b.compound AS ref_id, 1 - len(list_intersect(a.bits, b.bits)) / len(list_distinct(a.bits || b.bits))::DOUBLE AS distance FROM fp a, fp b) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), ref_id) <= 5", fp=_FP_ALL))
 def jaccard_knn_all(spark, sf_dir):
-    """All compounds of part, with the operator's own fingerprint; jaccard_knn takes small ones on a small fingerprint."""
+    """All compounds of part, with the operator's own fingerprint."""
     c = D.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_size").alias("compound")).distinct()
     fp = c.withColumn("bits", N.hashed_fingerprint(F.col("compound")))
     return rounded(N.jaccard_knn(fp.withColumnRenamed("compound", "query_id"), fp.withColumnRenamed("compound", "ref_id"), 5))
