@@ -277,7 +277,7 @@ def test_mixing_meets_its_targets(spark):
 
 @pytest.mark.parametrize("noise", [0.0, 0.02])
 def test_mixing_meets_targets_of_a_rare_domain(spark, noise):
-    soft = spark.range(4000).select(F.lit(100).cast("long").alias("n_tokens"), F.when(F.col("id") < 4, F.array(F.lit(noise), F.lit(1 - noise))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("post")).localCheckpoint()
+    soft = Staging(spark, "test").write(spark.range(4000).select(F.lit(100).cast("long").alias("n_tokens"), F.when(F.col("id") < 4, F.array(F.lit(noise), F.lit(1 - noise))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("post")))
     errors = mixing.fit_rates(soft, ["a", "b"], {"a": 1.0, "b": 1.0})
     row = soft.withColumn("r", mixing.rate_after(errors, mixing.STEP)).agg(*(F.sum(F.col("n_tokens") * F.col("r") * F.get("post", F.lit(k))) for k in (0, 1))).first()
     assert abs(row[1] / (row[0] + row[1]) - 0.5) < 1e-3
