@@ -370,10 +370,15 @@ def validate_samples(spark, sf_dir):
     return validate(df)
 
 
+def _label():
+    # rounded, as a tie's winner depends on the last bits otherwise
+    return hard_label(F.array(*(F.round(c, 9) for c in ("y_safe", "y_loss", "y_death"))))
+
+
 # ---- the data build -----------------------------------------------------------------------------------------------
 
 
-@query("dataset_build", D.sql("""SELECT cell_id, CAST(list_position([y_safe, y_loss, y_death], greatest(y_safe, y_loss, y_death)) - 1 AS INT) AS label, chunk_id <> 4 AS age_mask, CASE WHEN chunk_id <> 4 THEN round(d_age, 5) + 0.0 END AS y_age, round(score, 5) + 0.0 AS cycle, round(log10(greatest(dose_um, 1e-4)), 6) AS log_dose, round(ln(greatest(time_h, 1e-2)), 6) AS log_time, round(x, 4) + 0.0 AS x_sum
+@query("dataset_build", D.sql("""SELECT cell_id, CAST(list_position([round(y_safe, 9), round(y_loss, 9), round(y_death, 9)], greatest(round(y_safe, 9), round(y_loss, 9), round(y_death, 9))) - 1 AS INT) AS label, chunk_id <> 4 AS age_mask, CASE WHEN chunk_id <> 4 THEN round(d_age, 5) + 0.0 END AS y_age, round(score, 5) + 0.0 AS cycle, round(log10(greatest(dose_um, 1e-4)), 6) AS log_dose, round(ln(greatest(time_h, 1e-2)), 6) AS log_time, round(x, 4) + 0.0 AS x_sum
   FROM fate JOIN deltas USING (cell_id) JOIN cyc USING (cell_id) JOIN (SELECT cell_id, dose_um, time_h FROM kept) USING (cell_id) JOIN (SELECT cell_id, sum(coalesce(value, 0) * (pos + 1)) AS x FROM (SELECT cell_id, gene, pos FROM kept, panel) LEFT JOIN norm USING (cell_id, gene) GROUP BY 1) USING (cell_id)"""))
 def dataset_build(spark, sf_dir):
     """Quality control to samples in one plan: labels, age shifts of sources that are not masked, cycle scores, panel, dose and time."""
@@ -387,7 +392,7 @@ def dataset_build(spark, sf_dir):
     valid = X.age_valid(F.col("chunk_id"), [4])
     weighed = F.aggregate(F.transform("X", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return df.select(
-        "cell_id", hard_label(F.array("y_safe", "y_loss", "y_death")).alias("label"), valid.alias("age_mask"), F.when(valid, F.round("d_age", 5) + 0.0).alias("y_age"), (F.round("score", 5) + 0.0).alias("cycle"),
+        "cell_id", _label().alias("label"), valid.alias("age_mask"), F.when(valid, F.round("d_age", 5) + 0.0).alias("y_age"), (F.round("score", 5) + 0.0).alias("cycle"),
         F.round(dose, 6).alias("log_dose"), F.round(time, 6).alias("log_time"), (F.round(weighed, 4) + 0.0).alias("x_sum"),
     )
 
@@ -422,11 +427,11 @@ def timepoint_precision(spark, sf_dir):
     return rounded(g.select("donor", "n_timepoints", "n_cells", per.alias("per_point"), (17.0 / F.sqrt(per)).alias("se_low"), (21.0 / F.sqrt(per)).alias("se_high"), (21.0 / F.sqrt(per) < 11.35).alias("resolves")))
 
 
-@query("dataset_split_sizes", D.sql("SELECT split, label, count(*) AS n, count(*) FILTER (chunk_id <> 4) AS n_age FROM (SELECT CAST(list_position([y_safe, y_loss, y_death], greatest(y_safe, y_loss, y_death)) - 1 AS INT) AS label, chunk_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.8 THEN 'val' WHEN u < 0.9 THEN 'calib' ELSE 'test' END AS split FROM fate JOIN (SELECT cell_id, chunk_id, (('0x' || substr(md5('7|' || cell_id), 1, 8))::UBIGINT / 4294967296.0) AS u FROM kept) USING (cell_id)) GROUP BY ALL"))
+@query("dataset_split_sizes", D.sql("SELECT split, label, count(*) AS n, count(*) FILTER (chunk_id <> 4) AS n_age FROM (SELECT CAST(list_position([round(y_safe, 9), round(y_loss, 9), round(y_death, 9)], greatest(round(y_safe, 9), round(y_loss, 9), round(y_death, 9))) - 1 AS INT) AS label, chunk_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.8 THEN 'val' WHEN u < 0.9 THEN 'calib' ELSE 'test' END AS split FROM fate JOIN (SELECT cell_id, chunk_id, (('0x' || substr(md5('7|' || cell_id), 1, 8))::UBIGINT / 4294967296.0) AS u FROM kept) USING (cell_id)) GROUP BY ALL"))
 def dataset_split_sizes(spark, sf_dir):
     b = Build(spark, sf_dir)
     y = X.fate_labels(b.scores(), b.kept(), 1.0).join(b.kept().select("cell_id", "chunk_id"), "cell_id").join(SP.random_split(b.kept(), [0.7, 0.1, 0.1, 0.1], 7), "cell_id")
-    return y.groupBy("split", hard_label(F.array("y_safe", "y_loss", "y_death")).alias("label")).agg(F.count("*").alias("n"), F.count_if(X.age_valid(F.col("chunk_id"), [4])).alias("n_age"))
+    return y.groupBy("split", _label().alias("label")).agg(F.count("*").alias("n"), F.count_if(X.age_valid(F.col("chunk_id"), [4])).alias("n_age"))
 
 
 @query("label_rows", D.sql("SELECT cell_id, (row_number() OVER (PARTITION BY cell_line ORDER BY cell_id))::INT AS i FROM cells"))
