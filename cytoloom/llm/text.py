@@ -88,11 +88,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
 class Words:
     """The words of a batch of texts: byte spans, the text each is in, and where each text's words begin."""
 
+    blank = _BLANK  # which bytes part words
+
     def __init__(self, texts: pa.Array, fold: bool = True):
         raw, self.offsets = string_bytes(texts)
         self.bytes = _FOLD[raw] if fold else raw
         n = len(raw)
-        solid = ~_BLANK[raw]
+        solid = ~self.blank[raw]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         ends = solid.copy()
