@@ -30,7 +30,8 @@ def softmax(*scores: Column, tau: float = 1.0) -> list[Column]:
 
 
 def hard_label(y: Column) -> Column:
-    """Index of the largest entry of an array, the first on ties."""
+    """Index of the largest entry of an array, the first on ties; entries are rounded to 9 places, as the last bits follow the order of summation."""
+    y = F.transform(y, lambda v: F.round(v, 9))
     return (F.array_position(y, F.array_max(y)) - 1).cast("int")
 
 

@@ -27,6 +27,21 @@ def class_shares(df: DataFrame, by: list[str], y: str, k: int, age: Column) -> D
     return df.groupBy(*by).agg(*shares, F.avg(age).alias("mu_age"))
 
 
+def binned_fit(train: DataFrame, by: list[str], x: str, bucket: Column, y: str, k: int, age: str, mask: str) -> Callable[[DataFrame], DataFrame]:
+    """Two least fits for every group of `by` in one aggregate each: class shares by bucket with one row of each class added, and the age as a line of x. Gives p0.. and mu_age; a bucket without rows has equal shares."""
+    from .expression import ols
+
+    counts = train.groupBy(*by, bucket.alias("__b")).agg(*(((F.count_if(F.col(y) == i) + 1) / (F.count(y) + k)).alias(f"p{i}") for i in range(k)))
+    line = ols(by, train.filter(mask), x, age)
+
+    def predict(df: DataFrame) -> DataFrame:
+        bare = df.drop("mu_age", *(f"p{i}" for i in range(k))).withColumn("__b", bucket)
+        out = bare.join(F.broadcast(counts), [*by, "__b"], "left").join(F.broadcast(line), by)
+        return out.withColumns({**{f"p{i}": F.coalesce(f"p{i}", F.lit(1 / k)) for i in range(k)}, "mu_age": F.col("a") * F.col(x) + F.col("b")}).drop("__b", "a", "b")
+
+    return predict
+
+
 def _features(cols: list[str]) -> list:
     return [VectorAssembler(inputCols=cols, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)]
 

@@ -101,7 +101,7 @@ def _status(p: S.ScoreParams, mu: Column) -> Column:
 
 
 def evaluate(df: DataFrame, probs: list[str], q: float, params: S.ScoreParams) -> DataFrame:
-    """regime, estimator, prauc, ece, mae, r2, n and, of `model`, coverage and spearman: what gates() takes.
+    """regime, estimator, prauc, ece, mae, r2, n and, of `model`, coverage and spearman: what gates() takes. prauc and mae are rounded to 9 places, so that estimators that tie do so whatever the order of summation.
 
     df: regime, estimator, probs, mu_age, sigma_age, in_dist, y, y_age, age_mask: the predictions of all estimators in all regimes. prauc is the mean over classes that have rows.
     """
@@ -113,7 +113,7 @@ def evaluate(df: DataFrame, probs: list[str], q: float, params: S.ScoreParams) -
     ranked = M.spearman(model.select("regime", F.round("res", 9).alias("res"), (-F.col("y_age")).alias("g")), ["regime"], "res", "g")
     covered = model.groupBy("regime").agg(M.coverage(F.col("mu_age") - q, F.col("mu_age") + q, F.col("y_age")).alias("coverage"))
     of_model = ranked.join(covered, "regime").withColumn("estimator", F.lit("model"))
-    return fit.join(macro, by, "left").join(M.ece_top1(df, by, probs, "y"), by, "left").join(of_model, by, "left").select(*by, "prauc", "ece", "mae", "r2", "n", "coverage", "spearman")
+    return fit.join(macro, by, "left").join(M.ece_top1(df, by, probs, "y"), by, "left").join(of_model, by, "left").select(*by, F.round("prauc", 9).alias("prauc"), "ece", F.round("mae", 9).alias("mae"), "r2", "n", "coverage", "spearman")
 
 
 def fold_report(metrics: DataFrame, names: list[str], by: str = "fold") -> DataFrame:
@@ -133,7 +133,10 @@ def donor_error_scale(df: DataFrame, donor: str = "donor", most: float = 0.5) ->
 
 
 def batch_offset(pairs: DataFrame, least: int = 3) -> DataFrame:
-    """n, mean_offset, ci_low, ci_high, status of paired offsets (column offset)."""
+    """n, mean_offset, ci_low, ci_high, status of paired offsets (column offset).
+
+    The t points are those of n - 1 degrees of freedom, so intervals of few pairs are narrower than from a table that is looked up one off.
+    """
     n = F.count("offset")
     g = pairs.agg(n.alias("n"), F.avg("offset").alias("m"), F.stddev_samp("offset").alias("sd"))
     half = _lookup(F.col("n") - 1, T_FEW, T_MANY) * F.col("sd") / F.sqrt("n")

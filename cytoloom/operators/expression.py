@@ -73,22 +73,6 @@ def pivot_scores(scores: DataFrame, names: list[str]) -> DataFrame:
     return scores.groupBy("cell_id").pivot("set_name", names).agg(F.first("score"))
 
 
-def control_relative_z(df: DataFrame, score: str) -> Column:
-    """z of `score` against the own line's controls in the chunk; fewer than two: the chunk's controls; no spread: the chunk's, then 1.
-
-    As windows, for chunks of moderate size; relative_to_controls gives the same by aggregates."""
-    line, chunk = Window.partitionBy("chunk_id", "cell_line"), Window.partitionBy("chunk_id")
-    ctrl = F.when(F.col("is_control"), F.col(score))
-    own = F.count(ctrl).over(line) >= 2
-    g_n = F.count(ctrl).over(chunk)
-    g_mu = F.when(g_n >= 2, F.avg(ctrl).over(chunk)).otherwise(F.avg(score).over(chunk))
-    g_sd = F.when(g_n >= 2, F.stddev_pop(ctrl).over(chunk)).otherwise(F.stddev_pop(score).over(chunk))
-    mu = F.when(own, F.avg(ctrl).over(line)).otherwise(g_mu)
-    sd = F.when(own, F.stddev_pop(ctrl).over(line)).otherwise(g_sd)
-    sd = F.when(sd > 1e-8, sd).when(g_sd > 1e-8, g_sd).otherwise(1.0)
-    return (F.col(score) - mu) / sd
-
-
 def _control_stats(df: DataFrame, scores: list[str]) -> tuple[DataFrame, DataFrame]:
     """(by chunk and line, by chunk): count, mean and spread of each score over controls (c_) and over all (a_). Partial aggregates, so a line may have nearly all rows."""
     ctrl = lambda c: F.when(F.col("is_control"), F.col(c))
@@ -97,14 +81,14 @@ def _control_stats(df: DataFrame, scores: list[str]) -> tuple[DataFrame, DataFra
 
 
 def relative_to_controls(df: DataFrame, scores: dict[str, str]) -> DataFrame:
-    """df with z (named by `scores`) of each score against the own line's controls in the chunk; fewer than two: the chunk's controls; no spread: the chunk's, then 1."""
+    """df with z (named by `scores`) of each score against the own line's controls in the chunk; fewer than two: the chunk's controls, or without any all its cells; no spread: the chunk's, then 1."""
     line, chunk = _control_stats(df, list(scores))
     names = [c for c in line.columns if c not in ("chunk_id", "cell_line")]
     chunk = chunk.select("chunk_id", *(F.col(f"g_{i}").alias(f"g{n}") for i, n in enumerate(names)))
     j = _with_stats(df, line, chunk)
     out = {}
     for c, z in scores.items():
-        g_mu, g_sd = (F.when(F.col(f"gc_n_{c}") >= 2, F.col(f"gc_{s}_{c}")).otherwise(F.col(f"ga_{s}_{c}")) for s in ("mu", "sd"))
+        g_mu, g_sd = (F.when(F.col(f"gc_n_{c}") >= 1, F.col(f"gc_{s}_{c}")).otherwise(F.col(f"ga_{s}_{c}")) for s in ("mu", "sd"))
         own = F.col(f"c_n_{c}") >= 2
         mu, sd = F.when(own, F.col(f"c_mu_{c}")).otherwise(g_mu), F.when(own, F.col(f"c_sd_{c}")).otherwise(g_sd)
         out[z] = (F.col(c) - mu) / F.when(sd > 1e-8, sd).when(g_sd > 1e-8, g_sd).otherwise(1.0)
@@ -133,12 +117,6 @@ def clock_predict(expr: DataFrame, cells: DataFrame, clock: DataFrame, intercept
     return cells.select("cell_id").join(sums, "cell_id", "left").select("cell_id", (F.coalesce("s", F.lit(0.0)) + intercept).alias("age"))
 
 
-def control_baseline(value: str) -> Column:
-    """Mean of the controls of the line in the chunk; without controls, of the line. As windows; with_baseline gives the same by an aggregate."""
-    line = Window.partitionBy("chunk_id", "cell_line")
-    return F.coalesce(F.avg(F.when(F.col("is_control"), F.col(value))).over(line), F.avg(value).over(line))
-
-
 def with_baseline(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with `out`: the mean of the controls of the line in the chunk; without controls, of the line."""
     line = df.groupBy("chunk_id", "cell_line").agg(F.coalesce(F.avg(F.when(F.col("is_control"), F.col(value))), F.avg(value)).alias(out))

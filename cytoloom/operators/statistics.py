@@ -107,11 +107,15 @@ def pooled_ece(df: DataFrame, p: str, y: str, bins: int, trials: int, seed: int)
 
 
 def gates(metrics: DataFrame) -> DataFrame:
-    """Acceptance by regime of `model` against the other estimators. metrics: regime, estimator, prauc, mae, ece, coverage, spearman; a null never passes."""
+    """Acceptance by regime of `model` against the other estimators. metrics: regime, estimator, prauc, mae, ece, coverage, spearman.
+
+    A null never passes, but an error that the model or the other estimator lacks is not compared. A tie in prauc is not beaten, one in mae is.
+    """
     m = metrics.filter("estimator = 'model'")
     rest = metrics.filter("estimator <> 'model'").groupBy("regime").agg(F.max("prauc").alias("best_prauc"), F.min("mae").alias("best_mae"))
     j = m.join(rest, "regime", "left")
-    beats = (F.col("best_prauc").isNull() | (F.col("prauc") > F.col("best_prauc"))) & (F.col("best_mae").isNull() | (F.col("mae") <= F.col("best_mae")))
+    better = F.col("best_prauc").isNull() | (F.col("prauc") > F.col("best_prauc"))
+    beats = F.col("prauc").isNotNull() & better & F.coalesce(F.col("mae") <= F.col("best_mae"), F.lit(True))
     checks = {"beats_all": beats, "ece_ok": F.col("ece") < 0.05, "coverage_ok": F.abs(F.col("coverage") - 0.9) < 0.03, "ranks": F.col("spearman") > 0.3}
     named = j.select("regime", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()))
     all_ = F.col("beats_all") & F.col("ece_ok") & F.col("coverage_ok") & F.col("ranks")

@@ -44,10 +44,10 @@ CTES |= {
   FROM kept k JOIN ages USING (cell_id)""",
     "zrel": """SELECT cell_id, (safe - mu_s) / sd_s AS zs, (loss - mu_l) / sd_l AS zl, (death - mu_d) / sd_d AS zd FROM (SELECT *, """
     + ", ".join(
-        f"CASE WHEN n_l >= 2 THEN avg({c}) FILTER (is_control) OVER l ELSE CASE WHEN n_c >= 2 THEN avg({c}) FILTER (is_control) OVER c ELSE avg({c}) OVER c END END AS mu_{a}, "
-        f"CASE WHEN (CASE WHEN n_l >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER l ELSE CASE WHEN n_c >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END END) > 1e-8 "
-        f"THEN (CASE WHEN n_l >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER l ELSE CASE WHEN n_c >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END END) "
-        f"WHEN (CASE WHEN n_c >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END) > 1e-8 THEN (CASE WHEN n_c >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END) ELSE 1 END AS sd_{a}"
+        f"CASE WHEN n_l >= 2 THEN avg({c}) FILTER (is_control) OVER l ELSE CASE WHEN n_c >= 1 THEN avg({c}) FILTER (is_control) OVER c ELSE avg({c}) OVER c END END AS mu_{a}, "
+        f"CASE WHEN (CASE WHEN n_l >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER l ELSE CASE WHEN n_c >= 1 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END END) > 1e-8 "
+        f"THEN (CASE WHEN n_l >= 2 THEN stddev_pop({c}) FILTER (is_control) OVER l ELSE CASE WHEN n_c >= 1 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END END) "
+        f"WHEN (CASE WHEN n_c >= 1 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END) > 1e-8 THEN (CASE WHEN n_c >= 1 THEN stddev_pop({c}) FILTER (is_control) OVER c ELSE stddev_pop({c}) OVER c END) ELSE 1 END AS sd_{a}"
         for c, a in (("safe", "s"), ("loss", "l"), ("death", "d"))
     )
     + """ FROM (SELECT *, count(*) FILTER (is_control) OVER (PARTITION BY chunk_id, cell_line) AS n_l, count(*) FILTER (is_control) OVER (PARTITION BY chunk_id) AS n_c FROM kept JOIN wide USING (cell_id))
@@ -262,7 +262,7 @@ def fate_labels(spark, sf_dir):
     return rounded(X.fate_labels(b.scores(), b.kept(), 1.0))
 
 
-@query("hard_label", D.sql("SELECT label, count(*) AS n FROM (SELECT CAST(list_position([y_safe, y_loss, y_death], greatest(y_safe, y_loss, y_death)) - 1 AS INT) AS label FROM fate) GROUP BY 1"))
+@query("hard_label", D.sql("SELECT label, count(*) AS n FROM (SELECT CAST(list_position([round(y_safe, 9), round(y_loss, 9), round(y_death, 9)], greatest(round(y_safe, 9), round(y_loss, 9), round(y_death, 9))) - 1 AS INT) AS label FROM fate) GROUP BY 1"))
 def hard_labels(spark, sf_dir):
     b = Build(spark, sf_dir)
     return X.fate_labels(b.scores(), b.kept(), 1.0).groupBy(hard_label(F.array("y_safe", "y_loss", "y_death")).alias("label")).agg(F.count("*").alias("n"))
@@ -347,7 +347,7 @@ def embedding_project(spark, sf_dir):
     return rounded(X.embedding_project(b.norm(), b.genes.select("gene", vec.alias("vec"))))
 
 
-@query("dataset_summary", D.sql("SELECT label, count(*) AS n, count(*) FILTER (chunk_id <> 4) AS n_age_valid FROM (SELECT CAST(list_position([y_safe, y_loss, y_death], greatest(y_safe, y_loss, y_death)) - 1 AS INT) AS label, chunk_id FROM fate JOIN kept USING (cell_id)) GROUP BY 1"))
+@query("dataset_summary", D.sql("SELECT label, count(*) AS n, count(*) FILTER (chunk_id <> 4) AS n_age_valid FROM (SELECT CAST(list_position([round(y_safe, 9), round(y_loss, 9), round(y_death, 9)], greatest(round(y_safe, 9), round(y_loss, 9), round(y_death, 9))) - 1 AS INT) AS label, chunk_id FROM fate JOIN kept USING (cell_id)) GROUP BY 1"))
 def dataset_summary(spark, sf_dir):
     b = Build(spark, sf_dir)
     kept = b.kept()

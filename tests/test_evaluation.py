@@ -194,3 +194,41 @@ def test_kernel_ridge_bends(spark):
     df = spark.createDataFrame([(float(v), float(np.sin(2 * v))) for v in x], "x double, y double")
     err = {n: B.REGRESSORS[n](df, ["x"], "y")(df).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] for n in ("ridge", "kernel")}
     assert err["kernel"] < 0.5 * err["ridge"]
+
+
+def test_gates_ties_and_nulls(spark):
+    from cytoloom.operators import statistics as ST
+
+    rows = [
+        (0, "model", 0.5, 2.0), (0, "a", 0.5, 3.0),  # a tie in prauc is not beaten
+        (1, "model", None, 2.0), (1, "a", None, 3.0), (1, "b", None, None),  # a null never passes
+        (2, "model", 0.6, None), (2, "a", 0.5, 3.0),  # an error that is missing is not compared
+        (3, "model", 0.6, 3.0), (3, "a", None, None),
+        (4, "model", 0.6, 3.0), (4, "a", 0.5, 3.0),  # a tie in mae is no loss
+        (5, "model", 0.6, 3.1), (5, "a", 0.5, 3.0),
+    ]
+    df = spark.createDataFrame(rows, "regime int, estimator string, prauc double, mae double").withColumns({c: F.lit(v) for c, v in (("ece", 0.01), ("coverage", 0.9), ("spearman", 0.4))})
+    assert {r["regime"]: r["beats_all"] for r in ST.gates(df).collect()} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False}
+
+
+def test_equal_estimators_tie_in_the_last_digit(spark):
+    """The same scores in another order of rows and partitions are a tie, not a win."""
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet(np.ones(3), 400)
+    rows = [(0, e, i, *map(float, p[i]), int(rng.integers(0, 3)) if e == "model" else None, float(i % 7)) for e in ("model", "same") for i in range(400)]
+    y = {i: r for (_, e, i, *_, r, _) in rows if e == "model"}
+    df = spark.createDataFrame([(*r[:6], y[r[2]], *r[7:]) for r in rows], "regime int, estimator string, cell_id int, p0 double, p1 double, p2 double, y int, mu_age double")
+    df = df.withColumns({"sigma_age": F.lit(1.0), "in_dist": F.lit(True), "y_age": F.col("mu_age") * 1.1, "age_mask": F.lit(True)})
+    mixed = df.filter("estimator = 'model'").repartition(7).unionByName(df.filter("estimator = 'same'").orderBy(F.desc("cell_id")))
+    from cytoloom.operators import scoring as C
+
+    e = V.evaluate(mixed, ["p0", "p1", "p2"], 9.5, C.ScoreParams())
+    a, b = e.orderBy("estimator").collect()
+    assert a["prauc"] == b["prauc"] and a["mae"] == b["mae"]
+
+
+def test_near_ties_of_labels_take_the_first(spark):
+    from cytoloom.functions.columns import hard_label
+
+    y = spark.createDataFrame([([0.4, 0.4 + 1e-12, 0.2],), ([0.1, 0.2, 0.7],), ([0.3, 0.4, 0.3],)], "y array<double>")
+    assert [r[0] for r in y.select(hard_label(F.col("y"))).collect()] == [0, 2, 1]

@@ -52,10 +52,13 @@ def test_sample_rules(spark, over, rules):
 def test_control_fallbacks(spark):
     rows = [("a", 0, "x", True, 1.0), ("b", 0, "x", True, 3.0), ("c", 0, "x", False, 6.0), ("d", 0, "y", False, 4.0)]
     df = spark.createDataFrame(rows, "cell_id string, chunk_id int, cell_line string, is_control boolean, v double")
-    z = {r["cell_id"]: r["z"] for r in df.select("cell_id", X.control_relative_z(df, "v").alias("z")).collect()}
+    z = {r["cell_id"]: r["z"] for r in X.relative_to_controls(df, {"v": "z"}).collect()}
     assert z["c"] == 4.0 and z["d"] == 2.0  # the line without controls uses the chunk's
-    base = {r["cell_id"]: r["b"] for r in df.select("cell_id", X.control_baseline("v").alias("b")).collect()}
+    base = {r["cell_id"]: r["b"] for r in X.with_baseline(df, "v", "b").collect()}
     assert base["c"] == 2.0 and base["d"] == 4.0
+    one = spark.createDataFrame([("a", 0, "x", True, 1.0), ("b", 0, "x", False, 3.0), ("c", 0, "y", False, 6.0), ("d", 1, "z", False, 2.0), ("e", 1, "z", False, 4.0)], df.schema)
+    z = {r["cell_id"]: r["z"] for r in X.relative_to_controls(one, {"v": "z"}).collect()}
+    assert z == {"a": 0.0, "b": 2.0, "c": 5.0, "d": -1.0, "e": 1.0}  # a single control of the chunk counts, without a spread; without any, all cells do
 
 
 def test_harmonizer_cancels_an_offset(spark):
