@@ -131,14 +131,16 @@ def stream_scoring(spark, sf_dir):
 
 @query("ingest_with_ledger", D.sql("SELECT chunk_id, count(*) AS n, count(DISTINCT cell_id % 2)::BIGINT AS n_batches FROM cells GROUP BY 1"))
 def ingest_with_ledger(spark, sf_dir):
-    """Each chunk comes in two deliveries; a third run finds nothing new."""
-    landing, out, ledger, check = (shared_path(spark, w) for w in ("landing", "ingested", "ledger", "check"))
+    """Each chunk comes in two deliveries; a third run finds nothing new, nor does a fourth whose checkpoint is lost; a chunk that is cleared is taken again."""
+    landing, out, ledger, check, other = (shared_path(spark, w) for w in ("landing", "ingested", "ledger", "check", "other-check"))
     cells = D.cells(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))
-    for half in (0, 1, None):
+    for half, at in ((0, check), (1, check), (None, check), (None, other)):
         if half is not None:
             cells.filter(F.col("cell_id") % 2 == half).repartition("chunk_id").write.mode("append").parquet(landing)
-        J.ingest(spark.readStream.schema(cells.schema).parquet(landing), lambda b: b, out, ledger, check).awaitTermination()
-    return spark.read.parquet(out).groupBy(F.col("chunk_id").cast("int").alias("chunk_id")).agg(F.count("*").alias("n"), F.count_distinct("batch").alias("n_batches"))
+        J.ingest(spark.readStream.schema(cells.schema).parquet(landing), lambda b: b, out, ledger, at).awaitTermination()
+    J.clear(spark, ledger, [1])
+    J.ingest(spark.readStream.schema(cells.schema).parquet(landing), lambda b: b, out, ledger, check).awaitTermination()
+    return spark.read.parquet(out).groupBy(F.col("chunk_id").cast("int").alias("chunk_id")).agg(F.count("*").alias("n"), F.count_distinct("delivery").alias("n_batches"))
 
 
 @query("stream_running_rates", "SELECT (epoch_us(ts) // 86400000000)::BIGINT AS day, round(avg((event_id % 11 = 0)::INT), 6) AS ood_rate, round(avg((event_id % 3 = 0)::INT), 6) AS approval_rate, count(*) AS n FROM events GROUP BY 1")

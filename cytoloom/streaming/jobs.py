@@ -3,60 +3,84 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scoring import ScoreParams, efficacy
 from ..sources.samples import write_samples
+from .run import staged
 
 ERROR_LENGTH = 500
 
+#: what names a delivery: a source file in one version
+FILE = ["file", "size", "modified"]
+LEDGER = "file string, size long, modified timestamp, chunk_id string, status string, n long, error string, ts timestamp"
 
-LEDGER = "chunk_id string, batch long, status string, n long, error string, ts timestamp"
 
+def with_file(rows: DataFrame) -> DataFrame:
+    """rows of a file source with the file that each comes from, its size and time, and the delivery's name. A null chunk is a chunk."""
+    named = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
+    key = F.concat_ws("|", "file", F.col("size").cast("string"), F.unix_micros("modified").cast("string"))
+    return named.withColumns({"chunk_id": F.col("chunk_id").cast("string"), "delivery": F.substring(F.sha2(key, 256), 1, 32)})
 
-def pending(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Chunks whose latest ledger row is not `done`."""
-    latest = ledger.groupBy("chunk_id").agg(F.max_by("status", "ts").alias("status")).filter("status = 'done'")
-    return chunks.join(latest, "chunk_id", "left_anti")
 
+def latest(ledger: DataFrame) -> DataFrame:
+    """The last row of each file and chunk."""
+    return ledger.groupBy(*FILE, "chunk_id").agg(F.max_by("status", "ts").alias("status"), F.max_by("n", "ts").alias("n"))
 
-def ledger_rows(spark: SparkSession, chunk_ids: list, status: str, n: int = 0, error: str | None = None, batch: int | None = None) -> DataFrame:
-    rows = [(str(c), batch, status, n, error[:ERROR_LENGTH] if error else None) for c in chunk_ids]
-    return spark.createDataFrame(rows, "chunk_id string, batch long, status string, n long, error string").withColumn("ts", F.current_timestamp())
 
+def pending(found: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows of found (file, size, modified, chunk_id and others) that the ledger does not have as `done`."""
+    done = latest(ledger).filter("status = 'done'").select(*FILE, "chunk_id")
+    same = [found[c].eqNullSafe(done[c]) for c in (*FILE, "chunk_id")]
+    return found.join(done, same[0] & same[1] & same[2] & same[3], "left_anti")
 
-def clear(spark: SparkSession, ledger: str, chunk_ids: list, batch: int | None = None) -> None:
-    """Marks chunks as not done, so that the next run of their batch takes them again; of one batch, or of all that the ledger has."""
-    wanted = F.col("chunk_id").isin([str(c) for c in chunk_ids])
-    known = spark.read.schema(LEDGER).parquet(ledger).filter(wanted if batch is None else wanted & (F.col("batch") == batch))
-    rows = known.select("chunk_id", "batch").distinct().select("chunk_id", "batch", F.lit("cleared").alias("status"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("ts"))
-    rows.write.mode("append").parquet(ledger)
 
+def record(found: DataFrame, ledger: str, status: str, error: str | None = None) -> None:
+    """Appends a ledger row for each row of found: file, size, modified, chunk_id, n."""
+    text = F.lit(error[:ERROR_LENGTH] if error else None).cast("string")
+    found.select(*FILE, "chunk_id", F.lit(status).alias("status"), F.col("n").cast("long").alias("n"), text.alias("error"), F.current_timestamp().alias("ts")).write.mode("append").parquet(ledger)
 
-def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, ledger: str, checkpoint: str):
-    """New chunk files to samples, in folders of chunk and batch, so that a chunk may come in several deliveries and none replaces another.
 
-    A batch that runs again replaces its own folders only, and skips the chunks that the ledger has as done in it. Failures are recorded and
-    raised: the batch is taken again when the stream is started anew. A reader of `out` gets the chunks with an extra column, batch.
+def clear(spark: SparkSession, ledger: str, chunk_ids: list, file: str | None = None) -> None:
+    """Marks chunks as not done, in one file or in all that the ledger has: the next ingest takes them again, whatever its checkpoint has seen."""
+    wanted = F.col("chunk_id").isin([str(c) for c in chunk_ids])
+    record(latest(spark.read.schema(LEDGER).parquet(ledger)).filter(wanted if file is None else wanted & (F.col("file") == file)), ledger, "cleared")
+
+
+def take(rows: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, ledger: str) -> None:
+    """Writes the chunks of rows (as with_file gives them) that the ledger does not have as done, and records them with their numbers of rows."""
+    each = rows.groupBy(*FILE, "delivery", "chunk_id").agg(F.count("*").alias("n"))
+    todo = staged(pending(each, rows.sparkSession.read.schema(LEDGER).parquet(ledger)), "pending")
+    if todo.isEmpty():
+        return
+    try:
+        wanted = rows.join(todo, (rows["delivery"] == todo["delivery"]) & rows["chunk_id"].eqNullSafe(todo["chunk_id"]), "left_semi").drop(*FILE)
+        write_samples(transform(wanted), out, ["chunk_id", "delivery"])
+    except Exception as e:
+        record(todo, ledger, "failed", str(e))
+        raise
+    record(todo, ledger, "done")
+
+
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, ledger: str, checkpoint: str, read: Callable[[list[str]], DataFrame] | None = None):
+    """New files of chunks to samples, each file's rows once: in folders of chunk and delivery, a delivery being a file in one version (path, size, time).
+
+    A delivery that is taken again replaces its own folders only: after a failure between the samples and the ledger, with another or a lost checkpoint, and by two
+    ingests that share a ledger. What the ledger has as done is skipped; what it has as failed or cleared is read again at the start (by `read`, of paths; Parquet
+    files if not given), as the stream's checkpoint may have passed it. Failures are recorded and raised. stream: a file source without projections, with chunk_id;
+    transform keeps chunk_id and delivery. A reader of `out` gets the chunks with an extra column, delivery.
     """
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("batch") == number)
-        todo = pending(batch.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), seen)
-        ids = [r[0] for r in todo.collect()]  # the chunks of one batch
-        if not ids:
-            return
-        try:
-            write_samples(transform(batch.filter(F.col("chunk_id").cast("string").isin(ids))).withColumn("batch", F.lit(number)), out, ["chunk_id", "batch"])
-        except Exception as e:
-            ledger_rows(spark, ids, "failed", error=str(e), batch=number).write.mode("append").parquet(ledger)
-            raise
-        ledger_rows(spark, ids, "done", n=len(ids), batch=number).write.mode("append").parquet(ledger)
-
-    stream.sparkSession.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # so that the first batch finds a ledger
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)  # so that the first batch finds a ledger
+    open_ = latest(spark.read.schema(LEDGER).parquet(ledger)).filter("status <> 'done'").select(*FILE, "chunk_id")
+    files = sorted(unquote(r["file"]) for r in open_.select("file").distinct().collect())  # what has been cleared or has failed
+    if files:
+        again = with_file((read or spark.read.schema(stream.schema).parquet)(*([files] if read else files)))
+        same = [again[c].eqNullSafe(open_[c]) for c in (*FILE, "chunk_id")]
+        take(again.join(open_, same[0] & same[1] & same[2] & same[3], "left_semi"), transform, out, ledger)
+    return with_file(stream).writeStream.foreachBatch(lambda batch, _: take(batch, transform, out, ledger)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def score_stream(stream: DataFrame, params: ScoreParams, offsets: DataFrame) -> DataFrame:

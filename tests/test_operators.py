@@ -227,14 +227,6 @@ def test_samples_on_disk(spark, tmp_path):
         IO.update_column(df, spark.createDataFrame([("a", 1.0)], "cell_id string, y double"), "y")
 
 
-def test_ledger(spark):
-    from cytoloom.streaming.jobs import ledger_rows, pending
-
-    led = ledger_rows(spark, [1], "done").unionByName(ledger_rows(spark, [2], "failed", error="x" * 900))
-    assert max(len(r["error"] or "") for r in led.collect()) == 500
-    assert [r["chunk_id"] for r in pending(spark.createDataFrame([("1",), ("2",), ("3",)], "chunk_id string"), led).orderBy("chunk_id").collect()] == ["2", "3"]
-
-
 def test_clock_matches_closed_form(spark):
     from cytoloom.operators import clock as K
 

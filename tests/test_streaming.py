@@ -17,20 +17,25 @@ def deliver(spark, rows, path):
     spark.createDataFrame(rows, ROW).coalesce(1).write.mode("append").parquet(path)
 
 
-def run(spark, tmp_path, transform=lambda b: b):
+def run(spark, tmp_path, transform=lambda b: b, check="check", **how):
     at = lambda n: str(tmp_path / n)
-    J.ingest(spark.readStream.schema(ROW).parquet(at("in")), transform, at("out"), at("ledger"), at("check")).awaitTermination()
-    return sorted((r["chunk_id"], r["cell_id"]) for r in spark.read.schema(ROW + ", batch int").parquet(at("out")).collect())
+    J.ingest(spark.readStream.schema(ROW).parquet(at("in")), transform, at("out"), at("ledger"), at(check), **how).awaitTermination()
+    return sorted((r["chunk_id"] or "", r["cell_id"]) for r in spark.read.schema(ROW + ", delivery string").parquet(at("out")).collect())
+
+
+def ledger(spark, tmp_path):
+    return spark.read.schema(J.LEDGER).parquet(str(tmp_path / "ledger"))
 
 
 def test_a_chunk_may_come_in_two_deliveries(spark, tmp_path):
-    deliver(spark, [("a", "1"), ("b", "1")], str(tmp_path / "in"))
+    deliver(spark, [("a", "1"), ("b", "1"), ("n", None)], str(tmp_path / "in"))
     run(spark, tmp_path)
     deliver(spark, [("c", "1"), ("d", "2")], str(tmp_path / "in"))
-    want = [("1", "a"), ("1", "b"), ("1", "c"), ("2", "d")]
+    want = [("", "n"), ("1", "a"), ("1", "b"), ("1", "c"), ("2", "d")]
     assert run(spark, tmp_path) == want == run(spark, tmp_path)
-    led = spark.read.schema(J.LEDGER).parquet(str(tmp_path / "ledger"))
-    assert sorted((r["chunk_id"], r["batch"], r["status"]) for r in led.collect()) == [("1", 0, "done"), ("1", 1, "done"), ("2", 1, "done")]
+    led = ledger(spark, tmp_path).collect()
+    assert sorted((r["chunk_id"] or "", r["n"], r["status"]) for r in led) == [("", 1, "done"), ("1", 1, "done"), ("1", 2, "done"), ("2", 1, "done")]
+    assert len({r["file"] for r in led}) == 2
 
 
 def test_a_failed_chunk_is_taken_again(spark, tmp_path):
@@ -41,20 +46,59 @@ def test_a_failed_chunk_is_taken_again(spark, tmp_path):
 
     with pytest.raises(StreamingQueryException):
         run(spark, tmp_path, broken)
-    failed = spark.read.schema(J.LEDGER).parquet(str(tmp_path / "ledger")).collect()
+    failed = ledger(spark, tmp_path).collect()
     assert {r["status"] for r in failed} == {"failed"} and all(len(r["error"]) == J.ERROR_LENGTH for r in failed)
-    assert run(spark, tmp_path) == [("1", "a"), ("2", "b")]
+    assert run(spark, tmp_path) == [("1", "a"), ("2", "b")] == run(spark, tmp_path, check="new")
+
 
+@pytest.mark.parametrize("second", ["check", "new"])
+def test_a_ledger_that_two_checkpoints_share(spark, tmp_path, second):
+    """Neither loses what comes after, nor doubles what was there before."""
+    taken = []
+
+    def noting(batch):
+        taken.extend(r[0] for r in batch.select("cell_id").collect())
+        return batch
+
+    deliver(spark, [("a", "1"), ("b", "1")], str(tmp_path / "in"))
+    run(spark, tmp_path, noting)
+    deliver(spark, [("c", "1")], str(tmp_path / "in"))
+    deliver(spark, [("d", "2")], str(tmp_path / "in"))
+    want = [("1", "a"), ("1", "b"), ("1", "c"), ("2", "d")]
+    assert run(spark, tmp_path, noting, check=second) == want
+    assert run(spark, tmp_path, noting, check="third") == want and sorted(taken) == ["a", "b", "c", "d"]
 
-def test_the_ledger_skips_and_clears(spark, tmp_path):
+
+@pytest.mark.parametrize("again", ["check", "new"])
+def test_a_failure_between_samples_and_ledger(spark, tmp_path, monkeypatch, again):
+    deliver(spark, [("a", "1"), ("b", "2")], str(tmp_path / "in"))
+    record = J.record
+
+    def lost(found, path, status, error=None):
+        if status == "done":
+            raise RuntimeError("the driver is gone")
+        record(found, path, status, error)
+
+    monkeypatch.setattr(J, "record", lost)
+    with pytest.raises(StreamingQueryException):
+        run(spark, tmp_path)
+    assert ledger(spark, tmp_path).count() == 0
+    monkeypatch.undo()
+    assert run(spark, tmp_path, check=again) == [("1", "a"), ("2", "b")]
+    assert {(r["status"], r["n"]) for r in ledger(spark, tmp_path).collect()} == {("done", 1)}
+
+
+def test_cleared_chunks_are_taken_again_after_a_restart(spark, tmp_path):
     deliver(spark, [("a", "1"), ("b", "2")], str(tmp_path / "in"))
-    ledger = str(tmp_path / "ledger")
-    J.ledger_rows(spark, ["1"], "done", batch=0).write.parquet(ledger)
-    assert run(spark, tmp_path) == [("2", "b")]  # chunk 1 is done in this batch already
-    J.clear(spark, ledger, ["1"], batch=0)
-    seen = spark.read.schema(J.LEDGER).parquet(ledger)
-    chunks = spark.createDataFrame([("1",), ("2",)], "chunk_id string")
-    assert [r["chunk_id"] for r in J.pending(chunks, seen).collect()] == ["1"]
+    run(spark, tmp_path)
+    J.clear(spark, str(tmp_path / "ledger"), ["1"])
+    seen = ledger(spark, tmp_path)
+    found = seen.filter("status = 'done'").select(*J.FILE, "chunk_id", "n")
+    assert [r["chunk_id"] for r in J.pending(found, seen).collect()] == ["1"]
+    upper = lambda b: b.withColumn("cell_id", F.upper("cell_id"))
+    assert run(spark, tmp_path, upper) == [("1", "A"), ("2", "b")] == run(spark, tmp_path)
+    J.clear(spark, str(tmp_path / "ledger"), ["2"], file=seen.first()["file"])
+    assert run(spark, tmp_path, upper, read=lambda files: spark.read.schema(ROW).parquet(*files)) == [("1", "A"), ("2", "B")]
 
 
 def test_complete_streams_give_the_last_result(spark, tmp_path):
