@@ -2,10 +2,11 @@
 
 A naive Bayes classifier, trained on a labelled table, gives every document a posterior over domains; a document counts in each
 domain with its tokens times its posterior. Nonnegative rates (how often a document is taken) are fitted so that the expected tokens of the
-domains match targets: projected gradient descent on the relative squared error, starting from rate 1. A step moves a rate against
-the posterior-weighted error, each domain's over its own tokens so that rare domains move as fast, and projects it to zero and above.
-Where a step does not lessen the largest relative error, half of it is tried. Targets that are not met are warned of. The rates follow from the few error vectors of the steps so
-far, so each step is one aggregate over a narrow table of tokens and posteriors; nothing but one vector a step reaches the driver.
+domains match targets: projected gradient steps on the squared errors from rate 1. A rate is its start plus its posterior times the sum of all steps, one number a
+domain, projected to zero and above; so a step is one aggregate over a narrow table of tokens and posteriors, and nothing but domain totals reaches the driver.
+Steps are scaled by the inverse of the domains' Gram matrix over the rows with a rate above zero, so that domains whose posteriors overlap, and rare ones, move as fast as others; a step is
+halved until the objective that it descends falls by enough. That objective is convex: its minimum has the rates of least change, weighted by tokens, that meet the targets. `met` says whether every domain's
+expected tokens are within `within` of the target; where no rates can meet it, those that came nearest are given, and `met` is false.
 
 Targets are shares of tokens; without any, the labelled table's shares to the power `temper`. The total is the least at which no domain has to
 shrink, or `tokens` if given. `copies` is the rate rounded up or down by a hash of the id, so that its expectation is the rate.
@@ -17,11 +18,11 @@ of an id that is not among the documents, is not learned from, and is no domain
 
 from __future__ import annotations
 
-import warnings
-
+import numpy as np
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .quality_rules import let
@@ -67,61 +68,78 @@ def posteriors(docs: DataFrame, labelled: DataFrame, max_train: int = 4000, stag
     return domains, shares, out(judged, scaled)
 
 
-def rate_after(errors: list[list[float]], step: float) -> Column:
-    """The rate that the projected steps along `errors` lead to."""
-    if not errors:
+def rate_of(moved: list[float]) -> Column:
+    """The rate of a row after steps that add up to `moved`."""
+    if not moved:
         return F.lit(1.0)
-    steps = F.array(*(F.array(*map(F.lit, e)) for e in errors))
-    dot = lambda e: F.aggregate(F.zip_with("post", e, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - step * dot(e)))
-
-
-def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None, step: float = 1.6, most: int = 120, within: float = 1e-4) -> list[list[float]]:
-    """The error vectors of the steps taken until every domain's expected tokens are within `within` of its target; warns if `most` passes do not reach it."""
-    goal = [targets.get(d, 0.0) / sum(targets.get(d, 0.0) for d in domains) for d in domains]
-
-    def totals(errors: list[list[float]]) -> list[float]:
-        row = soft.withColumn("__rate", rate_after(errors, step)).agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.get("post", F.lit(k)) * F.col("__rate")), F.lit(0.0)).alias(f"d{k}") for k in range(len(domains)))).first()
-        return list(row)
-
-    have = totals([])
-    if not sum(have):
-        return []
+    return F.greatest(F.lit(0.0), 1 + F.aggregate(F.zip_with("post", F.array(*map(F.lit, moved)), lambda p, m: p * m), F.lit(0.0), lambda s, x: s + x))
+
+
+def totals(soft: DataFrame, moved: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(half the tokens times squared rates, expected tokens by domain, Gram matrix of the rows with a rate) after steps that add up to `moved`: one aggregate."""
+    k = len(moved)
+
+    def parts(x: Column) -> Column:
+        pairs = F.flatten(F.transform("post", lambda p, i: F.transform(F.slice("post", i + 1, k), lambda q: p * q * x["on"])))
+        return F.concat(F.array(x["n"] * x["rate"] * x["rate"] / 2), F.transform("post", lambda p: p * x["n"] * x["rate"]), pairs)
+
+    row = F.struct(F.col("n_tokens").cast("double").alias("n"), rate_of(moved).alias("rate"))
+    active = let(row, lambda x: F.struct(x["n"].alias("n"), x["rate"].alias("rate"), F.when(x["rate"] > 0, x["n"]).otherwise(0.0).alias("on")))
+    sums = soft.filter("n_tokens > 0").select(array_to_vector(let(active, parts)).alias("v")).agg(Summarizer.sum(F.col("v")).alias("s")).first()["s"]
+    if sums is None:
+        return 0.0, np.zeros(k), np.zeros((k, k))
+    sums, gram = sums.toArray(), np.zeros((k, k))
+    gram[np.triu_indices(k)] = sums[1 + k :]
+    return float(sums[0]), sums[1 : 1 + k], gram + np.triu(gram, 1).T
+
+
+def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None, most: int = 60, within: float = 1e-4) -> tuple[list[float], bool]:
+    """(sum of the steps, by domain; whether every domain's expected tokens are within `within` of its target). `most` passes are tried, or until none lessens the objective."""
+    share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    goal = share / share.sum()
+    now = np.zeros(len(domains))
+    half, have, gram = totals(soft, now.tolist())
+    if not have.sum():
+        return now.tolist(), False
     budget = tokens or max(h / g for h, g in zip(have, goal) if g > 0)
+    want = budget * goal
     # a domain with target 0 is measured against the mean target
-    scale = [budget * (g or 1 / len(domains)) for g in goal]
-    own = have  # tokens at rate 1: what a step of 1 can move
-    gap = lambda h: max(abs(x - budget * g) / s for x, g, s in zip(h, goal, scale))
-    errors: list[list[float]] = []
-    part, left = 1.0, most
-    while gap(have) > within and left and part > 1e-6:
-        tried = [*errors, [part * (h - budget * g) / max(t, 1e-9) if t > 0 else 0.0 for h, g, t in zip(have, goal, own)]]
-        got, left = totals(tried), left - 1
-        if gap(got) < gap(have):
-            errors, have, part = tried, got, min(1.0, 1.5 * part)
+    scale = np.where(goal > 0, want, budget / len(domains))
+    floor = 1e-12 * np.trace(gram) + 1e-9 * np.diag(gram)
+    gap = lambda h: float(np.max(np.abs(h - want) / scale))
+    best = (gap(have), now)
+    value, left = half - want @ now, most
+    while best[0] > within and left > 0:
+        slope = have - want
+        step = -np.linalg.solve(gram + np.diag(np.maximum(floor, 1e-300)), slope)
+        part = 1.0
+        while left > 0:
+            tried = now + part * step
+            half, got, active = totals(soft, tried.tolist())
+            left -= 1
+            best = min(best, (gap(got), tried), key=lambda b: b[0])
+            if half - want @ tried <= value + 1e-4 * part * (slope @ step) or best[0] <= within:
+                break
+            part /= 4
         else:
-            part /= 2
-    if gap(have) > within:
-        warnings.warn(f"mixing: expected tokens {[round(h / s, 4) for h, s in zip(have, scale)]} of {domains} are not within {within} of their targets {[round(budget * g / s, 4) for g, s in zip(goal, scale)]}", stacklevel=2)
-    return errors
-
-
-STEP = 1.6
+            break
+        now, have, gram, value = tried, got, active, half - want @ tried
+    return best[1].tolist(), best[0] <= within
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, temper: float = 0.7, tokens: float | None = None, staging: Staging | None = None) -> DataFrame:
-    """docs' columns but text, and n_tokens, domain (the likeliest), posterior (its share), rate, copies."""
+    """docs' columns but text, and n_tokens, domain (the likeliest), posterior (its share), rate, copies, met."""
     staging = staging or Staging(docs.sparkSession, "mixing")
     domains, shares, soft = posteriors(docs, labelled, staging=staging)
     soft = staging.write(soft, "posteriors")
     targets = targets or {d: s**temper for d, s in shares.items()}
-    errors = fit_rates(soft, domains, targets, tokens, STEP) if domains else []
-    rated = soft.withColumn("rate", rate_after(errors, STEP))
+    moved, met = fit_rates(soft, domains, targets, tokens) if domains else ([], False)
+    rated = soft.withColumn("rate", rate_of(moved))
     top = F.array_max("post")
     name = F.get(F.array(*map(F.lit, domains)), F.array_position("post", top).cast("int") - 1) if domains else F.lit(None).cast("string")
     chance = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rest = [c for c in soft.columns if c not in ("n_tokens", "post", "domain", "posterior", "rate", "copies")]
-    return rated.select(*rest, "n_tokens", name.alias("domain"), top.alias("posterior"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
+    rest = [c for c in soft.columns if c not in ("n_tokens", "post", "domain", "posterior", "rate", "copies", "met")]
+    return rated.select(*rest, "n_tokens", name.alias("domain"), top.alias("posterior"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"), F.lit(met).alias("met"))
 
 
 def repeat_to_mix(docs: DataFrame, label: str = "lang", **how) -> DataFrame:

@@ -211,16 +211,15 @@ def test_posteriors_and_rates_match_a_small_solver(spark):
         assert np.allclose(got[i][1], want, atol=1e-4)  # the fit smooths its prior by 0.01 too
         assert got[i][0] == sum(tf[i].values())
     soft = Staging(spark, "test").write(soft)
-    errors = mixing.fit_rates(soft, domains, {"en": 0.5, "fr": 0.5})
-    t = soft.withColumn("rate", mixing.rate_after(errors, mixing.STEP)).toPandas()
+    moved, met = mixing.fit_rates(soft, domains, {"en": 0.5, "fr": 0.5})
+    t = soft.withColumn("rate", mixing.rate_of(moved)).toPandas()
     n, post = t.n_tokens.to_numpy(float), np.array(t.post.tolist())
-    have = n @ post
-    goal = max(have / 0.5) * np.array([0.5, 0.5])
-    # the same projected steps, dense
-    rate = np.ones(len(t))
-    for e in errors:
-        rate = np.maximum(0, rate - mixing.STEP * post @ np.array(e))
-    assert np.allclose(rate, t.rate) and np.allclose((n * rate) @ post, goal, rtol=1e-3)
+    goal = max(n @ post / 0.5) * np.array([0.5, 0.5])
+    assert met and np.allclose((n * t.rate.to_numpy()) @ post, goal, rtol=1e-4) and (t.rate >= 0).all()
+    # of all rates that meet the targets, those of least change by tokens: the projection, solved here by its equations on the rows with a rate
+    on = t.rate.to_numpy() > 0
+    m = np.linalg.lstsq((post[on] * n[on, None]).T @ post[on], goal - (n[on] @ post[on]), rcond=None)[0]
+    assert np.allclose(np.maximum(0, 1 + post @ m), t.rate, atol=1e-3)
 
 
 def test_quotas_are_even():
