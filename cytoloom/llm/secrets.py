@@ -10,7 +10,8 @@ middle of the alphabet, serial correlation. Fisher's method joins the three p-va
 False discoveries are controlled over the whole corpus, separately by encoding and length: keys have uniform p-values,
 ordinary strings have p-values near 0. A group's share of keys is the lower limit of what its p-values above 1/2 say; how far
 ordinary strings reach up is what the corpus has in excess of the uniform part, with a prior. The lowest cutoff is taken above which
-at most `alpha` of the group's strings are expected to be ordinary; a corpus with too few strings to tell takes a fixed level. A candidate above its group's cutoff is a span of kind "random".
+at most `alpha` of the group's strings are expected to be ordinary. Counts are smoothed alike at every size: to a group's are added `PSEUDO` strings with the shares of its encoding, to an encoding's as
+many with those of the corpus, to the corpus's as many with those of a prior in which `KEYS` of the strings are keys. A candidate above its group's cutoff is a span of kind "random".
 
 Nulls and empty texts have no spans; texts of any length are scanned whole; repeated rows each give a row; extra
 columns pass through untouched; an empty table gives an empty result. Everything is DataFrame functions.
@@ -46,6 +47,8 @@ ENCODINGS = {
 }
 LENGTHS = (24, 32, 48, 64)  # bounds of the length groups
 BINS = 64  # of p-values
+PSEUDO, KEYS = 40.0, 0.9  # strings added to each count, and the share of keys among those of the prior
+NEAR = 0.03  # of the prior's ordinary strings, p ** NEAR lie below p
 _EMPTY = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -177,25 +180,27 @@ def scan(docs: DataFrame) -> DataFrame:
     return based.withColumn("__more", more)
 
 
-def cutoffs(scanned: DataFrame, alpha: float = 0.1, least_p: float = 0.001, least: int = 20, few_p: float = 0.01) -> dict[int, float]:
-    """The lowest p-value that counts as random, by group of encoding and length.
-
-    A group of under `least` strings takes the share of keys of its encoding, or else of the corpus; a corpus of fewer says nothing of shares, and
-    `few_p` is the cutoff. The table has as many rows as groups times bins."""
+def cutoffs(scanned: DataFrame, alpha: float = 0.1, least_p: float = 0.001) -> dict[int, float]:
+    """The lowest p-value that counts as random, by group of encoding and length. The table has as many rows as groups times bins."""
     each = scanned.select(F.explode("__more").alias("x")).select("x.grp", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     table: dict[int, list[int]] = {}
     for r in each.groupBy("grp", "bin").count().collect():
         table.setdefault(r["grp"], [0] * BINS)[r["bin"]] = r["count"]
-    merged = lambda groups: [sum(x) for x in zip(*groups)]
-    wide = {e: merged(n for g, n in table.items() if g // 8 == e) for e in {g // 8 for g in table}}
-    corpus = merged(table.values())
-    if sum(corpus) < least:
-        return dict.fromkeys(table, few_p)
+    return cutoffs_of(table, alpha, least_p)
+
+
+def cutoffs_of(table: dict[int, list[int]], alpha: float, least_p: float) -> dict[int, float]:
+    """Cutoffs from counts by group and bin."""
+    merged = lambda groups: [sum(x) for x in zip([0] * BINS, *groups)]
+    smooth = lambda n, wider: [x + PSEUDO * w / sum(wider) for x, w in zip(n, wider)]
+    prior = [KEYS / BINS + (1 - KEYS) * (((b + 1) / BINS) ** NEAR - (b / BINS) ** NEAR) for b in range(BINS)]
+    corpus = smooth(merged(table.values()), prior)
+    wide = {e: smooth(merged(n for g, n in table.items() if g // 8 == e), corpus) for e in {g // 8 for g in table}}
     tail = plain_tail(corpus)
-    return {g: cutoff(next((x for x in (n, wide[g // 8]) if sum(x) >= least), corpus), tail, alpha, least_p) for g, n in table.items()}
+    return {g: cutoff(smooth(n, wide[g // 8]), tail, alpha, least_p) for g, n in table.items()}
 
 
-def plain_tail(n: list[int], prior: float = 100.0, near: float = 0.03) -> list[float]:
+def plain_tail(n: list[float], prior: float = 100.0, near: float = NEAR) -> list[float]:
     """The share of ordinary strings with a p-value of at least b / BINS, for each bin b: what exceeds the uniform part, with `prior` strings of p ** near."""
     half = BINS // 2
     uniform = sum(n[half:]) / half
@@ -207,17 +212,19 @@ def plain_tail(n: list[int], prior: float = 100.0, near: float = 0.03) -> list[f
     return [x / out[0] for x in out]
 
 
-def cutoff(n: list[int], tail: list[float], alpha: float, least_p: float) -> float:
+def cutoff(n: list[float], tail: list[float], alpha: float, least_p: float) -> float:
     """The lowest cutoff above which at most `alpha` of the strings are expected to be ordinary.
 
     Keys are counted at the lower limit of one standard error, so that a few strings are not taken for keys by chance; one key and one ordinary string are added.
     """
     upper = sum(n[BINS // 2 :])
     keys = (min(sum(n), max(0.0, 2 * (upper - upper**0.5))) + 1) / (sum(n) + 2)
-    for b in range(BINS):
-        ordinary = (1 - keys) * tail[b]
-        if ordinary <= alpha * (ordinary + keys * (1 - b / BINS)):
-            return max(least_p, b / BINS)
+    low = sorted({least_p, *(f / BINS for f in (1 / 8, 1 / 4, 1 / 2))})  # the first bin is cut further, with the prior's shape inside it
+    grid = [(p, tail[1] + (1 - tail[1]) * (1 - min(1.0, p * BINS) ** NEAR)) for p in low if least_p <= p < 1 / BINS] + [(b / BINS, tail[b]) for b in range(1, BINS)]
+    for p, above in grid:
+        ordinary = (1 - keys) * above
+        if ordinary <= alpha * (ordinary + keys * (1 - p)):
+            return max(least_p, p)
     return 1.0
 
 
