@@ -3,8 +3,8 @@
 Fixed cutoffs are replaced by fences that each language and source sets itself. Every document's rates are counted into
 quantile sketches: histograms of integer bins whose width grows with the value (5 significant bits, a relative
 error of 1/32), so that sketches of the same metric merge by adding counts. The sketches of a language's sources merge
-into the language's, those into the corpus's; a group of fewer than `min_docs` documents uses the next wider sketch. A
-document is kept if it passes the base rules and every rate lies inside its group's fences, quartiles plus or minus
+into the language's, those into the corpus's. A group is judged by its own counts and, whatever its size, by a share of the wider sketch that weighs as `borrowed` documents: a source borrows from its
+language, that from the corpus, so that a small group follows the wider one and no document more or less moves its fences at once. A document is kept if it passes the base rules and every rate lies inside its group's fences, quartiles plus or minus
 `reach` interquartile ranges (or a metric's least spread, if that is larger). Thresholds come back by a join on language and source.
 
 Nulls: a null text has no words and fails the base rules; a null language or source is a group of its own. Empty and very
@@ -89,39 +89,52 @@ def sketches(counts: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "metric", F.expr(f"shiftleft(shiftright(v, {shift}), {shift})").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def merged(sketch: DataFrame, *group: str) -> DataFrame:
+    """group, metric, bin, n, docs: sketches merged to those of `group`, as exact decimals."""
+    n = sketch.groupBy(*group, "metric", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    return n.withColumn("docs", F.sum("n").over(Window.partitionBy(*group, "metric")).cast("decimal(38,0)"))
+
+
+def borrowing(own: DataFrame, group: list[str], wide: DataFrame, by: list[str], borrowed: int) -> DataFrame:
+    """The sketch of each group with `borrowed` documents that are spread as the wider sketch is: own n times the wider docs, plus borrowed times the wider n. Bins are a few hundred a metric."""
+    keys = [*by, "metric"]
+    w = wide.select(*(F.col(k).alias(f"w_{k}") for k in keys), F.col("bin").alias("w_bin"), F.col("n").alias("w_n"), F.col("docs").alias("w_docs"))
+    groups = own.select(*group, "metric", F.col("docs").alias("own_docs")).distinct()
+    same = [groups[k].eqNullSafe(w[f"w_{k}"]) for k in keys]
+    grid = groups.join(w, same[0] if len(same) == 1 else same[0] & same[1]).select(*group, "metric", F.col("w_bin").alias("bin"), "w_n", "w_docs", "own_docs")
+    mine = own.select(*(F.col(k).alias(f"o_{k}") for k in (*group, "metric", "bin")), F.col("n").alias("o_n"))
+    on = F.lit(True)
+    for k in (*group, "metric", "bin"):
+        on = on & grid[k].eqNullSafe(mine[f"o_{k}"])
+    exact = lambda c: c.cast("decimal(38,0)")
+    n = exact(exact(F.coalesce("o_n", F.lit(0))) * F.col("w_docs")) + exact(F.lit(borrowed) * F.col("w_n"))
+    return grid.join(mine, on, "left").select(*group, "metric", "bin", exact(n).alias("n"), exact(exact(F.col("own_docs") + borrowed) * F.col("w_docs")).alias("docs"))
+
+
 def quartiles(sketch: DataFrame, *group: str) -> DataFrame:
-    """Merges sketches to those of `group`; gives n and the bins that hold the quartiles."""
-    merged = sketch.groupBy(*group, "metric", "bin").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy(*group, "metric")
-    run = merged.select(*group, "metric", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("docs"))
+    """group, metric and the bins that hold the quartiles."""
+    run = sketch.select(*group, "metric", "bin", "docs", F.sum("n").over(Window.partitionBy(*group, "metric").orderBy("bin")).alias("upto"))
     return run.groupBy(*group, "metric").agg(
-        F.max("docs").alias("docs"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs") * 3, F.col("bin"))).alias("q3"),
+        F.min(F.when(F.col("upto") * 4 >= F.col("docs"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("docs") * 3, F.col("bin"))).alias("q3")
     )
 
 
-def thresholds(sketch: DataFrame, min_docs: int, reach: int) -> DataFrame:
+def thresholds(sketch: DataFrame, borrowed: int, reach: int) -> DataFrame:
     """lang, source, fences: map of metric to (low, high), one row for each language and source."""
-    own, lang, all_ = quartiles(sketch, "lang", "source"), quartiles(sketch, "lang"), quartiles(sketch)
-    wide = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric"))).join(all_.alias("a"), F.col("o.metric") == F.col("a.metric"))
-
-    def pick(c: str) -> Column:
-        return F.when(F.col("o.docs") >= min_docs, F.col(f"o.{c}")).when(F.col("l.docs") >= min_docs, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-
+    lang = borrowing(merged(sketch, "lang"), ["lang"], merged(sketch), [], borrowed)
+    picked = quartiles(borrowing(merged(sketch, "lang", "source"), ["lang", "source"], lang, ["lang"], borrowed), "lang", "source")
     least = F.element_at(F.create_map(*(F.lit(x) for m, v in METRICS.items() for x in (m, v[2]))), F.col("metric"))
     both = F.element_at(F.create_map(*(F.lit(x) for m, v in METRICS.items() for x in (m, v[3] == "both"))), F.col("metric"))
-    picked = wide.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.metric").alias("metric"), pick("q1").alias("q1"), pick("q3").alias("q3"))
     spread = F.greatest(F.col("q3") - F.col("q1"), least)
     fenced = picked.select("lang", "source", "metric", F.struct(F.when(both, F.col("q1") - reach * spread).alias("low"), (F.col("q3") + reach * spread).alias("high")).alias("fence"))
     return fenced.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("fences"))
 
 
-def judge(docs: DataFrame, min_docs: int = 100, reach: int = 6) -> DataFrame:
+def judge(docs: DataFrame, borrowed: int = 100, reach: int = 6) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the metrics that a document fails, one row per row of docs."""
     staging = Staging(docs.sparkSession, "quality-rules")
     counts = staging.write(text_counts(docs), "counts")  # one pass over the texts serves sketches and verdicts
-    limits = thresholds(sketches(counts), min_docs, reach)
+    limits = thresholds(sketches(counts), borrowed, reach)
     judged = counts.alias("c").join(limits.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source")), "left")
     fails = [F.when((per_thousand(m) > F.col("fences")[m]["high"]) | F.coalesce(per_thousand(m) < F.col("fences")[m]["low"], F.lit(False)), F.lit(m)) for m in METRICS]
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -136,10 +149,8 @@ def op8_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rates = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, (1000 * {a}) // nullif({b}, 0) AS v FROM c" for m, (a, b, _, _) in METRICS.items())
-    quart = lambda g: f"SELECT {g} metric, max(docs) AS docs, min(bin) FILTER (upto * 4 >= docs) AS q1, min(bin) FILTER (upto * 4 >= docs * 3) AS q3 FROM (SELECT {g} metric, bin, sum(sum(n)) OVER (PARTITION BY {g} metric ORDER BY bin) AS upto, sum(sum(n)) OVER (PARTITION BY {g} metric) AS docs FROM sketch GROUP BY {g} metric, bin) GROUP BY {g} metric"
-    least = "CASE o.metric " + " ".join(f"WHEN '{m}' THEN {v[2]}" for m, v in METRICS.items()) + " END"
+    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v[2]}" for m, v in METRICS.items()) + " END"
     both = ", ".join(f"'{m}'" for m, v in METRICS.items() if v[3] == "both")
-    pick = lambda c: f"CASE WHEN o.docs >= 100 THEN o.{c} WHEN l.docs >= 100 THEN l.{c} ELSE a.{c} END"
     value = "CASE f.metric " + " ".join(f"WHEN '{m}' THEN (1000 * {a}) // nullif({b}, 0)" for m, (a, b, _, _) in METRICS.items()) + " END"
     order = ", ".join(f"'{m}'" for m in METRICS)
     return rf"""
@@ -156,9 +167,16 @@ c AS (SELECT t.rid, doc_id, lang, source, len(w.w) AS n_words, length(regexp_rep
   FROM t JOIN w USING (rid) LEFT JOIN rep USING (rid)),
 rates AS ({rates}),
 sketch AS (SELECT lang, source, metric, (v >> s) << s AS bin, count(*) AS n FROM (SELECT *, greatest(length(bin(v)) - 6, 0)::BIGINT AS s FROM rates WHERE v IS NOT NULL) GROUP BY ALL),
-o AS ({quart("lang, source,")}), l AS ({quart("lang,")}), a AS ({quart("")}),
-picked AS (SELECT o.lang, o.source, o.metric, {pick("q1")} AS q1, {pick("q3")} AS q3, {least} AS least
-  FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN a ON o.metric = a.metric),
+o AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric)::HUGEINT AS docs FROM (SELECT lang, source, metric, bin, sum(n)::HUGEINT AS n FROM sketch GROUP BY ALL)),
+l AS (SELECT *, sum(n) OVER (PARTITION BY lang, metric)::HUGEINT AS docs FROM (SELECT lang, metric, bin, sum(n)::HUGEINT AS n FROM sketch GROUP BY ALL)),
+a AS (SELECT *, sum(n) OVER (PARTITION BY metric)::HUGEINT AS docs FROM (SELECT metric, bin, sum(n)::HUGEINT AS n FROM sketch GROUP BY ALL)),
+l2 AS (SELECT g.lang, g.metric, a.bin, coalesce(l.n, 0) * a.docs + 100 * a.n AS n, (g.docs + 100) * a.docs AS docs FROM (SELECT DISTINCT lang, metric, docs FROM l) g JOIN a USING (metric)
+  LEFT JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.metric = g.metric AND l.bin = a.bin),
+o2 AS (SELECT g.lang, g.source, g.metric, l2.bin, coalesce(o.n, 0) * l2.docs + 100 * l2.n AS n, (g.docs + 100) * l2.docs AS docs FROM (SELECT DISTINCT lang, source, metric, docs FROM o) g
+  JOIN l2 ON l2.lang IS NOT DISTINCT FROM g.lang AND l2.metric = g.metric
+  LEFT JOIN o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source AND o.metric = g.metric AND o.bin = l2.bin),
+picked AS (SELECT lang, source, metric, min(bin) FILTER (upto * 4 >= docs) AS q1, min(bin) FILTER (upto * 4 >= docs * 3) AS q3, any_value({least}) AS least
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto FROM o2) GROUP BY lang, source, metric),
 fence AS (SELECT *, CASE WHEN metric IN ({both}) THEN q1 - 6 * greatest(q3 - q1, least) END AS low, q3 + 6 * greatest(q3 - q1, least) AS high FROM picked),
 fails AS (SELECT rid, string_agg(metric, ',' ORDER BY list_position([{order}], metric)) AS failed
   FROM (SELECT c.rid, f.metric, {value} AS v, f.low, f.high FROM c JOIN fence f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source)
