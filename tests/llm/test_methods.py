@@ -422,3 +422,36 @@ def test_pipeline_of_edge_rows(spark):
         packed = corpus_pipeline.STAGES[-1][1](spark, now, "")
         assert packed.filter("piece = 0").count() == now.count()
     assert now.count() == 0
+
+
+# ---- no switches at a size ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["keys", "ordinary", "both"])
+def test_one_string_more_hardly_moves_a_cutoff(kind):
+    rng = random.Random(9)
+    n, before = [0] * secrets.BINS, None
+    for i in range(200):
+        key = kind == "keys" or kind == "both" and i % 3 == 0
+        n[rng.randrange(secrets.BINS) if key else 0] += 1
+        cut = secrets.cutoffs_of({3: list(n), 11: [5] + [0] * 62 + [1]}, 0.1, 0.001)[3]
+        assert before is None or abs(cut - before) <= 0.25 * max(cut, before) + 6 / secrets.BINS
+        before = cut
+    assert cut <= 0.05 if kind == "keys" else cut > 0.02
+    assert secrets.cutoffs_of({3: [0] * 63 + [1]}, 0.1, 0.001)[3] <= 0.05  # a lone candidate that looks random is one
+
+
+def test_one_document_more_hardly_moves_a_fence(spark):
+    from cytoloom.llm import quality_rules
+
+    wide = [("en", "big", 0, 1000 + i % 400) for i in range(1000)]
+    before = None
+    for n in (1, 50, 98, 99, 100, 101, 102, 300):
+        rows = wide + [("en", "small", 1, 3000 + i % 100) for i in range(n)]
+        docs = spark.createDataFrame(rows, "lang string, source string, k int, v int").selectExpr("lang", "source", "100L AS n_words", "0L AS n_symbols", "100L * v DIV 1000 AS word_chars", "1L AS n_lines", "0L AS n_dup_lines", "0L AS n_repeat_words", "0L AS n_upper")
+        fence = {r["source"]: r["fences"]["word_length"] for r in quality_rules.thresholds(quality_rules.sketches(docs), 100, 6).collect()}
+        assert fence["big"]["low"] < 1000 < fence["big"]["high"]
+        if before and before[0] in (98, 99, 100, 101):
+            assert abs(fence["small"]["high"] - before[1]["high"]) <= 150 and abs(fence["small"]["low"] - before[1]["low"]) <= 150
+        before = (n, fence["small"])
+    assert fence["small"]["high"] > fence["big"]["high"]  # with many documents, its own quartiles rule
