@@ -255,9 +255,10 @@ def find_secrets(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 def redact(docs: DataFrame, alpha: float = 0.1) -> DataFrame:
     """docs with every secret in text replaced by [kind]; spans that overlap are replaced as one, named by the first. Other columns stay."""
-    # docs' own columns travel in one, so that none clashes
-    scanned = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"))
-    cut = cutoffs(scan(docs.select("text")), alpha)
+    # docs' own columns travel in one, so that none clashes; the scan is written, as cutoffs and spans both read it
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    scanned = Staging(docs.sparkSession, "redact").write(scan(rows).drop("text"), "scanned").withColumn("text", F.col("row.text"))
+    cut = cutoffs(scanned, alpha)
     kinds = F.array(*map(F.lit, KINDS))
 
     def cleaned(spans: Column) -> Column:
