@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import hard_label, logit, sigmoid
-from ..operators import baselines as B, evaluation as V, expression as X, metrics as M, perturbation as P, scoring as S, splits as SP, statistics as ST
+from ..operators import baselines as B, evaluation as V, expression as X, heldout as H, metrics as M, perturbation as P, scoring as S, splits as SP, statistics as ST
 from ..sources import samples as IO
 from ..streaming.run import shared_path
 from . import domain as D, metric_queries, score_queries, stat_queries  # noqa: F401  their named queries are used here
@@ -161,17 +161,17 @@ def feature_views(spark, sf_dir):
 
 @query("embedding_features")
 def embedding_features(spark, sf_dir):
-    """Raw against embedded profiles as features of the ridge fit."""
+    """Raw profiles of all genes against embedded ones as features of the ridge fit."""
     b = Build(spark, sf_dir)
     ages = b.ages().join(b.kept().select("cell_id", "chunk_id"), "cell_id")
     dims = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((D.gene_number() * (d + 3)) % 11 - 5) / 5.0)
     low = X.embedding_project(b.norm(), b.genes.select("gene", dims.alias("vec"))).groupBy("cell_id").pivot("dim", [0, 1, 2, 3]).agg(F.first("value"))
     low = low.select("cell_id", *(F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"e{i}") for i in range(4)))
-    genes = [f"Brand#{i}" for i in range(1, 5)]
+    genes = sorted(r["gene"] for r in b.genes.select("gene").distinct().collect())  # a dimension
     raw = b.norm().filter(F.col("gene").isin(genes)).groupBy("cell_id").pivot("gene", genes).agg(F.first("value"))
     raw = raw.select("cell_id", *(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias(f"r{i}") for i, g in enumerate(genes)))
     parts = []
-    for name, feats, cols in (("embedded", low, [f"e{i}" for i in range(4)]), ("raw", raw, [f"r{i}" for i in range(4)])):
+    for name, feats, cols in (("embedded", low, [f"e{i}" for i in range(4)]), ("raw", raw, [f"r{i}" for i in range(len(genes))])):
         df = ages.join(feats, "cell_id", "left").na.fill(0.0, cols)
         out = B.ridge(df.filter("cell_id % 5 < 3"), cols, "age")(df.filter("cell_id % 5 >= 3"))
         parts.append(M.regression(out, [], "prediction", "age", F.lit(True)).withColumn("features", F.lit(name)))
@@ -505,12 +505,14 @@ def timepoints_unsafe(spark, sf_dir):
 
 @query("regressors")
 def regressors(spark, sf_dir):
-    """Ridge, boosted trees, a forest and kernel ridge on the same rows, with donors left out in turn; mean R2 and error over donors."""
+    """Ridge, kernel ridge, boosted trees and a forest on the same rows, with each of five groups of donors left out; mean R2 and error over groups. The linear ones take all folds from one pass."""
+    cols, y = ["z0", "z1", "z2", "sigma_age"], "y_age"
     df = D.preds(spark, sf_dir).filter("age_mask").withColumn("region", F.col("fold") % 5)
-    parts = []
-    for g in (0, 1):  # fits
+    wide, waves = B.fourier_features(df, cols, 16), [f"k{i}" for i in range(16)]
+    parts = [H.leave_group_out(d, "region", c, y).select("region", "r2", "mae", F.lit(n).alias("kind")) for n, d, c in (("ridge", df, cols), ("kernel", wide, waves))]
+    for g in range(5):  # fits of trees
         train, test = df.filter(F.col("region") != g), df.filter(F.col("region") == g)
-        parts += [M.regression(fit(train, ["z0", "z1", "z2", "sigma_age"], "y_age")(test), ["region"], "prediction", "y_age", F.lit(True)).withColumn("kind", F.lit(name)) for name, fit in B.REGRESSORS.items()]
+        parts += [M.regression(B.REGRESSORS[n](train, cols, y)(test), ["region"], "prediction", y, F.lit(True)).select("region", "r2", "mae", F.lit(n).alias("kind")) for n in ("boosted", "forest")]
     return rounded(M.union_all(*parts).groupBy("kind").agg(F.avg("r2").alias("mean_r2"), F.avg("mae").alias("mae"), F.count("*").alias("n_folds")), 4)
 
 
