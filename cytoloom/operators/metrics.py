@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import safe_corr
+from .ranks import medians
 
 
 def _curve(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -103,10 +106,14 @@ def coverage(low: Column, high: Column, true: Column) -> Column:
 
 
 def precision_at_k(df: DataFrame, by: list[str], score: str, quality: str, k: int, tie: str = "cell_id") -> DataFrame:
-    """Share of the top k by score whose quality is at least the group's median."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, F.row_number().over(w.orderBy(F.desc(score), tie)).alias("r"), (F.col(quality) >= F.percentile(quality, F.lit(0.5)).over(w)).cast("double").alias("good"))
-    return ranked.filter(F.col("r") <= k).groupBy(*by).agg(F.avg("good").alias("precision_at_k"))
+    """Share of the top k by score whose quality is at least the group's median. The top rows are cut down before they meet, the median comes from ranks: a group may hold nearly all rows."""
+    top = df.select(*by, quality, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie)).alias("r")).filter(F.col("r") <= k)
+    mid = medians(df, by, quality, tie)
+    same = F.lit(True)
+    for c in by:
+        same = same & top[c].eqNullSafe(mid[c])
+    good = (top[quality] >= mid["median"]).cast("double")
+    return top.join(mid, same, "left").groupBy(*(top[c] for c in by)).agg(F.avg(good).alias("precision_at_k"))
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -146,29 +153,65 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def mean_distance(a: DataFrame, b: DataFrame, by: list[str], block: int = 1024) -> DataFrame:
-    """by, d: the mean Euclidean distance of all pairs of a group, self-pairs included. a: by, v; b: by, v.
+def mean_distance(a: DataFrame, b: DataFrame, by: list[str], block: int = 1024, within: list[str] | None = None) -> DataFrame:
+    """by, d: the mean Euclidean distance of a group's rows of a to those of b, self-pairs included. a: by, v; b: within, v.
 
-    Groups are dealt to blocks of about `block` rows on either side, by their rows' hash; each block is a task's sum, so neither side is broadcast and a hot group is
-    many tasks. Costs rows times rows of a group: cap_per_sample first where groups are very large.
+    Pairs meet where they agree in `within`, part of `by` (all of it if not given): with none of it, b's rows are shared by all groups and not copied for each. Equal vectors are one row with
+    a weight, so that many of them are no hot key; the rest is dealt to blocks of about `block` on either side, and a pair of blocks is one task's product of matrices, which gives
+    a row a group. Costs distinct rows times distinct rows: take a sample of each group first (bottom_k) where groups are very large.
     """
-    n = lambda d, c: d.groupBy(*by).agg(F.count("*").alias(c))
-    sizes = n(a, "na").join(n(b, "nb"), by)
-    deal = lambda d, own, other: d.join(sizes, by).select(
-        *by, "v", F.pmod(F.xxhash64("v"), F.ceil(F.col(own) / block)).cast("int").alias("b" + own), F.explode(F.sequence(F.lit(0), F.ceil(F.col(other) / block).cast("int") - 1)).alias("b" + other)
-    )
-    left, right = deal(a, "na", "nb"), deal(b, "nb", "na").withColumnRenamed("v", "w")
-    sums = left.join(right, [*by, "bna", "bnb"]).groupBy(*by).agg(F.sum(euclidean(F.col("v"), F.col("w"))).alias("s"))
-    return sums.join(sizes, by).select(*by, (F.col("s") / (F.col("na").cast("double") * F.col("nb"))).alias("d"))
-
-
-def energy_to_control(df: DataFrame, group: str, vec: str, control: Column) -> DataFrame:
-    """Energy distance of each group to the controls, self-pairs included, at least 0."""
+    within = by if within is None else within
+    weigh = lambda d, keys: d.filter("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("w"))
+    one, two = weigh(a, by), weigh(b, within)
+    many = lambda d, c: d.groupBy(*within).agg(F.ceil(F.count("*") / block).cast("int").alias(c))
+    sizes = many(one, "na").crossJoin(F.broadcast(many(two, "nb"))) if not within else many(one, "na").join(many(two, "nb"), within)  # without keys, two single rows
+
+    def dealt(d: DataFrame, keys: list[str], own: str, other: str, side: int) -> DataFrame:
+        j = d.join(sizes, within) if within else d.crossJoin(F.broadcast(sizes))
+        name = F.struct(*(F.col(c) for c in keys)) if keys else F.struct(F.lit(0).alias("none"))
+        return j.select(*within, F.pmod(F.xxhash64("v"), F.col(own)).cast("int").alias("b" + own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("b" + other), F.lit(side).alias("side"), (F.to_json(name) if side == 0 else F.lit("")).alias("name"), "w", F.col("v").cast("array<double>").alias("v"))
+
+    left, right = dealt(one, by, "na", "nb", 0), dealt(two, within, "nb", "na", 1)
+    pairs = left.unionByName(right).groupBy(*within, "bna", "bnb").applyInArrow(_summed, "name string, s double")
+    sums = pairs.groupBy("name").agg(F.sum("s").alias("s"))
+    total = lambda d, keys, c: d.groupBy(*keys).agg(F.sum("w").cast("double").alias(c))
+    n = total(one, by, "wa")
+    n = n.join(total(two, within, "wb"), within) if within else n.crossJoin(F.broadcast(total(two, [], "wb")))
+    return n.withColumn("name", F.to_json(F.struct(*by))).join(sums, "name").select(*by, (F.col("s") / (F.col("wa") * F.col("wb"))).alias("d"))
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """name, s: weighted sums of the distances between the two sides of a pair of blocks, by name of the first."""
+    side, w = t.column("side").to_numpy(), t.column("w").to_numpy().astype(np.float64)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(one) or not len(two):
+        return pa.table({"name": pa.array([], pa.string()), "s": pa.array([], pa.float64())})
+    x = np.array(t.column("v").combine_chunks().flatten().to_numpy()).reshape(len(side), -1)
+    a, b = x[one], x[two]
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+    near = square < 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1))  # differences that the product has lost
+    i, j = np.nonzero(near)
+    square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    s = w[one] * (np.sqrt(np.maximum(square, 0)) @ w[two])
+    names, at = np.unique(np.array(t.column("name").to_pylist())[one], return_inverse=True)
+    return pa.table({"name": pa.array(names.tolist(), pa.string()), "s": np.bincount(at, s, len(names))})
+
+
+def bottom_k(df: DataFrame, by: list[str], n: int, key: str, seed: int = 0) -> DataFrame:
+    """At most n rows of each group, those with the least hash of the key: the cap of rows a group. The least n of every partition are kept before rows meet, so a group's rows never do."""
+    h = F.xxhash64(F.lit(seed), key)
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(h, key))
+    return df.withColumn("__r", r).filter(F.col("__r") <= n).drop("__r")
+
+
+def energy_to_control(df: DataFrame, group: str, vec: str, control: Column, most: int | None = None, key: str | None = None) -> DataFrame:
+    """Energy distance of each group to the controls, self-pairs included, at least 0. Exact, or on at most `most` rows of each group and of the controls, by the hash of `key`."""
+    if most:
+        df = bottom_k(df.withColumn("__c", control), ["__c", group], most, key)
+        df = bottom_k(df.filter("__c"), ["__c"], most, key).unionByName(df.filter("NOT __c"))
     ctrl = df.filter(control).select(F.col(vec).alias("v"))
     rest = df.filter(~control).select(group, F.col(vec).alias("v"))
-    groups = rest.select(group).distinct()
-    facing = ctrl.crossJoin(groups)  # groups are few; the controls are repeated once a group
-    cross_ = mean_distance(rest, facing, [group]).withColumnRenamed("d", "ab")
+    cross_ = mean_distance(rest, ctrl, [group], within=[]).withColumnRenamed("d", "ab")
     own = mean_distance(rest, rest, [group]).withColumnRenamed("d", "aa")
     one = ctrl.withColumn("all", F.lit(0))
     bb = mean_distance(one, one, ["all"]).select(F.col("d").alias("bb"))

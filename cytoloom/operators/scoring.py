@@ -136,8 +136,10 @@ def ensemble_combine(members: DataFrame, logits: list[str], age: str, scale: flo
 
 def safe_targets(df: DataFrame, by: list[str], safe: Column, gain_col: str) -> DataFrame:
     """gated: unsafe rows pushed below the worst safe one by 1; penalised: less 3 sd for unsafe ones."""
-    w = Window.partitionBy(*by)
     g = F.col(gain_col)
-    floor = F.min(F.when(safe, g)).over(w) - 1
-    sd = F.stddev_pop(g).over(w)
-    return df.withColumns({"gated": F.when(safe, g).otherwise(F.coalesce(floor, g)), "penalised": g - 3 * sd * (~safe).cast("double"), "good": (safe & (g > 0)).cast("int")})
+    stats = df.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg((F.min(F.when(safe, g)) - 1).alias("__floor"), F.stddev_pop(g).alias("__sd"))  # a row a group
+    same = F.lit(True)
+    for c in by:
+        same = same & df[c].eqNullSafe(stats[f"__{c}"])
+    floor, sd = F.col("__floor"), F.col("__sd")
+    return df.join(stats, same).withColumns({"gated": F.when(safe, g).otherwise(F.coalesce(floor, g)), "penalised": g - 3 * sd * (~safe).cast("double"), "good": (safe & (g > 0)).cast("int")}).drop(*stats.columns)

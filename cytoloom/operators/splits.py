@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import unit_hash
+from .ranks import ranked
 
 SPLITS = ("train", "val", "calib", "test")
 
@@ -132,14 +133,9 @@ def gather_split(samples: DataFrame, splits: DataFrame, regime: str, split: str)
 def stratified_batches(cells: DataFrame, size: int, seed: int) -> DataFrame:
     """cell_id, batch: controls and treated of a chunk dealt evenly, so that every batch has controls."""
     n = cells.groupBy("chunk_id").agg(F.ceil(F.count("*") / size).alias("k"))
-    order = Window.partitionBy("chunk_id", "is_control").orderBy(shuffled(seed, "cell_id"), "cell_id")
-    own = Window.partitionBy("chunk_id", "is_control")
-    r, m = F.row_number().over(order) - 1, F.count("*").over(own)
-    # the first m mod k batches get one more, as ntile deals
-    big = m % F.col("k")
-    base = F.floor(m / F.col("k"))
-    batch = F.when(r < big * (base + 1), F.floor(r / (base + 1))).otherwise(big + F.floor((r - big * (base + 1)) / F.greatest(base, F.lit(1))))
-    return cells.join(F.broadcast(n), "chunk_id").select("cell_id", "chunk_id", "is_control", batch.cast("long").alias("batch"))
+    r = ranked(cells.select("cell_id", "chunk_id", "is_control"), ["chunk_id", "is_control"], [shuffled(seed, "cell_id"), F.col("cell_id")])
+    batch = _dealt(F.col("rank") - 1, F.col("size"), F.col("k"))
+    return r.join(n, "chunk_id").select("cell_id", "chunk_id", "is_control", batch.cast("long").alias("batch"))
 
 
 def cap_per_sample(cells: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
@@ -173,8 +169,15 @@ def inner_lodo(rows: DataFrame, bulk: float = 0.5, least: int = 2) -> DataFrame:
 
 
 def kfold(df: DataFrame, k: int, seed: int, by: list[str]) -> DataFrame:
-    """fold of each row of a sample table, dealt within `by`."""
-    return df.withColumn("fold_k", F.ntile(k).over(Window.partitionBy(*by).orderBy(shuffled(seed, "cell_id"), "cell_id")) - 1)
+    """fold of each row of a table, dealt within `by` as ntile deals: the first folds get one row more. A group may hold nearly all rows."""
+    r = ranked(df, by, [shuffled(seed, "cell_id"), F.col("cell_id")], "__rank", "__size")
+    return r.withColumn("fold_k", _dealt(F.col("__rank") - 1, F.col("__size"), F.lit(k)).cast("int")).drop("__rank", "__size")
+
+
+def _dealt(r: Column, m: Column, k: Column) -> Column:
+    """The part of k that row r of m (from 0) falls in: the first m mod k parts get one more."""
+    big, base = m % k, F.floor(m / k)
+    return F.when(r < big * (base + 1), F.floor(r / (base + 1))).otherwise(big + F.floor((r - big * (base + 1)) / F.greatest(base, F.lit(1))))
 
 
 def union_splits(*parts: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: two-sided 95 % points of Student's t by degrees of freedom
@@ -106,6 +110,33 @@ def pooled_ece(df: DataFrame, p: str, y: str, bins: int, trials: int, seed: int)
     return out.select(*(F.when(~few, c).alias(a) for c, a in ((F.col("ece"), "ece"), (F.col("floor"), "floor"), (F.col("ece") - F.col("floor"), "excess"), (below, "pctile"))), "n")
 
 
+def pooled_ece_draws(df: DataFrame, p: str, y: str, bins: int = 10, trials: int = 4000, seed: int = 0, places: int = 4) -> DataFrame:
+    """As pooled_ece, with labels drawn by distinct probability and not by row: trials times values draws, however many rows.
+
+    Rows whose probabilities agree in `places` decimals are one value: of m rows, the hits are a binomial draw at their mean probability, which differs from m
+    single draws by less than 10^-places in its mean. A value's draws follow from the seed and the value alone. Rows meet in one aggregate by value, draws in one by bin and trial.
+    """
+    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
+    values = df.filter(F.col(p).isNotNull()).groupBy(b.alias("b"), F.round(F.col(p) * 10**places).cast("long").alias("v")).agg(F.count("*").alias("m"), F.sum(p).alias("sp"), F.sum(F.col(y).cast("double")).alias("sy"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, rest = np.zeros((bins, trials), np.int64), np.zeros((bins, 3))
+        for batch in batches:
+            for b, v, m, sp, sy in zip(*(c.to_pylist() for c in batch.columns)):
+                hits[b] += np.random.default_rng([seed, b, v]).binomial(m, min(1.0, max(0.0, sp / m)), trials)
+                rest[b] += (m, sp, sy)
+        on = np.flatnonzero(rest[:, 0] > 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * trials, pa.int32()), pa.array(hits[on].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), lists, *(pa.array(rest[on, i]) for i in range(3))], names=["b", "hits", "m", "sp", "sy"])
+
+    parts = values.mapInArrow(draw, "b int, hits array<long>, m double, sp double, sy double")
+    each = parts.select("b", "m", "sp", "sy", F.posexplode("hits").alias("trial", "hit")).groupBy("b", "trial").agg(F.sum("hit").alias("hit"), F.sum("m").alias("m"), F.sum("sp").alias("sp"), F.sum("sy").alias("sy"))
+    gaps = each.groupBy("trial").agg((F.sum(F.abs(F.col("hit") - F.col("sp"))) / F.sum("m")).alias("drawn"), (F.sum(F.abs(F.col("sy") - F.col("sp"))) / F.sum("m")).alias("ece"), F.sum("m").cast("long").alias("n"))
+    out = gaps.agg(F.max("ece").alias("ece"), F.percentile("drawn", F.lit(0.5)).alias("floor"), F.avg((F.round("drawn", 12) < F.round("ece", 12)).cast("double")).alias("pctile"), F.max("n").alias("n"))
+    few = F.col("n") < 10
+    return out.select(*(F.when(~few, c).alias(a) for c, a in ((F.col("ece"), "ece"), (F.col("floor"), "floor"), (F.col("ece") - F.col("floor"), "excess"), (F.col("pctile"), "pctile"))), "n")
+
+
 def gates(metrics: DataFrame) -> DataFrame:
     """Acceptance by regime of `model` against the other estimators. metrics: regime, estimator, prauc, mae, ece, coverage, spearman.
 

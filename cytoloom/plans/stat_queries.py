@@ -71,6 +71,13 @@ def interval_report(spark, sf_dir):
     return rounded(S.interval_report(df.select("fold", (F.col("mu_age") - s).alias("low"), (F.col("mu_age") + s).alias("high"), F.col("y_age").alias("true")), ["fold"]))
 
 
+@query("pooled_ece_draws")
+def pooled_ece_draws(spark, sf_dir):
+    """4,000 draws, by distinct probability."""
+    df = D.probs(spark, sf_dir).withColumn("safe", (F.col("y") == 0).cast("int"))
+    return rounded(S.pooled_ece_draws(df, "p0", "safe"))
+
+
 @query("pooled_ece", D.sql("""SELECT round(max(e) FILTER (trial = 0), 6) AS ece, round(median(e) FILTER (trial > 0), 6) AS floor, round(max(e) FILTER (trial = 0) - median(e) FILTER (trial > 0), 6) AS excess, (SELECT count(*) / 20.0::DOUBLE FROM each WHERE trial > 0 AND round(e, 12) < (SELECT round(e, 12) FROM each WHERE trial = 0)) AS pctile, max(n)::BIGINT AS n FROM each""", each="""
   SELECT trial, sum(g) / sum(n) AS e, sum(n) AS n FROM (SELECT trial, b, abs(sum(CASE WHEN trial = 0 THEN (y = 0)::INT WHEN ('0x' || substr(md5('3|' || cell_id || '|' || trial), 1, 8))::UBIGINT / 4294967296.0 < p0 THEN 1 ELSE 0 END) - sum(p0)) AS g, count(*) AS n
   FROM (SELECT *, least(floor(p0 * 10), 9) AS b FROM probs), (SELECT unnest(range(21)) AS trial) GROUP BY trial, b) GROUP BY trial"""))
