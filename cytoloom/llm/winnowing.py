@@ -11,6 +11,7 @@ first), a null doc_id comes last; repeated rows each give a row. Extra columns a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .text import mix64
 
 _BASE = 0x9E3779B97F4A7C15
+PREFIX = 256  # characters by which the rows of one id are parted
 
 
 def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
@@ -90,48 +92,82 @@ def fingerprints(docs: DataFrame, k: int = 32, window: int = 48) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, positions array<long>, hashes array<long>")
 
 
+def cuts_within(slim: DataFrame, hot: dict[int | None, int], size: int) -> dict[int | None, list[str]]:
+    """Where the rows of an id that has more than a block's are cut further: quantiles of the first `PREFIX` characters of a sample of its texts, about 20 a cut."""
+    if not hot:
+        return {}
+    at = F.col("doc_id").isin([h for h in hot if h is not None])
+    rows = slim.filter(at | F.col("doc_id").isNull() if None in hot else at)
+    share = min(1.0, 20 / size)
+    found: dict[int | None, list[str]] = {}
+    for r in rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, PREFIX).alias("t")).sample(share, 5).toLocalIterator():  # about 20 rows for each block that they fill
+        found.setdefault(r["doc_id"], []).append(r["t"])
+    out = {}
+    for h, texts in found.items():
+        texts.sort()
+        parts = -(-hot[h] // size)
+        out[h] = sorted({texts[i * len(texts) // parts] for i in range(1, parts)})
+    return out
+
+
 def with_next(docs: DataFrame, blocks: int) -> DataFrame:
     """The texts dealt to ranges of doc_id, one after another in descending order, each range followed by the document that comes next.
 
     Columns block, doc_id, text, ghost: a ghost is that next document, there only to be looked at. A range's bounds come from
-    quantiles of doc_id, so a task gets a bounded share however ids are spread; texts are shuffled once.
+    quantiles of doc_id; an id (or the null id) of more rows than a range should have is a range of its own and is cut further by text, as ties are ordered by it. So a task gets
+    a bounded share however ids are spread, but for texts of one id that agree in their first `PREFIX` characters. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    slim = docs.select("doc_id", "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = slim.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("q")).first()["q"] if blocks > 1 else []
-    cuts = sorted(set(cuts or []))
+    size = max(1, -(-docs.count() // blocks))
+    hot = {r["doc_id"]: r["count"] for r in ids.groupBy("doc_id").count().filter(F.col("count") > size).collect()}  # fewer than blocks
+    inner = cuts_within(slim, hot, size)
+    edges = np.array(sorted({*(cuts or []), *(x for h in hot if h is not None for x in (h - 1, h))}), np.int64)
+    width = 1 + max((len(c) for c in inner.values()), default=0)
+
+    def segments(ids: pa.Array, texts: pa.Array | None) -> np.ndarray:
+        block = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left") + 1
+        block[ids.is_null().to_numpy(zero_copy_only=False)] = 0  # the null id comes last
+        block = block.astype(np.int64) * width
+        if inner:
+            for i, v in enumerate(ids.to_pylist()):
+                if v in inner:
+                    block[i] += bisect.bisect_right(inner[v], texts[i].as_py() or "")
+        return block
 
     def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(cuts, np.int64)
         for b in batches:
-            ids = b.column(0)
-            block = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left") + 1
-            block[ids.is_null().to_numpy(zero_copy_only=False)] = 0  # the null id comes last
-            yield pa.RecordBatch.from_arrays([ids, pa.array(block.astype(np.int32))], names=["doc_id", "block"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segments(b.column(0), b.column(1)))], names=["doc_id", "block"])
 
     # the highest id of each range: as many rows as there are ranges
-    tops = {r["block"]: r["top"] for r in ids.mapInArrow(block_of, "doc_id long, block int").groupBy("block").agg(F.max("doc_id").alias("top")).collect()}
-    have = sorted(tops, reverse=True)
-    wanted: dict[int | None, list[int]] = {}
+    seen = slim if inner else ids.withColumn("text", F.lit(""))
+    tops = {r["block"]: r["top"] for r in seen.mapInArrow(block_of, "doc_id long, block long").groupBy("block").agg(F.max("doc_id").alias("top")).collect()}
+    have = sorted(tops, key=lambda x: (x // width == 0, -(x // width), x % width))
+    wanted: dict[int | None, list[int]] = {}  # by the id that is looked at
+    first_of: dict[int, list[int]] = {}  # by the part of a hot id whose first row is
     for i, b in enumerate(have):
-        wanted.setdefault(tops[have[(i + 1) % len(have)]], []).append(b)
+        after = have[(i + 1) % len(have)]
+        (first_of.setdefault(after, []) if tops[after] in inner else wanted.setdefault(tops[after], [])).append(b)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(cuts, np.int64)
         for b in batches:
-            ids = b.column(0)
-            block = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left") + 1
-            block[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+            ids, texts = b.column(0), b.column(1)
+            block = segments(ids, texts)
             ghosts = [(i, x) for i, v in enumerate(ids.to_pylist()) for x in wanted.get(v, ())]
+            for part in set(block.tolist()) & set(first_of):
+                rows = np.flatnonzero(block == part).tolist()
+                least = min(rows, key=lambda i: (texts[i].is_valid, texts[i].as_py() or ""))
+                ghosts += [(least, x) for x in first_of[part]]
             take = pa.array([*range(len(ids)), *(i for i, _ in ghosts)], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((block, [x for _, x in ghosts])).astype(np.int32)), ids.take(take), b.column(1).take(take), pa.array([False] * len(ids) + [True] * len(ghosts))],
+                [pa.array(np.concatenate((block, [x for _, x in ghosts])).astype(np.int64)), ids.take(take), texts.take(take), pa.array([False] * len(ids) + [True] * len(ghosts))],
                 names=["block", "doc_id", "text", "ghost"],
             )
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "block int, doc_id long, text string, ghost boolean")
+    dealt = slim.mapInArrow(deal, "block long, doc_id long, text string, ghost boolean")
     return dealt.repartition(parts, "block").sortWithinPartitions(F.col("block"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 

@@ -154,6 +154,24 @@ def test_shared_run_shares_a_hash():
         assert set(winnowing.winnow(a, 5, 8)[0].tolist()) & set(winnowing.winnow(b, 5, 8)[0].tolist())
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_one_id_with_most_of_the_rows(spark, hot):
+    rng = random.Random(11)
+    texts = [rng.choice([None, "", *(["aé" * rng.randint(1, 30)] * 6), *([f"{rng.random():.9f} some text {i}"] * 12)]) for i in range(400)]
+    rows = [(hot if i % 4 else i % 100, t) for i, t in enumerate(texts)] + [(hot, "the same")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        n = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - n] + u[:n]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in winnowing.compare_with_edits(df, blocks=8).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    dealt = [r["count"] for r in winnowing.with_next(df, 8).filter("NOT ghost").groupBy("block").count().collect()]
+    assert max(dealt) <= 3 * len(rows) / 8 and sum(dealt) == len(rows)
+
+
 def test_comparisons_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
