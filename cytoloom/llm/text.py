@@ -6,6 +6,8 @@ bytes, word boundaries, and 64-bit hashes of words, computed for the batch as ar
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +74,13 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the machine: a worker that waits for its next task should not hold the last one's arrays."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of text each, so that a task's arrays stay small; a longer text is a slice alone."""
     for batch in batches:
@@ -83,6 +92,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        give_back()
 
 
 class Words:
