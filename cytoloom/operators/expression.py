@@ -117,6 +117,17 @@ def clock_predict(expr: DataFrame, cells: DataFrame, clock: DataFrame, intercept
     return cells.select("cell_id").join(sums, "cell_id", "left").select("cell_id", (F.coalesce("s", F.lit(0.0)) + intercept).alias("age"))
 
 
+def predict_age(expr: DataFrame, cells: DataFrame, clock) -> DataFrame:
+    """cell_id, age of every cell by a clock: any callable (expr, cells) -> (cell_id, age), or a pair of a table of weights (gene, weight) and an intercept.
+
+    A callable that leaves a cell out gives it a null age; one that gives a cell two ages is an error when the result is read.
+    """
+    ages = clock(expr, cells) if callable(clock) else clock_predict(expr, cells, *clock)
+    g = ages.groupBy("cell_id").agg(F.count("*").alias("n"), F.max("age").cast("double").alias("age"))
+    one = g.select("cell_id", F.when(F.col("n") > 1, F.raise_error(F.format_string("two ages for cell %s", F.col("cell_id").cast("string"))).cast("double")).otherwise(F.col("age")).alias("age"))
+    return cells.select("cell_id").join(one, "cell_id", "left")
+
+
 def with_baseline(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with `out`: the mean of the controls of the line in the chunk; without controls, of the line."""
     line = df.groupBy("chunk_id", "cell_line").agg(F.coalesce(F.avg(F.when(F.col("is_control"), F.col(value))), F.avg(value)).alias(out))

@@ -108,3 +108,18 @@ def check_panel_hash(panels: DataFrame) -> DataFrame:
     genes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda x: x["gene"])
     each = panels.groupBy("source").agg(F.substring(F.sha2(F.concat_ws("\n", genes), 256), 1, 16).alias("h"))
     return each.agg(F.min("h").alias("panel_hash"), F.count("*").alias("n_sources"), (F.min("h") == F.max("h")).alias("agree"))
+
+
+def panel_differences(panels: DataFrame, reference: str) -> DataFrame:
+    """source, panel_hash, agree, n_missing, n_extra, n_moved of each source (source, pos, gene) against the source `reference`: genes that it lacks, has in
+    addition, or has at another place. A source that lists a gene twice counts each place of it."""
+    genes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene"))), lambda x: x["gene"])  # a panel is a dimension
+    each = panels.groupBy("source").agg(F.substring(F.sha2(F.concat_ws("\n", genes), 256), 1, 16).alias("panel_hash"))
+    ref = panels.filter(F.col("source") == reference).select("gene", F.col("pos").alias("at"))
+    wanted = each.select("source").crossJoin(F.broadcast(ref))
+    own = panels.select("source", "gene", "pos")
+    met = wanted.join(own, ["source", "gene"], "full").groupBy("source").agg(
+        F.count_if(F.col("pos").isNull()).alias("n_missing"), F.count_if(F.col("at").isNull()).alias("n_extra"), F.count_if(F.col("at") != F.col("pos")).alias("n_moved")
+    )
+    theirs = each.filter(F.col("source") == reference).select(F.col("panel_hash").alias("h"))
+    return each.join(met, "source").crossJoin(F.broadcast(theirs)).select("source", "panel_hash", (F.col("panel_hash") == F.col("h")).alias("agree"), "n_missing", "n_extra", "n_moved")

@@ -118,11 +118,11 @@ def fit_temperature(df: DataFrame, logits: list[str], y: str, points: int = 25,
 
 
 def minmax_by_calib(test: DataFrame, calib: DataFrame, by: list[str], col: str, q: float, approx: bool = False) -> DataFrame:
-    """test with scaled (clipped to [0, 1] by the calibration set's range) and threshold (its scaled quantile)."""
+    """test with scaled (clipped to [0, 1] by the calibration set's range) and threshold (its scaled quantile). Without a range scaled is 0 and the threshold 0.5, which flags nothing."""
     ranges = calib.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), quantile(col, q, approx).alias("t"))
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    scaled = lambda c: F.coalesce(clip((c - F.col("lo")) / width, 0.0, 1.0), F.lit(0.0))
-    return test.join(F.broadcast(ranges), by).withColumns({"scaled": scaled(F.col(col)), "threshold": scaled(F.col("t"))}).drop("lo", "hi", "t")
+    scaled = lambda c, flat: F.when(width.isNull(), flat).otherwise(clip((c - F.col("lo")) / width, 0.0, 1.0))
+    return test.join(F.broadcast(ranges), by).withColumns({"scaled": scaled(F.col(col), 0.0), "threshold": scaled(F.col("t"), 0.5)}).drop("lo", "hi", "t")
 
 
 def ensemble_combine(members: DataFrame, logits: list[str], age: str, scale: float = 1.0) -> DataFrame:

@@ -69,3 +69,34 @@ def rises(steps: DataFrame, step: str = "day", value: str = "value", loss: str |
     rise = lambda hi, lo: F.when(F.size("s") > F.col("k"), at(hi, "p") - at(lo, "p")).otherwise(0.0)
     out = one.select(F.when(F.size("s") > 1, at(last, "m") < at(F.lit(0), "m")).otherwise(F.lit(False)).alias("falls"), rise(last, last - F.col("k")).alias("late"), rise(F.col("k"), F.lit(0)).alias("early"))
     return out.withColumn("late_rise", F.col("late") >= F.col("early"))
+
+
+def mean_vectors(expr: DataFrame, rows: DataFrame, key: str = "donor", least_points: int = 3, least_rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(points, vectors) of populations: points are key, t, value, unsafe, n; vectors are key, t, gene, value, the mean over all rows of the point, zeros not stored.
+
+    expr: cell_id, gene, value; rows: cell_id, key, t, value, unsafe. Times count as one where they agree in six places. Points of fewer rows than
+    `least_rows`, keys of fewer points than `least_points`, and rows with a null key or time are left out. A point whose rows have no expression has no vector rows.
+    """
+    at = rows.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).withColumn("t", F.round("t", 6) + 0.0)
+    p = at.groupBy(key, "t").agg(F.avg("value").alias("value"), F.avg("unsafe").alias("unsafe"), F.count("*").alias("n")).filter(F.col("n") >= least_rows)
+    enough = p.groupBy(key).agg(F.count("*").alias("k")).filter(F.col("k") >= least_points).select(key)
+    points = p.join(enough, key, "left_semi")
+    sums = expr.join(at.select("cell_id", key, "t"), "cell_id").groupBy(key, "t", "gene").agg(F.sum("value").alias("s"))
+    return points, sums.join(points.select(key, "t", "n"), [key, "t"]).select(key, "t", "gene", (F.col("s") / F.col("n")).alias("value"))
+
+
+def vector_pairs(points: DataFrame, vectors: DataFrame, key: str = "donor") -> DataFrame:
+    """Forward pairs of a key's points with their vectors: key, t_i, t_j, dt, v_i, v_j, distance, cosine (null where a vector is zero).
+
+    Inner products are sums over shared genes, so no vector is made dense; points are few a key, and pairs meet by key and gene.
+    """
+    pairs = forward_pairs(points.select(key, "t", "value"), key)
+    norms = vectors.groupBy(key, "t").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
+    a = vectors.select(key, "gene", F.col("t").alias("t_i"), F.col("value").alias("a"))
+    b = vectors.select(key, "gene", F.col("t").alias("t_j"), F.col("value").alias("b"))
+    dots = a.join(b, [key, "gene"]).filter("t_j > t_i").groupBy(key, "t_i", "t_j").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
+    side = lambda t, q: norms.select(key, F.col("t").alias(t), F.col("q").alias(q))
+    j = pairs.join(dots, [key, "t_i", "t_j"], "left").join(side("t_i", "qi"), [key, "t_i"], "left").join(side("t_j", "qj"), [key, "t_j"], "left")
+    j = j.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ab", "qi", "qj")})
+    distance = F.sqrt(F.greatest(F.col("qi") + F.col("qj") - 2 * F.col("ab"), F.lit(0.0)))
+    return j.select(key, "t_i", "t_j", "dt", "v_i", "v_j", distance.alias("distance"), (F.col("ab") / F.nullif(F.sqrt(F.col("qi") * F.col("qj")), F.lit(0.0))).alias("cosine"))

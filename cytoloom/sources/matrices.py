@@ -14,7 +14,8 @@ def read_mtx(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("line"))
     data = lines.filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    first = data.groupBy("file").agg(F.min("line").alias("line"))
+    # by the block's place in the file first: numbers of lines follow the tasks, and a task may read blocks in any order
+    first = data.groupBy("file").agg(F.min_by("line", F.struct("at", "line")).alias("line"))
     body = data.join(F.broadcast(first), ["file", "line"], "left_anti")
     p = F.split(F.trim("value"), r"\s+")
     typed = body.select("file", p[0].cast("int").alias("gene_row"), p[1].cast("int").alias("barcode"), p[2].cast("double").alias("value"))
