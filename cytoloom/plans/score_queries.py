@@ -199,7 +199,19 @@ def ood_diagonal(spark, sf_dir):
     return rounded(N.diagonal_ood(v.filter("label < 8"), v, ["vec_id"]), 4)
 
 
-@query("ood_mahalanobis")
+# the inverse by Gauss-Jordan steps without pivots, which a positive definite matrix allows: one recursion a dimension
+_INVERSE = {
+    "fitted": "SELECT v FROM vectors WHERE label < 8",
+    "centre": "SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(v[i]) AS m FROM fitted, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1)",
+    "covs": "SELECT i, j, covar_samp(v[i], v[j]) + CASE WHEN i = j THEN 1e-3 ELSE 0 END AS c FROM fitted, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY i, j",
+    "opened": "SELECT list(r ORDER BY i) AS m FROM (SELECT i, c || list_transform(range(1, 65), lambda u: (u = i)::INT::DOUBLE) AS r FROM (SELECT i, list(c ORDER BY j) AS c FROM covs GROUP BY i))",
+    "steps": "SELECT 1 AS k, m FROM opened UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(r, lambda x, j: x - r[k] / m[k][k] * m[k][j]) END) FROM steps WHERE k <= 64",
+    "inverse": "SELECT list_transform(m, lambda r: r[65:128]) AS p FROM steps WHERE k = 65",
+    "far": "SELECT vec_id, label, list_dot_product(list_transform(p, lambda r: list_dot_product(r, c)), c) AS d2 FROM (SELECT vec_id, label, list_transform(v, lambda x, i: x - mu[i]) AS c FROM vectors, centre), inverse",
+}
+
+
+@query("ood_mahalanobis", D.sql("SELECT vec_id, round(d2, 4) AS d2, d2 <= (SELECT quantile_cont(d2, 0.99) FROM far WHERE label < 8) AS in_dist FROM far", **_INVERSE).replace("WITH ", "WITH RECURSIVE ", 1))
 def ood_full(spark, sf_dir):
     v = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return N.score_ood(v, "v", N.fit_ood(v.filter("label < 8"), "v")).select("vec_id", F.round("d2", 4).alias("d2"), "in_dist")
