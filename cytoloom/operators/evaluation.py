@@ -214,7 +214,9 @@ def ood_quality(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def overfit_classes(df: DataFrame, by: list[str], bulk: Column) -> DataFrame:
-    """by, train_bulk, train_donors, test: mean absolute errors by subset, and how far the test is above the training donors. df: mu_age, y_age, age_mask, split."""
+    """by, train_bulk, train_donors, test: mean absolute errors by subset, and how far the test is above the training donors. df: mu_age, y_age, age_mask, split.
+
+    `fit_verdict` names the class of such a row."""
     e = F.abs(F.col("mu_age") - F.col("y_age"))
     of = lambda c: F.avg(F.when(F.col("age_mask") & c, e))
     train = F.col("split") == "train"
@@ -222,6 +224,26 @@ def overfit_classes(df: DataFrame, by: list[str], bulk: Column) -> DataFrame:
     return g.withColumn("ratio", F.col("test") / F.nullif(F.col("train_donors"), F.lit(0.0)))
 
 
+#: a fold whose training error is below LOW of its test error has learnt its donors by heart; above HIGH, it fits neither
+LOW, HIGH = 0.4, 0.75
+
+
+def fit_verdict(train: Column, test: Column) -> Column:
+    """MEMORIZING, CANNOT_FIT or, between them or where an error is missing, PARTIAL. Compared in 9 places."""
+    low, high = F.round(train - LOW * test, 9) < 0, F.round(train - HIGH * test, 9) > 0
+    return F.when(low, "MEMORIZING").when(high, "CANNOT_FIT").otherwise("PARTIAL")
+
+
+def overfit_summary(folds: DataFrame) -> DataFrame:
+    """One row over folds with both errors: their means, the ratio of the means, the folds of each class, and which class holds half of them or more (MIXED if none;
+    MEMORIZING on a tie; null without such folds). folds: train_donors, test."""
+    of = lambda v: F.count_if(fit_verdict(F.col("train_donors"), F.col("test")) == v)
+    g = folds.filter("train_donors IS NOT NULL AND test IS NOT NULL").agg(F.avg("train_donors").alias("mean_train"), F.avg("test").alias("mean_test"), of("MEMORIZING").alias("n_memorizing"), of("CANNOT_FIT").alias("n_cannot_fit"), F.count("*").alias("n"))
+    half = F.col("n") / 2
+    verdict = F.when(F.col("n") == 0, None).when((F.col("n_memorizing") >= F.col("n_cannot_fit")) & (F.col("n_memorizing") >= half), "MEMORIZING").when(F.col("n_cannot_fit") >= half, "CANNOT_FIT").otherwise("MIXED")
+    return g.withColumns({"ratio": F.col("mean_test") / F.nullif(F.col("mean_train"), F.lit(0.0)), "verdict": verdict})
+
+
 def neighbour_times(neighbours: DataFrame) -> DataFrame:
     """spread: mean over rows of the spread of their neighbours' times; corr: mean correlation of time and age among them. neighbours: query_id, t, y."""
     from ..functions.columns import safe_corr
