@@ -65,6 +65,16 @@ def logistic(train: DataFrame, cols: list[str], y: str, weight: str | None = Non
     return lambda df: model.transform(df).withColumn("probs", vector_to_array("probability")).drop("__raw", "features", "rawPrediction", "probability", "prediction")
 
 
+def balanced_logistic(train: DataFrame, cols: list[str], hit: str) -> Callable[[DataFrame], DataFrame]:
+    """Logistic regression of a 0/1 column whose two classes weigh alike in all; gives column fitted, the probability of 1. Raises ValueError where a class has no rows."""
+    n = {r[0]: r[1] for r in train.groupBy(hit).count().collect()}
+    if not n.get(0) or not n.get(1):
+        raise ValueError(f"rows of one class only: {n.get(0, 0)} of 0, {n.get(1, 0)} of 1")
+    half = (n[0] + n[1]) / 2
+    scored = logistic(train.withColumn("__w", F.when(F.col(hit) == 1, half / n[1]).otherwise(half / n[0])), cols, hit, "__w")
+    return lambda df: scored(df).withColumn("fitted", F.col("probs")[1]).drop("probs")
+
+
 #: what an estimator may see: the state, the perturbation, or both
 VIEWS = {"x_only": ["z0", "z1"], "u_only": ["z2", "sigma_age"], "all": ["z0", "z1", "z2", "sigma_age"]}
 

@@ -1,4 +1,4 @@
-"""Leave-one-group-out ridge from one pass: moments by group, each fit from all moments less its group's, every row predicted by the fit that has not seen its group."""
+"""Leave-one-group-out ridge from one pass: moments by group, each fit from all moments less its group's, every row predicted by the fit that has not seen its group; logistic fits, one a group."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import dot
+from .baselines import balanced_logistic
+from .metrics import prauc, union_all
 
 
 def moments(df: DataFrame, group: str, cols: list[str], target: str) -> DataFrame:
@@ -97,3 +99,28 @@ def elapsed_sweep(pairs: DataFrame, first: DataFrame, group: str, state: list[st
     at = lambda t: F.col("intercept") + dot(F.col("w"), F.array(*(F.col(c).cast("double") for c in state), F.col(t), F.col(t) * F.col(t)))
     rows = first.crossJoin(F.broadcast(fit.select("intercept", "w").crossJoin(ends)))
     return rows.select(group, "dt_low", "dt_high", at("dt_low").alias("at_low"), at("dt_high").alias("at_high")).withColumn("swing", F.col("at_high") - F.col("at_low"))
+
+
+def leave_group_out_fate(df: DataFrame, group: str, groups: list, cols: list[str], hit: str) -> DataFrame:
+    """group, n, prauc, log_loss, error of a balanced logistic fit of the 0/1 column `hit` with each of `groups` (a stated few) left out: a fit each, measured in one pass.
+
+    A fit that fails, for one class among the other groups' rows, is a row with its error; rows with a null `hit` or group are left out. A group of one class has no prauc.
+    """
+    rows = df.filter(F.col(hit).isNotNull())
+    parts, failed = [], []
+    for g in groups:
+        try:
+            scored = balanced_logistic(rows.filter(F.col(group) != g), cols, hit)
+        except ValueError as e:  # recorded: the other folds stand
+            failed.append((g, str(e)[:500]))
+            continue
+        parts.append(scored(rows.filter(F.col(group) == g)).select(group, hit, F.round("fitted", 9).alias("__p")))
+    kind = df.schema[group].dataType.simpleString()
+    errors = df.sparkSession.createDataFrame(failed, f"`{group}` {kind}, error string").select(group, F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("prauc"), F.lit(None).cast("double").alias("log_loss"), "error")
+    if not parts:
+        return errors
+    out = union_all(*parts)
+    p = F.greatest(F.least("__p", F.lit(1 - 1e-9)), F.lit(1e-9))
+    g = out.groupBy(group).agg(F.count("*").alias("n"), F.avg(-F.log(F.when(F.col(hit) == 1, p).otherwise(1 - p))).alias("log_loss"), F.count_distinct(hit).alias("__k"))
+    g = g.join(prauc(out, [group], "__p", hit), group, "left").withColumn("prauc", F.when(F.col("__k") == 2, F.col("prauc")))
+    return g.select(group, "n", "prauc", "log_loss", F.lit(None).cast("string").alias("error")).unionByName(errors)

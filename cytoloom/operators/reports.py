@@ -77,3 +77,28 @@ def gather_features(samples: DataFrame, splits: DataFrame, regime: str, split: s
 def held_out_pairs(df: DataFrame, group: str, groups: list, fit, keep: list[str]) -> DataFrame:
     """The rows of every group with the prediction of `fit(train)` on the other groups. A fit a group: groups are a stated few."""
     return union_all(*(fit(df.filter(F.col(group) != g))(df.filter(F.col(group) == g)).select(*keep) for g in groups))
+
+
+def shift_report(df: DataFrame, mask: Column | None = None) -> DataFrame:
+    """level ('time', 'line', 'dataset' or 'all'), dataset, line, day, n_control, mean_control, n_treated, mean_treated: age shifts of controls against treated cells, all levels from one pass.
+
+    df: dataset, line, day, is_control, d_age. Rows without a shift, without the control flag, or outside the mask are left out; a null dataset, line or day is a value of its own.
+    """
+    rows = df.filter(F.col("d_age").isNotNull() & F.col("is_control").isNotNull())
+    rows = rows if mask is None else rows.filter(mask)
+    of = lambda c: F.when(c, F.col("d_age"))
+    control, treated = of(F.col("is_control")), of(~F.col("is_control"))
+    names = F.create_map(*(F.lit(x) for x in (0, "time", 1, "line", 3, "dataset", 7, "all")))
+    sums = [F.count(control).alias("n_control"), F.avg(control).alias("mean_control"), F.count(treated).alias("n_treated"), F.avg(treated).alias("mean_treated")]
+    return rows.rollup("dataset", "line", "day").agg(names[F.grouping_id().cast("int")].alias("level"), *sums).select("level", "dataset", "line", "day", "n_control", "mean_control", "n_treated", "mean_treated")
+
+
+def control_gap(report: DataFrame, limit: float = 3.0) -> DataFrame:
+    """low_dataset, high_dataset, gap, verdict: the two datasets whose controls lie furthest apart (ties: the first, or last, by name), and PASS where that is below `limit`.
+
+    report: as shift_report() gives it. Datasets without controls, or without a name, take no part; fewer than two give no row.
+    """
+    rows = report.filter("level = 'dataset' AND n_control > 0 AND dataset IS NOT NULL").select("dataset", (F.round("mean_control", 9) + 0.0).alias("m"))
+    ends = rows.agg(F.count("*").alias("k"), F.min(F.struct("m", "dataset")).alias("lo"), F.max(F.struct("m", "dataset")).alias("hi")).filter("k >= 2")
+    gap = F.round(F.col("hi.m") - F.col("lo.m"), 9)
+    return ends.select(F.col("lo.dataset").alias("low_dataset"), F.col("hi.dataset").alias("high_dataset"), gap.alias("gap"), F.when(gap < limit, "PASS").otherwise("FAIL").alias("verdict"))

@@ -159,19 +159,24 @@ def feature_views(spark, sf_dir):
     return rounded(M.union_all(*parts), 4)
 
 
-@query("embedding_features")
-def embedding_features(spark, sf_dir):
-    """Raw profiles of all genes against embedded ones as features of the ridge fit."""
-    b = Build(spark, sf_dir)
-    ages = b.ages().join(b.kept().select("cell_id", "chunk_id"), "cell_id")
+def profile_views(b):
+    """(name, features by cell, columns) of the embedded and the raw profiles of all genes."""
     dims = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((D.gene_number() * (d + 3)) % 11 - 5) / 5.0)
     low = X.embedding_project(b.norm(), b.genes.select("gene", dims.alias("vec"))).groupBy("cell_id").pivot("dim", [0, 1, 2, 3]).agg(F.first("value"))
     low = low.select("cell_id", *(F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"e{i}") for i in range(4)))
     genes = sorted(r["gene"] for r in b.genes.select("gene").distinct().collect())  # a dimension
     raw = b.norm().filter(F.col("gene").isin(genes)).groupBy("cell_id").pivot("gene", genes).agg(F.first("value"))
     raw = raw.select("cell_id", *(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias(f"r{i}") for i, g in enumerate(genes)))
+    return [("embedded", low, [f"e{i}" for i in range(4)]), ("raw", raw, [f"r{i}" for i in range(len(genes))])]
+
+
+@query("embedding_features")
+def embedding_features(spark, sf_dir):
+    """Raw profiles of all genes against embedded ones as features of the ridge fit."""
+    b = Build(spark, sf_dir)
+    ages = b.ages().join(b.kept().select("cell_id", "chunk_id"), "cell_id")
     parts = []
-    for name, feats, cols in (("embedded", low, [f"e{i}" for i in range(4)]), ("raw", raw, [f"r{i}" for i in range(len(genes))])):
+    for name, feats, cols in profile_views(b):
         df = ages.join(feats, "cell_id", "left").na.fill(0.0, cols)
         out = B.ridge(df.filter("cell_id % 5 < 3"), cols, "age")(df.filter("cell_id % 5 >= 3"))
         parts.append(M.regression(out, [], "prediction", "age", F.lit(True)).withColumn("features", F.lit(name)))

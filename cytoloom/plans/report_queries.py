@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baselines as B, evaluation as V, metrics as M, reports as RP, splits as SP, statistics as ST
+from ..operators import baselines as B, evaluation as V, expression as X, heldout as H, metrics as M, reports as RP, splits as SP, statistics as ST
 from ..sources import samples as IO
-from ..streaming.run import shared_path
+from ..streaming.run import shared_path, staged
 from . import domain as D, evaluation_queries as E
+from .build_queries import Build
 from .registry import query, rounded
 from .split_queries import FRACS, SEED
 
@@ -94,6 +95,12 @@ def overfit_summary(spark, sf_dir):
     return rounded(V.overfit_summary(_errors(spark, sf_dir)))
 
 
+def _judged(ci):
+    """A paired interval with what it says."""
+    status = F.when(F.round("ci_low", 9) > 0, "MODEL_BETTER").when(F.round("ci_high", 9) < 0, "MODEL_WORSE").otherwise("TIED")
+    return rounded(ci.select("mean_diff", "ci_low", "ci_high", "n", "wins", "losses", status.alias("status")), 4)
+
+
 @query("logistic_against_model")
 def logistic_against_model(spark, sf_dir):
     """PR-AUC of the safe class by the model and by a logistic regression fitted with each of five groups of donors left out, paired by fold. Folds of one class are left out."""
@@ -101,15 +108,57 @@ def logistic_against_model(spark, sf_dir):
     df = D.probs(spark, sf_dir).withColumns({"region": F.col("fold") % 5, "hit": (F.col("y") == 0).cast("int"), "model": F.col("p0")})
     counts = df.groupBy("fold").agg(F.sum("hit").alias("h"), F.count("*").alias("n")).filter("h BETWEEN 1 AND n - 1").select("fold")
 
-    def fit(train):
-        n = train.groupBy("hit").agg(F.count("*").alias("k"))  # two classes, weighted alike
-        total = n.agg(F.sum("k").alias("t"), F.count("*").alias("c"))
-        weights = n.crossJoin(total).select("hit", (F.col("t") / (F.col("c") * F.col("k"))).alias("weight"))
-        scored = B.logistic(train.join(F.broadcast(weights), "hit"), cols, "hit", "weight")
-        return lambda test: scored(test).withColumn("fitted", F.col("probs")[1])
-
-    out = RP.held_out_pairs(df.select("fold", "region", "hit", "model", *cols), "region", list(range(5)), fit, ["fold", "hit", "model", "fitted"]).join(counts, "fold", "left_semi")
+    out = RP.held_out_pairs(df.select("fold", "region", "hit", "model", *cols), "region", list(range(5)), lambda train: B.balanced_logistic(train, cols, "hit"), ["fold", "hit", "model", "fitted"]).join(counts, "fold", "left_semi")
     of = lambda c: M.prauc(out.select("fold", "hit", F.round(c, 9).alias("s")), ["fold"], "s", "hit").withColumnRenamed("prauc", "value")
     ci = ST.paired_ci(ST.paired(of("model"), of("fitted"), ["fold"]), [])
-    status = F.when(F.round("ci_low", 9) > 0, "MODEL_BETTER").when(F.round("ci_high", 9) < 0, "MODEL_WORSE").otherwise("TIED")
-    return rounded(ci.select("mean_diff", "ci_low", "ci_high", "n", "wins", "losses", status.alias("status")), 4)
+    return _judged(ci)
+
+
+@query("embedding_fate")
+def embedding_fate(spark, sf_dir):
+    """PR-AUC of the safe class by logistic fits on embedded and on raw profiles, five groups of donors left out in turn, paired by fold. Folds of one class are left out."""
+    b = Build(spark, sf_dir)
+    truth = D.preds(spark, sf_dir).select("cell_id", "fold", (F.col("fold") % 5).alias("region"), (F.col("y") == 0).cast("int").alias("hit"))
+    both = truth.groupBy("fold").agg(F.sum("hit").alias("h"), F.count("*").alias("n")).filter("h BETWEEN 1 AND n - 1").select("fold")
+    arms = []
+    for name, feats, cols in E.profile_views(b):
+        df = staged(truth.join(feats, "cell_id", "left").na.fill(0.0, cols), f"fate-{name}")  # fits read it again and again
+        out = RP.held_out_pairs(df, "region", list(range(5)), lambda train, cols=cols: B.balanced_logistic(train, cols, "hit"), ["fold", "hit", "fitted"])
+        out = out.join(both, "fold", "left_semi").select("fold", "hit", F.round("fitted", 9).alias("s"))
+        arms.append(M.prauc(out, ["fold"], "s", "hit").withColumnRenamed("prauc", "value"))
+    return _judged(ST.paired_ci(ST.paired(*arms, ["fold"]), []))
+
+
+@query("left_out_fates")
+def left_out_fates(spark, sf_dir):
+    """The fate part of the chain with each group of donors left out: PR-AUC and log loss of the safe class; a fold that fails is a row with its error."""
+    df = D.preds(spark, sf_dir).withColumns({"region": F.col("fold") % 5, "hit": (F.col("y") == 0).cast("int")})
+    return rounded(H.leave_group_out_fate(df, "region", list(range(5)), ["z1", "z2", "sigma_age"], "hit"), 4)
+
+
+_SHIFTS = {
+    "arms": "SELECT arm, chunk_id, cell_line, time_h, is_control, d FROM (SELECT 'raw' AS arm, cell_id, age - (SELECT avg(age) FILTER (c.is_control) FROM ages JOIN cells c USING (cell_id)) AS d FROM ages UNION ALL SELECT 'by_line', cell_id, d_age FROM deltas) JOIN cells USING (cell_id) WHERE d IS NOT NULL",
+}
+
+
+def _shift_report(spark, sf_dir, raw: bool):
+    """Shifts from the mean of all controls, or from that of the line's."""
+    b = Build(spark, sf_dir)
+    where = b.kept().select("cell_id", F.col("chunk_id").alias("dataset"), F.col("cell_line").alias("line"), F.col("time_h").alias("day"), "is_control")
+    if raw:
+        rows = b.ages().join(where, "cell_id")
+        mean = rows.filter("is_control").agg(F.avg("age").alias("m"))
+        return RP.shift_report(rows.crossJoin(F.broadcast(mean)).withColumn("d_age", F.col("age") - F.col("m")))  # one row
+    return RP.shift_report(X.delta_age(b.ages(), b.kept()).select("cell_id", "d_age").join(where, "cell_id"))
+
+
+@query("shift_report", D.sql("SELECT CASE grouping(chunk_id, cell_line, time_h) WHEN 0 THEN 'time' WHEN 1 THEN 'line' WHEN 3 THEN 'dataset' ELSE 'all' END AS level, coalesce(chunk_id, -1) AS dataset, coalesce(cell_line, -1) AS line, coalesce(time_h, -1) AS day, count(*) FILTER (is_control) AS n_control, round(avg(d) FILTER (is_control), 6) + 0.0 AS mean_control, count(*) FILTER (NOT is_control) AS n_treated, round(avg(d) FILTER (NOT is_control), 6) + 0.0 AS mean_treated FROM arms WHERE arm = 'raw' GROUP BY ROLLUP (chunk_id, cell_line, time_h)", **_SHIFTS))
+def shift_report(spark, sf_dir):
+    """Age shifts of controls and treated cells by dataset, line and time; -1 stands for all of a column."""
+    return rounded(_shift_report(spark, sf_dir, True).na.fill(-1, ["dataset", "line", "day"]))
+
+
+@query("control_gap", D.sql("SELECT arm, lo.dataset AS low_dataset, hi.dataset AS high_dataset, round(round(hi.m - lo.m, 9), 6) + 0.0 AS gap, CASE WHEN round(hi.m - lo.m, 9) < 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT arm, min({'m': m, 'dataset': chunk_id}) AS lo, max({'m': m, 'dataset': chunk_id}) AS hi FROM (SELECT arm, chunk_id, round(avg(d), 9) + 0.0 AS m FROM arms WHERE is_control GROUP BY ALL) GROUP BY arm HAVING count(*) >= 2)", **_SHIFTS))
+def control_gap(spark, sf_dir):
+    """How far apart the controls of datasets lie: before and after each line's own are taken off."""
+    return rounded(M.union_all(*(RP.control_gap(_shift_report(spark, sf_dir, raw), 0.05).withColumn("arm", F.lit(arm)) for arm, raw in (("raw", True), ("by_line", False)))))

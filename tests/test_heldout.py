@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cytoloom.operators import heldout as H
+from cytoloom.operators import baselines as B, heldout as H
 
 
 def table(spark, n=400, k=3, seed=0):
@@ -67,3 +67,22 @@ def test_elapsed_time_that_matters_is_found(spark):
     first = pairs.groupBy("grp").agg(F.min_by("v_i", "dt").alias("v_i"))
     for r in H.elapsed_sweep(pairs, first, "grp", ["v_i"], "v_j").collect():
         assert abs(r["swing"] - 2 * (r["dt_high"] - r["dt_low"])) < 0.3
+
+
+def test_left_out_fates(spark):
+    """A group is scored by a fit that has not seen it: one whose relation is turned round does badly; one without which a class is missing is a row with its error."""
+    rows = [(g, float(i), int((i >= 6) != (g == 2)), i) for g in range(3) for i in range(12)] + [(0, 1.0, None, 99)]
+    df = spark.createDataFrame(rows, "g int, x double, hit int, row int")
+    got = {r["g"]: r for r in H.leave_group_out_fate(df, "g", [0, 1, 2], ["x"], "hit").collect()}
+    assert {g: r["n"] for g, r in got.items()} == {0: 12, 1: 12, 2: 12} and all(r["error"] is None for r in got.values())
+    assert got[2]["prauc"] < 0.5 and got[2]["log_loss"] > 2  # fitted on the other two only
+    same = {r["g"]: r for r in H.leave_group_out_fate(df.filter("g < 2"), "g", [0, 1], ["x"], "hit").collect()}
+    assert same[0]["prauc"] == same[1]["prauc"] == 1.0 and same[0]["log_loss"] < 0.3
+    alone = df.filter("g < 2").withColumn("hit", F.when(F.col("g") == 0, 1).otherwise(F.col("hit")))
+    mixed = {r["g"]: r for r in H.leave_group_out_fate(alone, "g", [0, 1], ["x"], "hit").collect()}
+    assert "one class only" in mixed[1]["error"] and mixed[1]["n"] is None
+    assert mixed[0]["n"] == 13 and mixed[0]["prauc"] is None and mixed[0]["log_loss"] > 0
+    weights = [i for i in range(6)] + [6]  # 1 of 7 hits: weighed alike, the middle of the classes has one half
+    lone = spark.createDataFrame([(float(i), int(i == 6)) for i in weights], "x double, hit int")
+    p = {r["x"]: r["fitted"] for r in B.balanced_logistic(lone, ["x"], "hit")(lone).collect()}
+    assert p[2.0] < 0.5 < p[6.0]

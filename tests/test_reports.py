@@ -78,3 +78,21 @@ def test_held_out_pairs(spark):
     fit = lambda train: (lambda m: lambda d: d.withColumn("p", F.lit(m)))(train.agg(F.avg("v").alias("m")).first()["m"])
     got = {(r["g"], r["p"]) for r in RP.held_out_pairs(df, "g", [0, 1, 2], fit, ["g", "p"]).collect()}
     assert got == {(0, 7.5), (1, 5.5), (2, 3.5)}
+
+
+def test_shifts_and_control_gap(spark):
+    rows = [("a", "x", 1, True, 1.0, True), ("a", "x", 1, True, 3.0, True), ("a", "x", 2, False, 5.0, True), ("a", "y", 1, True, 6.0, False), ("b", "z", 1, True, -2.0, True), ("b", "z", 1, False, 4.0, True)]
+    rows += [("b", "z", 3, None, 9.0, True), ("b", "z", 3, True, None, True), ("c", "w", 1, False, 7.0, True), (None, None, None, True, 50.0, True)]
+    df = spark.createDataFrame(rows, "dataset string, line string, day int, is_control boolean, d_age double, age_mask boolean")
+    report = RP.shift_report(df, F.col("age_mask"))
+    got = {(r["level"], r["dataset"], r["line"], r["day"]): (r["n_control"], r["mean_control"], r["n_treated"], r["mean_treated"]) for r in report.collect()}
+    assert got["time", "a", "x", 1] == (2, 2.0, 0, None)
+    assert got["line", "a", "x", None] == (2, 2.0, 1, 5.0)
+    assert got["dataset", "b", None, None] == (1, -2.0, 1, 4.0)
+    assert got["dataset", None, None, None] == (1, 50.0, 0, None)
+    assert got["all", None, None, None] == (4, 13.0, 3, 16 / 3)
+    assert ("line", "a", "y", None) not in got and len(got) == 14
+    assert [tuple(r) for r in RP.control_gap(report, 4.0).collect()] == [("b", "a", 4.0, "FAIL")]
+    assert RP.control_gap(report, 4.1).first()["verdict"] == "PASS"
+    assert RP.control_gap(report.filter("dataset = 'a'")).count() == 0
+    assert RP.shift_report(df.limit(0)).count() <= 1 and RP.control_gap(RP.shift_report(df.limit(0))).count() == 0
