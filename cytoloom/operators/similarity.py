@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import dot, quantile
 
+#: distances that a task holds at once
+CELLS = 1 << 20
+
 
 def hashed_fingerprint(compound: Column, n: int = 48, size: int = 2048) -> Column:
     """Sorted on-bits: n sha256 hashes of "compound|i", first four bytes modulo size; none for an empty compound."""
@@ -21,14 +27,103 @@ def encode_once(df: DataFrame, key: str, out: str = "bits") -> DataFrame:
     return df.join(distinct, key)
 
 
-def _in_blocks(queries: DataFrame, refs: DataFrame, by: list[str], block: int) -> DataFrame:
-    """All pairs of queries (query_id) and refs (ref_id) of a key, met in blocks of about `block` rows on either side, so that a hot key is many tasks and nothing is broadcast."""
+def _in_blocks(queries: DataFrame, refs: DataFrame, by: list[str], block: int, k: int | None = None) -> DataFrame:
+    """All pairs of queries (query_id) and refs (ref_id) of a key, met in blocks of about `block` rows on either side, so that a hot key is many tasks and nothing is broadcast.
+
+    With k, of each pair of blocks the k nearest refs of every query only, with their distance: by, query_id, ref_id, distance. Queries have then a complete vector v, refs ref_v, and
+    vectors of other sizes do not meet; where queries have `rings`, a list, they meet refs whose `ring` is in it.
+    """
+    if k is not None:
+        by = [*by, "__size"]
+        queries, refs = queries.withColumn("__size", F.size("v")), refs.withColumn("__size", F.size("ref_v"))
     n = lambda d: F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(d)
     sizes = queries.groupBy(*by).agg(n("nq")).join(refs.groupBy(*by).agg(n("nr")), by)
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     q = queries.join(sizes, by).withColumn("bq", spread("query_id", "nq")).withColumn("br", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).drop("nq", "nr")
     r = refs.join(sizes, by).withColumn("br", spread("ref_id", "nr")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq", "nr")
-    return q.join(r, [*by, "bq", "br"]).drop("bq", "br")
+    keys = [*by, "bq", "br"]
+    if k is None:
+        return q.join(r, keys).drop("bq", "br")
+    out = StructType([*(queries.schema[c] for c in by[:-1]), queries.schema["query_id"], refs.schema["ref_id"], StructField("distance", DoubleType())])
+    r = r.withColumnsRenamed({c: f"__{c}" for c in keys})  # both sides may come from one table
+    return q.groupBy(*keys).cogroup(r.groupBy(*(f"__{c}" for c in keys))).applyInArrow(lambda left, right: _block_nearest(left, right, by[:-1], k), out)
+
+
+def _matrix(t: pa.Table, c: str) -> np.ndarray:
+    values = np.asarray(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64)
+    return values.reshape(t.num_rows, len(values) // t.num_rows)
+
+
+def _block_nearest(left: pa.Table, right: pa.Table, by: list[str], k: int) -> pa.Table:
+    """by, query_id, ref_id, distance of the k refs of the block that are nearest to each query, the least ref_id first on ties."""
+    order = pc.sort_indices(right.column("ref_id"))
+    right = right.take(order)  # a ref's place is its rank on ties
+    i, j, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if left.num_rows and right.num_rows:
+        x, y = _matrix(left, "v"), _matrix(right, "ref_v")
+        if "rings" in left.column_names:
+            lists = left.column("rings").combine_chunks()
+            owner, wanted, ring = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy(), right.column("ring").to_numpy()
+            parts = []
+            for u in np.unique(ring):
+                own, there = np.unique(owner[wanted == u]), np.flatnonzero(ring == u)
+                a, b, e = _least(x[own], y[there], k)
+                parts.append((own[a], there[b], e))
+            i, j, d = _first(*(np.concatenate(p) for p in zip(*parts)), k)
+        else:
+            i, j, d = _least(x, y, k)
+    one, two = left.take(pa.array(i)), right.take(pa.array(j))
+    return pa.table({**{c: one.column(c) for c in by}, "query_id": one.column("query_id"), "ref_id": two.column("ref_id"), "distance": pa.array(d)})
+
+
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each i with the least (d, j)."""
+    o = np.lexsort((j, d, i))
+    i, j, d = i[o], j[o], d[o]
+    at = np.arange(len(i))
+    begins = np.maximum.accumulate(np.where(np.r_[True, i[1:] != i[:-1]], at, 0)) if len(i) else at
+    keep = at - begins < k
+    return i[keep], j[keep], d[keep]
+
+
+def _least(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k rows of y that are nearest to each of x, the first on ties.
+
+    A product of matrices gives the squares but for its rounding, which is bounded; the rows that this leaves are measured anew, summed in the order of the dimensions.
+    """
+    dims = x.shape[1]
+    rounding = 8 * (dims + 8) * np.finfo(np.float64).eps
+    yy, columns = (y * y).sum(1), np.ascontiguousarray(y.T)
+    parts = []
+    step = max(1, CELLS // max(1, len(y)))
+    for s in range(0, len(x), step):
+        a = x[s : s + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = (a * a).sum(1)[:, None] + yy
+            square = total - 2 * (a @ y.T)
+            total *= rounding
+            if len(y) <= k or not np.isfinite(square).all():
+                i, j = (z.ravel() for z in np.indices(square.shape))
+            else:
+                limit = np.partition(square + total, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(square - total <= limit)
+            d = np.zeros(len(i))
+            for own, other in zip(np.ascontiguousarray(a.T), columns):
+                gap = own[i] - other[j]
+                d += gap * gap
+        i, j, d = _first(i, j, np.sqrt(d), k)
+        parts.append((i + s, j, d))
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _complete(v: str) -> Column:
+    """Whether v is an array of numbers without gaps."""
+    return F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _first_copies(refs: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k least ref_ids of each distinct vector of a key: no other copy can be among the k nearest of any query."""
+    return refs.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "ref_v").orderBy("ref_id"))).filter(F.col("__r") <= k).drop("__r")
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -49,14 +144,14 @@ def jaccard_knn(queries: DataFrame, refs: DataFrame, k: int, block: int = 512) -
     return _nearest(met.select("query_id", "ref_id", F.when(F.col("union") == 0, 0.0).otherwise(1 - F.col("both") / F.nullif(F.col("union"), F.lit(0))).alias("distance")), k)
 
 
-def euclidean_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], block: int = 1024) -> DataFrame:
+def euclidean_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], block: int = 2048) -> DataFrame:
     """by, query_id, ref_id, distance of the k nearest refs of the same key, by ref_id on ties. queries: by, query_id, v; refs: by, ref_id, ref_v.
 
-    All queries against all refs of a key is as many distances as that takes: state a smaller query set where a key has very many rows.
+    All queries meet all distinct refs of a key, as products of matrices in blocks, and a block keeps the k best of a query. Rows with a null vector, or null or non-finite components, take no part.
     """
-    d = F.sqrt(F.aggregate(F.zip_with("v", "ref_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = _in_blocks(queries.select(*by, "query_id", "v"), refs.select(*by, "ref_id", "ref_v"), by, block)
-    return _nearest(pairs.select(*by, "query_id", "ref_id", d.alias("distance")), k)
+    here = queries.filter(_complete("v")).select(*by, "query_id", F.col("v").cast("array<double>").alias("v"))
+    there = _first_copies(refs.filter(_complete("ref_v")).select(*by, "ref_id", F.col("ref_v").cast("array<double>").alias("ref_v")), by, k)
+    return _nearest(_in_blocks(here, there, by, block, k), k)
 
 
 def fit_ood(train: DataFrame, col: str, ridge: float = 1e-3, q: float = 0.99, approx: bool = False) -> dict:

@@ -232,3 +232,27 @@ def test_near_ties_of_labels_take_the_first(spark):
 
     y = spark.createDataFrame([([0.4, 0.4 + 1e-12, 0.2],), ([0.1, 0.2, 0.7],), ([0.3, 0.4, 0.3],)], "y array<double>")
     assert [r[0] for r in y.select(hard_label(F.col("y"))).collect()] == [0, 2, 1]
+
+
+@pytest.mark.parametrize("block,cells", [(7, 50), (1024, 1 << 20)])
+def test_blocks_keep_the_nearest_only(spark, monkeypatch, block, cells):
+    """A pair of blocks gives k refs of a query, not its pairs: many ties, copies, gaps, two sizes of vectors and ids of text against plain Python."""
+    import math
+
+    monkeypatch.setattr(N, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    refs = [("g" if i % 5 else None, f"r{i % 37}-{i}", [float(v) for v in rng.integers(-2, 3, 3)]) for i in range(150)] + [("g", f"c{i}", [9.0, 9.0, 9.0]) for i in range(40)]
+    refs += [("g", "n", None), ("g", "m", [1.0, None, 0.0]), ("g", "i", [float("inf"), 0.0, 0.0]), ("g", "s", [1.0, 2.0])]
+    queries = [("g", i, v) for i, (_, _, v) in enumerate(refs) if i % 3 == 0 or v is None or len(v) != 3] + [("h", 900, [0.0, 0.0, 0.0])]
+    q, r = spark.createDataFrame(queries, "g string, query_id int, v array<double>"), spark.createDataFrame(refs, "g string, ref_id string, ref_v array<double>")
+    whole = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
+    want = {}
+    for g, i, v in queries:
+        near = sorted((math.dist(v, w), o) for h, o, w in refs if g == h and whole(v) and whole(w) and len(v) == len(w))[:4]
+        want |= {i: [o for _, o in near]} if near else {}
+    got = {}
+    for x in N.euclidean_knn(q, r, 4, ["g"], block).orderBy("query_id", "distance", "ref_id").collect():
+        got.setdefault(x["query_id"], []).append(x["ref_id"])
+    assert got == want
+    met = N._in_blocks(q.filter(N._complete("v")), r.filter(N._complete("ref_v")), ["g"], 1024, 4)
+    assert met.groupBy("query_id").count().agg(F.max("count")).first()[0] == 4
