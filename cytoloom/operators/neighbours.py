@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..streaming.run import staged
-from .similarity import _in_blocks, _nearest
+from .similarity import _complete, _first_copies, _in_blocks, _nearest
 
 #: relative room for rounding in a bound, so that ties are never pruned
 SLACK = 1e-9
@@ -17,11 +17,6 @@ def _distance(a: str | Column, b: str | Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _complete(v: str) -> Column:
-    """Whether v is an array of numbers without gaps."""
-    return F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
 def _pivots(refs: DataFrame, by: list[str], pivots: int) -> DataFrame:
     """by, pivots: the refs of a key with the least hashes, at most `pivots` of them; the k least of each partition meet, so no group is gathered."""
     least = F.row_number().over(_window(by).orderBy("h", "ref_id"))
@@ -35,15 +30,16 @@ def _window(by: list[str]):
     return Window.partitionBy(*by)
 
 
-def pivot_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], pivots: int = 24, rings: int = 4, block: int = 1024) -> DataFrame:
+def pivot_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], pivots: int = 24, rings: int = 4, block: int = 2048) -> DataFrame:
     """by, query_id, ref_id, distance of the k nearest refs of the same key, by ref_id on ties: the rows of `euclidean_knn`, from fewer distances.
 
     queries: by, query_id, v; refs: by, ref_id, ref_v. Each ref falls to its nearest pivot and to one of `rings` rings around it. The rings' counts and
     radii bound a query's k-th distance from above; by the triangle inequality a ring whose nearest edge lies beyond that bound holds no neighbour, so the
-    query does not meet it. A ring that holds nearly all rows of a key meets its queries in blocks. Rows with a null vector, or null or non-finite
+    query does not meet it. A query goes to a cell once, with the rings that it wants there; a cell meets its queries in blocks, as products of matrices, and gives the k best of a query. Rows with a null vector, or null or non-finite
     components, take no part; a null key has no neighbours; a key of fewer than k refs gives them all.
     """
-    here, there = queries.filter(_complete("v")).select(*by, "query_id", "v"), refs.filter(_complete("ref_v")).select(*by, "ref_id", "ref_v")
+    here = queries.filter(_complete("v")).select(*by, "query_id", F.col("v").cast("array<double>").alias("v"))
+    there = _first_copies(refs.filter(_complete("ref_v")).select(*by, "ref_id", F.col("ref_v").cast("array<double>").alias("ref_v")), by, k)
     marks = staged(_pivots(there, by, pivots), "pivots")
     gaps = F.transform("pivots", lambda p: F.struct(_distance("ref_v", p["p"]).alias("d"), p["cell"].alias("cell")))
     placed = staged(there.join(marks, by).withColumn("near", F.array_min(gaps)).select(*by, "ref_id", "ref_v", "near.d", "near.cell"), "placed")
@@ -65,20 +61,22 @@ def pivot_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], pivots
     bound = F.aggregate(by_reach, start, step)["bound"]
     # the room follows the size of the terms that are subtracted, not that of their difference
     wanted = F.filter("edges", lambda e: lower(e) <= F.col("bound") + SLACK * (at(e) + e["hi"] + F.least(F.col("bound"), at(e))))
-    routed = seen.withColumn("bound", bound).select(*by, "query_id", "v", F.explode(wanted).alias("e")).select(*by, "query_id", "v", F.col("e.cell").alias("cell"), F.col("e.ring").alias("ring"))
-    keys = [*by, "cell", "ring"]
-    pairs = _in_blocks(staged(routed, "routed"), ringed.select(*keys, "ref_id", "ref_v"), keys, block)
-    return _nearest(pairs.select(*by, "query_id", "ref_id", _distance("v", "ref_v").alias("distance")), k)
+    found = staged(seen.withColumn("bound", bound).select(*by, "query_id", "v", F.transform(wanted, lambda e: F.struct(e["cell"].alias("cell"), e["ring"].alias("ring"))).alias("wanted")), "routed")
+    # a row a query and cell, not a row a ring
+    cells = F.array_distinct(F.transform("wanted", lambda e: e["cell"]))
+    routed = found.withColumn("cell", F.explode(cells)).withColumn("rings", F.transform(F.filter("wanted", lambda e: e["cell"] == F.col("cell")), lambda e: e["ring"])).drop("wanted")
+    keys = [*by, "cell"]
+    return _nearest(_in_blocks(routed, ringed.select(*keys, "ring", "ref_id", "ref_v"), keys, block, k).select(*by, "query_id", "ref_id", "distance"), k)
 
 
-def hashed_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], width: float, tables: int = 8, functions: int = 2, seed: int = 17, block: int = 1024) -> DataFrame:
+def hashed_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], width: float, tables: int = 8, functions: int = 2, seed: int = 17, block: int = 2048) -> DataFrame:
     """by, query_id, ref_id, distance of the nearest refs among those that share a bucket of random projections (cells of `width`) in one of the tables.
 
-    The approximate form: every ref is indexed and every bucket is searched whole, in blocks; what is missed is stated by `recall`. A query may have fewer
+    The approximate form: every distinct ref is indexed and every bucket is searched whole, in blocks, as products of matrices; a block gives the k best of a query. What is missed is stated by `recall`. A query may have fewer
     than k neighbours. Rows with a null vector, or null or non-finite components, take no part. The vectors of both sides have one size.
     """
-    here = queries.filter(_complete("v")).select(*by, "query_id", F.col("v"))
-    there = refs.filter(_complete("ref_v")).select(*by, "ref_id", "ref_v")
+    here = queries.filter(_complete("v")).select(*by, "query_id", F.col("v").cast("array<double>").alias("v"))
+    there = staged(_first_copies(refs.filter(_complete("ref_v")).select(*by, "ref_id", F.col("ref_v").cast("array<double>").alias("ref_v")), by, k), "distinct")
     lsh = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", numHashTables=tables * functions, bucketLength=width, seed=seed)
     model = lsh.fit(there.select(array_to_vector("ref_v").alias("__v")))
 
@@ -89,9 +87,9 @@ def hashed_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], width
         return h.withColumn("e", F.explode(F.array(*keys))).select(*df.columns, "e.table", "e.bucket")
 
     keys = [*by, "table", "bucket"]
-    pairs = _in_blocks(staged(hashed(here, "v"), "query_buckets"), staged(hashed(there, "ref_v"), "ref_buckets"), keys, block)
-    met = pairs.select(*by, "query_id", "ref_id", _distance("v", "ref_v").alias("distance")).groupBy(*by, "query_id", "ref_id").agg(F.min("distance").alias("distance"))
-    return _nearest(met, k)
+    near = _in_blocks(staged(hashed(here, "v"), "query_buckets"), staged(hashed(there, "ref_v"), "ref_buckets"), keys, block, k)
+    # a pair that meets in several tables is one
+    return _nearest(near.select(*by, "query_id", "ref_id", "distance").dropDuplicates([*by, "query_id", "ref_id"]), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
