@@ -31,7 +31,7 @@ def pivot_knn(spark, sf_dir):
 def hashed_knn_recall(spark, sf_dir):
     """The share of those neighbours that hash tables find."""
     found = _others(NB.hashed_knn(*_sides(spark, sf_dir), 4, ["label"], width=1.0), 3)
-    return rounded(NB.recall(found, QUERIES["pivot_knn"](spark, sf_dir)))
+    return rounded(NB.recall(found, QUERIES["euclidean_knn"](spark, sf_dir)))
 
 
 # ---- time points --------------------------------------------------------------------------------------------------

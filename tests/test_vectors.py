@@ -173,3 +173,22 @@ def test_scores_without_a_range_flag_nothing(spark):
     test, calib = spark.createDataFrame([("a", 7.0), ("b", 3.0)], "g string, s double"), spark.createDataFrame([("a", 5.0), ("a", 5.0), ("b", 2.0), ("b", 4.0)], "g string, s double")
     got = {r["g"]: (r["scaled"], r["threshold"]) for r in S.minmax_by_calib(test, calib, ["g"], "s", 0.5).collect()}
     assert got == {"a": (0.0, 0.5), "b": (0.5, 0.5)}
+
+
+def test_met_blocks_give_k_a_query(spark, monkeypatch):
+    """What the cells and buckets give is k rows of a query each, not its pairs; the rings that a query does not want are not met."""
+    rng = np.random.default_rng(6)
+    df = _vectors(spark, [(0, i, [float(x) for x in 100 * (i % 20) + rng.normal(size=4)]) for i in range(800)])
+    queries, seen = df.withColumnsRenamed({"ref_id": "query_id", "ref_v": "v"}), []
+    blocks = NB._in_blocks
+
+    def kept(q, r, keys, block, k):
+        near = blocks(q, r, keys, block, k)
+        most = near.groupBy("query_id").agg(F.count("*").alias("n")).join(q.groupBy("query_id").agg(F.count("*").alias("cells")), "query_id")
+        met = q.withColumn("ring", F.explode("rings")).join(r, [*keys, "ring"]).count() if "rings" in q.columns else None
+        seen.append((most.filter(F.col("n") > k * F.col("cells")).count(), met))
+        return near
+
+    monkeypatch.setattr(NB, "_in_blocks", kept)
+    assert NB.pivot_knn(queries, df, 3, ["label"]).count() == 2400 and NB.hashed_knn(queries, df, 3, ["label"], width=20.0).count() == 2400
+    assert [s[0] for s in seen] == [0, 0] and seen[0][1] < 800 * 800 / 4
