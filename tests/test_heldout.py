@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from cytoloom.operators import baselines as B, heldout as H
+from cytoloom.plans import QUERIES
 
 
 def table(spark, n=400, k=3, seed=0):
@@ -86,3 +89,20 @@ def test_left_out_fates(spark):
     lone = spark.createDataFrame([(float(i), int(i == 6)) for i in weights], "x double, hit int")
     p = {r["x"]: r["fitted"] for r in B.balanced_logistic(lone, ["x"], "hit")(lone).collect()}
     assert p[2.0] < 0.5 < p[6.0]
+
+
+@pytest.mark.parametrize("name", ["left_out_fates", "logistic_against_model", "fit_ensemble", "feature_views", "calibrator_bakeoff", "regressors", "full_evaluation", "embedding_features", "embedding_fate"])
+def test_fits_read_written_rows(spark, monkeypatch, name):
+    """A fit passes over its rows again and again: they are a written table, not joins whose broadcasts go through the driver each time."""
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, df, *_):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(B.Pipeline, "fit", fit)
+    monkeypatch.setattr(B.LogisticRegression, "fit", fit)
+    with pytest.raises(Seen) as e:
+        QUERIES[name](spark, SF)
+    assert "Join" not in str(e.value) and "Relation" in str(e.value)
