@@ -106,9 +106,10 @@ def logistic_against_model(spark, sf_dir):
     """PR-AUC of the safe class by the model and by a logistic regression fitted with each of five groups of donors left out, paired by fold. Folds of one class are left out."""
     cols = ["z1", "z2", "sigma_age"]
     df = D.probs(spark, sf_dir).withColumns({"region": F.col("fold") % 5, "hit": (F.col("y") == 0).cast("int"), "model": F.col("p0")})
+    df = staged(df.select("fold", "region", "hit", "model", *cols), "arms")  # fits read it again and again
     counts = df.groupBy("fold").agg(F.sum("hit").alias("h"), F.count("*").alias("n")).filter("h BETWEEN 1 AND n - 1").select("fold")
 
-    out = RP.held_out_pairs(df.select("fold", "region", "hit", "model", *cols), "region", list(range(5)), lambda train: B.balanced_logistic(train, cols, "hit"), ["fold", "hit", "model", "fitted"]).join(counts, "fold", "left_semi")
+    out = RP.held_out_pairs(df, "region", list(range(5)), lambda train: B.balanced_logistic(train, cols, "hit"), ["fold", "hit", "model", "fitted"]).join(counts, "fold", "left_semi")
     of = lambda c: M.prauc(out.select("fold", "hit", F.round(c, 9).alias("s")), ["fold"], "s", "hit").withColumnRenamed("prauc", "value")
     ci = ST.paired_ci(ST.paired(of("model"), of("fitted"), ["fold"]), [])
     return _judged(ci)
