@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import baselines as B, metrics as M, scoring as S
 from ..sources import samples as IO
 from ..streaming import jobs as J
-from ..streaming.run import drained, shared_path
+from ..streaming.run import drained, shared_path, staged
 from . import domain as D
 from .registry import query, rounded
 
@@ -38,7 +38,8 @@ def tree_baselines(spark, sf_dir):
 
 @query("fit_ensemble")
 def fit_ensemble(spark, sf_dir):
-    df = D.preds(spark, sf_dir).withColumn("age", F.when(F.col("age_mask"), F.col("y_age")))
+    df = D.preds(spark, sf_dir).select("cell_id", *X, "y", F.when(F.col("age_mask"), F.col("y_age")).alias("age"))
+    df = staged(df, "preds")  # fits read it again and again
     members = B.ensemble(df.filter("cell_id % 5 < 3"), X, "y", "age", 3)(df.filter("cell_id % 5 >= 3"))
     g = members.groupBy("cell_id").agg(*(F.avg(F.get("probs", F.lit(i))).alias(f"p{i}") for i in range(3)), F.avg("mu_age").alias("mu_age"), F.stddev_pop("mu_age").alias("sigma_age"))
     return rounded(g, 4)
