@@ -106,3 +106,13 @@ def test_fits_read_written_rows(spark, monkeypatch, name):
     with pytest.raises(Seen) as e:
         QUERIES[name](spark, SF)
     assert "Join" not in str(e.value) and "Relation" in str(e.value)
+
+
+def test_signatures_and_cycle_are_one_pass(spark, monkeypatch):
+    from cytoloom.plans import build_queries as BQ
+
+    names, staged = [], BQ.staged
+    monkeypatch.setattr(BQ, "staged", lambda df, what: (names.append(what), staged(df, what))[1])
+    b = BQ.Build(spark, SF)
+    assert b.scores().columns == ["cell_id", "safe", "loss", "death"] and b.cycle().columns == ["cell_id", "score"]
+    assert sorted(names) == ["expr", "kept", "norm", "scores"]
