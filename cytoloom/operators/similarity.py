@@ -6,12 +6,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
 from ..functions.columns import dot, quantile
 
 #: distances that a task holds at once
 CELLS = 1 << 20
+#: numbers that a side of a pair of blocks holds, where a key has many blocks
+NUMBERS = 1 << 19
 
 
 def hashed_fingerprint(compound: Column, n: int = 48, size: int = 2048) -> Column:
@@ -27,6 +29,12 @@ def encode_once(df: DataFrame, key: str, out: str = "bits") -> DataFrame:
     return df.join(distinct, key)
 
 
+def _blocks(rows: Column, block: int, vectors: bool) -> Column:
+    """The blocks of a side. Of vectors, blocks beyond the eighth make all larger, up to `NUMBERS`, as a row is sent to every block of the other side."""
+    blocks = F.greatest(F.lit(1), F.ceil(rows / block))
+    return F.least(blocks, F.greatest(F.lit(8), F.ceil(rows * F.col("__size") / NUMBERS))) if vectors else blocks
+
+
 def _in_blocks(queries: DataFrame, refs: DataFrame, by: list[str], block: int, k: int | None = None) -> DataFrame:
     """All pairs of queries (query_id) and refs (ref_id) of a key, met in blocks of about `block` rows on either side, so that a hot key is many tasks and nothing is broadcast.
 
@@ -36,7 +44,7 @@ def _in_blocks(queries: DataFrame, refs: DataFrame, by: list[str], block: int, k
     if k is not None:
         by = [*by, "__size"]
         queries, refs = queries.withColumn("__size", F.size("v")), refs.withColumn("__size", F.size("ref_v"))
-    n = lambda d: F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias(d)
+    n = lambda d: _blocks(F.count("*"), block, k is not None).cast("int").alias(d)
     sizes = queries.groupBy(*by).agg(n("nq")).join(refs.groupBy(*by).agg(n("nr")), by)
     spread = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     q = queries.join(sizes, by).withColumn("bq", spread("query_id", "nq")).withColumn("br", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).drop("nq", "nr")
@@ -91,29 +99,63 @@ def _least(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
 
     A product of matrices gives the squares but for its rounding, which is bounded; the rows that this leaves are measured anew, summed in the order of the dimensions.
     """
-    dims = x.shape[1]
-    rounding = 8 * (dims + 8) * np.finfo(np.float64).eps
-    yy, columns = (y * y).sum(1), np.ascontiguousarray(y.T)
+    n, dims = y.shape
+    width = max(1, min(16, n // (8 * k)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = y.sum(0) / max(1, n)
+        a, b = x - centre, y - centre
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        rounding = 8 * (dims + 8) * np.finfo(np.float64).eps
+        own_room, room = rounding * aa + np.finfo(np.float64).tiny, rounding * bb
+        low, product = bb - room, np.ascontiguousarray(-2 * b.T)
+        bounded = n > k and len(x) > 0 and np.isfinite(4 * (aa.max() + bb.max()))
+    rows, columns = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    if not bounded:
+        return _least_of_all(rows, columns, np.arange(len(x)), k)
     parts = []
-    step = max(1, CELLS // max(1, len(y)))
+    step = max(1, CELLS // n)
     for s in range(0, len(x), step):
-        a = x[s : s + step]
-        with np.errstate(over="ignore", invalid="ignore"):
-            total = (a * a).sum(1)[:, None] + yy
-            square = total - 2 * (a @ y.T)
-            total *= rounding
-            if len(y) <= k or not np.isfinite(square).all():
-                i, j = (z.ravel() for z in np.indices(square.shape))
-            else:
-                limit = np.partition(square + total, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero(square - total <= limit)
-            d = np.zeros(len(i))
-            for own, other in zip(np.ascontiguousarray(a.T), columns):
-                gap = own[i] - other[j]
-                d += gap * gap
-        i, j, d = _first(i, j, np.sqrt(d), k)
-        parts.append((i + s, j, d))
-    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        least = a[s : s + step] @ product
+        least += low  # a lower bound, but for the query's own square and room
+        m = len(least)
+        groups = least[:, : n // width * width].reshape(m, width, -1).min(1)
+        kth = np.partition(groups, k - 1, axis=1)[:, k - 1]  # k groups have a row within it
+        i, j = np.divmod(np.flatnonzero(least <= kth[:, None]), n)
+        limit = kth + 2 * np.maximum.reduceat(room[j], np.searchsorted(i, np.arange(m))) + 2 * own_room[s : s + step]
+        i, j = np.divmod(np.flatnonzero(least <= limit[:, None]), n)
+        many = np.bincount(i, minlength=m) > n // 8  # near copies: cheaper to measure without picking
+        if many.any():
+            parts.append(_least_of_all(rows, columns, np.flatnonzero(many) + s, k))
+            few = ~many[i]
+            i, j = i[few], j[few]
+        i += s
+        d = np.zeros(len(i))
+        for own, other in zip(rows, columns):
+            gap = own[i] - other[j]
+            d += gap * gap
+        parts.append(_first(i, j, np.sqrt(d), k))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _least_of_all(rows: np.ndarray, columns: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `_least` gives for the queries `of`, with every distance measured in the order of the dimensions. rows, columns: a line a dimension."""
+    n = columns.shape[1]
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    step = max(1, CELLS // 16 // max(1, n))
+    for s in range(0, len(of), step):
+        these = of[s : s + step]
+        d, gap = np.zeros((len(these), n)), np.empty((len(these), n))
+        with np.errstate(over="ignore"):
+            for own, other in zip(rows[:, these], columns):
+                np.subtract(own[:, None], other, out=gap)
+                gap *= gap
+                d += gap
+        np.sqrt(d, out=d)
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if n > k else np.inf
+        i, j = np.nonzero(d <= kth)
+        i, j, e = _first(i, j, d[i, j], k)
+        parts.append((these[i], j, e))
+    return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 def _complete(v: str) -> Column:
@@ -121,9 +163,15 @@ def _complete(v: str) -> Column:
     return F.col(v).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def _numbers(df: DataFrame, v: str) -> Column:
+    """v as doubles; floats stay, as tasks make them doubles, so that a shuffle moves half the bytes."""
+    return F.col(v) if df.schema[v].dataType.elementType == FloatType() else F.col(v).cast("array<double>").alias(v)
+
+
 def _first_copies(refs: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k least ref_ids of each distinct vector of a key: no other copy can be among the k nearest of any query."""
-    return refs.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "ref_v").orderBy("ref_id"))).filter(F.col("__r") <= k).drop("__r")
+    # the sort compares hashes before vectors
+    return refs.withColumn("__r", F.row_number().over(Window.partitionBy(F.xxhash64("ref_v"), *by, "ref_v").orderBy("ref_id"))).filter(F.col("__r") <= k).drop("__r")
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -149,8 +197,8 @@ def euclidean_knn(queries: DataFrame, refs: DataFrame, k: int, by: list[str], bl
 
     All queries meet all distinct refs of a key, as products of matrices in blocks, and a block keeps the k best of a query. Rows with a null vector, or null or non-finite components, take no part.
     """
-    here = queries.filter(_complete("v")).select(*by, "query_id", F.col("v").cast("array<double>").alias("v"))
-    there = _first_copies(refs.filter(_complete("ref_v")).select(*by, "ref_id", F.col("ref_v").cast("array<double>").alias("ref_v")), by, k)
+    here = queries.filter(_complete("v")).select(*by, "query_id", _numbers(queries, "v"))
+    there = _first_copies(refs.filter(_complete("ref_v")).select(*by, "ref_id", _numbers(refs, "ref_v")), by, k)
     return _nearest(_in_blocks(here, there, by, block, k), k)
 
 

@@ -185,7 +185,7 @@ def jaccard_knn_all(spark, sf_dir):
 
 @query("euclidean_knn", D.sql("SELECT query_id, ref_id, round(distance, 5) AS distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS ref_id, list_distance(a.v, b.v) AS distance FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) <= 3"))
 def euclidean_knn(spark, sf_dir):
-    v = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    v = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     out = N.euclidean_knn(v.withColumnRenamed("vec_id", "query_id"), v.select("label", F.col("vec_id").alias("ref_id"), F.col("v").alias("ref_v")).withColumn("label", F.col("label")), 4, ["label"])
     ranked = out.filter("query_id <> ref_id").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))).filter("r <= 3")
     return rounded(ranked.select("query_id", "ref_id", "distance"), 5)

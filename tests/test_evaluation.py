@@ -256,3 +256,55 @@ def test_blocks_keep_the_nearest_only(spark, monkeypatch, block, cells):
     assert got == want
     met = N._in_blocks(q.filter(N._complete("v")), r.filter(N._complete("ref_v")), ["g"], 1024, 4)
     assert met.groupBy("query_id").count().agg(F.max("count")).first()[0] == 4
+
+
+def test_near_copies_cost_no_more_than_other_rows():
+    """Where a product of matrices cannot tell rows apart, not every pair is picked and measured by itself; rows and distances are those of plain sums."""
+    import time
+
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=(1, 64))
+    apart, near = rng.normal(size=(1024, 64)), one + rng.normal(size=(1024, 64)) * 1e-8
+    mixed = np.concatenate([near[:300], apart[:300]])
+
+    def took(x):
+        times = []
+        for _ in range(3):
+            began = time.thread_time()
+            N._least(x, x, 4)
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    for x in (near, mixed, mixed + 1e6, np.repeat(near[:40], 4, 0)):
+        d = np.zeros((len(x), len(x)))
+        for c in x.T:
+            d += (c[:, None] - c) ** 2
+        d = np.sqrt(d)
+        i, j, e = N._least(x, x, 4)
+        o = np.lexsort((j, e, i))
+        want = np.argsort(d, axis=1, kind="stable")[:, :4]
+        assert (j[o].reshape(-1, 4) == want).all() and (e[o].reshape(-1, 4) == np.take_along_axis(d, want, 1)).all()
+    assert took(near) < 10 * took(apart)
+
+
+def test_floats_meet_as_floats(spark):
+    """Vectors of floats go through the shuffle as they are; distances are those of doubles."""
+    x = np.random.default_rng(9).normal(size=(40, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i % 2, i, [float(v) for v in r]) for i, r in enumerate(x)], "g int, id int, v array<float>")
+    near = N.euclidean_knn(df.withColumnRenamed("id", "query_id"), df.select("g", F.col("id").alias("ref_id"), F.col("v").alias("ref_v")), 2, ["g"], 7)
+    assert "array<double>" not in near._jdf.queryExecution().optimizedPlan().toString()
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
+    d[np.arange(40)[:, None] % 2 != np.arange(40) % 2] = np.inf
+    got = {r["query_id"]: r for r in near.filter("query_id <> ref_id").collect()}
+    np.fill_diagonal(d, np.inf)
+    assert all(got[i]["ref_id"] == d[i].argmin() and np.isclose(got[i]["distance"], d[i].min(), rtol=1e-12) for i in range(40))
+
+
+def test_rows_of_a_large_key_go_to_few_blocks(spark):
+    """A row is sent to every block of the other side: their number does not follow the rows while blocks are small."""
+    rows = [("g", i, [float(i % 17), float(i % 5)]) for i in range(200)]
+    q, r = spark.createDataFrame(rows, "g string, query_id int, v array<double>"), spark.createDataFrame(rows, "g string, ref_id int, ref_v array<double>")
+    met = N._in_blocks(q, r, ["g"], 10, 1).groupBy("query_id").count()
+    assert [tuple(x) for x in met.groupBy("count").agg(F.count("*")).collect()] == [(8, 200)]
+    size = spark.createDataFrame([(3, 64), (12000, 64), (72000, 64), (72000, 1536)], "n long, __size int")
+    assert [x[0] for x in size.select(N._blocks(F.col("n"), 2048, True)).collect()] == [1, 6, 9, 36]
